@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .language_id import op3_query
+from .quality import op1_query
 from .substring_dedup import op6_query
 
 QUERIES = {
+    "op1_quality_classifier": op1_query,
+    "op3_language_id": op3_query,
     "op6_substring_dedup": op6_query,
 }
 ORACLE_SQL: dict[str, str] = {}
