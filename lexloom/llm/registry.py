@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from . import decontaminate
+from .decontaminate import op4_query
 from .language_id import op3_query
 from .quality import op1_query
 from .substring_dedup import op6_query
+from .token_counts import op10_query
 
 QUERIES = {
     "op1_quality_classifier": op1_query,
     "op3_language_id": op3_query,
+    "op4_decontamination": op4_query,
     "op6_substring_dedup": op6_query,
+    "op10_token_counts": op10_query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": decontaminate.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
