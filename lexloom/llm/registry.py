@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontaminate
+from .bpe import op7_query
 from .decontaminate import op4_query
 from .language_id import op3_query
 from .quality import op1_query
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_language_id": op3_query,
     "op4_decontamination": op4_query,
     "op6_substring_dedup": op6_query,
+    "op7_byte_level_bpe": op7_query,
     "op10_token_counts": op10_query,
 }
 ORACLE_SQL: dict[str, str] = {
