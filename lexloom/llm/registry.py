@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import decontaminate
 from .bpe import op7_query
 from .decontaminate import op4_query
+from .jaccard_join import op2_query
 from .language_id import op3_query
 from .quality import op1_query
 from .substring_dedup import op6_query
@@ -12,6 +13,7 @@ from .token_counts import op10_query
 
 QUERIES = {
     "op1_quality_classifier": op1_query,
+    "op2_ngram_jaccard_join": op2_query,
     "op3_language_id": op3_query,
     "op4_decontamination": op4_query,
     "op6_substring_dedup": op6_query,
