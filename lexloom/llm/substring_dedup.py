@@ -33,7 +33,8 @@ BUCKET_BYTES = 4 << 20
 #: Windows that are sorted at a time; a larger bucket is sorted in several passes.
 PASS_WINDOWS = 4_000_000
 
-_HEAD = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("bytes", "<i4")])
+#: Columns of a blob's head: doc as differences, as neighbours come from one document or the next.
+_HEAD = ("doc", "key", "start", "windows", "bytes")
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -91,25 +92,26 @@ def _pack(k: int, m: int, buckets: int):
                 keep = np.flatnonzero(~later)
                 keep = keep[np.argsort(bucket[keep], kind="stable")]
                 low, high = w.starts[first[keep]], w.ends[last[keep] - 1]
-                head = np.empty(len(keep), _HEAD)
-                head["doc"], head["key"], head["start"] = doc[keep], key[keep], start[keep]
-                head["windows"], head["bytes"] = count[keep], high - low
+                head = np.stack([doc[keep], key[keep], start[keep], count[keep], high - low])
                 view, low, high = memoryview(buf), low.tolist(), high.tolist()
                 cut = np.flatnonzero(np.append(True, np.diff(bucket[keep]) != 0))
                 names, made = bucket[keep][cut].tolist(), []
                 for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(keep)], strict=True):
-                    made.append(squeeze.compress(b"".join([(y - x).to_bytes(8, "little"), head[x:y].tobytes(), *[view[s:e] for s, e in zip(low[x:y], high[x:y], strict=True)]])))
+                    part = head[:, x:y].copy()
+                    part[0, 1:] = np.diff(part[0])
+                    made.append(squeeze.compress(b"".join([(y - x).to_bytes(8, "little"), part.tobytes(), *[view[s:e] for s, e in zip(low[x:y], high[x:y], strict=True)]])))
                 for x in range(0, len(names), 4096):
                     yield rows(names[x : x + 4096], blob=made[x : x + 4096])
 
     return run
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int.from_bytes(raw[:8], "little")
-    head = np.frombuffer(raw, _HEAD, n, 8)
-    return head, np.frombuffer(raw, np.uint8, offset=8 + n * _HEAD.itemsize), np.append(0, np.cumsum(head["bytes"], dtype=np.int64))
+    head = dict(zip(_HEAD, np.frombuffer(raw, np.int64, n * len(_HEAD), 8).reshape(len(_HEAD), n), strict=True))
+    head["doc"] = np.cumsum(head["doc"])
+    return head, np.frombuffer(raw, np.uint8, offset=8 + n * len(_HEAD) * 8), np.append(0, np.cumsum(head["bytes"]))
 
 
 def _sort_bucket(k: int):
@@ -151,8 +153,8 @@ def _sort_bucket(k: int):
             cut = hit[cut]
             for i in np.unique(blob_no[cut]).tolist():
                 mine = blob_no[cut] == i
-                head = _unpack(packed[i])[0][run[cut[mine]]]
-                out.append((head["doc"], head["key"], ((head["start"] + place[cut[mine]]) << 32) | (size[mine] + k - 1)))
+                head, at = _unpack(packed[i])[0], run[cut[mine]]
+                out.append((head["doc"][at], head["key"][at], ((head["start"][at] + place[cut[mine]]) << 32) | (size[mine] + k - 1)))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table(columns, schema=schema)
 
@@ -189,14 +191,17 @@ def _cut(columns: list[str]):
 
 def remove_repeated_passages(docs: DataFrame, k: int = 13, minimiser_words: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Columns of ``docs`` and ``kept_text`` (kept words, one space between), ``n_words``, ``n_removed``."""
-    own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Only where a doc_id repeats must its rows be told apart, by their texts.
+    repeats = docs.groupBy(F.col(doc_id).cast("long").alias("doc")).count().where("count > 1 and doc is not null")
+    key = F.lit(0).cast("long") if repeats.isEmpty() else F.xxhash64(text)
+    own = docs.select(F.col(doc_id).cast("long").alias("doc"), key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, size // BUCKET_BYTES)
     sent = own.where("doc is not null").mapInArrow(_pack(k, minimiser_words, buckets), "bucket long, blob binary, known binary")
     spans = sent.groupBy("bucket").applyInArrow(_sort_bucket(k), "doc long, key long, span long")
     spans = spans.groupBy("doc", "key").agg(F.collect_list("span").alias("spans"))
     extra = [c for c in docs.columns if c not in (doc_id, text)]
-    rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("key"), F.col(text).alias("text"), F.col(doc_id).alias("id_as_given"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
+    rows = docs.select(F.col(doc_id).alias("doc"), key.alias("key"), F.col(text).alias("text"), F.col(doc_id).alias("id_as_given"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
     rows = rows.withColumn("doc", F.col("doc").cast("long"))
     joined = rows.join(spans, ["doc", "key"], "left").drop("doc", "key")
     keep = ["id_as_given", "text", *[f"x{i}" for i in range(len(extra))]]
