@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import chat_format, decontaminate, knn_join
 from .bpe import op7_query
+from .chat_format import op8_query
 from .decontaminate import op4_query
 from .jaccard_join import op2_query
+from .knn_join import op5_query
 from .language_id import op3_query
 from .quality import op1_query
 from .substring_dedup import op6_query
@@ -16,10 +18,14 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_query,
     "op3_language_id": op3_query,
     "op4_decontamination": op4_query,
+    "op5_exact_top_k": op5_query,
     "op6_substring_dedup": op6_query,
     "op7_byte_level_bpe": op7_query,
+    "op8_chat_formatting": op8_query,
     "op10_token_counts": op10_query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_exact_top_k": knn_join.ORACLE_SQL,
+    "op8_chat_formatting": chat_format.ORACLE_SQL,
     "op4_decontamination": decontaminate.ORACLE_SQL,
 }
