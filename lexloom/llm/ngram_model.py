@@ -73,9 +73,9 @@ def examples(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class Ftrl:
     """Follow the proximal regularised leader, one learning rate for each weight."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001):
+    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001, slots: int = SLOTS):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
+        self.z, self.n = np.zeros(slots + 1), np.zeros(slots + 1)
 
     def weights(self, at=slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]

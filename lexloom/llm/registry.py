@@ -9,6 +9,7 @@ from .decontaminate import op4_query
 from .jaccard_join import op2_query
 from .knn_join import op5_query
 from .language_id import op3_query
+from .licences import op9_query
 from .quality import op1_query
 from .substring_dedup import op6_query
 from .token_counts import op10_query
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_substring_dedup": op6_query,
     "op7_byte_level_bpe": op7_query,
     "op8_chat_formatting": op8_query,
+    "op9_licence_scan": op9_query,
     "op10_token_counts": op10_query,
 }
 ORACLE_SQL: dict[str, str] = {
