@@ -4,8 +4,9 @@ The texts are cut by the tokenizer's pattern into pieces; the distinct pieces of
 the whole corpus are encoded once each, and each document looks its own up.
 
 Encoding folds the ranked merges of a distinct piece in Spark higher-order
-functions: an array of its bytes, and in each step the pair of neighbours of the
-least rank in a literal rank map is joined, until no pair has a rank. Decoding
+functions: an array of its bytes with the ranks of its pairs of neighbours, and in
+each step the pair of the least rank is joined and its two new pairs looked up in
+a literal rank map, until no pair has a rank. Decoding
 concatenates the binary pieces of the ids.
 
 A document gets the ids of its pieces in two ways. The pieces that occur most are
@@ -61,24 +62,27 @@ def fold_merges(piece: Column, ranks: Column) -> Column:
     def rank(x: Column) -> Column:
         return F.get(ranks, F.pmod(F.crc32(x), F.lit(RANK_MAPS)).cast("int"))[x]
 
-    def merged(parts: Column, at: Column) -> Column:
-        joined = F.array(F.concat(F.get(parts, at - 1), F.get(parts, at)))
-        return F.concat(F.slice(parts, F.lit(1), at - 1), joined, F.slice(parts, at + 2, F.size(parts)))
-
     def step(state: Column, _: Column) -> Column:
-        parts = state["parts"]
-        pairs = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x, i: rank(F.concat(F.get(parts, i), x)))
-        # A one-entry transform names a value, so that it is computed once.
-        least = lambda r: F.array_position(r, F.array_min(r)).cast("int")
-        chosen = F.transform(F.array(pairs), lambda r: F.coalesce(least(r), F.lit(0)))
-        after = F.transform(chosen, lambda at: F.struct(F.when(at > 0, merged(parts, F.greatest(at, F.lit(1)))).otherwise(parts).alias("parts"), (at == 0).alias("done")))
-        return F.when(state["done"], state).otherwise(F.get(after, F.lit(0)))
+        parts, pairs = state["parts"], state["pairs"]  # pairs: rank of each part joined with the next
+        at = F.array_position(pairs, F.array_min(pairs)).cast("int")
+
+        def merged(at: Column) -> Column:
+            joined = F.concat(F.get(parts, at - 1), F.get(parts, at))
+            before = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), joined)))).otherwise(none)
+            after = F.when(at + 1 < F.size(parts), F.array(rank(F.concat(joined, F.get(parts, at + 1))))).otherwise(none)
+            left, right = F.slice(parts, F.lit(1), at - 1), F.slice(parts, at + 2, F.size(parts))
+            ranked = F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(pairs, at + 2, F.size(parts)))
+            return F.struct(F.concat(left, F.array(joined), right).alias("parts"), ranked.alias("pairs"))
+
+        # A one-entry transform names the place, so that it is computed once.
+        return F.when(F.array_min(pairs).isNull(), state).otherwise(F.get(F.transform(F.array(at), merged), F.lit(0)))
 
+    none = F.array().cast("array<int>")
     whole = F.hex(piece)
     n = F.octet_length(piece)
     single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(whole, i * 2 + 1, F.lit(2)))
-    start = F.struct(single.alias("parts"), F.lit(False).alias("done"))
-    folded = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["parts"])
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.substring(whole, i * 2 + 1, F.lit(4))))).otherwise(none)
+    folded = F.aggregate(F.sequence(F.lit(1), n), F.struct(single.alias("parts"), pairs.alias("pairs")), step, lambda s: s["parts"])
     # A piece that has a rank is one token, as its merges end in it.
     return F.coalesce(F.when(rank(whole).isNotNull(), F.array(rank(whole))), F.transform(folded, rank))
 
@@ -148,7 +152,7 @@ def _rare_pieces(pattern: str, frequent):
         for part, texts in _texts(batches, 1):
             keys, out = [], []
             for key, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                own = set(find(text)) - known
+                own = {x for x in find(text) if x not in known}
                 keys += [key] * len(own)
                 out += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["key", "piece"])
@@ -229,13 +233,13 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id and digests of the ids of each text and of what they decode to."""
+    """Columns of ``docs`` but text, and digests of the ids of each text and of what they decode to."""
     import public_tokenizers
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     back = decode(encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return back.select(*[c for c in docs.columns if c != "text"], F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
 from .scratch import written
@@ -233,11 +233,19 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(_overlaps, "a long, b long, size_a long, size_b long, common long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row: sets link whose Jaccard similarity is percent/100 or more."""
+def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
+    """Key of a row by its doc_id and text; equal rows have equal keys."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, row (its row_key), n_shingles, component_id and first (whether the row is the one of its class to keep).
+
+    Sets link whose Jaccard similarity is percent/100 or more.
+    """
     spark = docs.sparkSession
     plain = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id).cast("long"), plain).alias("row"), plain.alias("text"))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(text, doc_id).alias("row"), plain.alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(64, size // BUCKET_BYTES))
 
@@ -278,10 +286,12 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, text: str =
     classes = components(linked)
 
     named = digests.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    least = named.where("size > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    least = named.where("size > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first_row"))
     out = named.join(least, "class", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    alone = F.col("size") == 0
+    return out.select("doc_id", "row", F.col("size").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), (alone | (F.col("row") == F.col("first_row"))).alias("first"))
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_duplicates(docs, n=4, percent=85).select("doc_id", "n_shingles", "component_id")
