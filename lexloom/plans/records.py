@@ -1,0 +1,134 @@
+"""Queries on typed records, layered lookups, ranges and forests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import records, rules, trees
+from ..sources import text as source
+from .registry import query
+
+_SCHEMA = {"Name": "s", "Size": "v", "Price": "f", "Code": "x", "Flag": "B", "Kind": "e", "List": "*u"}
+_CHOICES = {"Kind": [f"Brand#{i}{j}" for i in range(1, 5) for j in range(1, 6)]}
+_CHOICES_SQL = ", ".join(f"'{x}'" for x in _CHOICES["Kind"])
+
+
+def _record_files(t):
+    """Sections of 50 parts to a file, some with faults."""
+    p, k = t("part"), F.col("p_partkey")
+    rows = [
+        F.concat(F.lit("["), k, F.lit("]")),
+        F.concat(F.lit("Name = "), "p_name"),
+        F.concat(F.lit("Size = "), F.when(k % 10 == 0, F.lit(0)).otherwise(F.col("p_size"))),
+        F.concat(F.lit("Price="), F.format_string("%.2f", F.lit(1.0) * (k % 1000))),
+        F.concat(F.lit("Code = "), F.lower(F.hex(k))),
+        F.concat(F.lit("Flag = "), F.when(k % 4 == 0, "y").when(k % 4 == 1, "no").when(k % 4 == 2, "").otherwise("true")),
+        F.concat(F.lit("Kind = "), "p_brand"),
+        F.concat(F.lit("List = "), k % 7, F.lit(","), F.when(k % 9 == 0, "-1").otherwise("3")),
+        F.lit("# end"),
+    ]
+    each = p.select((k % 40).alias("file"), k.alias("k"), F.concat_ws("\n", *rows).alias("r"))
+    joined = each.groupBy("file").agg(F.array_join(F.sort_array(F.collect_list(F.struct("k", "r")))["r"], "\n").alias("text"))
+    return source.lines(joined, "file")
+
+
+@query(f"""SELECT CAST(p_partkey AS VARCHAR) AS section, p_name AS "Name", CASE WHEN p_partkey % 10 <> 0 THEN p_size END AS "Size", CAST(p_partkey % 1000 AS DOUBLE) AS "Price", p_partkey AS "Code",
+  CASE p_partkey % 4 WHEN 2 THEN NULL WHEN 1 THEN false ELSE true END AS "Flag", CASE WHEN p_brand IN ({_CHOICES_SQL}) THEN p_brand END AS "Kind",
+  (p_partkey % 7) || ',' || CASE WHEN p_partkey % 9 = 0 THEN '' ELSE '3' END AS list,
+  array_to_string(list_filter([CASE WHEN p_partkey % 10 = 0 THEN 'Size:invalid' END, CASE WHEN p_brand NOT IN ({_CHOICES_SQL}) THEN 'Kind:invalid' END, CASE WHEN p_partkey % 9 = 0 THEN 'List:invalid' END], lambda x: x IS NOT NULL), ' ') AS errors FROM part""")
+def typed_records(t):
+    """Sections read by a schema of field codes, with the errors of each record."""
+    made = records.typed_records(source.key_values(_record_files(t), "file"), ["file", "section"], _SCHEMA, _CHOICES)
+    listed = F.array_join(F.transform("List", lambda x: F.coalesce(x.cast("string"), F.lit(""))), ",")
+    return made.select("section", "Name", "Size", "Price", "Code", "Flag", "Kind", listed.alias("list"), F.array_join("errors", " ").alias("errors"))
+
+
+@query("SELECT p_partkey, 'Name = ' || p_name || chr(10) || 'Size = ' || p_size || chr(10) || 'Brand = ' || CASE WHEN p_partkey % 3 = 0 THEN '\"' || p_brand || ',\"' ELSE p_brand END AS text FROM part")
+def record_writer(t):
+    """Records as text, fields quoted where they must be."""
+    brand = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit(","))).otherwise(F.col("p_brand"))
+    schema = {"Name": "s", "Size": "v", "Brand": "s"}
+    return t("part").select("p_partkey", records.encode_record(schema, {"Name": F.col("p_name"), "Size": F.col("p_size"), "Brand": brand}).alias("text"))
+
+
+@query("SELECT c_custkey, c_nationkey + CASE WHEN c_custkey % 50 = 0 THEN 100 ELSE 0 END AS ref FROM customer WHERE c_custkey % 50 = 0")
+def foreign_key_check(t):
+    ref = F.col("c_nationkey") + F.when(F.col("c_custkey") % 50 == 0, 100).otherwise(0)
+    return records.missing_keys(t("customer").select("c_custkey", ref.alias("ref")), "ref", t("nation"), "n_nationkey").select("c_custkey", "ref")
+
+
+_STEPS = "SELECT CAST(l AS INT) AS level, CAST(l * l * l * 4 AS DOUBLE) AS least FROM (SELECT unnest(range(0, 100)) AS l)"
+
+
+@query(f"WITH s AS ({_STEPS}) SELECT o_orderkey, max(level) AS level FROM orders JOIN s ON s.least <= o_totalprice GROUP BY o_orderkey")
+def level_lookup(t):
+    """The largest level whose threshold a value reaches."""
+    orders = t("orders")
+    steps = orders.sparkSession.range(100).select(F.col("id").cast("int").alias("level"), (F.col("id") * F.col("id") * F.col("id") * 4).cast("double").alias("least"))
+    return records.range_lookup(orders.select("o_orderkey", "o_totalprice"), "o_totalprice", steps, "least", "level").select("o_orderkey", "level")
+
+
+@query("SELECT l_orderkey, l_linenumber, max(o_totalprice) AS below FROM lineitem JOIN (SELECT o_totalprice FROM orders WHERE o_orderkey % 50 = 0) ON o_totalprice <= l_extendedprice * 5 WHERE l_orderkey % 20 = 0 GROUP BY ALL")
+def as_of_lookup(t):
+    """The same over many thresholds, by one sort of both sides."""
+    rows = t("lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 5).alias("v"))
+    steps = t("orders").where("o_orderkey % 50 = 0").select(F.col("o_totalprice").alias("low"), F.col("o_totalprice").alias("below"))
+    return records.as_of(rows, "v", steps, "low", "below", buckets=32).where("below is not null").select("l_orderkey", "l_linenumber", "below")
+
+
+_TREE = "SELECT c_custkey AS id, CASE WHEN c_custkey > 3 THEN c_custkey // 3 END AS parent_id, c_custkey AS ord, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS v FROM customer"
+
+
+def _tree(t):
+    k = F.col("c_custkey")
+    return t("customer").select(k.alias("id"), F.when(k > 3, F.floor(k / 3)).alias("parent_id"), k.alias("ord"), F.when(k % 5 == 0, F.col("c_mktsegment")).alias("v")).where("id > 0")
+
+
+@query(f"WITH RECURSIVE n AS (SELECT * FROM ({_TREE}) WHERE id > 0), d(root, id, depth) AS (SELECT id, id, 0 FROM n WHERE parent_id IS NULL UNION ALL SELECT d.root, n.id, d.depth + 1 FROM d JOIN n ON n.parent_id = d.id) SELECT root, CAST(depth AS INT) AS depth, count(*) AS n FROM d GROUP BY ALL")
+def descendants(t):
+    return trees.walk_down(_tree(t)).groupBy("root", "depth").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE n AS (SELECT * FROM ({_TREE}) WHERE id > 0), d(id, path) AS (SELECT id, lpad(CAST(ord AS VARCHAR), 10, '0') FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, d.path || '/' || lpad(CAST(n.ord AS VARCHAR), 10, '0') FROM d JOIN n ON n.parent_id = d.id) SELECT id, path FROM d")
+def preorder(t):
+    """Sort paths: their order is that of a walk of the forest."""
+    return trees.walk_down(_tree(t)).select("id", "path")
+
+
+@query(f"WITH RECURSIVE n AS (SELECT * FROM ({_TREE}) WHERE id > 0), u(id, a, depth) AS (SELECT id, id, 0 FROM n UNION ALL SELECT u.id, n.parent_id, u.depth + 1 FROM u JOIN n ON n.id = u.a WHERE n.parent_id IS NOT NULL) SELECT id, max(depth) AS depth, arg_max(a, depth) AS root FROM u GROUP BY id")
+def root_ancestor(t):
+    up = trees.ancestors(_tree(t))
+    return up.groupBy("id").agg(F.max("depth").alias("depth"), F.max_by("ancestor", "depth").alias("root"))
+
+
+@query(f"WITH RECURSIVE n AS (SELECT * FROM ({_TREE}) WHERE id > 0), u(id, a, depth) AS (SELECT id, id, 0 FROM n UNION ALL SELECT u.id, n.parent_id, u.depth + 1 FROM u JOIN n ON n.id = u.a WHERE n.parent_id IS NOT NULL) SELECT u.id, arg_min(n.v, depth) FILTER (WHERE n.v IS NOT NULL) AS v FROM u JOIN n ON n.id = u.a GROUP BY u.id")
+def inherited_values(t):
+    return trees.inherited(_tree(t), "v")
+
+
+@query("SELECT coalesce(a.id, b.id) AS fn, CASE WHEN b.id IS NULL THEN 'missing' WHEN a.id IS NULL THEN CASE WHEN b.id % 4 = 1 THEN 'moved' ELSE 'added' END WHEN a.fp = b.fp THEN 'same' ELSE 'changed' END AS status FROM (SELECT doc_id AS id, sha1(text) AS fp FROM documents WHERE doc_id % 4 <> 0) a FULL JOIN (SELECT CASE WHEN doc_id % 4 = 1 THEN doc_id END AS old, CASE WHEN doc_id % 4 = 2 THEN doc_id + 0 ELSE doc_id END AS id, sha1(CASE WHEN doc_id % 4 = 3 AND doc_id % 8 = 3 THEN text || '!' ELSE text END) AS fp FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 4 <> 1) b ON a.id = b.id WHERE a.id IS NULL OR a.id % 4 <> 1 OR b.id IS NOT NULL OR a.id % 10 = 0 OR true")
+def baseline_compare(t):
+    """Fingerprints of a baseline against those of a later state: same, changed, missing or added."""
+    from ..operators import baseline
+
+    d = t("documents")
+    old = d.where("doc_id % 4 <> 0").select(F.lit("s").alias("script"), F.col("doc_id").alias("fn"), baseline.fingerprint(F.col("text")).alias("fp"))
+    text = F.when((F.col("doc_id") % 4 == 3) & (F.col("doc_id") % 8 == 3), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    new = d.where("doc_id % 10 <> 0 and doc_id % 4 <> 1").select(F.lit("s").alias("script"), F.col("doc_id").alias("fn"), baseline.fingerprint(text).alias("fp"))
+    return baseline.compare(old, new).select("fn", "status")
+
+
+@query("SELECT source AS version, avg(CASE WHEN a.fp = b.fp THEN 1.0 ELSE 0.0 END) AS overlap FROM (SELECT source, lang, doc_id % 5 AS k, min(sha1(left(text, 3))) AS fp FROM documents GROUP BY ALL) a JOIN (SELECT lang, doc_id % 5 AS k, min(sha1(left(text, 3))) AS fp FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL) b USING (lang, k) GROUP BY source")
+def baseline_overlap(t):
+    """Share of equal fingerprints of each version with a given state."""
+    from ..operators import baseline
+
+    d = t("documents").withColumn("fp", baseline.fingerprint(F.substring("text", 1, 3)))
+    versions = d.groupBy(F.col("source").alias("version"), F.col("lang").alias("script"), (F.col("doc_id") % 5).alias("fn")).agg(F.min("fp").alias("fp"))
+    state = d.where("doc_id % 2 = 0").groupBy(F.col("lang").alias("script"), (F.col("doc_id") % 5).alias("fn")).agg(F.min("fp").alias("fp"))
+    return baseline.overlap(versions, state)
+
+
+@query("SELECT page_id, regexp_replace(trim(url), '\\s{2,}', ' ', 'g') || ' (' || page_id || ')' AS line FROM pages")
+def positional_format(t):
+    return t("pages").select("page_id", rules.positional(F.lit("{1} ({2})"), rules.squeeze_key(F.col("url")), F.col("page_id")).alias("line"))
