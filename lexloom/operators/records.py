@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: One code for each field: i int, u int of 0 or more, v int above 0, x hexadecimal, f float, b boolean,
@@ -37,7 +39,8 @@ def typed_records(fields: DataFrame, keys: list[str], schema: Schema, choices: d
     decoded = {}
     for name, code in schema.items():
         if code.startswith("*"):
-            parts = F.transform(F.split(F.col(name), ","), lambda x, c=code[1:], n=name: decode(x, c, (choices or {}).get(n)))
+            one = partial(decode, code=code[1:], choices=(choices or {}).get(name))
+            parts = F.transform(F.split(F.col(name), ","), lambda x: one(x))  # noqa: B023
             first = F.get(F.filter(parts, lambda p: p["error"].isNotNull()), F.lit(0))["error"]
             decoded[name] = F.struct(F.transform(parts, lambda p: p["value"]).alias("value"), first.alias("error"))
         else:

@@ -1,0 +1,148 @@
+"""Queries on weights, tiers, orders, statistics and predicates of record tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from ..operators import ranking
+from .registry import query
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, o_totalprice, sum(w) OVER (PARTITION BY o_custkey ORDER BY w DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS running, sum(w) OVER (PARTITION BY o_custkey) AS whole, w FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS w FROM orders)) WHERE running > (o_custkey % 1000) / 1000.0 * whole AND w > 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY running) = 1")
+def weighted_pick(t):
+    """One order of each customer, by cumulated weights and a draw that depends on the customer."""
+    rows = t("orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("w"))
+    picked = ranking.weighted_pick(rows, ["o_custkey"], "w", ["o_orderkey"], (F.col("o_custkey") % 1000) / F.lit(1000.0))
+    return picked.select("o_custkey", "o_orderkey")
+
+
+@query("SELECT p_partkey, ['common', 'rare', 'epic'][1 + CAST(floor(3 * (row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice, p_partkey) - 1) / count(*) OVER (PARTITION BY p_size)) AS INT)] AS tier FROM part")
+def tiers(t):
+    return ranking.tiers(t("part"), ["p_size"], ["p_retailprice", "p_partkey"], ["common", "rare", "epic"]).select("p_partkey", "tier")
+
+
+@query("SELECT c_nationkey, c_custkey, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 3")
+def podium(t):
+    return ranking.podium(t("customer"), ["c_nationkey"], [F.desc("c_acctbal"), "c_custkey"]).select("c_nationkey", "c_custkey", "rank")
+
+
+@query("SELECT user_id, event_type, last FROM (SELECT user_id, event_type, max(event_id) AS last FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY last DESC) <= 3")
+def last_distinct(t):
+    rows = t("events").select("user_id", "event_type", F.col("event_id").alias("last"))
+    return ranking.last_distinct(rows, ["user_id"], "event_type", "last", 3)
+
+
+@query("WITH m AS (SELECT c_mktsegment, avg(c_acctbal) AS mean, stddev_pop(c_acctbal) AS deviation FROM customer GROUP BY c_mktsegment) SELECT c_mktsegment, round(any_value(mean), 4) AS mean, round(any_value(deviation), 4) AS deviation, round(sum(c_acctbal * w) / sum(w), 4) AS weighted FROM (SELECT *, greatest(least(abs(c_acctbal - mean) / deviation, 1.5), 0.5) AS w FROM customer JOIN m USING (c_mktsegment)) GROUP BY c_mktsegment")
+def level_summary(t):
+    made = ranking.level_summary(t("customer").select("c_mktsegment", "c_acctbal"), ["c_mktsegment"], "c_acctbal", 0.5, 1.5)
+    return made.select("c_mktsegment", *[F.round(c, 4).alias(c) for c in ("mean", "deviation", "weighted")])
+
+
+@query("SELECT o_orderkey, round(product(1 - l_discount), 8) AS factor FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0 GROUP BY o_orderkey")
+def effect_product(t):
+    """Product of the multipliers of each group."""
+    rows = t("lineitem").where("l_orderkey % 10 = 0").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    listed = rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(1 - F.col("l_discount")).alias("f"))
+    return listed.select("o_orderkey", F.round(ranking.product(F.col("f")), 8).alias("factor"))
+
+
+@query("SELECT s_nationkey, p_brand, arg_min(p_partkey, (-p_retailprice, p_partkey)) AS p_partkey FROM part JOIN supplier ON p_partkey % 100 = s_suppkey % 100 GROUP BY ALL")
+def undominated(t):
+    rows = t("part").join(t("supplier"), F.col("p_partkey") % 100 == F.col("s_suppkey") % 100)
+    rows = rows.select("s_nationkey", "p_brand", "p_partkey", "p_retailprice").distinct()
+    return ranking.undominated(rows, ["s_nationkey"], "p_brand", "p_retailprice", "p_partkey").select("s_nationkey", "p_brand", "p_partkey")
+
+
+@query("SELECT p_partkey, CAST(unnest(range(1, p_size % 4 + 1)) AS INT) AS copy FROM part WHERE p_size % 4 > 0")
+def replicated_rows(t):
+    return ranking.replicated(t("part").select("p_partkey", "p_size"), F.col("p_size") % 4).select("p_partkey", "copy")
+
+
+@query("SELECT o_custkey, coalesce(arg_min(o_orderkey, (o_orderpriority, o_orderkey)) FILTER (WHERE o_totalprice > 100000), arg_max(o_orderkey, (o_orderpriority, o_orderkey))) AS o_orderkey FROM orders GROUP BY o_custkey")
+def first_fit_or_last(t):
+    return ranking.first_or_last(t("orders"), ["o_custkey"], ["o_orderpriority", "o_orderkey"], F.col("o_totalprice") > 100000, "o_orderkey")
+
+
+@query("SELECT a.s_nationkey, a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+def team_pairs(t):
+    return ranking.pairs_within(t("supplier"), ["s_nationkey"], "s_suppkey").select("s_nationkey", "a", "b")
+
+
+@query("SELECT a AS x, b AS y, c AS z FROM (SELECT unnest(range(6)) AS a), (SELECT unnest(range(6)) AS b), (SELECT unnest(range(6)) AS c) WHERE a < b AND b < c")
+def combinations(t):
+    one = t("region").limit(1).select(F.explode(ranking.combinations(F.sequence(F.lit(0), F.lit(5)), 3)).alias("c"))
+    return one.select(*[F.col("c")[i].cast("long").alias(n) for i, n in enumerate("xyz")])
+
+
+@query("SELECT n_name, r_name, count(c_custkey) AS customers, CAST(coalesce(sum(CASE WHEN c_acctbal BETWEEN 0 AND 5000 AND c_mktsegment NOT IN ('BUILDING') AND NOT c_name LIKE '%7' THEN 1 ELSE 0 END), 0) AS BIGINT) AS allowed FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def entry_rules(t):
+    """Records that meet every one of a set of rules."""
+    rules = [F.col("c_acctbal").between(0, 5000), ~F.col("c_mktsegment").isin("BUILDING"), ~F.col("c_name").endswith("7")]
+    places = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    rows = places.join(t("customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return rows.groupBy("n_name", "r_name").agg(F.count("c_custkey").alias("customers"), F.count_if(ranking.all_of(*rules)).alias("allowed"))
+
+
+@query("SELECT o_custkey, count(DISTINCT o_orderpriority) = count(*) AS all_differ, count(DISTINCT o_orderstatus) = 1 AS all_same, count(*) FILTER (WHERE o_totalprice > 200000) <= 1 AS few_restricted FROM orders GROUP BY o_custkey")
+def team_clauses(t):
+    """Uniqueness and count clauses of groups."""
+    return t("orders").groupBy("o_custkey").agg(
+        (F.countDistinct("o_orderpriority") == F.count("*")).alias("all_differ"),
+        (F.countDistinct("o_orderstatus") == 1).alias("all_same"),
+        (F.count_if(F.col("o_totalprice") > 200000) <= 1).alias("few_restricted"),
+    )
+
+
+@query("SELECT CASE WHEN hour(ts) < 5 OR hour(ts) >= 20 THEN 'night' WHEN hour(ts) < 10 THEN 'morning' WHEN hour(ts) < 17 THEN 'day' ELSE 'evening' END AS part, event_type, count(*) AS n FROM events GROUP BY ALL")
+def day_parts(t):
+    return t("events").groupBy(ranking.day_part(F.col("ts")).alias("part"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def json_properties(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return t("events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT page_id, CAST(row_number() OVER (ORDER BY a, b, c, page_id) AS BIGINT) AS place FROM (SELECT page_id, page_id % 3 AS a, CASE WHEN page_id % 5 = 0 THEN 999 ELSE page_id % 11 END AS b, page_id % 13 AS c FROM pages)")
+def version_order(t):
+    """Rank by dotted versions compared as numbers, parts that are none as 999."""
+    k = F.col("page_id")
+    version = F.concat_ws(".", k % 3, F.when(k % 5 == 0, "x").otherwise((k % 11).cast("string")), k % 13)
+    key = ranking.natural_version(version)
+    # A rank over all rows: ranges by the first part, ranked apart, plus the sizes of the ranges before.
+    rows = t("pages").select("page_id", key.alias("v")).withColumn("range", F.col("v")[0])
+    sizes = rows.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.range") < F.col("a.range"), "left").groupBy("a.range").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("v", "page_id"))
+    return rows.withColumn("rank", rank).join(F.broadcast(before), "range").select("page_id", (F.col("rank") + F.col("before")).alias("place"))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY ALL")
+def line_totals(t):
+    return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("SELECT base, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS name FROM (SELECT lower(p_brand) AS base, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS k FROM part)")
+def output_names(t):
+    """Names that do not clash, by a number from the second on."""
+    k = F.row_number().over(Window.partitionBy(F.lower("p_brand")).orderBy("p_partkey"))
+    rows = t("part").select(F.lower("p_brand").alias("base"), k.alias("k"))
+    return rows.select("base", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), "k")).alias("name"))
+
+
+@query("SELECT box, min(slot) AS slot FROM (SELECT unnest(range(25)) AS box), (SELECT unnest(range(80)) AS slot) WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = box AND c_custkey % 80 = slot) GROUP BY box")
+def first_free_slot(t):
+    """The first free slot of each box."""
+    spark = t("nation").sparkSession
+    slots = spark.range(25).withColumnRenamed("id", "box").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(79).cast("long"))))
+    taken = t("customer").select(F.col("c_nationkey").cast("long").alias("box"), (F.col("c_custkey") % 80).alias("slot")).distinct()
+    return slots.join(taken, ["box", "slot"], "left_anti").groupBy("box").agg(F.min("slot").alias("slot"))
+
+
+@query(None)
+def glicko_ratings(t):
+    """Ratings of customers after one period of matches with their nations' suppliers."""
+    c = t("customer").select(F.col("c_custkey").alias("player"), "c_nationkey", (1500 + F.col("c_acctbal") / 50).alias("rating"), F.lit(200.0).alias("deviation"), F.lit(0.06).alias("volatility"))
+    s = t("supplier").select(F.col("s_nationkey").alias("c_nationkey"), (1500 + F.col("s_acctbal") / 50).alias("opponent_rating"), F.lit(80.0).alias("opponent_deviation"), (F.col("s_suppkey") % 2).cast("double").alias("score"))
+    return ranking.glicko_update(c.join(s, "c_nationkey").drop("c_nationkey"))

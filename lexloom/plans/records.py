@@ -68,7 +68,7 @@ def level_lookup(t):
     return records.range_lookup(orders.select("o_orderkey", "o_totalprice"), "o_totalprice", steps, "least", "level").select("o_orderkey", "level")
 
 
-@query("SELECT l_orderkey, l_linenumber, max(o_totalprice) AS below FROM lineitem JOIN (SELECT o_totalprice FROM orders WHERE o_orderkey % 50 = 0) ON o_totalprice <= l_extendedprice * 5 WHERE l_orderkey % 20 = 0 GROUP BY ALL")
+@query("WITH s AS (SELECT o_totalprice AS low FROM orders WHERE o_orderkey % 50 = 0) SELECT l_orderkey, l_linenumber, low AS below FROM lineitem ASOF JOIN s ON l_extendedprice * 5 >= low WHERE l_orderkey % 20 = 0")
 def as_of_lookup(t):
     """The same over many thresholds, by one sort of both sides."""
     rows = t("lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 5).alias("v"))
