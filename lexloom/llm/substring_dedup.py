@@ -68,7 +68,7 @@ def _pack(k: int, m: int, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *both], names=["bucket", "blob", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             ids, keys = integers(batch, "doc"), integers(batch, "key")
             for a, b, buf, offsets in blocks(batch, "text", BLOCK_BYTES):
