@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def fingerprint(text: Column) -> Column:
@@ -38,7 +38,7 @@ def closest(overlaps: DataFrame, least: float = 0.5) -> DataFrame:
     return overlaps.where(F.col("overlap") >= least).orderBy(F.desc("overlap"), "version").limit(1)
 
 
-@F.pandas_udf("array<struct<name:string,body:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("name", "string").add("body", "string")))
 def functions_of(text: pd.Series) -> pd.Series:
     """Functions of a source text: ``def name`` to the ``end`` of the same indent."""
     import re

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def line_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Characters in matching blocks of two lines, as a share of the longer; 0 where the lengths differ too much."""
     from difflib import SequenceMatcher

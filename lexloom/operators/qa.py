@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 # Words of the checks' alphabet, placeholders and pairs of punctuation.
 LATIN_WORD = "[A-Za-zÁÉÍÓÚÑÜáéíóúñü]{3,}"
@@ -40,7 +40,7 @@ def unknown_controls(dst: Column, known: list[str]) -> Column:
     return F.array_except(F.regexp_extract_all(dst, F.lit(r"(\\[A-Za-z]+)"), F.lit(1)), F.array(*map(F.lit, known)).cast("array<string>"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching characters of two texts of 8 or more letters and digits; 0 for shorter ones."""
     from difflib import SequenceMatcher
