@@ -11,8 +11,9 @@
    Lists are first answered for their leader alone (the least node), exactly.
 4. Relations of answers. What the leader's answers already say is derived, not
    computed: members that it links are in one class, and from the overlaps of two
-   members with the leader follow bounds of their own overlap. Only pairs of one
-   list in different classes that the bounds leave open are compared, exactly.
+   members with the leader follow bounds of their own overlap. Only members with a
+   partner in another class that the bounds leave open are compared further: those
+   of one leader together, exactly, by what they share.
 
 The links of 3 and 4 connect all that all links connect. Sets travel as arrays of
 64-bit hashes; nodes are 64-bit fingerprints.
@@ -41,8 +42,8 @@ BLOCK_BYTES = 1 << 20
 COUNTERS, PARTS = 1 << 20, 64
 #: Bytes of text for each bucket of the index.
 BUCKET_BYTES = 8 << 20
-#: Members of a list that one task compares with as many others.
-LIST_BLOCK = 2048
+#: Members of a list that one task compares with as many others, and n-grams of them at a time.
+LIST_BLOCK, COLUMNS = 1024, 4096
 
 
 def _sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,19 +167,19 @@ def _lists(percent: int):
     return run
 
 
-def _open_pairs(percent: int):
-    """Pairs of a block, or of two blocks, of a list that are in different classes and that no bound excludes."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _open_members(percent: int):
+    """Members of a list, or of two parts of one, that have a partner in another class which no bound excludes."""
+    schema = pa.schema([("a", pa.int64()), ("node", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        side, node, size, pos, label, known, lead = (table.column(c).to_numpy() for c in ("side", "node", "size", "pos", "label", "known", "lead_size"))
+        names = ("a", "side", "node", "size", "pos", "label", "known")
+        a, side, node, size, pos, label, known = (table.column(c).to_numpy() for c in names)
         order = np.argsort(size, kind="stable")
-        side, node, size, pos, label, known, lead = (x[order] for x in (side, node, size, pos, label, known, lead))
-        out = []
+        side, node, size, pos, label, known = (x[order] for x in (side, node, size, pos, label, known))
+        wanted = np.zeros(len(node), bool)
         for i in range(len(node)):
             # Sorted by size: the rest of the list is skipped from the first set that is too large.
-            to = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
-            j = slice(i + 1, to)
+            j = slice(i + 1, int(np.searchsorted(size, size[i] * 100 // percent, side="right")))
             need = _needed(size[i], size[j], percent)
             ok = (label[j] != label[i]) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need)
             if side[0] >= 0:
@@ -186,15 +187,62 @@ def _open_pairs(percent: int):
             if known[i] >= 0:
                 most = np.minimum(known[i], known[j]) + np.minimum(size[i] - known[i], size[j] - known[j])
                 ok &= (known[j] < 0) | (most >= need)
-            other = node[j][ok]
-            if len(other):
-                out.append(np.stack([np.minimum(node[i], other), np.maximum(node[i], other)]))
-        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table([found[0], found[1]], schema=schema)
+            if ok.any():
+                wanted[i] = True
+                wanted[j] |= ok
+        return pa.table([np.full(int(wanted.sum()), a[0]), node[wanted]], schema=schema)
 
     return run
 
 
+def _links_within(percent: int):
+    """Links between the classes of the members of one leader, or of two parts of them; one for each two classes that meet.
+
+    Members are near the leader and so near each other: what they have in common is
+    found for all of them at once, over the n-grams that at least two of them have.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        side, node, label = (table.column(c).to_numpy() for c in ("side", "node", "label"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
+        size = np.array([len(x) for x in sets])
+        element, count = np.unique(np.concatenate(sets), return_counts=True)
+        element = element[count > 1]
+        row = np.repeat(np.arange(len(sets)), size)
+        at = np.searchsorted(element, np.concatenate(sets))
+        at[at == len(element)] = 0
+        hit = element[at] == np.concatenate(sets) if len(element) else np.zeros(len(row), bool)
+        row, at = row[hit], at[hit]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, len(element), COLUMNS):
+            own = (at >= low) & (at < low + COLUMNS)
+            matrix = np.zeros((len(sets), min(COLUMNS, len(element) - low)), np.float32)
+            matrix[row[own], at[own] - low] = 1
+            common += matrix @ matrix.T  # counts below 2**24: exact
+        linked = np.triu(common >= _needed(size[:, None], size[None, :], percent), 1) & (label[:, None] != label[None, :])
+        if side[0] >= 0:
+            linked &= side[:, None] != side[None, :]
+        x, y = np.nonzero(linked)
+        if len(x):
+            two = np.sort(np.stack([label[x], label[y]]), axis=0)
+            once = np.unique(two, axis=1, return_index=True)[1]
+            x, y = x[once], y[once]
+        return pa.table([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], schema=schema)
+
+    return run
+
+
+def _parted(rows: DataFrame, key: str) -> DataFrame:
+    """A key's rows dealt over parts of about LIST_BLOCK; each part meets each other in a group (key, p, q) of its own."""
+    many = rows.groupBy(key).agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("parts"))
+    rows = rows.join(many, key).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part"))
+    # Where a part meets itself its rows come once; where two parts meet, each with its number as side.
+    return rows.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other"), "side": side}).drop("parts", "part", "other")
+
+
 def _set_arrays(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,17 +320,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     classes = written(components(first.where(links).select("a", "b")), "classes")
 
     labelled = members.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    spread = labelled.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("many")).where("low <> high")
-    answers = first.select("a", F.col("b").alias("node"), F.col("common").alias("known"), F.col("size_a").alias("lead_size"))
-    still = labelled.join(spread.select("list", "many"), "list").join(answers, ["a", "node"], "left")
-    still = still.select("list", "node", "size", "pos", "label", F.coalesce("known", F.lit(-1)).alias("known"), F.coalesce("lead_size", F.lit(-1)).alias("lead_size"), F.ceil(F.col("many") / LIST_BLOCK).cast("int").alias("parts"))
-    # A long list is cut; each of its parts meets each other in a task of its own.
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    still = still.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    still = still.select("list", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("side"), "node", "size", "pos", "label", "known", "lead_size")
-    more = still.groupBy("list", "p", "q").applyInArrow(_open_pairs(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    second = _compared(written(more, "pairs"), sets)
-    linked = written(first.where(links).select("a", "b").union(second.where(links).select("a", "b")), "links")
+    labelled = written(labelled, "labelled")
+    spread = labelled.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    answers = first.select("a", F.col("b").alias("node"), F.col("common").alias("known"))
+    still = labelled.join(spread.select("list"), "list").join(answers, ["a", "node"], "left").withColumn("known", F.coalesce("known", F.lit(-1)))
+    opened = _parted(still, "list").groupBy("list", "p", "q").applyInArrow(_open_members(percent), "a long, node long").distinct()
+    opened = opened.join(labelled.select("node", "label").distinct(), "node").join(sets, "node")
+    more = _parted(written(opened, "open"), "a").groupBy("a", "p", "q").applyInArrow(_links_within(percent), "a long, b long")
+    linked = written(first.where(links).select("a", "b").union(more), "links")
     classes = components(linked)
 
     named = digests.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
@@ -295,3 +340,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
 def op2_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(list_slice(w, i + 1, i + 4), ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 0) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach(a, b) AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+), least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.a = d.doc_id
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, knn_join
+from . import chat_format, decontaminate, jaccard_join, knn_join, substring_dedup
 from .bpe import op7_query
 from .chat_format import op8_query
 from .decontaminate import op4_query
@@ -26,8 +26,11 @@ QUERIES = {
     "op9_licence_scan": op9_query,
     "op10_token_counts": op10_query,
 }
+#: None for the others: SQL can express no training, no tokenizer and no compressor.
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op4_decontamination": decontaminate.ORACLE_SQL,
     "op5_exact_top_k": knn_join.ORACLE_SQL,
+    "op6_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_chat_formatting": chat_format.ORACLE_SQL,
-    "op4_decontamination": decontaminate.ORACLE_SQL,
 }

@@ -216,3 +216,22 @@ def op6_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cut = remove_repeated_passages(docs)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 13), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)
+), least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s
+), hit AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN least USING (s) WHERE doc_id > m)
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d
+), kept AS (
+  SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY words.p) AS text
+  FROM words LEFT JOIN hit ON words.doc_id = hit.doc_id AND words.p = hit.p WHERE hit.p IS NULL GROUP BY words.doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
