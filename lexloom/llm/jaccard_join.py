@@ -2,21 +2,27 @@
 
 1. Every text becomes the set of its hashed n-grams. Texts with one set are one
    node from here on, named by a fingerprint of the set; so exact copies cost
-   nothing further. A sketch of fixed size counts in how many texts each n-gram is.
+   nothing further. A sketch of fixed size counts in how many texts each n-gram is,
+   and each node keeps a profile: how many of its n-grams fall into each of some
+   hash classes. The sum of the lesser counts bounds two sets' overlap from above.
 2. Each set's n-grams are ordered by that count, rarest first; any two sets that
    link share one of the first size - ceil(t * size) + 1. These go to an index,
    dealt by n-gram, with the size of the set and the n-gram's position.
-3. Relations in the index. A list is ordered by size; blocks of it are skipped
-   where no size, or no position within the sizes, can reach the overlap asked for.
-   Lists are first answered for their leader alone (the least node), exactly.
-4. Relations of answers. What the leader's answers already say is derived, not
-   computed: members that it links are in one class, and from the overlaps of two
+3. Relations in the index. A list is ordered by size and falls into runs, as no set
+   links across a gap in size; within a run, blocks are skipped where no size, or no
+   position within the sizes, can reach the overlap asked for. Runs are first
+   answered for their leader alone (the least node), exactly, then for a second
+   leader from those that the first has not reached.
+4. Relations of answers. What the leaders' answers already say is derived, not
+   computed: members that they link are in one class, and from the overlaps of two
    members with the leader follow bounds of their own overlap. Only members with a
-   partner in another class that the bounds leave open are compared further: those
-   of one leader together, exactly, by what they share.
+   partner in another class that neither these bounds nor the profiles exclude are
+   compared further: those of one leader together, exactly, by what they share.
 
 The links of 3 and 4 connect all that all links connect. Sets travel as arrays of
-64-bit hashes; nodes are 64-bit fingerprints.
+64-bit hashes, and only those of pairs that the bounds leave open; a filter of
+bounded size picks their texts where they are read, and a join does where there are
+more of them than the filter may hold. Nodes are 64-bit fingerprints.
 
 Defined results: texts null, or without words, have the empty set, and are
 classes of their own. With fewer than n words the whole sequence is the set.
@@ -44,6 +50,8 @@ COUNTERS, PARTS = 1 << 20, 64
 BUCKET_BYTES = 8 << 20
 #: Members of a list that one task compares with as many others, and n-grams of them at a time.
 LIST_BLOCK, COLUMNS = 1024, 4096
+#: Texts that the filter may hold, at 16 bits each; beyond it the texts are joined.
+FILTER_KEYS = 1 << 24
 
 
 def _sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +79,39 @@ def _nodes(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix((total[bounds[1:]] - total[bounds[:-1]]) + size * np.uint64(0x9E37_79B9_7F4A_7C15)).astype(np.int64)
 
 
+def _profile(grams: np.ndarray) -> bytes:
+    """Counts of a set's n-grams by their low bits, about four to eight for each class."""
+    classes = 1 << max(4, len(grams).bit_length() - 3)
+    counts = np.bincount((grams & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+    if counts.max() > 254:
+        counts[:] = 255  # no bound but the other set's size
+    return counts.astype(np.uint8).tobytes()
+
+
+def _folded(profile: np.ndarray, classes: int) -> np.ndarray:
+    """Profiles, one in each row, over fewer classes."""
+    return profile.reshape(len(profile), -1, classes).sum(axis=1, dtype=np.int64)
+
+
+def _within_profiles(percent: int):
+    """Of rows (a, b, size_a, size_b, profile_a, profile_b) the pairs whose profiles allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [integers(batch, c) for c in ("size_a", "size_b")]
+            need, keep = _needed(*sizes, percent), np.zeros(batch.num_rows, bool)
+            for i, two in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8)[None, :] for v in two)
+                classes = min(x.size, y.size)
+                keep[i] = np.minimum(_folded(x, classes), _folded(y, classes)).sum() >= need[i]
+            kept = pa.array(np.flatnonzero(keep & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], names=["a", "b"])
+
+    return run
+
+
 def _digests(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("profile", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int32)
@@ -83,11 +122,12 @@ def _digests(n: int):
                 bounds = np.searchsorted(text, np.arange(b - a + 1))
                 counts += np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
                 k = b - a
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, k), batch.column(1).slice(a, k), pa.array(np.diff(bounds)), pa.array(_nodes(grams, bounds)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+                profiles = pa.array([_profile(grams[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, k), batch.column(1).slice(a, k), pa.array(np.diff(bounds)), pa.array(_nodes(grams, bounds)), profiles, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
         squeeze = zstandard.ZstdCompressor(level=1)
         made = [squeeze.compress(x.tobytes()) for x in counts.reshape(PARTS, -1)]
         none = [pa.nulls(PARTS, pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([*none, pa.array(range(PARTS), pa.int32()), pa.array(made, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([*none, pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(made, pa.binary())], schema=schema)
 
     return run
 
@@ -132,7 +172,7 @@ def _needed(size_a, size_b, percent: int):
 
 
 def _lists(percent: int):
-    """Pairs of each list's leader with its members, and the members of lists of three or more."""
+    """Pairs of the leader of each list's runs with the members, and the members of runs of three or more."""
     schema = pa.schema([(x, pa.int64()) for x in ("list", "a", "b", "size", "pos")])
 
     def run(table: pa.Table) -> pa.Table:
@@ -142,8 +182,15 @@ def _lists(percent: int):
         gram, node, size, pos = gram[order], node[order], size[order], pos[order]
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
-        gram, node, size, pos = gram[new], node[new], size[new], pos[new]
-        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+        order = np.flatnonzero(new)
+        order = order[np.lexsort((size[order], gram[order]))]
+        gram, node, size, pos = gram[order], node[order], size[order], pos[order]
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (100 * size[:-1] < percent * size[1:])
+        run_no = np.cumsum(new)
+        order = np.lexsort((node, run_no))
+        node, size, pos = node[order], size[order], pos[order]
+        first = np.flatnonzero(new)
         length = np.diff(np.append(first, len(gram)))
         many = np.repeat(length >= 2, length)
         lead = np.repeat(first, length)
@@ -152,7 +199,7 @@ def _lists(percent: int):
         open_ = 1 + np.minimum(size[head] - pos[head], size[at] - pos[at]) - 1
         fits = (100 * np.minimum(size[head], size[at]) >= percent * np.maximum(size[head], size[at])) & (open_ >= _needed(size[head], size[at], percent))
         pairs = np.unique(np.stack([node[head[fits]], node[at[fits]]]), axis=1)
-        # Lists with the same members are one list, at each member's least position.
+        # Runs with the same members are one, at each member's least position.
         name = np.repeat(np.add.reduceat(mix(node.astype(np.uint64)), first), length).astype(np.int64) if len(gram) else node
         own = np.flatnonzero(np.repeat(length >= 3, length))
         order = own[np.lexsort((pos[own], node[own], name[own]))]
@@ -176,6 +223,10 @@ def _open_members(percent: int):
         a, side, node, size, pos, label, known = (table.column(c).to_numpy() for c in names)
         order = np.argsort(size, kind="stable")
         side, node, size, pos, label, known = (x[order] for x in (side, node, size, pos, label, known))
+        raw = table.column("profile").combine_chunks().take(pa.array(order))
+        profiles = [np.frombuffer(x.as_buffer(), np.uint8) for x in raw]
+        classes = np.array([len(x) for x in profiles])
+        levels = {c: (np.flatnonzero(classes == c), np.stack([x for x in profiles if len(x) == c])) for c in np.unique(classes).tolist()}
         wanted = np.zeros(len(node), bool)
         for i in range(len(node)):
             # Sorted by size: the rest of the list is skipped from the first set that is too large.
@@ -187,6 +238,13 @@ def _open_members(percent: int):
             if known[i] >= 0:
                 most = np.minimum(known[i], known[j]) + np.minimum(size[i] - known[i], size[j] - known[j])
                 ok &= (known[j] < 0) | (most >= need)
+            at = np.flatnonzero(ok)
+            for c, (rows, matrix) in levels.items() if len(at) else ():
+                mine = at[classes[at + j.start] == c]
+                if len(mine):
+                    low = min(c, len(profiles[i]))
+                    theirs = _folded(matrix[np.searchsorted(rows, mine + j.start)], low)
+                    ok[mine] = np.minimum(theirs, _folded(profiles[i][None, :], low)).sum(axis=1) >= need[mine]
             if ok.any():
                 wanted[i] = True
                 wanted[j] |= ok
@@ -195,8 +253,27 @@ def _open_members(percent: int):
     return run
 
 
+def _spanning(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between members those that a forest over their labels needs."""
+    root = {}
+
+    def find(v: int) -> int:
+        while (up := root.setdefault(v, v)) != v:
+            root[v] = root[up] if up in root else up
+            v = up
+        return v
+
+    keep = []
+    for i, (p, q) in enumerate(zip(label[x].tolist(), label[y].tolist(), strict=True)):
+        p, q = find(p), find(q)
+        if p != q:
+            root[p] = q
+            keep.append(i)
+    return x[keep], y[keep]
+
+
 def _links_within(percent: int):
-    """Links between the classes of the members of one leader, or of two parts of them; one for each two classes that meet.
+    """Links between the classes of the members of one leader, or of two parts of them: as many as connect the classes that meet.
 
     Members are near the leader and so near each other: what they have in common is
     found for all of them at once, over the n-grams that at least two of them have.
@@ -228,6 +305,7 @@ def _links_within(percent: int):
             two = np.sort(np.stack([label[x], label[y]]), axis=0)
             once = np.unique(two, axis=1, return_index=True)[1]
             x, y = x[once], y[once]
+            x, y = _spanning(x, y, label)
         return pa.table([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], schema=schema)
 
     return run
@@ -243,21 +321,55 @@ def _parted(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other"), "side": side}).drop("parts", "part", "other")
 
 
-def _set_arrays(n: int):
+def _key_filter(keys: DataFrame) -> np.ndarray | None:
+    """Filter of the keys (column row): words of 64 bits, two bits of one word for each key. None if they are too many."""
+    many = keys.count()
+    if many > FILTER_KEYS:
+        return None
+    words = 1 << max(10, (many // 4).bit_length())  # 32 MB at most
+    bits = F.expr("shiftleft(1L, cast(shiftrightunsigned(row, 40) & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned(row, 46) & 63 as int))")
+    made = keys.groupBy(F.col("row").bitwiseAND(F.lit(words - 1)).alias("word")).agg(F.bit_or(bits).alias("bits")).toArrow()
+    out = np.zeros(words, np.int64)
+    out[made.column("word").to_numpy()] = made.column("bits").to_numpy()
+    return out.astype(np.uint64)
+
+
+def _set_arrays(n: int, sent=None):
+    """Sets of the texts whose row the filter (all, without one) lets pass."""
+    _1, _63 = np.uint64(1), np.uint64(63)
+
+    def passing(row: np.ndarray) -> np.ndarray:
+        row = row.astype(np.uint64)
+        bits = (_1 << (row >> np.uint64(40) & _63)) | (_1 << (row >> np.uint64(46) & _63))
+        return sent.value[(row & np.uint64(len(sent.value) - 1)).astype(np.int64)] & bits == bits
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = integers(batch, "node")
+            if sent is not None:
+                batch = batch.filter(pa.array(passing(integers(batch, "row"))))
             for a, b, buf, offsets in blocks(batch, "text", BLOCK_BYTES):
-                w = Words(buf, offsets, lower=True)
-                grams, text = _sets(w, n)
+                grams, text = _sets(Words(buf, offsets, lower=True), n)
                 bounds = np.searchsorted(text, np.arange(b - a + 1))
-                right = np.flatnonzero(_nodes(grams, bounds) == asked[a:b])
-                made = [grams[bounds[i] : bounds[i + 1]].tobytes() for i in right]
-                yield pa.RecordBatch.from_arrays([pa.array(asked[a:b][right]), pa.array(made, pa.binary())], names=["node", "grams"])
+                made = [grams[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_nodes(grams, bounds)), pa.array(made, pa.binary())], names=["row", "made", "grams"])
 
     return run
 
 
+def _fetched(own: DataFrame, nodes: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """node and grams (its set) of the asked nodes, written."""
+    chosen = written(nodes.select("node", "row").join(asked, "node", "left_semi"), "asked")
+    bits = _key_filter(chosen)
+    texts, schema = own.select("row", "text"), "row long, made long, grams binary"
+    if bits is None:
+        sets = texts.join(chosen.select("row"), "row", "left_semi").mapInArrow(_set_arrays(n), schema)
+    else:
+        sets = texts.mapInArrow(_set_arrays(n, own.sparkSession.sparkContext.broadcast(bits)), schema)
+    # Two texts of one row key have different sets, and equal rows the same: one of the right ones is taken.
+    sets = sets.join(chosen, "row").where("made = node").select("node", "grams")
+    return written(sets.dropDuplicates(["node"]), "sets")
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = batch.column(2), batch.column(3)
@@ -297,38 +409,53 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(64, size // BUCKET_BYTES))
 
-    made = written(own.mapInArrow(_digests(n), "doc_id long, row long, size long, node long, part int, counts binary"), "digests")
-    digests = made.where("part is null").select("doc_id", "row", "size", "node")
+    made = written(own.mapInArrow(_digests(n), "doc_id long, row long, size long, node long, profile binary, part int, counts binary"), "digests")
+    digests = made.where("part is null").select("doc_id", "row", "size", "node", "profile")
     summed = made.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_sum_part, "part int, counts binary").collect()  # PARTS rows, 4 MB
     sketch = np.zeros((PARTS, COUNTERS // PARTS), np.int32)
     for r in summed:
         sketch[r.part] = np.frombuffer(r.counts, np.int32)
+    first = F.min(F.struct("row", "size", "profile"))
+    nodes = written(digests.where("size > 0").groupBy("node").agg(first.alias("x")).select("node", "x.*"), "nodes")
 
     index = own.select("text").mapInArrow(_prefixes(n, percent, spark.sparkContext.broadcast(sketch.reshape(-1)), buckets), "bucket long, blob binary")
     found = written(index.groupBy("bucket").applyInArrow(_lists(percent), "list long, a long, b long, size long, pos long"), "lists")
-    pairs = written(found.where("list is null").select("a", "b").distinct(), "pairs")
     members = found.where("list is not null").groupBy("list", "a", F.col("b").alias("node")).agg(F.first("size").alias("size"), F.min("pos").alias("pos"))
     members = written(members, "members")
 
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
-    chosen = digests.where("size > 0").groupBy("node").agg(F.min("row").alias("row")).join(asked, "node")
-    sets = own.join(chosen, "row").select("node", "text").mapInArrow(_set_arrays(n), "node long, grams binary")
-    sets = written(sets.dropDuplicates(["node"]), "sets")
+    def answered(pairs: DataFrame) -> DataFrame:
+        """Exact overlaps of the pairs that sizes and profiles leave open."""
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("profile").alias(f"profile_{c}"))
+        rows = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "profile_a", "profile_b")
+        rows = written(rows.mapInArrow(_within_profiles(percent), "a long, b long"), "pairs")
+        sets = _fetched(own, nodes, rows.select(F.col("a").alias("node")).union(rows.select("b")).distinct(), n)
+        return written(_compared(rows, sets), "overlaps")
+
+    def with_labels(classes: DataFrame) -> DataFrame:
+        rows = members.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        spread = rows.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        return written(rows.join(spread.select("list"), "list", "left_semi"), "labelled")
 
     links = f"100 * common >= {percent} * (size_a + size_b - common)"
-    first = written(_compared(pairs, sets), "overlaps")
-    classes = written(components(first.where(links).select("a", "b")), "classes")
+    first = answered(found.where("list is null").select("a", "b"))
+    linked = first.where(links).select("a", "b")
+    labelled = with_labels(components(linked))
+
+    # The second leader of a run is the least node that is not in the class of the first.
+    lead = labelled.where("node = a").select("list", F.col("label").alias("lead"))
+    rest = labelled.join(lead, "list").where("label <> lead").select("list", "node", "label")
+    second = rest.groupBy("list").agg(F.min(F.struct("node", "label")).alias("x")).select("list", F.col("x.node").alias("a"), F.col("x.label").alias("own"))
+    more = answered(rest.join(second, "list").where("label <> own").select("a", F.col("node").alias("b")))
+    linked = linked.union(more.where(links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    labelled = with_labels(components(linked))
 
-    labelled = members.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    labelled = written(labelled, "labelled")
-    spread = labelled.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     answers = first.select("a", F.col("b").alias("node"), F.col("common").alias("known"))
-    still = labelled.join(spread.select("list"), "list").join(answers, ["a", "node"], "left").withColumn("known", F.coalesce("known", F.lit(-1)))
+    still = labelled.join(answers, ["a", "node"], "left").withColumn("known", F.coalesce("known", F.lit(-1))).join(nodes.select("node", "profile"), "node")
     opened = _parted(still, "list").groupBy("list", "p", "q").applyInArrow(_open_members(percent), "a long, node long").distinct()
-    opened = opened.join(labelled.select("node", "label").distinct(), "node").join(sets, "node")
-    more = _parted(written(opened, "open"), "a").groupBy("a", "p", "q").applyInArrow(_links_within(percent), "a long, b long")
-    linked = written(first.where(links).select("a", "b").union(more), "links")
-    classes = components(linked)
+    opened = written(opened.join(labelled.select("node", "label").distinct(), "node"), "open")
+    sets = _fetched(own, nodes, opened.select("node").distinct(), n)
+    last = _parted(opened, "a").join(sets, "node").groupBy("a", "p", "q").applyInArrow(_links_within(percent), "a long, b long")
+    classes = components(written(linked.union(last), "links"))
 
     named = digests.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = named.where("size > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first_row"))
