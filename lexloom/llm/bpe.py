@@ -1,17 +1,18 @@
 """Byte-level BPE encoding and decoding.
 
-The texts are cut by the tokenizer's pattern into pieces; the distinct pieces of
-the whole corpus are encoded once each, and each document looks its own up.
+The texts are cut by the tokenizer's pattern into pieces. Where a task reads a text,
+it numbers the pieces that it meets for the first time and sends, for each document,
+the numbers of its pieces and the bytes of the new ones; so a task encodes each
+distinct word once, and no text, word or answer is shuffled.
 
 Encoding folds the ranked merges of a distinct piece in Spark higher-order
 functions: an array of its bytes with the ranks of its pairs of neighbours, and in
-each step the pair of the least rank is joined and its two new pairs looked up in
-a literal rank map, until no pair has a rank. Decoding
-concatenates the binary pieces of the ids.
+each step the pair of the least rank is joined and its two new pairs are looked up
+in a literal rank map, until no pair has a rank. Then each document's numbers are replaced by the ids of the pieces.
+Decoding concatenates the binary pieces of the ids.
 
-A document gets the ids of its pieces in two ways. The pieces that occur most are
-broadcast as a table of at most ``FREQUENT`` rows (shorter ones only, so its size
-is bounded); all others reach the documents by a join on the document's key.
+A task forgets its numbers when there are ``NUMBERED`` of them, so its memory is
+bounded; words that come again are then encoded again.
 
 Defined results: null and empty texts have no ids. Pieces of more than
 ``FOLD_BYTES`` bytes, whose fold would take quadratic time, are merged with a heap
@@ -22,16 +23,16 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections import Counter
+import json
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import written
-
-FREQUENT, FREQUENT_BYTES, FOLD_BYTES = 100_000, 32, 40
+NUMBERED, FOLD_BYTES = 300_000, 64
 #: Maps that the literal rank map is dealt over by hash, so that a look-up reads about three entries.
 RANK_MAPS = 1 << 14
 
@@ -42,8 +43,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
     """Literal array of maps from hex pieces to ranks."""
-    import json
-
     maps: list[dict[str, int]] = [{} for _ in range(RANK_MAPS)]
     for piece, rank in ranks.items():
         maps[_class(piece)][piece.hex().upper()] = rank
@@ -51,8 +50,6 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
 
 
 def _class(piece: bytes) -> int:
-    import zlib
-
     return zlib.crc32(piece.hex().upper().encode()) % RANK_MAPS
 
 
@@ -80,11 +77,11 @@ def fold_merges(piece: Column, ranks: Column) -> Column:
     none = F.array().cast("array<int>")
     whole = F.hex(piece)
     n = F.octet_length(piece)
+    # The bytes, two hexadecimal digits each.
     single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(whole, i * 2 + 1, F.lit(2)))
     pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.substring(whole, i * 2 + 1, F.lit(4))))).otherwise(none)
     folded = F.aggregate(F.sequence(F.lit(1), n), F.struct(single.alias("parts"), pairs.alias("pairs")), step, lambda s: s["parts"])
-    # A piece that has a rank is one token, as its merges end in it.
-    return F.coalesce(F.when(rank(whole).isNotNull(), F.array(rank(whole))), F.transform(folded, rank))
+    return F.transform(folded, rank)
 
 
 def _heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -115,121 +112,116 @@ def _heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts if x is not None]
 
 
-def _pieces(pattern: str):
-    import regex
-
-    return regex.compile(pattern).findall
-
+def _lists(flat: np.ndarray, ends: list[int] | np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat, pa.int32()))
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            yield part, part.column(column).to_pylist()
 
+def _numbered(pattern: str, sent, names: list[str], numbered: int):
+    """Columns ``names``, fresh (whether numbers begin again), pieces (the new ones), done (ids of a new one that needs no fold) and numbers."""
 
-def _count_pieces(pattern: str, limit: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = _pieces(pattern), Counter()
+        import regex
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
-
-        for _, texts in _texts(batches, 0):
-            for text in texts:
-                seen.update(find(text))
-            if len(seen) > limit:
-                yield rows()
-                seen.clear()
-        yield rows()
+        find, ranks, known = regex.compile(pattern).findall, sent.value, {}
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                fresh, numbers, ends, pieces, many, done = [], [], [], [], [], []
+                for text in part.column(len(names)).to_pylist():
+                    fresh.append(len(known) > numbered)
+                    if fresh[-1]:
+                        known = {}
+                    found, new = find(text or ""), []
+                    for x in found:
+                        if x not in known:
+                            known[x] = len(known)
+                            new.append(x)
+                    numbers += map(known.__getitem__, found)
+                    ends.append(len(numbers))
+                    for x in new:
+                        own = x.encode()
+                        at = ranks.get(own)  # a piece that has a rank is one token, as its merges end in it
+                        ready = [at] if at is not None else _heap_merge(own, ranks) if len(own) > FOLD_BYTES else None
+                        done.append(ready)
+                        pieces.append(x if ready is None else "")
+                    many.append(len(pieces))
+                of_rows = pa.array(np.append(0, many), pa.int32())
+                columns = [pa.array(fresh, pa.bool_()), pa.ListArray.from_arrays(of_rows, pa.array(pieces, pa.string())), pa.ListArray.from_arrays(of_rows, pa.array(done, pa.list_(pa.int32()))), _lists(np.array(numbers, np.int32), ends)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *columns], names=[*names, "fresh", "pieces", "done", "numbers"])
 
     return run
 
 
-def _rare_pieces(pattern: str, frequent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = _pieces(pattern), frequent.value.keys()
-        for part, texts in _texts(batches, 1):
-            keys, out = [], []
-            for key, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                own = {x for x in find(text) if x not in known}
-                keys += [key] * len(own)
-                out += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["key", "piece"])
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """values[starts[i] : starts[i] + lengths[i]], one after another."""
+    if not len(lengths):
+        return values[:0]
+    shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    return values[shift + np.arange(len(shift))]
 
-    return run
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and how many each row has."""
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
-def _look_up(pattern: str, frequent, names: list[str]):
-    import itertools
+
+def _put_together(names: list[str]):
+    """Columns ``names`` and ids: each document's numbers replaced by the ids of the pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = _pieces(pattern), frequent.value
-        at = {x: i for i, x in enumerate([*names, "text_", "rare"])}
-        for part, texts in _texts(batches, at["text_"]):
-            ids, ends = [], [0]
-            for text, rare in zip(texts, part.column(at["rare"]).to_pylist(), strict=True):
-                table = known | {x["piece"]: x["ids"] for x in rare} if rare and len(rare) > 2000 else known
-                if rare and table is known:
-                    own = {x["piece"]: x["ids"] for x in rare}
-                    ids += itertools.chain.from_iterable([known[x] if x in known else own[x] for x in find(text)])
-                else:
-                    ids += itertools.chain.from_iterable(map(table.__getitem__, find(text)))
-                ends.append(len(ids))
-            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], made], names=[*names, "ids"])
+        used = count = 0  # of the table of ids, and of the pieces in it
+        values, starts, lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            at = {x: i for i, x in enumerate(batch.schema.names)}
+            made = []
+            begins = np.flatnonzero(batch.column(at["fresh"]).to_numpy(zero_copy_only=False))
+            cuts = sorted({0, batch.num_rows, *begins.tolist(), *range(0, batch.num_rows, 256)})
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(low, high - low)
+                if part.column(at["fresh"])[0].as_py():
+                    used = count = 0
+                ids, own = _flat(part.column(at["encoded"]).flatten())
+                while used + len(ids) > len(values):
+                    values = np.append(values, np.zeros_like(values))
+                while count + len(own) > len(starts):
+                    starts, lengths = np.append(starts, np.zeros_like(starts)), np.append(lengths, np.zeros_like(lengths))
+                values[used : used + len(ids)] = ids
+                starts[count : count + len(own)] = used + np.cumsum(own) - own
+                lengths[count : count + len(own)] = own
+                used, count = used + len(ids), count + len(own)
+                numbers, many = _flat(part.column(at["numbers"]))
+                total = np.append(0, np.cumsum(lengths[numbers]))
+                made.append(_lists(_gathered(values, starts[numbers], lengths[numbers]), total[np.cumsum(many)]))
+            ids = pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], ids], names=[*names, "ids"])
 
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
-    """Columns of ``docs`` and ``ids``, the array of token ids of the text."""
-    spark = docs.sparkSession
-    plain = F.coalesce(F.col(text), F.lit(""))
-    counts = docs.select(plain.alias("text")).mapInArrow(_count_pieces(pattern), "piece string, n long")
-    counts = counts.groupBy("piece").agg(F.sum("n").alias("n"))
-    short = F.octet_length("piece") <= FOLD_BYTES
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_text: bool = True, numbered: int = NUMBERED) -> DataFrame:
+    """Columns of ``docs`` (without the text, if that is not to be kept) and ``ids``, the array of token ids of the text."""
+    kept = [c for c in docs.columns if keep_text or c != text]
+    names = [f"c{i}" for i in range(len(kept))]
+    plain = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(kept, names, strict=True)], F.col(f"`{text}`").alias("text_"))
+    schema = "".join(f"{c} {kind}, " for c, kind in plain.dtypes[: len(names)])
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    met = plain.mapInArrow(_numbered(pattern, sent, names, numbered), schema + "fresh boolean, pieces array<string>, done array<array<int>>, numbers array<int>")
     literal = rank_map(ranks)
-
-    def long_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [_heap_merge(x.encode(), ranks) if len(x.encode()) > FOLD_BYTES else None for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.int32()))], names=["piece", "n", "long_ids"])
-
-    split = counts.mapInArrow(long_ids, "piece string, n long, long_ids array<int>")
-    encoded = written(split.select("piece", "n", F.when(short, fold_merges(F.col("piece"), literal)).otherwise(F.col("long_ids")).alias("ids")), "bpe-pieces")
-
-    brief = encoded.where(F.octet_length("piece") <= FREQUENT_BYTES).orderBy(F.desc("n"), "piece").limit(FREQUENT)
-    table = {r.piece: tuple(r.ids) for r in brief.select("piece", "ids").toLocalIterator()}
-    frequent = spark.sparkContext.broadcast(table)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, names, strict=True)], plain.alias("text_"), F.xxhash64(plain).alias("key"))
-    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes[: len(names)]) + ", ids array<int>"
-    if encoded.count() <= len(table):
-        rows = rows.withColumn("rare", F.lit(None).cast("array<struct<piece:string,ids:array<int>>>"))
-    else:
-        asked = docs.select(F.xxhash64(plain).alias("key"), plain.alias("text")).mapInArrow(_rare_pieces(pattern, frequent), "key long, piece string").distinct()
-        rare = asked.join(encoded.select("piece", "ids"), "piece").groupBy("key").agg(F.collect_list(F.struct("piece", "ids")).alias("rare"))
-        rows = rows.join(rare, "key", "left")
-    made = rows.select(*names, "text_", "rare").mapInArrow(_look_up(pattern, frequent, names), schema)
-    return made.select(*[F.col(x).alias(c) for c, x in zip(docs.columns, names, strict=True)], "ids")
+    encoded = F.zip_with("pieces", "done", lambda piece, done: F.coalesce(done, fold_merges(piece, literal)))
+    ready = met.select(*names, "fresh", encoded.alias("encoded"), "numbers")
+    made = ready.mapInArrow(_put_together(names), schema + "ids array<int>")
+    return made.toDF(*kept, "ids")
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Columns of ``tokens`` and ``decoded``, the bytes of its column ``ids``; null ids decode to no bytes."""
-    sent = tokens.sparkSession.sparkContext.broadcast({v: k for k, v in ranks.items()})
-    names = [f"c{i}" for i in range(len(tokens.columns))]
-    at = tokens.columns.index("ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = sent.value.__getitem__
-        for part, ids in _texts(batches, at):
-            made = [b"".join(map(piece, x or ())) for x in ids]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=[*names, "decoded"])
-
-    plain = tokens.toDF(*names)
-    made = plain.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in plain.dtypes) + ", decoded binary")
-    return made.toDF(*tokens.columns, "decoded")
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.hex()
+    literal = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+    # Spark joins strings only, so the pieces are joined in hexadecimal digits.
+    joined = F.array_join(F.transform("ids", lambda i: F.get(literal, i)), "")
+    return tokens.select("*", F.unhex(F.coalesce(joined, F.lit(""))).alias("decoded"))
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
@@ -237,7 +229,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    back = decode(encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks)
+    back = decode(encode(docs, ranks, public_tokenizers.PATTERN, keep_text=False), ranks)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select(*[c for c in docs.columns if c != "text"], F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
