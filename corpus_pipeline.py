@@ -24,7 +24,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keep one document, the least doc_id, of each class of similarity 0.8 over five-word shingles."""
     kept = jaccard_join.near_duplicates(docs, n=5, percent=80).where("first")
     once = kept.groupBy("row").count()
-    rows = docs.withColumn("row_key_", jaccard_join.row_key()).join(once.select("row"), F.col("row_key_") == F.col("row"), "left_semi")
+    rows = docs.withColumn("row_key_", jaccard_join.row_key()).join(once.select(F.col("row").alias("kept_row_")), F.col("row_key_") == F.col("kept_row_"), "left_semi")
     # Equal rows share a key; only where there are such must they meet.
     if not once.where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["row_key_"])
@@ -33,8 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut windows of 13 words that an earlier document has; n_chars follows the text."""
-    cut = substring_dedup.remove_repeated_passages(docs).withColumn("changed", F.col("n_removed") > 0)
-    cut = cut.withColumns({"text": F.when(F.col("changed"), F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(F.col("changed"), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))})
+    cut = substring_dedup.remove_repeated_passages(docs)
+    changed = F.col("n_removed") > 0
+    cut = cut.withColumns({"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))})
     return cut.select(docs.columns)
 
 

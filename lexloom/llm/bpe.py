@@ -16,7 +16,8 @@ bounded; words that come again are then encoded again.
 
 Defined results: null and empty texts have no ids. Pieces of more than
 ``FOLD_BYTES`` bytes, whose fold would take quadratic time, are merged with a heap
-in Python instead, by the same ranks. Repeated rows are encoded alike.
+in Python instead, by the same ranks. Repeated rows are encoded alike. Columns of the
+input that are named like a result's are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-NUMBERED, FOLD_BYTES = 300_000, 64
+NUMBERED, FOLD_BYTES = 200_000, 64
 #: Maps that the literal rank map is dealt over by hash, so that a look-up reads about three entries.
 RANK_MAPS = 1 << 14
 
@@ -148,6 +149,8 @@ def _numbered(pattern: str, sent, names: list[str], numbered: int):
                 of_rows = pa.array(np.append(0, many), pa.int32())
                 columns = [pa.array(fresh, pa.bool_()), pa.ListArray.from_arrays(of_rows, pa.array(pieces, pa.string())), pa.ListArray.from_arrays(of_rows, pa.array(done, pa.list_(pa.int32()))), _lists(np.array(numbers, np.int32), ends)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *columns], names=[*names, "fresh", "pieces", "done", "numbers"])
+        known.clear()
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
     return run
 
@@ -173,7 +176,6 @@ def _put_together(names: list[str]):
         values, starts, lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         for batch in batches:
             at = {x: i for i, x in enumerate(batch.schema.names)}
-            made = []
             begins = np.flatnonzero(batch.column(at["fresh"]).to_numpy(zero_copy_only=False))
             cuts = sorted({0, batch.num_rows, *begins.tolist(), *range(0, batch.num_rows, 256)})
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
@@ -191,15 +193,17 @@ def _put_together(names: list[str]):
                 used, count = used + len(ids), count + len(own)
                 numbers, many = _flat(part.column(at["numbers"]))
                 total = np.append(0, np.cumsum(lengths[numbers]))
-                made.append(_lists(_gathered(values, starts[numbers], lengths[numbers]), total[np.cumsum(many)]))
-            ids = pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], ids], names=[*names, "ids"])
+                ids = _lists(_gathered(values, starts[numbers], lengths[numbers]), total[np.cumsum(many)])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], ids], names=[*names, "ids"])
+        del values, starts, lengths
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_text: bool = True, numbered: int = NUMBERED) -> DataFrame:
     """Columns of ``docs`` (without the text, if that is not to be kept) and ``ids``, the array of token ids of the text."""
+    docs = docs.drop("ids")
     kept = [c for c in docs.columns if keep_text or c != text]
     names = [f"c{i}" for i in range(len(kept))]
     plain = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(kept, names, strict=True)], F.col(f"`{text}`").alias("text_"))
@@ -215,6 +219,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Columns of ``tokens`` and ``decoded``, the bytes of its column ``ids``; null ids decode to no bytes."""
+    tokens = tokens.drop("decoded")
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()

@@ -18,7 +18,8 @@ otherwise.
 Defined results: null and empty texts have no words and are clean. Items null, or
 without words, or with a null item_id take no part. Rows that repeat a doc_id with
 the same text get the same figures; with other texts, each its own. Rows with a
-null doc_id are judged as others are.
+null doc_id are judged as others are. Columns of the documents that are named like
+a result's are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ def item_windows(benchmark: DataFrame, n: int) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Columns of ``docs`` and n_words, n_hit (words inside an occurring window) and items (sorted ids, as strings)."""
+    docs = docs.drop("n_words", "n_hit", "items")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
     found = docs.select(F.xxhash64("doc_id", "text").alias("key"), words(F.col("text")).alias("w"))
     windows = item_windows(benchmark, n).groupBy("win").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
@@ -80,16 +83,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
         probe = probe.select("key", "items", start.alias("start"), (start + F.size("win")).alias("stop"))
         hits = probe if hits is None else hits.unionByName(probe)
     if hits is None:
-        return docs.select(*docs.columns, F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        return docs.select(*kept, F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     # A document's hits number as its words at most; equal spans are merged first.
     spans = hits.groupBy("key", "start").agg(F.max("stop").alias("stop"), F.flatten(F.collect_set("items")).alias("items"))
     spans = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
     step = lambda s, x: F.struct((s["n"] + F.greatest(x["stop"] - F.greatest(x["start"], s["to"]), F.lit(0))).alias("n"), F.greatest(s["to"], x["stop"]).alias("to"))
-    spans = spans.select(F.col("key").alias("hit_key"), F.aggregate("spans", zero, step, lambda s: s["n"]).alias("n_hit"), F.col("items").alias("items"))
-    counted = docs.select(*docs.columns, F.size(words(F.col("text"))).cast("long").alias("n_words"), F.xxhash64("doc_id", "text").alias("own_key"))
-    joined = counted.join(spans, F.col("own_key") == F.col("hit_key"), "left")
-    return joined.select(*docs.columns, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    spans = spans.select(F.col("key").alias("hit_key_"), F.aggregate("spans", zero, step, lambda s: s["n"]).alias("n_hit"), F.col("items").alias("items"))
+    counted = docs.select(*kept, F.size(words(F.col("text"))).cast("long").alias("n_words"), F.xxhash64("doc_id", "text").alias("own_key_"))
+    joined = counted.join(spans, F.col("own_key_") == F.col("hit_key_"), "left")
+    return joined.select(*kept, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

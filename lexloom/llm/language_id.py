@@ -9,7 +9,8 @@ is true and, for a caller that asks for it, the language becomes ``und``.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0.
 Rows with a null lang teach nothing. Without any training text all is ``und``.
-Ties go to the language first in code-point order. No row is dropped.
+Ties go to the language first in code-point order. No row is dropped. Columns of
+the input that are named like a result's are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ def train_dictionaries(docs: DataFrame, learn_from: Column | None = None, sample
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.0, reject_as_und: bool = False) -> DataFrame:
     """All columns of ``docs`` and ``lang_pred``, ``score`` and ``rejected``."""
+    docs = docs.drop("lang_pred", "score", "rejected")
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
     sent = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))

@@ -8,7 +8,8 @@ weights are averaged. Scoring reads every text whole, once, without a shuffle.
 Defined results: null and empty texts are scored by the bias alone. Labels null,
 or of documents that are not there, teach nothing; several labels of one doc_id
 count as their mean, 0.5 or more as good. Without any label the score is 0.5.
-Rows are never dropped; repeated rows are scored alike.
+Rows are never dropped; repeated rows are scored alike. Columns of the
+input that are named like a result's are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -64,6 +65,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn_from: Column | None
 
 def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """All columns of ``docs`` and ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5)."""
+    docs = docs.drop("score", "predicted")
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]

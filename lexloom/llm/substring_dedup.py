@@ -12,8 +12,8 @@ that a third of all documents share reaches its bucket once per block.
 
 Defined results: null and empty texts have no words and lose none. Rows with a
 null doc_id lose nothing and make nobody else lose anything. Rows that repeat a
-doc_id count as one document: none is earlier than the other. Further columns
-pass through.
+doc_id count as one document: none is earlier than the other. Columns of the input
+that are named like a result's are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -191,6 +191,7 @@ def _cut(columns: list[str]):
 
 def remove_repeated_passages(docs: DataFrame, k: int = 13, minimiser_words: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Columns of ``docs`` and ``kept_text`` (kept words, one space between), ``n_words``, ``n_removed``."""
+    docs = docs.drop("kept_text", "n_words", "n_removed")
     # Only where a doc_id repeats must its rows be told apart, by their texts.
     repeats = docs.groupBy(F.col(doc_id).cast("long").alias("doc")).count().where("count > 1 and doc is not null")
     key = F.lit(0).cast("long") if repeats.isEmpty() else F.xxhash64(text)

@@ -9,7 +9,8 @@ other change could change the count.
 
 Defined results: null counts as the empty text, of 0 bytes and 0 tokens. Repeated
 rows and texts are encoded once and each row is returned. Rows of the cache that
-repeat a key are equal, so one of them is taken.
+repeat a key are equal, so one of them is taken. Columns of the input that are named
+like a result's are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -73,6 +74,7 @@ def _count(name: str, content: bytes):
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataFrame:
     """Columns of ``docs`` and n_bytes and n_tokens. Appends to the cache what it lacks."""
+    docs = docs.drop("n_bytes", "n_tokens")
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
     content = Path(tokenizer_path).read_bytes()  # on the driver; the tasks get the bytes
@@ -85,10 +87,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     misses = distinct.join(_cached(spark, cache_path, version), "digest", "left_anti")
     counted = misses.select("digest", "text").mapInArrow(_count(tokenizer_path, content), "digest binary, n_tokens long")
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    known = _cached(spark, cache_path, version)
-    rows = docs.withColumns({"own_digest": digest, "n_bytes": F.octet_length(text).cast("long")})
-    joined = rows.join(known, F.col("own_digest") == F.col("digest"), "left")
-    return joined.select(*docs.columns, "n_bytes", "n_tokens")
+    known = _cached(spark, cache_path, version).withColumnRenamed("digest", "known_digest_")
+    rows = docs.withColumns({"own_digest_": digest, "n_bytes": F.octet_length(text).cast("long")})
+    joined = rows.join(known, F.col("own_digest_") == F.col("known_digest_"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "n_bytes", "n_tokens")
 
 
 def _cached(spark: SparkSession, path: str, version: str) -> DataFrame:
