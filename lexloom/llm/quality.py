@@ -24,7 +24,7 @@ from .ngram_model import SLOTS, Ftrl, examples, scores, sigmoid
 from .words import Words, blocks, integers
 
 TRAIN_ROWS, SHARDS, EPOCHS = 8192, 4, 4
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def _train(epochs: int):

@@ -27,7 +27,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 #: Bytes that are hashed at a time; bounds the memory of the per-byte arrays.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
