@@ -131,6 +131,11 @@ def test_range_lookup_and_as_of_agree(spark):
     assert {r.id: r.level for r in records.as_of(rows, "v", steps, "low", "level", buckets=4).collect()} == want
 
 
+def test_pairs_within_a_group(spark):
+    df = spark.createDataFrame([("x", 1), ("x", 2), ("x", 3), ("y", 4)], "team string, id int")
+    assert sorted((r.team, r.a, r.b) for r in ranking.pairs_within(df, ["team"], "id").collect()) == [("x", 1, 2), ("x", 1, 3), ("x", 2, 3)]
+
+
 def test_trees(spark):
     nodes = spark.createDataFrame([(1, None, 1, "a"), (2, 1, 2, None), (3, 2, 1, None), (4, 1, 1, "d")], "id int, parent_id int, ord int, v string")
     order = [r.id for r in trees.walk_down(nodes).orderBy("path").collect()]
