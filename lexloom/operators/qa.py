@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from heapq import heappop, heappush
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -40,18 +43,117 @@ def unknown_controls(dst: Column, known: list[str]) -> Column:
     return F.array_except(F.regexp_extract_all(dst, F.lit(r"(\\[A-Za-z]+)"), F.lit(1)), F.array(*map(F.lit, known)).cast("array<string>"))
 
 
+def _letters(x: str | None) -> str:
+    return "".join(c for c in (x or "").lower() if c.isalnum())
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching characters of two texts of 8 or more letters and digits; 0 for shorter ones."""
     from difflib import SequenceMatcher
 
     def one(x: str | None, y: str | None) -> float:
-        p, q = ("".join(c for c in (t or "").lower() if c.isalnum()) for t in (x, y))
+        p, q = _letters(x), _letters(y)
         return SequenceMatcher(None, p, q, autojunk=False).ratio() if min(len(p), len(q)) >= 8 else 0.0
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with a bit for each character of a."""
+    at, most = 0, min(len(a), len(b))
+    while at < most and a[at] == b[at]:
+        at += 1
+    end = 0
+    while end < most - at and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[at : len(a) - end], b[at : len(b) - end]
+    places: dict[str, bytearray] = {}
+    for i, c in enumerate(a):
+        places.setdefault(c, bytearray(len(a) // 8 + 1))[i >> 3] |= 1 << (i & 7)
+    masks = {c: int.from_bytes(x, "little") for c, x in places.items()}
+    full = open_ = (1 << len(a)) - 1
+    for c in b:
+        hit = open_ & masks.get(c, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+    return at + end + len(a) - open_.bit_count()
+
+
+def _longest_block(a: str, b: str) -> tuple[int, int, int]:
+    """Longest common block as SequenceMatcher finds it, first in a, then in b; by a suffix automaton of b."""
+    if a == b:
+        return 0, 0, len(a)
+    # Steps, suffix link, length and first end of each state.
+    steps: list[dict[str, int]] = [{}]
+    link, size, first = [-1], [0], [-1]
+    last = 0
+    for i, c in enumerate(b):
+        new, p = len(steps), last
+        steps.append({}), size.append(size[last] + 1), first.append(i), link.append(0)
+        while p >= 0 and c not in steps[p]:
+            steps[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = steps[p][c]
+            if size[p] + 1 == size[q]:
+                link[new] = q
+            else:
+                copy = len(steps)
+                steps.append(dict(steps[q])), size.append(size[p] + 1), first.append(first[q]), link.append(link[q])
+                while p >= 0 and steps[p].get(c) == q:
+                    steps[p][c] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        last = new
+    best, at, n = (0, 0, 0), 0, 0
+    for i, c in enumerate(a):
+        while at and c not in steps[at]:
+            at = link[at]
+            n = size[at]
+        if c in steps[at]:
+            at = steps[at][c]
+            n += 1
+            if n > best[2]:
+                best = (i - n + 1, first[at] - n + 1, n)
+    return best
+
+
+def ratio_at_least(a: str, b: str, least: float) -> bool:
+    """Whether SequenceMatcher's ratio of the whole texts is ``least`` or more; only bounds that can't change that cut work short."""
+    total = len(a) + len(b)
+    fits = lambda n: 2.0 * n / total >= least if total else 1.0 >= least
+    if not fits(min(len(a), len(b))):
+        return False
+    if a == b:
+        return fits(len(a))
+    if not fits((Counter(a) & Counter(b)).total()) or not fits(_common(a, b)):
+        return False
+    matched, open_, parts = 0, min(len(a), len(b)), [(-min(len(a), len(b)), 0, len(a), 0, len(b))]
+    while not fits(matched):
+        if not parts or not fits(matched + open_):
+            return False
+        most, i0, i1, j0, j1 = heappop(parts)
+        open_ += most
+        i, j, n = _longest_block(a[i0:i1], b[j0:j1])
+        matched += n
+        for part in ((i0, i0 + i, j0, j0 + j), (i0 + i + n, i1, j0 + j + n, j1)) if n else ():
+            if k := min(part[1] - part[0], part[3] - part[2]):
+                heappush(parts, (-k, *part))
+                open_ += k
+    return True
+
+
+def nearly_same(src: Column, dst: Column, least: float) -> Column:
+    """Whether the ratio of matching characters (``sequence_ratio``) is ``least`` or more, for whole texts of any length."""
+
+    @F.pandas_udf(T.BooleanType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        both = ((_letters(x), _letters(y)) for x, y in zip(a, b))
+        return pd.Series([ratio_at_least(p, q, least) if min(len(p), len(q)) >= 8 else 0.0 >= least for p, q in both], dtype=bool)
+
+    return run(src, dst)
+
+
 def checks(white: list[str] | None = None, known_controls: list[str] | None = None) -> dict[str, Column]:
     """Detail of each check of (src, dst), null where there is nothing to report."""
     src, dst = F.col("src"), F.col("dst")

@@ -156,9 +156,8 @@ def qa_report(t):
 
 @query(None)
 def near_echo(t):
-    """Translations that are nearly their sources, by the ratio of matching characters."""
-    rows = _turns(t).withColumn("ratio", qa.sequence_ratio(F.substring("src", 1, 400), F.substring("dst", 1, 400)))
-    return rows.select("conv_id", "turn", (F.col("ratio") >= 0.92).alias("echo"))
+    """Translations that are nearly their sources, by the ratio of matching characters of the whole texts."""
+    return _turns(t).select("conv_id", "turn", qa.nearly_same(F.col("src"), F.col("dst"), 0.92).alias("echo"))
 
 
 @query("SELECT coalesce(a.p_name, b.p_name) AS src, CASE WHEN a.p_name IS NULL THEN 'edited_only' ELSE 'hit' END AS kind, coalesce(b.dst, a.dst) AS dst, b.p_name IS NOT NULL AS edited FROM (SELECT p_name, min(p_brand) AS dst FROM part WHERE p_partkey % 3 < 2 GROUP BY p_name) a FULL JOIN (SELECT p_name, max(p_type) AS dst FROM part WHERE p_partkey % 3 > 0 AND p_size < 25 GROUP BY p_name) b ON a.p_name = b.p_name")

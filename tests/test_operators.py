@@ -172,3 +172,27 @@ def test_stream_state_survives_batches(spark, tmp_path):
     stream = state.event_stream(spark, str(tmp_path / "t"))
     made = state.latest(state.run_to_end(state.step_counter(stream, "k", "v", steps=4), "steps", "update"), "k", "events")
     assert {(r.k, r.events, r.fired) for r in made.collect()} == {(0, 15, 3), (1, 15, 3)}
+
+
+def test_near_echo_reads_whole_texts(spark):
+    """Pairs that agree for 400 characters and differ later, and the other way round."""
+    import random
+    from difflib import SequenceMatcher
+
+    from lexloom.plans import corpus
+
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    head, tails = text(450), (text(3000), text(3000))
+    rows = [(1, head + tails[0], head + tails[1]), (2, text(450) + tails[0], text(450) + tails[0] * 2), (3, text(100) + tails[0], text(100) + tails[0]), (4, "x" * 7, "x" * 7), (5, None, head)]
+    talk = [(i, k, x) for i, *both in rows for k, x in enumerate(both)]
+    tables = {"conversations": spark.createDataFrame(talk, "conv_id int, turn int, text string")}
+    plan = getattr(corpus.near_echo, "__wrapped__", corpus.near_echo)
+    assert {r.conv_id: r.echo for r in plan(tables.get).where("turn = 0").collect()} == {1: False, 2: False, 3: True, 4: False, 5: False}
+    for _ in range(400):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 40)))
+        b = "".join(c for c in a if rng.random() > 0.1) + "".join(rng.choice("abc") for _ in range(rng.randrange(4)))
+        own = SequenceMatcher(None, a, b, autojunk=False)
+        block = own.find_longest_match(0, len(a), 0, len(b))
+        assert qa._longest_block(a, b)[2] == block.size and (not block.size or qa._longest_block(a, b) == tuple(block))
+        assert all(qa.ratio_at_least(a, b, x) == (own.ratio() >= x) for x in (0.5, 0.8, 0.92, own.ratio()))
