@@ -277,6 +277,17 @@ def test_licences(spark):
     assert licences.scan_licences(docs.limit(0), *licences.train_licences(docs.limit(0))).isEmpty()
 
 
+def test_licences_of_wrapped_and_buried_notices(spark):
+    rng = random.Random(12)
+    bsd = "Copyright (c) 2001 X\n\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n"
+    gpl = prose(rng, 30) + "\n\nThis program is free software: you can redistribute it\nand/or modify it under the terms of the GNU General\nPublic License as published by the Free Software\nFoundation\n\n" + prose(rng, 30)
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    rows = corpus(9) + [(90, bsd), (91, gpl), (92, prose(rng, 3000) + " " + mit + " " + prose(rng, 3000)), (93, prose(rng, 2000) + " Released under the MIT License. " + prose(rng, 2000)), (94, LONG)]
+    docs = table(spark, rows)
+    made = {r.doc_id: [(x.paragraph, x.family) for x in r.licences] for r in licences.scan_licences(docs, *licences.train_licences(docs)).collect() if r.licences}
+    assert made == {90: [(1, "bsd")], 91: [(1, "gpl")], 92: [(0, "mit")], 93: [(0, "mit")]}
+
+
 def test_empty_documents(spark):
     none = table(spark, [])
     assert jaccard_join.near_duplicates(none).isEmpty()
