@@ -1,14 +1,14 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary, made of texts of a bounded
-sample. Case is folded. A text is cut into pieces of ``PIECE`` bytes (all of it, to its end), each
+Each language has a raw-content zstandard dictionary, made of pieces from anywhere in
+the whole texts of a bounded sample. Case is folded. A text is cut into pieces of ``PIECE`` bytes (all of it, to its end), each
 piece is encoded with each dictionary, and the language of the smallest total
 wins. ``score`` is the margin to the second smallest, as 0.5 to 1 by the bytes
 saved for each byte of text. A margin under ``min_margin`` rejects: ``rejected``
 is true and, for a caller that asks for it, the language becomes ``und``.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0.
-Rows with a null lang teach nothing. Without any training text all is ``und``.
+Rows with a null lang teach nothing. More than ``MAX_LANGUAGES`` languages are an error. Without any training text all is ``und``.
 Ties go to the language first in code-point order. No row is dropped. Columns of
 the input that are named like a result's are replaced; others pass through.
 """
@@ -24,23 +24,40 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .quality import crc_class
 
-#: Texts sampled for each language, bytes taken of each, languages at most.
-SAMPLE_TEXTS, SAMPLE_BYTES, MAX_LANGUAGES = 512, 512, 512
+#: Texts sampled for each language, pieces taken of each and their bytes, languages at most.
+SAMPLE_TEXTS, SAMPLE_PIECES, PIECE_BYTES, MAX_LANGUAGES = 512, 4, 128, 512
 PIECE, LEVEL = 1024, 6
 
 
-def train_dictionaries(docs: DataFrame, learn_from: Column | None = None, sample_texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
-    """One dictionary for each language, of at most ``sample_texts`` texts."""
+def _pieces(pieces: int, size: int) -> Column:
+    """Of the bytes ``raw``: one piece from a hash-chosen place of each of so many equal parts, all of it where that is no more."""
+    part = F.floor(F.octet_length("raw") / pieces).cast("int")
+    place = [F.pmod(F.xxhash64(F.lit(f"piece {k}"), "order"), part - size + 1).cast("int") for k in range(pieces)]
+    cut = F.array(*[F.col("raw").substr(part * k + at + 1, F.lit(size)) for k, at in enumerate(place)])
+    return F.when(F.octet_length("raw") <= pieces * size, F.array("raw")).otherwise(cut)
+
+
+def train_dictionaries(docs: DataFrame, learn_from: Column | None = None, sample_texts: int = SAMPLE_TEXTS, sample_pieces: int = SAMPLE_PIECES, piece_bytes: int = PIECE_BYTES) -> dict[str, bytes]:
+    """One dictionary for each language, of at most ``sample_texts`` texts.
+
+    Of each text there are ``sample_pieces`` pieces of ``piece_bytes`` bytes from
+    hash-chosen places of the whole text, one in each of so many equal parts; a text of
+    no more bytes is taken whole. So a language has at most sample_texts *
+    sample_pieces * piece_bytes bytes (256 KiB by default). A ValueError tells of more
+    than ``MAX_LANGUAGES`` languages.
+    """
     known = docs.where("doc_id is not null and text is not null and lang is not null")
     if learn_from is not None:
         known = known.where(learn_from)
+    if known.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages (MAX_LANGUAGES) to learn")
     # The row of the smallest hash in each hash class: partial aggregates, no sort of a language's rows.
     classes = known.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(sample_texts)).alias("class"))
     chosen = classes.agg(F.min(F.struct(F.xxhash64(F.lit("order"), "doc_id").alias("order"), "doc_id")).alias("x"))
-    chosen = chosen.select("lang", "x.doc_id", "x.order").limit(sample_texts * MAX_LANGUAGES)
-    texts = known.join(F.broadcast(chosen), ["lang", "doc_id"])
-    texts = texts.select("lang", "order", F.encode(F.lower("text"), "utf-8").substr(1, SAMPLE_BYTES).alias("piece"))
-    rows = texts.groupBy("lang").agg(F.sort_array(F.collect_set(F.struct("order", "piece"))).alias("pieces")).toPandas()
+    texts = known.join(F.broadcast(chosen.select("lang", "x.doc_id", "x.order")), ["lang", "doc_id"])
+    texts = texts.select("lang", "order", F.encode(F.lower("text"), "utf-8").alias("raw"))
+    texts = texts.select("lang", "order", F.posexplode(_pieces(sample_pieces, piece_bytes)).alias("place", "piece"))
+    rows = texts.groupBy("lang").agg(F.sort_array(F.collect_set(F.struct("order", "place", "piece"))).alias("pieces")).toPandas()
     return {r.lang: b"\n".join(bytes(x["piece"]) for x in r.pieces) for r in rows.sort_values("lang").itertuples()}
 
 

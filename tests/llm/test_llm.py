@@ -266,6 +266,27 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.identify(docs, {}).collect()} == {"und"}
 
 
+def test_language_of_texts_that_open_alike(spark):
+    """A header of more bytes than a text's share of the dictionary, before words of the language."""
+    rng = random.Random(6)
+    header = prose(rng, 200) + "\n"
+    own = {k: [k + "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)] for k in ("xa", "yo")}
+    text = lambda k: " ".join(rng.choice(own[k]) for _ in range(400))
+    docs = spark.createDataFrame([(i, header + text(k), k) for i, k in enumerate(["xa", "yo"] * 10)], DOCS + ", lang string")
+    made = language_id.train_dictionaries(docs)
+    assert all(sum(w.encode() in made[k] for w in own[k]) > 40 for k in own)
+    bare = spark.createDataFrame([(i, text(k)) for i, k in enumerate(["xa", "yo"] * 10)], DOCS)
+    assert all(r.lang_pred == ("xa", "yo")[r.doc_id % 2] for r in language_id.identify(bare, made, min_margin=0.002, reject_as_und=True).collect())
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "eins zwei", f"l{i}") for i in range(3)], DOCS + ", lang string")
+    assert len(language_id.train_dictionaries(docs.where("doc_id < 2"))) == 2
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train_dictionaries(docs)
+
+
 def test_licences(spark):
     rng = random.Random(8)
     rows = corpus(9) + [(90, prose(rng, 20) + "\nLicensed under the Apache License, Version 2.0.\n" + prose(rng, 20)), (91, "Released under the MIT License."), (92, None), (93, LONG)]
