@@ -8,18 +8,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 WORD = r"[\wÀ-ɏ]"
 
 
-def term_hits(rows: DataFrame, terms: DataFrame, keys: list[str], text: str = "text", longest: int = 4) -> DataFrame:
+def term_hits(rows: DataFrame, terms: DataFrame, keys: list[str], text: str = "text", longest: int | None = None) -> DataFrame:
     """(keys, src, pos): terms that stand in a text at word boundaries; pos is the first word's place.
 
-    A text's runs of 1 to ``longest`` words are joined to the terms' own words, so
-    the join is by hash and not by a scan of all terms for each text. Case matters.
+    A text's runs of as many words as the terms have are joined to the terms' own
+    words, so the join is by hash and not by a scan of all terms for each text. Case
+    matters. Terms of more than ``longest`` words are left out where it is given.
     """
     split = lambda x: F.regexp_extract_all(x, F.lit(f"({WORD}+)"), F.lit(1))
-    own = rows.select(*keys, split(F.col(text)).alias("w"))
-    sizes = F.sequence(F.lit(1), F.lit(longest))
-    grams = F.flatten(F.transform("w", lambda _, i: F.transform(F.filter(sizes, lambda n: i + n <= F.size("w")), lambda n: F.struct(i.alias("pos"), F.array_join(F.slice("w", i + 1, n), " ").alias("gram")))))
+    wanted = terms.where(~F.col("src").rlike(r"[\\\[\]]")).select("src", split(F.col("src")).alias("tw")).where("size(tw) > 0")
+    if longest is not None:
+        wanted = wanted.where(F.size("tw") <= longest)
+    sizes = wanted.agg(F.collect_set(F.size("tw")).alias("sizes"))
+    own = rows.select(*keys, split(F.col(text)).alias("w")).crossJoin(F.broadcast(sizes))
+    grams = F.flatten(F.transform("w", lambda _, i: F.transform(F.filter("sizes", lambda n: i + n <= F.size("w")), lambda n: F.struct(i.alias("pos"), F.array_join(F.slice("w", i + 1, n), " ").alias("gram")))))
     flat = own.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.*")
-    wanted = terms.where(~F.col("src").rlike(r"[\\\[\]]")).select("src", split(F.col("src")).alias("tw")).where(f"size(tw) between 1 and {longest}")
     return flat.join(wanted.select("src", F.array_join("tw", " ").alias("gram")).distinct(), "gram").select(*keys, "src", "pos")
 
 
@@ -35,14 +38,16 @@ def hit_terms(hits: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("src", "dst")))).alias("terms"))
 
 
-def longest_prefix(rows: DataFrame, prefixes: DataFrame, keys: list[str], text: str = "text", boundary: str = r"[ .,:;!?\]\)]", most: int = 64) -> DataFrame:
+def longest_prefix(rows: DataFrame, prefixes: DataFrame, keys: list[str], text: str = "text", boundary: str = r"[ .,:;!?\]\)]") -> DataFrame:
     """(keys, prefix, dst): the longest known prefix of each text that is all of it or ends before a boundary.
 
-    Each text offers its own few prefixes, so that the lookup is a join by hash.
+    Each text offers its own prefixes of the lengths that known ones have, so that the
+    lookup is a join by hash.
     """
     x = F.col(text)
-    ends = F.filter(F.sequence(F.lit(1), F.least(F.length(x), F.lit(most))), lambda n: (n == F.length(x)) | F.substring(x, n + 1, F.lit(1)).rlike(boundary))
-    own = rows.where(F.length(x) > 0).select(*keys, F.explode(F.transform(ends, lambda n: F.substring(x, F.lit(1), n))).alias("prefix"))
+    lengths = prefixes.where(F.length("prefix") > 0).agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    ends = F.filter("lengths", lambda n: (n == F.length(x)) | ((n < F.length(x)) & F.substring(x, n + 1, F.lit(1)).rlike(boundary)))
+    own = rows.where(F.length(x) > 0).crossJoin(F.broadcast(lengths)).select(*keys, F.explode(F.transform(ends, lambda n: F.substring(x, F.lit(1), n))).alias("prefix"))
     found = own.join(prefixes.select("prefix", "dst"), "prefix")
     best = found.groupBy(*keys).agg(F.max_by(F.struct("prefix", "dst"), F.length("prefix")).alias("x"))
     return best.select(*keys, "x.*")

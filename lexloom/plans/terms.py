@@ -132,7 +132,7 @@ def longest_prefix(t):
     stop = r"[^ .,:;!?\]\)]+"
     one = t("documents").select("doc_id", F.regexp_extract("text", f"^({stop})", 1).alias("prefix"))
     two = t("documents").where("doc_id % 3 = 0").select("doc_id", F.regexp_extract("text", f"^({stop} {stop})", 1).alias("prefix"))
-    known = one.union(two).where("prefix <> '' and length(prefix) <= 64").groupBy("prefix").agg(F.min("doc_id").alias("dst"))
+    known = one.union(two).where("prefix <> ''").groupBy("prefix").agg(F.min("doc_id").alias("dst"))
     return matching.longest_prefix(t("documents").select("doc_id", "text"), known, ["doc_id"])
 
 

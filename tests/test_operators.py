@@ -196,3 +196,14 @@ def test_near_echo_reads_whole_texts(spark):
         block = own.find_longest_match(0, len(a), 0, len(b))
         assert qa._longest_block(a, b)[2] == block.size and (not block.size or qa._longest_block(a, b) == tuple(block))
         assert all(qa.ratio_at_least(a, b, x) == (own.ratio() >= x) for x in (0.5, 0.8, 0.92, own.ratio()))
+
+
+def test_long_prefixes_and_terms(spark):
+    """Known prefixes of more than 64 characters, terms of more than four words."""
+    long = "Nurse " + "y" * 100
+    df = spark.createDataFrame([(1, long + ": hi"), (2, "Nurse: one two three four five six")], "id int, text string")
+    known = spark.createDataFrame([("Nurse", "N"), (long, "long")], "prefix string, dst string")
+    assert {r.id: r.dst for r in matching.longest_prefix(df, known, ["id"]).collect()} == {1: "long", 2: "N"}
+    assert matching.longest_prefix(df, known.limit(0), ["id"]).isEmpty()
+    terms = spark.createDataFrame([("two three four five six", "a"), ("three", "b")], "src string, dst string")
+    assert sorted((r.id, r.src, r.pos) for r in matching.term_hits(df, terms, ["id"]).collect()) == [(2, "three", 3), (2, "two three four five six", 2)]
