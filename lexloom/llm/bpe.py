@@ -1,23 +1,34 @@
 """Byte-level BPE encoding and decoding.
 
-The texts are cut by the tokenizer's pattern into pieces. Where a task reads a text,
-it numbers the pieces that it meets for the first time and sends, for each document,
-the numbers of its pieces and the bytes of the new ones; so a task encodes each
-distinct word once, and no text, word or answer is shuffled.
+The texts are cut by the tokenizer's pattern into pieces. Pieces that come often are
+counted over all texts first, and each of them is encoded once for the whole corpus:
+the ``frequent`` most frequent ones, by a threshold that all of one count pass or
+fail together. Their ids are sent to all tasks (at most ``FREQUENT`` pieces of at most
+``FOLD_BYTES`` bytes, so some 40 MB). They only save work: any other piece is encoded
+where it is met, with the same result.
+
+Where a task reads a text, it numbers the pieces that it meets for the first time
+and sends, for each document, the numbers of its pieces and the bytes of the new
+ones; so a task encodes each distinct rare word once, and no text or answer is
+shuffled, only counts of words. Rows carry their running number between the two
+steps, and a row out of turn is an error.
 
 Encoding folds the ranked merges of a distinct piece in Spark higher-order
 functions: an array of its bytes with the ranks of its pairs of neighbours, and in
 each step the pair of the least rank is joined and its two new pairs are looked up
-in a literal rank map, until no pair has a rank. Then each document's numbers are replaced by the ids of the pieces.
-Decoding concatenates the binary pieces of the ids.
+in a literal rank map, until no pair has a rank. Then each document's numbers are
+replaced by the ids of the pieces. Decoding concatenates the pieces of the ids, as
+characters that stand for one byte each.
 
-A task forgets its numbers when there are ``NUMBERED`` of them, so its memory is
+A task forgets its own numbers when there are ``NUMBERED`` of them, so its memory is
 bounded; words that come again are then encoded again.
 
-Defined results: null and empty texts have no ids. Pieces of more than
-``FOLD_BYTES`` bytes, whose fold would take quadratic time, are merged with a heap
-in Python instead, by the same ranks. Repeated rows are encoded alike. Columns of the
-input that are named like a result's are replaced; others pass through.
+Defined results: null and empty texts have no ids. A piece that has a rank itself is
+one token, as in the library. Pieces of more than ``FOLD_BYTES`` bytes, whose fold
+would take quadratic time, are merged with a heap in Python instead, by the same
+ranks. Repeated rows are encoded alike; an empty table gives an empty one. Very long
+texts are cut and numbered whole, one at a time. Columns of the input that are named
+like a result's are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -33,7 +44,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-NUMBERED, FOLD_BYTES = 200_000, 64
+from .scratch import written
+
+NUMBERED, FOLD_BYTES, FREQUENT = 1 << 16, 64, 1 << 19
+#: What is counted to find frequent pieces: words with the space before them.
+COUNTED = r" ?\p{L}+"
 #: Maps that the literal rank map is dealt over by hash, so that a look-up reads about three entries.
 RANK_MAPS = 1 << 14
 
@@ -54,6 +69,11 @@ def _class(piece: bytes) -> int:
     return zlib.crc32(piece.hex().upper().encode()) % RANK_MAPS
 
 
+def let(x: Column, use) -> Column:
+    """use(x), with x computed and written into the plan once: a one-entry transform names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def fold_merges(piece: Column, ranks: Column) -> Column:
     """Ids of a piece (a string), by repeated merges of the neighbours of least rank, leftmost first."""
 
@@ -72,8 +92,7 @@ def fold_merges(piece: Column, ranks: Column) -> Column:
             ranked = F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(pairs, at + 2, F.size(parts)))
             return F.struct(F.concat(left, F.array(joined), right).alias("parts"), ranked.alias("pairs"))
 
-        # A one-entry transform names the place, so that it is computed once.
-        return F.when(F.array_min(pairs).isNull(), state).otherwise(F.get(F.transform(F.array(at), merged), F.lit(0)))
+        return F.when(F.array_min(pairs).isNull(), state).otherwise(let(at, merged))
 
     none = F.array().cast("array<int>")
     whole = F.hex(piece)
@@ -117,38 +136,67 @@ def _lists(flat: np.ndarray, ends: list[int] | np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat, pa.int32()))
 
 
+def frequent_pieces(texts: DataFrame, ranks: dict[bytes, int], literal: Column, most: int = FREQUENT) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """At most ``most`` words (column text_) that come more than once, their ids one after another, and how many each has."""
+    each = texts.select(F.explode(F.regexp_extract_all("text_", F.lit(COUNTED), F.lit(0))).alias("piece"))
+    each = each.where(F.octet_length("piece").between(2, FOLD_BYTES))
+    counted = written(each.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1"), "pieces")
+    level = F.floor(F.log2("n") * 8).cast("int")
+    left, least, rows = most, None, 0
+    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):  # 8 * 63 rows at most
+        left -= r["count"]
+        if left < 0:
+            break
+        least, rows = r.level, rows + r["count"]
+    if least is None:
+        return [], np.zeros(0, np.int32), np.zeros(0, np.int64)
+    dealt = counted.where(level >= least).select("piece").repartition(max(1, rows // 8192), "piece")
+    made = dealt.select("piece", let(literal, lambda r: fold_merges(F.col("piece"), r)).alias("ids")).toArrow().combine_chunks()
+    whole = [x.encode() not in ranks for x in made.column("piece").to_pylist()]
+    made = made.filter(pa.array(whole, pa.bool_()))
+    ids, many = _flat(pa.concat_arrays(made.column("ids").chunks)) if made.num_rows else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    return made.column("piece").to_pylist(), ids.astype(np.int32), many
+
+
 def _numbered(pattern: str, sent, names: list[str], numbered: int):
-    """Columns ``names``, fresh (whether numbers begin again), pieces (the new ones), done (ids of a new one that needs no fold) and numbers."""
+    """Columns ``names``, place (running number of the row), fresh (whether numbers begin again after the frequent pieces'), pieces (the new ones), done (ids of a new one that needs no fold) and numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, ranks, known = regex.compile(pattern).findall, sent.value, {}
+        find, (ranks, words, _, _) = regex.compile(pattern).findall, sent.value
+        known = {x: i for i, x in enumerate(words.split("\n"))} if words else {}
+        base, own, place = len(known), [], 0
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 fresh, numbers, ends, pieces, many, done = [], [], [], [], [], []
                 for text in part.column(len(names)).to_pylist():
-                    fresh.append(len(known) > numbered)
+                    fresh.append(len(own) > numbered)
                     if fresh[-1]:
-                        known = {}
-                    found, new = find(text or ""), []
+                        for x in own:
+                            del known[x]
+                        own = []
+                    found = find(text or "")
+                    new = len(own)
                     for x in found:
                         if x not in known:
-                            known[x] = len(known)
-                            new.append(x)
+                            known[x] = base + len(own)
+                            own.append(x)
                     numbers += map(known.__getitem__, found)
                     ends.append(len(numbers))
-                    for x in new:
-                        own = x.encode()
-                        at = ranks.get(own)  # a piece that has a rank is one token, as its merges end in it
-                        ready = [at] if at is not None else _heap_merge(own, ranks) if len(own) > FOLD_BYTES else None
+                    for x in own[new:]:
+                        raw = x.encode()
+                        at = ranks.get(raw)  # a piece that has a rank is one token
+                        ready = [at] if at is not None else _heap_merge(raw, ranks) if len(raw) > FOLD_BYTES else None
                         done.append(ready)
                         pieces.append(x if ready is None else "")
                     many.append(len(pieces))
                 of_rows = pa.array(np.append(0, many), pa.int32())
-                columns = [pa.array(fresh, pa.bool_()), pa.ListArray.from_arrays(of_rows, pa.array(pieces, pa.string())), pa.ListArray.from_arrays(of_rows, pa.array(done, pa.list_(pa.int32()))), _lists(np.array(numbers, np.int32), ends)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *columns], names=[*names, "fresh", "pieces", "done", "numbers"])
+                places = pa.array(np.arange(place, place + part.num_rows))
+                place += part.num_rows
+                columns = [places, pa.array(fresh, pa.bool_()), pa.ListArray.from_arrays(of_rows, pa.array(pieces, pa.string())), pa.ListArray.from_arrays(of_rows, pa.array(done, pa.list_(pa.int32()))), _lists(np.array(numbers, np.int32), ends)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *columns], names=[*names, "place", "fresh", "pieces", "done", "numbers"])
         known.clear()
         pa.default_memory_pool().release_unused()  # the worker process lives on
 
@@ -168,20 +216,25 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _put_together(names: list[str]):
+def _put_together(names: list[str], sent):
     """Columns ``names`` and ids: each document's numbers replaced by the ids of the pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = count = 0  # of the table of ids, and of the pieces in it
-        values, starts, lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        _, _, known, own = sent.value
+        base = used, count = len(known), len(own)  # of the table of ids, and of the pieces in it
+        values, lengths = np.append(known, np.zeros(1 << 16, np.int32)), np.append(own, np.zeros(1 << 16, np.int64))
+        starts, place = np.append(np.cumsum(own) - own, np.zeros(1 << 16, np.int64)), 0
         for batch in batches:
             at = {x: i for i, x in enumerate(batch.schema.names)}
+            if not np.array_equal(batch.column(at["place"]).to_numpy(), np.arange(place, place + batch.num_rows)):
+                raise RuntimeError("rows out of turn between numbering and encoding")
+            place += batch.num_rows
             begins = np.flatnonzero(batch.column(at["fresh"]).to_numpy(zero_copy_only=False))
             cuts = sorted({0, batch.num_rows, *begins.tolist(), *range(0, batch.num_rows, 256)})
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 part = batch.slice(low, high - low)
                 if part.column(at["fresh"])[0].as_py():
-                    used = count = 0
+                    used, count = base
                 ids, own = _flat(part.column(at["encoded"]).flatten())
                 while used + len(ids) > len(values):
                     values = np.append(values, np.zeros_like(values))
@@ -201,19 +254,20 @@ def _put_together(names: list[str]):
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_text: bool = True, numbered: int = NUMBERED) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_text: bool = True, numbered: int = NUMBERED, frequent: int = FREQUENT) -> DataFrame:
     """Columns of ``docs`` (without the text, if that is not to be kept) and ``ids``, the array of token ids of the text."""
     docs = docs.drop("ids")
     kept = [c for c in docs.columns if keep_text or c != text]
     names = [f"c{i}" for i in range(len(kept))]
     plain = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(kept, names, strict=True)], F.col(f"`{text}`").alias("text_"))
     schema = "".join(f"{c} {kind}, " for c, kind in plain.dtypes[: len(names)])
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
-    met = plain.mapInArrow(_numbered(pattern, sent, names, numbered), schema + "fresh boolean, pieces array<string>, done array<array<int>>, numbers array<int>")
     literal = rank_map(ranks)
-    encoded = F.zip_with("pieces", "done", lambda piece, done: F.coalesce(done, fold_merges(piece, literal)))
-    ready = met.select(*names, "fresh", encoded.alias("encoded"), "numbers")
-    made = ready.mapInArrow(_put_together(names), schema + "ids array<int>")
+    words, ids, many = frequent_pieces(plain.select("text_"), ranks, literal, frequent)
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, "\n".join(words), ids, many))
+    met = plain.mapInArrow(_numbered(pattern, sent, names, numbered), schema + "place long, fresh boolean, pieces array<string>, done array<array<int>>, numbers array<int>")
+    encoded = let(literal, lambda r: F.zip_with("pieces", "done", lambda piece, done: F.coalesce(done, fold_merges(piece, r))))
+    ready = met.select(*names, "place", "fresh", encoded.alias("encoded"), "numbers")
+    made = ready.mapInArrow(_put_together(names, sent), schema + "ids array<int>")
     return made.toDF(*kept, "ids")
 
 
@@ -222,11 +276,11 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     tokens = tokens.drop("decoded")
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex()
+        pieces[rank] = piece.decode("latin-1")
     literal = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
-    # Spark joins strings only, so the pieces are joined in hexadecimal digits.
+    # Spark joins strings only, so a byte travels as the character of its number.
     joined = F.array_join(F.transform("ids", lambda i: F.get(literal, i)), "")
-    return tokens.select("*", F.unhex(F.coalesce(joined, F.lit(""))).alias("decoded"))
+    return tokens.select("*", F.encode(F.coalesce(joined, F.lit("")), "ISO-8859-1").alias("decoded"))
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

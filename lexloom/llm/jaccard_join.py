@@ -2,32 +2,40 @@
 
 1. Every text becomes the set of its hashed n-grams. Texts with one set are one
    node from here on, named by a fingerprint of the set; so exact copies cost
-   nothing further. A sketch of fixed size counts in how many texts each n-gram is,
-   and each node keeps a profile: how many of its n-grams fall into each of some
-   hash classes. The sum of the lesser counts bounds two sets' overlap from above.
+   nothing further. Where two sets have one fingerprint, a second one tells them
+   apart. A sketch of fixed size counts in how many texts each n-gram is, and each
+   node keeps a profile: how many of its n-grams fall into each of some hash classes.
+   The sum of the lesser counts bounds two sets' overlap from above.
 2. Each set's n-grams are ordered by that count, rarest first; any two sets that
    link share one of the first size - ceil(t * size) + 1. These go to an index,
-   dealt by n-gram, with the size of the set and the n-gram's position.
+   dealt by n-gram, with the size of the set and the n-gram's position. N-grams of
+   more than ``HOT`` sets (by the sketch) are dealt by set instead, and only the
+   leader of their list is found by an aggregate, so no list has to fit in a task.
 3. Relations in the index. A list is ordered by size and falls into runs, as no set
-   links across a gap in size; within a run, blocks are skipped where no size, or no
-   position within the sizes, can reach the overlap asked for. Runs are first
-   answered for their leader alone (the least node), exactly, then for a second
-   leader from those that the first has not reached.
-4. Relations of answers. What the leaders' answers already say is derived, not
-   computed: members that they link are in one class, and from the overlaps of two
-   members with the leader follow bounds of their own overlap. Only members with a
-   partner in another class that neither these bounds nor the profiles exclude are
-   compared further: those of one leader together, exactly, by what they share.
+   links across a gap in size. Runs are first answered for their leader alone (the
+   least node), exactly, then for a second leader from those that the first has not
+   reached. What is then still open is searched in blocks of members of neighbouring
+   positions: a block has the largest reach (n-grams from the position on) and the
+   bounds of size of its members, and pairs of blocks in which no two members can
+   have the overlap asked for are skipped whole.
+4. Relations of answers. Members that the leaders' answers link are in one class,
+   and from the overlaps of two members with the leader follow bounds of their own.
+   What no bound decides is derived from the leader's answers incrementally: with A
+   the leader's set and D the n-grams in which a member differs from it,
+   |X & Y| = |X & A| + |Y & A| - |A| + |Dx & Dy|. So only differences are compared,
+   and sets travel once, to their leaders.
 
 The links of 3 and 4 connect all that all links connect. Sets travel as arrays of
 64-bit hashes, and only those of pairs that the bounds leave open; a filter of
 bounded size picks their texts where they are read, and a join does where there are
-more of them than the filter may hold. Nodes are 64-bit fingerprints.
+more of them than the filter may hold.
 
 Defined results: texts null, or without words, have the empty set, and are
 classes of their own. With fewer than n words the whole sequence is the set.
 Rows that repeat a doc_id count each by its own text. A null doc_id is never the
-least of a class.
+least of a class. An empty table gives an empty one. Very long texts are hashed
+whole. Only the columns named are returned; further ones of the input are left out,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -50,6 +58,8 @@ COUNTERS, PARTS = 1 << 20, 64
 BUCKET_BYTES = 8 << 20
 #: Members of a list that one task compares with as many others, and n-grams of them at a time.
 LIST_BLOCK, COLUMNS = 1024, 4096
+#: Members of a block that is skipped as a whole, and sets of an n-gram beyond which its list is dealt by set.
+SKIP_BLOCK, HOT = 128, 1 << 16
 #: Texts that the filter may hold, at 16 bits each; beyond it the texts are joined.
 FILTER_KEYS = 1 << 24
 
@@ -72,13 +82,20 @@ def _sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], text[new]
 
 
-def _nodes(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Fingerprint of each set; bounds: where each begins, and the end."""
-    total = np.append(np.uint64(0), np.cumsum(mix(grams ^ np.uint64(0x5BF0_3635_4C1A_92E7))))
+def _fingerprint(grams: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
+    total = np.append(np.uint64(0), np.cumsum(mix(grams ^ np.uint64(salt))))
     size = np.diff(bounds).astype(np.uint64)
     return mix((total[bounds[1:]] - total[bounds[:-1]]) + size * np.uint64(0x9E37_79B9_7F4A_7C15)).astype(np.int64)
 
 
+def _nodes(grams: np.ndarray, bounds: np.ndarray, clashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Name and second fingerprint of each set; bounds: where each begins, and the end. Names that several sets have are mixed with the second."""
+    node, second = (_fingerprint(grams, bounds, x) for x in (0x5BF0_3635_4C1A_92E7, 0x3C79_AC49_2BA7_B653))
+    if clashes is not None and len(clashes):
+        node = np.where(np.isin(node, clashes), mix((node ^ second).astype(np.uint64)).astype(np.int64), node)
+    return node, second
+
+
 def _profile(grams: np.ndarray) -> bytes:
     """Counts of a set's n-grams by their low bits, about four to eight for each class."""
     classes = 1 << max(4, len(grams).bit_length() - 3)
@@ -111,7 +128,7 @@ def _within_profiles(percent: int):
 
 
 def _digests(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("profile", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("second", pa.int64()), ("profile", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int32)
@@ -123,15 +140,27 @@ def _digests(n: int):
                 counts += np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
                 k = b - a
                 profiles = pa.array([_profile(grams[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, k), batch.column(1).slice(a, k), pa.array(np.diff(bounds)), pa.array(_nodes(grams, bounds)), profiles, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, k), batch.column(1).slice(a, k), pa.array(np.diff(bounds)), *map(pa.array, _nodes(grams, bounds)), profiles, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
         squeeze = zstandard.ZstdCompressor(level=1)
         made = [squeeze.compress(x.tobytes()) for x in counts.reshape(PARTS, -1)]
-        none = [pa.nulls(PARTS, pa.int64())] * 4
+        none = [pa.nulls(PARTS, pa.int64())] * 5
         yield pa.RecordBatch.from_arrays([*none, pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(made, pa.binary())], schema=schema)
 
     return run
 
 
+def _renamed(digests: DataFrame, clashes: np.ndarray) -> DataFrame:
+    """Digests with the names of ``_nodes`` for clashing sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, second = integers(batch, "node"), integers(batch, "second")
+            node = np.where(np.isin(node, clashes), mix((node ^ second).astype(np.uint64)).astype(np.int64), node)
+            yield batch.set_column(batch.schema.get_field_index("node"), "node", pa.array(node))
+
+    return digests.mapInArrow(run, digests.schema)
+
+
 def _sum_part(table: pa.Table) -> pa.Table:
     total = np.zeros(COUNTERS // PARTS, np.int64)
     for x in table.column("counts"):
@@ -139,29 +168,39 @@ def _sum_part(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
 
-def _prefixes(n: int, percent: int, sketch, buckets: int):
+def _prefixes(n: int, percent: int, sent, buckets: int, hottest: int):
+    """The index: rows of one n-gram and set where the n-gram is hot, else a blob of all of a bucket's."""
+    schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("gram", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("pos", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze, (sketch, clashes) = zstandard.ZstdCompressor(level=1), sent.value
         for batch in batches:
             for _, _, buf, offsets in blocks(batch, "text", BLOCK_BYTES):
                 w = Words(buf, offsets, lower=True)
                 grams, text = _sets(w, n)
                 bounds = np.searchsorted(text, np.arange(w.n_texts + 1))
-                node, size = _nodes(grams, bounds), np.diff(bounds)
+                node, size = _nodes(grams, bounds, clashes)[0], np.diff(bounds)
                 once = np.zeros(w.n_texts, bool)
                 once[np.unique(node, return_index=True)[1]] = True
-                order = np.lexsort((grams, sketch.value[(grams >> np.uint64(44)).astype(np.int64)], text))
+                count = sketch[(grams >> np.uint64(44)).astype(np.int64)]
+                order = np.lexsort((grams, count, text))
                 pos = np.arange(len(order)) - bounds[text]
                 needed = size - (-(-size * percent // 100)) + 1
                 keep = (pos < needed[text]) & once[text]
-                grams, text, pos = grams[order][keep], text[keep], pos[keep]
-                bucket = (grams % np.uint64(buckets)).astype(np.int64)
+                grams, text, pos, hot = grams[order][keep], text[keep], pos[keep], count[order][keep] > hottest
+                rows = np.stack([grams.astype(np.int64), node[text], size[text], pos])
+                if hot.any():
+                    many = int(hot.sum())
+                    yield pa.RecordBatch.from_arrays([pa.nulls(many, pa.int64()), pa.nulls(many, pa.binary()), *map(pa.array, rows[:, hot])], schema=schema)
+                rows, bucket = rows[:, ~hot], (grams[~hot] % np.uint64(buckets)).astype(np.int64)
+                if not len(bucket):
+                    continue
                 order = np.argsort(bucket, kind="stable")
-                bucket = bucket[order]
-                rows = np.stack([grams[order].astype(np.int64), node[text[order]], size[text[order]], pos[order]])
-                cut = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else np.zeros(0, np.int64)
-                made = [squeeze.compress(rows[:, x:y].tobytes()) for x, y in zip(cut, [*cut[1:], len(bucket)], strict=True)] if len(cut) else []
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(made, pa.binary())], names=["bucket", "blob"])
+                bucket, rows = bucket[order], rows[:, order]
+                cut = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
+                made = [squeeze.compress(rows[:, x:y].tobytes()) for x, y in zip(cut, [*cut[1:], len(bucket)], strict=True)]
+                none = [pa.nulls(len(cut), pa.int64())] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(made, pa.binary()), *none], schema=schema)
 
     return run
 
@@ -214,6 +253,39 @@ def _lists(percent: int):
     return run
 
 
+def _hot_lists(rows: DataFrame, percent: int) -> DataFrame:
+    """The same as ``_lists`` from rows (gram, node, size, pos), by aggregates.
+
+    Sizes fall into classes of one factor; sets that link are in one class or in two
+    neighbouring ones, so each set is in the list of its class and in that before.
+    """
+    level = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-9))) if percent < 100 else F.col("size")
+    rows = rows.select("gram", F.explode(F.array(level, level - 1)).alias("level"), "node", "size", "pos")
+    rows = rows.groupBy("gram", "level", "node").agg(F.first("size").alias("size"), F.min("pos").alias("pos"))
+    name = F.xxhash64(F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1))), F.count("*"))
+    lead = rows.groupBy("gram", "level").agg(F.min(F.struct("node", "size", "pos")).alias("lead"), name.alias("list"), F.count("*").alias("many")).where("many >= 2")
+    both = rows.join(lead, ["gram", "level"])
+    need = F.ceil(F.lit(percent) * (F.col("size") + F.col("lead.size")) / F.lit(100 + percent))
+    fits = (100 * F.least("size", "lead.size") >= percent * F.greatest("size", "lead.size")) & (F.least(F.col("size") - F.col("pos"), F.col("lead.size") - F.col("lead.pos")) >= need)
+    none = [F.lit(None).cast("long").alias(c) for c in ("size", "pos")]
+    pairs = both.where((F.col("node") != F.col("lead.node")) & fits).select(F.lit(None).cast("long").alias("list"), F.col("lead.node").alias("a"), F.col("node").alias("b"), *none).distinct()
+    return pairs.union(both.where("many >= 3").select("list", F.col("lead.node").alias("a"), F.col("node").alias("b"), "size", "pos"))
+
+
+def _profiles_allow(x: np.ndarray, y: np.ndarray, need: np.ndarray, profiles: list[np.ndarray]) -> np.ndarray:
+    """Whether the profiles of members x[i] and y[i] allow the overlap need[i]."""
+    classes = np.array([len(p) for p in profiles])
+    ok, two = np.zeros(len(x), bool), np.stack([classes[x], classes[y]])
+    for c, d in np.unique(two, axis=1).T.tolist():
+        own, low = np.flatnonzero((two[0] == c) & (two[1] == d)), min(c, d)
+        step = max(1, (1 << 21) // max(c, d))
+        for at in range(0, len(own), step):
+            part = own[at : at + step]
+            one, other = (_folded(np.stack([profiles[i] for i in v[part]]), low) for v in (x, y))
+            ok[part] = np.minimum(one, other).sum(axis=1) >= need[part]
+    return ok
+
+
 def _open_members(percent: int):
     """Members of a list, or of two parts of one, that have a partner in another class which no bound excludes."""
     schema = pa.schema([("a", pa.int64()), ("node", pa.int64())])
@@ -221,33 +293,32 @@ def _open_members(percent: int):
     def run(table: pa.Table) -> pa.Table:
         names = ("a", "side", "node", "size", "pos", "label", "known")
         a, side, node, size, pos, label, known = (table.column(c).to_numpy() for c in names)
-        order = np.argsort(size, kind="stable")
+        order = np.lexsort((size, pos))
         side, node, size, pos, label, known = (x[order] for x in (side, node, size, pos, label, known))
         raw = table.column("profile").combine_chunks().take(pa.array(order))
         profiles = [np.frombuffer(x.as_buffer(), np.uint8) for x in raw]
-        classes = np.array([len(x) for x in profiles])
-        levels = {c: (np.flatnonzero(classes == c), np.stack([x for x in profiles if len(x) == c])) for c in np.unique(classes).tolist()}
+        cuts = np.arange(0, len(node), SKIP_BLOCK)
+        reach = np.maximum.reduceat(size - pos, cuts)
+        low, high = np.minimum.reduceat(size, cuts), np.maximum.reduceat(size, cuts)
+        one, other = np.minimum.reduceat(label, cuts), np.maximum.reduceat(label, cuts)
+        skip = (100 * high[:, None] < percent * low) | (100 * high < percent * low[:, None])
+        skip |= np.minimum(reach[:, None], reach) < _needed(low[:, None], low, percent)
+        skip |= (np.minimum(one[:, None], one) == np.maximum(other[:, None], other))
         wanted = np.zeros(len(node), bool)
-        for i in range(len(node)):
-            # Sorted by size: the rest of the list is skipped from the first set that is too large.
-            j = slice(i + 1, int(np.searchsorted(size, size[i] * 100 // percent, side="right")))
-            need = _needed(size[i], size[j], percent)
-            ok = (label[j] != label[i]) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need)
+        for p, q in zip(*np.nonzero(np.triu(~skip)), strict=True):
+            i, j = (slice(int(k), int(k) + SKIP_BLOCK) for k in (cuts[p], cuts[q]))
+            need = _needed(size[i, None], size[j], percent)
+            ok = (label[i, None] != label[j]) & (np.minimum(size[i, None] - pos[i, None], size[j] - pos[j]) >= need)
+            ok &= (100 * np.minimum(size[i, None], size[j]) >= percent * np.maximum(size[i, None], size[j])) & ~(wanted[i, None] & wanted[j])
             if side[0] >= 0:
-                ok &= side[j] != side[i]
-            if known[i] >= 0:
-                most = np.minimum(known[i], known[j]) + np.minimum(size[i] - known[i], size[j] - known[j])
-                ok &= (known[j] < 0) | (most >= need)
-            at = np.flatnonzero(ok)
-            for c, (rows, matrix) in levels.items() if len(at) else ():
-                mine = at[classes[at + j.start] == c]
-                if len(mine):
-                    low = min(c, len(profiles[i]))
-                    theirs = _folded(matrix[np.searchsorted(rows, mine + j.start)], low)
-                    ok[mine] = np.minimum(theirs, _folded(profiles[i][None, :], low)).sum(axis=1) >= need[mine]
-            if ok.any():
-                wanted[i] = True
-                wanted[j] |= ok
+                ok &= side[i, None] != side[j]
+            most = np.minimum(known[i, None], known[j]) + np.minimum(size[i, None] - known[i, None], size[j] - known[j])
+            ok &= (known[i, None] < 0) | (known[j] < 0) | (most >= need)
+            if p == q:
+                ok = np.triu(ok, 1)
+            x, y = np.nonzero(ok)
+            kept = _profiles_allow(x + i.start, y + j.start, need[x, y], profiles)
+            wanted[x[kept] + i.start] = wanted[y[kept] + j.start] = True
         return pa.table([np.full(int(wanted.sum()), a[0]), node[wanted]], schema=schema)
 
     return run
@@ -275,26 +346,24 @@ def _spanning(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> tuple[np.ndarr
 def _links_within(percent: int):
     """Links between the classes of the members of one leader, or of two parts of them: as many as connect the classes that meet.
 
-    Members are near the leader and so near each other: what they have in common is
-    found for all of them at once, over the n-grams that at least two of them have.
+    Overlaps follow from those with the leader and from the n-grams in which both of two
+    members differ from it; only n-grams in which at least two do are looked at.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        side, node, label = (table.column(c).to_numpy() for c in ("side", "node", "label"))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
-        size = np.array([len(x) for x in sets])
-        element, count = np.unique(np.concatenate(sets), return_counts=True)
+        side, node, label, size, known, size_a = (table.column(c).to_numpy() for c in ("side", "node", "label", "size", "known", "size_a"))
+        differ = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("differ")]
+        flat, row = np.concatenate(differ), np.repeat(np.arange(len(differ)), [len(x) for x in differ])
+        element, count = np.unique(flat, return_counts=True)
         element = element[count > 1]
-        row = np.repeat(np.arange(len(sets)), size)
-        at = np.searchsorted(element, np.concatenate(sets))
-        at[at == len(element)] = 0
-        hit = element[at] == np.concatenate(sets) if len(element) else np.zeros(len(row), bool)
+        at = np.minimum(np.searchsorted(element, flat), max(0, len(element) - 1))
+        hit = element[at] == flat if len(element) else np.zeros(len(flat), bool)
         row, at = row[hit], at[hit]
-        common = np.zeros((len(sets), len(sets)), np.float32)
+        common = (known[:, None] + known - size_a.max()).astype(np.float32)
         for low in range(0, len(element), COLUMNS):
             own = (at >= low) & (at < low + COLUMNS)
-            matrix = np.zeros((len(sets), min(COLUMNS, len(element) - low)), np.float32)
+            matrix = np.zeros((len(differ), min(COLUMNS, len(element) - low)), np.float32)
             matrix[row[own], at[own] - low] = 1
             common += matrix @ matrix.T  # counts below 2**24: exact
         linked = np.triu(common >= _needed(size[:, None], size[None, :], percent), 1) & (label[:, None] != label[None, :])
@@ -334,7 +403,7 @@ def _key_filter(keys: DataFrame) -> np.ndarray | None:
     return out.astype(np.uint64)
 
 
-def _set_arrays(n: int, sent=None):
+def _set_arrays(n: int, clashes: np.ndarray, sent=None):
     """Sets of the texts whose row the filter (all, without one) lets pass."""
     _1, _63 = np.uint64(1), np.uint64(63)
 
@@ -351,46 +420,54 @@ def _set_arrays(n: int, sent=None):
                 grams, text = _sets(Words(buf, offsets, lower=True), n)
                 bounds = np.searchsorted(text, np.arange(b - a + 1))
                 made = [grams[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_nodes(grams, bounds)), pa.array(made, pa.binary())], names=["row", "made", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_nodes(grams, bounds, clashes)[0]), pa.array(made, pa.binary())], names=["row", "made", "grams"])
 
     return run
 
 
-def _fetched(own: DataFrame, nodes: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+def _fetched(own: DataFrame, nodes: DataFrame, asked: DataFrame, n: int, clashes: np.ndarray) -> DataFrame:
     """node and grams (its set) of the asked nodes, written."""
     chosen = written(nodes.select("node", "row").join(asked, "node", "left_semi"), "asked")
     bits = _key_filter(chosen)
     texts, schema = own.select("row", "text"), "row long, made long, grams binary"
-    if bits is None:
-        sets = texts.join(chosen.select("row"), "row", "left_semi").mapInArrow(_set_arrays(n), schema)
-    else:
-        sets = texts.mapInArrow(_set_arrays(n, own.sparkSession.sparkContext.broadcast(bits)), schema)
+    sent = None if bits is None else own.sparkSession.sparkContext.broadcast(bits)
+    if sent is None:
+        texts = texts.join(chosen.select("row"), "row", "left_semi")
+    sets = texts.mapInArrow(_set_arrays(n, clashes, sent), schema)
     # Two texts of one row key have different sets, and equal rows the same: one of the right ones is taken.
     sets = sets.join(chosen, "row").where("made = node").select("node", "grams")
-    return written(sets.dropDuplicates(["node"]), "sets")
+    made = written(sets.dropDuplicates(["node"]), "sets")
+    if sent is not None:
+        sent.destroy()
+    return made
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = batch.column(2), batch.column(3)
-        sizes, common = ([], []), []
+        sizes, common, differ = ([], []), [], []
         for p, q in zip(x, y, strict=True):
             one, two = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
             merged = np.concatenate([one, two])
             merged.sort()
-            common.append(int((merged[1:] == merged[:-1]).sum()))
+            again = merged[1:] == merged[:-1]
+            common.append(int(again.sum()))
+            differ.append(merged[~(np.append(again, False) | np.append(False, again))].tobytes())
             sizes[0].append(len(one)), sizes[1].append(len(two))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (*sizes, common))], names=["a", "b", "size_a", "size_b", "common"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (*sizes, common)), pa.array(differ, pa.binary())], names=["a", "b", "size_a", "size_b", "common", "differ"])
+
+
+_OVERLAPS = "a long, b long, size_a long, size_b long, common long, differ binary"
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact overlaps of the pairs (a, b). A node with very many pairs has its set copied for each few hundred."""
+    """Exact overlaps of the pairs (a, b), and the n-grams that one of the two has. A node with very many pairs has its set copied for each few hundred."""
     copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).cast("int").alias("copies"))
     salted = pairs.join(copies, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).drop("copies")
     left = copies.join(sets, copies.a == sets.node).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("grams").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     rows = salted.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "x", "y")
-    return rows.mapInArrow(_overlaps, "a long, b long, size_a long, size_b long, common long")
+    return rows.mapInArrow(_overlaps, _OVERLAPS)
 
 
 def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
@@ -409,27 +486,42 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(64, size // BUCKET_BYTES))
 
-    made = written(own.mapInArrow(_digests(n), "doc_id long, row long, size long, node long, profile binary, part int, counts binary"), "digests")
-    digests = made.where("part is null").select("doc_id", "row", "size", "node", "profile")
+    made = written(own.mapInArrow(_digests(n), "doc_id long, row long, size long, node long, second long, profile binary, part int, counts binary"), "digests")
     summed = made.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_sum_part, "part int, counts binary").collect()  # PARTS rows, 4 MB
     sketch = np.zeros((PARTS, COUNTERS // PARTS), np.int32)
     for r in summed:
         sketch[r.part] = np.frombuffer(r.counts, np.int32)
+    digests = made.where("part is null").select("doc_id", "row", "size", "node", "second", "profile")
     first = F.min(F.struct("row", "size", "profile"))
-    nodes = written(digests.where("size > 0").groupBy("node").agg(first.alias("x")).select("node", "x.*"), "nodes")
-
-    index = own.select("text").mapInArrow(_prefixes(n, percent, spark.sparkContext.broadcast(sketch.reshape(-1)), buckets), "bucket long, blob binary")
-    found = written(index.groupBy("bucket").applyInArrow(_lists(percent), "list long, a long, b long, size long, pos long"), "lists")
+    nodes = written(digests.where("size > 0").groupBy("node").agg(first.alias("x"), (F.min("second") != F.max("second")).alias("clash")).select("node", "x.*", "clash"), "nodes")
+    # Sets of one name: 10**10 sets have about three such pairs.
+    clashes = np.array([r.node for r in nodes.where("clash").select("node").toLocalIterator()], np.int64)
+    if len(clashes):
+        digests = _renamed(digests, clashes)
+        nodes = written(digests.where("size > 0").groupBy("node").agg(first.alias("x")).select("node", "x.*"), "nodes")
+
+    sent = spark.sparkContext.broadcast((sketch.reshape(-1), clashes))
+    index = own.select("text").mapInArrow(_prefixes(n, percent, sent, buckets, HOT), "bucket long, blob binary, gram long, node long, size long, pos long")
+    hot = bool((sketch > HOT).any())
+    index = written(index, "index") if hot else index  # it is read twice then
+    lists = index.where("bucket is not null").groupBy("bucket").applyInArrow(_lists(percent), "list long, a long, b long, size long, pos long")
+    if hot:
+        lists = lists.union(_hot_lists(index.where("bucket is null").select("gram", "node", "size", "pos"), percent))
+    found = written(lists, "lists")
+    sent.destroy()
     members = found.where("list is not null").groupBy("list", "a", F.col("b").alias("node")).agg(F.first("size").alias("size"), F.min("pos").alias("pos"))
     members = written(members, "members")
 
+    def exact(pairs: DataFrame) -> DataFrame:
+        sets = _fetched(own, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), n, clashes)
+        return written(_compared(pairs, sets), "overlaps")
+
     def answered(pairs: DataFrame) -> DataFrame:
         """Exact overlaps of the pairs that sizes and profiles leave open."""
         side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("profile").alias(f"profile_{c}"))
         rows = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "profile_a", "profile_b")
         rows = written(rows.mapInArrow(_within_profiles(percent), "a long, b long"), "pairs")
-        sets = _fetched(own, nodes, rows.select(F.col("a").alias("node")).union(rows.select("b")).distinct(), n)
-        return written(_compared(rows, sets), "overlaps")
+        return rows.sparkSession.createDataFrame([], _OVERLAPS) if rows.isEmpty() else exact(rows)
 
     def with_labels(classes: DataFrame) -> DataFrame:
         rows = members.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
@@ -439,23 +531,35 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     links = f"100 * common >= {percent} * (size_a + size_b - common)"
     first = answered(found.where("list is null").select("a", "b"))
     linked = first.where(links).select("a", "b")
-    labelled = with_labels(components(linked))
+    classes = components(linked)
+    labelled = with_labels(classes)
 
     # The second leader of a run is the least node that is not in the class of the first.
     lead = labelled.where("node = a").select("list", F.col("label").alias("lead"))
     rest = labelled.join(lead, "list").where("label <> lead").select("list", "node", "label")
     second = rest.groupBy("list").agg(F.min(F.struct("node", "label")).alias("x")).select("list", F.col("x.node").alias("a"), F.col("x.label").alias("own"))
     more = answered(rest.join(second, "list").where("label <> own").select("a", F.col("node").alias("b")))
-    linked = linked.union(more.where(links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    labelled = with_labels(components(linked))
+    more = more.where(links).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if not more.isEmpty():
+        linked = linked.union(more)
+        classes = components(linked)
+        labelled = with_labels(classes)
 
     answers = first.select("a", F.col("b").alias("node"), F.col("common").alias("known"))
     still = labelled.join(answers, ["a", "node"], "left").withColumn("known", F.coalesce("known", F.lit(-1))).join(nodes.select("node", "profile"), "node")
     opened = _parted(still, "list").groupBy("list", "p", "q").applyInArrow(_open_members(percent), "a long, node long").distinct()
-    opened = written(opened.join(labelled.select("node", "label").distinct(), "node"), "open")
-    sets = _fetched(own, nodes, opened.select("node").distinct(), n)
-    last = _parted(opened, "a").join(sets, "node").groupBy("a", "p", "q").applyInArrow(_links_within(percent), "a long, b long")
-    classes = components(written(linked.union(last), "links"))
+    opened = written(opened.join(labelled.select("node", "size", "label").distinct(), "node"), "open")
+    if not opened.isEmpty():
+        # Members whose overlap with the leader the bounds had ruled out as a link still need it to derive the others' from.
+        asked = opened.where("node <> a").select("a", F.col("node").alias("b")).join(first.select("a", "b"), ["a", "b"], "left_anti")
+        asked = written(asked, "pairs")
+        known = first if asked.isEmpty() else first.union(exact(asked))
+        known = known.select("a", F.col("b").alias("node"), "size_a", F.col("common").alias("known"), "differ")
+        own_set = F.col("node") == F.col("a")
+        rows = opened.join(known, ["a", "node"], "left")
+        rows = rows.withColumns({"known": F.when(own_set, F.col("size")).otherwise(F.col("known")), "size_a": F.when(own_set, F.col("size")).otherwise(F.col("size_a")), "differ": F.coalesce("differ", F.lit(b""))})
+        last = _parted(rows, "a").groupBy("a", "p", "q").applyInArrow(_links_within(percent), "a long, b long")
+        classes = components(written(linked.union(last), "links"))
 
     named = digests.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = named.where("size > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first_row"))

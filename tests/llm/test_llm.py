@@ -1,6 +1,7 @@
 """Small cases of the training-data operators against brute force; edge cases of each."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -102,6 +103,52 @@ def test_near_duplicates_of_a_large_group_in_parts(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in made} == components_by_hand(rows, 4, 85)
 
 
+@pytest.mark.parametrize("percent", [85, 100])
+def test_near_duplicates_with_hot_lists(spark, monkeypatch, percent):
+    """Every n-gram of more than three sets is dealt by set; open members are searched in small blocks."""
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 8)
+    rng = random.Random(15)
+    rows = corpus(11, 40)
+    base = prose(rng, 80).split(" ")
+    for i in range(100, 140):
+        own = list(base[: 60 + i % 20])
+        for _ in range(i % 5):
+            own[rng.randrange(len(own))] = f"e{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(3, "again 3"), (None, rows[4][1]), (500, "w1 " * 30_000), (501, "w1 " * 29_999)]
+    made = jaccard_join.near_duplicates(table(spark, rows), n=4, percent=percent).collect()
+    once = {d for d, _ in rows if d is not None and d != 3}
+    want = components_by_hand([r for r in rows if r[0] in once], 4, percent)
+    assert len(made) == len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in made if r.doc_id in once} == want
+    assert [r.component_id for r in made if r.doc_id is None] == [want[rows[4][0]][1]]
+
+
+def test_sets_of_one_name_are_told_apart():
+    import numpy as np
+
+    grams, bounds = np.arange(1, 10, dtype=np.uint64), np.array([0, 4, 9])
+    node, second = jaccard_join._nodes(grams, bounds)
+    again = jaccard_join._nodes(grams, bounds, node[:1])[0]
+    assert again[0] != node[0] and again[1] == node[1] and second[0] != second[1]
+
+
+def test_components_in_one_task():
+    import numpy as np
+
+    rng = random.Random(3)
+    a, b = (np.array([rng.randrange(300) for _ in range(250)]) for _ in range(2))
+    node, least = components.least_nodes(a, b)
+    up = {int(x): {int(x)} for x in node}
+    for x, y in zip(a.tolist(), b.tolist()):
+        if up[x] is not up[y]:
+            up[x] |= up[y]
+            for z in up[y]:
+                up[z] = up[x]
+    assert dict(zip(node.tolist(), least.tolist())) == {x: min(v) for x, v in up.items()}
+
+
 def test_profiles_bound_overlaps():
     import numpy as np
 
@@ -114,7 +161,9 @@ def test_profiles_bound_overlaps():
         assert bound >= len(np.intersect1d(a, b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     links = spark.createDataFrame([(i + 1, i) for i in range(30)] + [(100, 50), (50, 50)], "a long, b long")
     assert {r.node: r.component for r in components.components(links).collect()} == {i: 0 for i in range(31)} | {100: 50, 50: 50}
 
@@ -165,32 +214,80 @@ def test_decontamination(spark):
     assert none.where("n_hit > 0").isEmpty()
 
 
-def test_top_k(spark):
-    rng = random.Random(4)
-    rows = [(i, [float(rng.gauss(0, 1)) for _ in range(6)] if i % 9 else [0.5] * 6) for i in range(300)]
-    bad = [(1000, None), (1001, [float("nan")] * 6), (1002, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1003, [1.0]), (None, [1.0] * 6), (1004, [float("inf")] * 6)]
-    vectors = knn_join.scaled_vectors(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>"))
-    made = knn_join.top_k(vectors, F.col("id") % 10 == 0, k=10, pivots=8).collect()
-    import numpy as np
-
-    v = np.array([np.floor(np.array(x, np.float32).astype(float) * 1024) for _, x in rows])
+def top_by_hand(rows, asked, k):
+    v = {i: [] for i, _ in rows}
+    for i, x in rows:
+        v[i].append([math.floor(c * 1024) for c in x])
     want = []
-    for q in range(0, 300, 10):
-        scores = v @ v[q]
-        order = [i for i in sorted(range(300), key=lambda i: (-scores[i], i)) if i != q][:10]
-        want += [(q, r + 1, i, int(scores[i])) for r, i in enumerate(order)]
-    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in made) == sorted(want)
+    for q in sorted(v):
+        for own in v[q] if q % asked == 0 else ():
+            found = [(-sum(a * b for a, b in zip(own, x)), i) for i in v if i != q for x in v[i] if len(x) == len(own)]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(found)[:k], 1)]
+    return sorted(want)
+
+
+BAD_VECTORS = [(1000, None), (1001, [float("nan")] * 6), (1002, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (None, [1.0] * 6), (1004, [float("inf")] * 6), (1005, [])]
+
+
+def found_top(vectors, asked, **given):
+    made = knn_join.top_k(vectors, F.col("id") % asked == 0, **given).collect()
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in made)
+
+
+def test_top_k(spark, monkeypatch):
+    """Ties, other lengths, bad vectors, a vector that a ninth of the rows share; cells are cut in parts."""
+    rng = random.Random(4)
+    rows = [(i, [float(rng.gauss(0, 1)) for _ in range(6)] if i % 9 else [0.5] * 6) for i in range(300)] + [(1003, [1.0]), (1010, [2.0]), (1011, [2.0])]
+    frame = spark.createDataFrame(rows + BAD_VECTORS, "vec_id long, embedding array<double>").withColumn("cell", F.lit("x"))
+    vectors = knn_join.scaled_vectors(frame)
+    assert found_top(vectors, 10, pivots=8) == top_by_hand(rows, 10, 10)
+    monkeypatch.setattr(knn_join, "CELL_ROWS", 16)
+    monkeypatch.setattr(knn_join, "QUERY_ROWS", 4)
+    assert found_top(vectors, 10) == top_by_hand(rows, 10, 10)
     assert knn_join.top_k(vectors.where("id < 0"), F.col("id") == 0).isEmpty()
+    assert knn_join.top_k(vectors, F.col("id") == -5).isEmpty()
     assert knn_join.top_k(vectors.where("id < 3"), F.col("id") == 0).count() == 2
 
 
-def test_bpe_equals_the_library(spark):
+def test_top_k_of_large_components(spark):
+    """Sums beyond what doubles hold, and beyond 64 bits."""
+    rows = [(10, [3.0e5, 7.0e5]), (1, [3.0e5 + 1 / 1024, 7.0e5]), (2, [3.0e5, 7.0e5]), (3, [-3.0e5, 7.0e5 - 1 / 1024])]
+    frame = lambda x: knn_join.scaled_vectors(spark.createDataFrame(x, "vec_id long, embedding array<double>"))
+    assert found_top(frame(rows), 10, k=3) == top_by_hand(rows, 10, 3)
+    with pytest.raises(Exception, match="64 bits"):
+        found_top(frame([(10, [3.0e12, 1.0]), (1, [3.0e12, 1.0])]), 10)
+
+
+def test_top_k_leaves_far_cells_out(spark):
+    """Clustered vectors: the bounds exclude most pairs of cells, and results stay exact; rows that repeat an id are candidates each."""
+    import numpy as np
+
+    rng = random.Random(9)
+    centres = [[rng.gauss(0, 1) * 40 for _ in range(8)] for _ in range(16)]
+    rows = [(i, [c + rng.gauss(0, 0.05) for c in centres[i % 16]]) for i in range(800)]
+    rows += [(i, [c + 0.01 for c in centres[i % 16]]) for i in range(0, 40, 4)]
+    seen = []
+    keep = knn_join._bounds
+    knn_join._bounds = lambda *given: seen.append((keep(*given).shape[1], len(given[2]) * len(given[3]))) or keep(*given)
+    try:
+        made = found_top(knn_join.scaled_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), 20, k=5, pivots=64)
+    finally:
+        knn_join._bounds = keep
+    # The queries that repeat an id share a result of k rows.
+    once = {q for q, _ in rows if q % 20 == 0 and sum(i == q for i, _ in rows) == 1}
+    assert [r for r in made if r[0] in once] == [r for r in top_by_hand(rows, 20, 5) if r[0] in once]
+    assert seen[0][0] < seen[0][1] / 4
+    assert np.allclose(knn_join._scores(np.array([[3, 4]]), np.array([[1, 2]])), [[11]])
+
+
+@pytest.mark.parametrize("frequent", [0, 20, 1 << 19])
+def test_bpe_equals_the_library(spark, frequent):
     import tiktoken
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = corpus(5) + EDGES + [(70, "x" * 500 + " " + "ab" * 300), (71, "<|endoftext|> 12,345.67  \n\n end's")]
-    made = bpe.decode(bpe.encode(table(spark, rows, extra=True), ranks, public_tokenizers.PATTERN, numbered=50), ranks)
+    made = bpe.decode(bpe.encode(table(spark, rows, extra=True), ranks, public_tokenizers.PATTERN, numbered=50, frequent=frequent), ranks)
     found = made.select("text", "ids", "decoded", "`a.b`").collect()
     assert len(found) == len(rows)
     for r in found:
