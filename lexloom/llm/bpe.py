@@ -14,11 +14,13 @@ shuffled, only counts of words. Rows carry their running number between the two
 steps, and a row out of turn is an error.
 
 Encoding folds the ranked merges of a distinct piece in Spark higher-order
-functions: an array of its bytes with the ranks of its pairs of neighbours, and in
-each step the pair of the least rank is joined and its two new pairs are looked up
-in a literal rank map, until no pair has a rank. Then each document's numbers are
-replaced by the ids of the pieces. Decoding concatenates the pieces of the ids, as
-characters that stand for one byte each.
+functions. A token is written as one character, by its rank, so a piece is a string
+of as many characters as it has bytes, beside a string of the ranks of its pairs of
+neighbours. In each step the least character of the second says which pair to join
+and what it becomes, and its two new pairs are looked up in a literal rank map, until
+no pair has a rank. Then each document's numbers are replaced by the ids of the
+pieces. Decoding concatenates the pieces of the ids, as characters that stand for
+one byte each.
 
 A task forgets its own numbers when there are ``NUMBERED`` of them, so its memory is
 bounded; words that come again are then encoded again.
@@ -46,27 +48,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import written
 
-NUMBERED, FOLD_BYTES, FREQUENT = 1 << 16, 64, 1 << 19
-#: What is counted to find frequent pieces: words with the space before them.
-COUNTED = r" ?\p{L}+"
+NUMBERED, FOLD_BYTES, FREQUENT = 1 << 16, 64, 3 << 18
 #: Maps that the literal rank map is dealt over by hash, so that a look-up reads about three entries.
-RANK_MAPS = 1 << 14
+RANK_MAPS = 1 << 15
+#: Stands for no rank, after all ranks in order.
+NONE = chr(0x10FFFF)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(path).read_bytes().splitlines() if x.strip())}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """Literal array of maps from hex pieces to ranks."""
-    maps: list[dict[str, int]] = [{} for _ in range(RANK_MAPS)]
-    for piece, rank in ranks.items():
-        maps[_class(piece)][piece.hex().upper()] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+def _char(rank: int) -> str:
+    """A character for each rank, in their order; surrogates are left out."""
+    return chr(rank + 1 if rank + 1 < 0xD800 else rank + 1 + 0x800)
 
 
-def _class(piece: bytes) -> int:
-    return zlib.crc32(piece.hex().upper().encode()) % RANK_MAPS
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """Literal array of maps from pairs of tokens to the rank of what they join to."""
+    maps: list[dict[str, str]] = [{} for _ in range(RANK_MAPS)]
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            both = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if None not in both:
+                pair = _char(both[0]) + _char(both[1])
+                maps[zlib.crc32(pair.encode()) % RANK_MAPS][pair] = _char(rank)
+    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"), ensure_ascii=False)), "array<map<string,string>>")
 
 
 def let(x: Column, use) -> Column:
@@ -74,34 +81,39 @@ def let(x: Column, use) -> Column:
     return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
-def fold_merges(piece: Column, ranks: Column) -> Column:
-    """Ids of a piece (a string), by repeated merges of the neighbours of least rank, leftmost first."""
+def fold_merges(piece: Column, bytes_as: str, maps: Column) -> Column:
+    """Ids of a piece (a string), by repeated merges of the neighbours of least rank, leftmost first; bytes_as: the tokens of the 256 bytes."""
+    none, one = F.lit(NONE), F.lit(1)
 
-    def rank(x: Column) -> Column:
-        return F.get(ranks, F.pmod(F.crc32(x), F.lit(RANK_MAPS)).cast("int"))[x]
+    def rank(pair: Column) -> Column:
+        return F.coalesce(F.get(maps, F.pmod(F.crc32(pair), F.lit(RANK_MAPS)).cast("int"))[pair], none)
 
     def step(state: Column, _: Column) -> Column:
         parts, pairs = state["parts"], state["pairs"]  # pairs: rank of each part joined with the next
-        at = F.array_position(pairs, F.array_min(pairs)).cast("int")
 
-        def merged(at: Column) -> Column:
-            joined = F.concat(F.get(parts, at - 1), F.get(parts, at))
-            before = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), joined)))).otherwise(none)
-            after = F.when(at + 1 < F.size(parts), F.array(rank(F.concat(joined, F.get(parts, at + 1))))).otherwise(none)
-            left, right = F.slice(parts, F.lit(1), at - 1), F.slice(parts, at + 2, F.size(parts))
-            ranked = F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(pairs, at + 2, F.size(parts)))
-            return F.struct(F.concat(left, F.array(joined), right).alias("parts"), ranked.alias("pairs"))
+        def joined(token: Column):
+            def at(i: Column) -> Column:
+                new = F.concat(rank(F.concat(F.substring(parts, i - 1, one), token)), rank(F.concat(token, F.substring(parts, i + 2, one))))
+                return F.struct(F.overlay(parts, token, i, F.lit(2)).alias("parts"), F.overlay(pairs, new, i - 1, F.lit(3)).alias("pairs"))
 
-        return F.when(F.array_min(pairs).isNull(), state).otherwise(let(at, merged))
+            return at
+
+        return let(F.array_min(F.split(pairs, "")), lambda token: F.when(token == none, state).otherwise(let(F.instr(pairs, token), joined(token))))
 
-    none = F.array().cast("array<int>")
-    whole = F.hex(piece)
     n = F.octet_length(piece)
-    # The bytes, two hexadecimal digits each.
-    single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(whole, i * 2 + 1, F.lit(2)))
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.substring(whole, i * 2 + 1, F.lit(4))))).otherwise(none)
-    folded = F.aggregate(F.sequence(F.lit(1), n), F.struct(single.alias("parts"), pairs.alias("pairs")), step, lambda s: s["parts"])
-    return F.transform(folded, rank)
+    latin = "".join(map(chr, range(256)))
+    # A part at both ends that joins with nothing, so that each merge has neighbours.
+    single = F.concat(none, F.translate(F.decode(piece.cast("binary"), "ISO-8859-1"), latin, bytes_as), none)
+    ranked = lambda x: F.array_join(F.transform(F.sequence(one, n + 1), lambda i: rank(F.substring(x, i, F.lit(2)))), "")
+    start = let(single, lambda x: F.struct(x.alias("parts"), ranked(x).alias("pairs")))
+    folded = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, step, lambda s: s["parts"])
+    inner = let(folded, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    code = lambda c: F.ascii(c) - F.when(F.ascii(c) < 0xD800, 1).otherwise(0x801)
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.split(inner, ""), code))
+
+
+def byte_tokens(ranks: dict[bytes, int]) -> str:
+    return "".join(_char(ranks[bytes([b])]) for b in range(256))
 
 
 def _heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -137,10 +149,11 @@ def _lists(flat: np.ndarray, ends: list[int] | np.ndarray) -> pa.ListArray:
 
 
 def frequent_pieces(texts: DataFrame, ranks: dict[bytes, int], literal: Column, most: int = FREQUENT) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """At most ``most`` words (column text_) that come more than once, their ids one after another, and how many each has."""
-    each = texts.select(F.explode(F.regexp_extract_all("text_", F.lit(COUNTED), F.lit(0))).alias("piece"))
-    each = each.where(F.octet_length("piece").between(2, FOLD_BYTES))
-    counted = written(each.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1"), "pieces")
+    """At most ``most`` words between spaces (column text_) that come more than once, their ids one after another, and how many each has."""
+    each = texts.select(F.explode(F.split("text_", " ")).alias("word")).where(F.octet_length("word").between(1, FOLD_BYTES - 1))
+    words = each.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").where(F.col("word").rlike(r"^\p{L}+$"))
+    # Between spaces, a word is a piece together with the space before it.
+    counted = written(words.select(F.concat(F.lit(" "), "word").alias("piece"), "n"), "pieces")
     level = F.floor(F.log2("n") * 8).cast("int")
     left, least, rows = most, None, 0
     for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):  # 8 * 63 rows at most
@@ -151,7 +164,7 @@ def frequent_pieces(texts: DataFrame, ranks: dict[bytes, int], literal: Column,
     if least is None:
         return [], np.zeros(0, np.int32), np.zeros(0, np.int64)
     dealt = counted.where(level >= least).select("piece").repartition(max(1, rows // 8192), "piece")
-    made = dealt.select("piece", let(literal, lambda r: fold_merges(F.col("piece"), r)).alias("ids")).toArrow().combine_chunks()
+    made = dealt.select("piece", let(literal, lambda r: fold_merges(F.col("piece"), byte_tokens(ranks), r)).alias("ids")).toArrow().combine_chunks()
     whole = [x.encode() not in ranks for x in made.column("piece").to_pylist()]
     made = made.filter(pa.array(whole, pa.bool_()))
     ids, many = _flat(pa.concat_arrays(made.column("ids").chunks)) if made.num_rows else (np.zeros(0, np.int32), np.zeros(0, np.int64))
@@ -265,7 +278,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     words, ids, many = frequent_pieces(plain.select("text_"), ranks, literal, frequent)
     sent = docs.sparkSession.sparkContext.broadcast((ranks, "\n".join(words), ids, many))
     met = plain.mapInArrow(_numbered(pattern, sent, names, numbered), schema + "place long, fresh boolean, pieces array<string>, done array<array<int>>, numbers array<int>")
-    encoded = let(literal, lambda r: F.zip_with("pieces", "done", lambda piece, done: F.coalesce(done, fold_merges(piece, r))))
+    encoded = let(literal, lambda r: F.zip_with("pieces", "done", lambda piece, done: F.coalesce(done, fold_merges(piece, byte_tokens(ranks), r))))
     ready = met.select(*names, "place", "fresh", encoded.alias("encoded"), "numbers")
     made = ready.mapInArrow(_put_together(names, sent), schema + "ids array<int>")
     return made.toDF(*kept, "ids")
