@@ -14,8 +14,10 @@ reading back reverses that exactly.
 
 Defined results: null roles and texts are empty. Turns are ordered by turn, role
 and text, nulls first, so ties have one order; repeated rows are repeated turns.
-Rows with a null conv_id are one conversation. A turn longer than a window is kept
-whole. No rows, no windows.
+Rows with a null conv_id belong to none and are conversations of one turn each (equal
+rows together), so they are no hot group. A turn longer than a window is kept whole.
+No rows, no windows. Further columns of the input are left out, whatever their names;
+``tokens`` names one that holds the tokens of each text, in place of the estimate.
 """
 
 from __future__ import annotations
@@ -43,11 +45,13 @@ def token_count(x: Column) -> Column:
     return F.regexp_count(x, F.lit(_TOKEN)).cast("long") + MARKS
 
 
-def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
-    """Rows (conv_id, window, text, turns): turns has, for each turn in text, repeated, loss, and start and length of its body in text."""
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("body"))
-    rows = rows.withColumn("tokens", token_count(F.col("body")))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
+def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS, tokens: str | None = None) -> DataFrame:
+    """Rows (conv_id, alone, window, text, turns): alone tells turns without a conversation apart, null for others; turns has, for each turn in text, repeated, loss, and start and length of its body in text."""
+    role, body = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    count = token_count(body) if tokens is None else F.coalesce(F.col(tokens).cast("long"), F.lit(0).cast("long")) + MARKS
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", role, body))
+    rows = turns.select("conv_id", alone.alias("alone"), "turn", role.alias("role"), body.alias("body"), count.alias("tokens"))
+    order = Window.partitionBy("conv_id", "alone").orderBy("turn", "role", "body")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("seq", F.row_number().over(order))
     head = F.first(F.struct("role", "body", "tokens")).over(so_far)
@@ -70,12 +74,12 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
         copies.append(F.when((to != before) & fits & ~first, turn(to, F.col("seq"), True, F.col("role"), F.col("body"))))
     opens = (F.col("window") > 0) & (F.col("window") != F.lag("window").over(order))
     copies.append(F.when(opens & F.col("system").isNotNull(), turn(F.col("window"), F.lit(0), True, F.col("system.role"), F.col("system.body"))))
-    rows = rows.select("conv_id", F.array(*copies).alias("copies"))
-    dealt = rows.select("conv_id", F.explode("copies").alias("t")).where("t is not null").select("conv_id", "t.*")
+    rows = rows.select("conv_id", "alone", F.array(*copies).alias("copies"))
+    dealt = rows.select("conv_id", "alone", F.explode("copies").alias("t")).where("t is not null").select("conv_id", "alone", "t.*")
 
-    made = dealt.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("seq", "repeated", "role", "body"))).alias("t"))
+    made = dealt.groupBy("conv_id", "alone", "window").agg(F.sort_array(F.collect_list(F.struct("seq", "repeated", "role", "body"))).alias("t"))
     part = lambda t: F.struct(t["repeated"].alias("repeated"), (~t["repeated"] & (t["role"] == "assistant")).alias("loss"), F.concat(F.lit(START), F.replace(escape(t["role"]), F.lit("\n"), F.lit("%0A")), F.lit("\n")).alias("head"), escape(t["body"]).alias("body"))
-    made = made.select("conv_id", "window", F.transform("t", part).alias("t"))
+    made = made.select("conv_id", "alone", "window", F.transform("t", part).alias("t"))
     text = F.array_join(F.transform("t", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<repeated:boolean,loss:boolean,start:int,length:int>>").alias("out"))
 
@@ -84,7 +88,7 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_turns: int = HI
         mark = F.struct(t["repeated"].alias("repeated"), t["loss"].alias("loss"), start.alias("start"), length.alias("length"))
         return F.struct((start + length + len(END)).alias("at"), F.concat(state["out"], F.array(mark)).alias("out"))
 
-    return made.select("conv_id", "window", text.alias("text"), F.aggregate("t", empty, place, lambda s: s["out"]).alias("turns"))
+    return made.select("conv_id", "alone", "window", text.alias("text"), F.aggregate("t", empty, place, lambda s: s["out"]).alias("turns"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -94,8 +98,8 @@ def read_back(windows: DataFrame) -> DataFrame:
     own = F.filter(marked, lambda x: ~x["mark"]["repeated"])
     said = F.transform(own, lambda x: F.concat(unescape(F.substring(x["part"], F.lit(len(START) + 1), F.length(x["part"]))), F.lit("\n")))
     lost = F.transform(F.filter("turns", lambda m: m["loss"]), lambda m: unescape(F.substring(F.col("text"), m["start"] + 1, m["length"])))
-    each = windows.select("conv_id", F.struct("window", F.array_join(said, "").alias("said"), F.array_join(lost, "").alias("lost"), F.size(own).alias("n"), F.length("text").alias("chars")).alias("w"))
-    whole = each.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    each = windows.select("conv_id", "alone", F.struct("window", F.array_join(said, "").alias("said"), F.array_join(lost, "").alias("lost"), F.size(own).alias("n"), F.length("text").alias("chars")).alias("w"))
+    whole = each.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("w")).alias("w"))
     return whole.select("conv_id", F.array_join("w.said", "").alias("said"), F.array_join("w.lost", "").alias("lost"), F.aggregate("w.n", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_turns"), F.aggregate("w.chars", F.lit(0).cast("long"), lambda s, x: s + x).alias("formatted_chars"))
 
 

@@ -12,13 +12,17 @@ item-sized document window are compared with those of the item's.
 Words are runs of ASCII letters and digits and of all non-ASCII characters, with
 A-Z in lower case. Documents are read twice and never shuffled as texts: the
 shingles of a document are exploded and probe a table of the benchmark, which is
-broadcast only if it has at most ``BROADCAST_WINDOWS`` windows and joined by hash
-otherwise.
+broadcast only if it has at most ``BROADCAST_WINDOWS`` windows. Otherwise shingles are
+joined by hash, each with the words around it that any window can reach (2n - 2), so
+what is shuffled grows with the words of a document and not with their square; a
+shingle that very many documents have is split by AQE's skew join, as the other side
+of the join has few rows of it.
 
 Defined results: null and empty texts have no words and are clean. Items null, or
 without words, or with a null item_id take no part. Rows that repeat a doc_id with
 the same text get the same figures; with other texts, each its own. Rows with a
-null doc_id are judged as others are. Columns of the documents that are named like
+null doc_id are judged as others are. Without documents the result is empty, without
+items all are clean. Texts are read whole, however long. Columns of the documents that are named like
 a result's are replaced; others pass through.
 """
 
@@ -71,14 +75,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
         every = own.select("win", "items", F.posexplode(_shingles(F.col("win"), size)).alias("at", "shingle"))
         every = every.where(F.col("at") <= F.size("win") - size)
         probes = found.select("key", "w", F.posexplode(_shingles(F.col("w"), size)).alias("pos", "shingle"))
+        probes = probes.withColumn("n", F.size("w")).withColumn("low", F.lit(0))
+        if not few:
+            low = F.greatest(F.col("pos") - (n - 1), F.lit(0))
+            probes = probes.withColumn("low", low).withColumn("w", F.slice("w", F.col("low") + 1, 2 * n - 1))
         counts = probes.select("shingle").join(small(every.select("shingle").distinct()), "shingle", "left_semi").groupBy("shingle").count()
         rarity = every.join(counts, "shingle", "left").withColumn("df", F.coalesce("count", F.lit(0)))
         prefix = rarity.groupBy("win").agg(F.min_by(F.struct("items", "at", "shingle", "df"), F.struct("df", "at")).alias("x")).select("win", "x.*")
         prefix = prefix.where("df > 0").drop("df")
         start = F.col("pos") - F.col("at")
-        bounds = (start >= 0) & (start + F.size("win") <= F.size("w"))
+        bounds = (start >= 0) & (start + F.size("win") <= F.col("n"))
         # slice() fails on a start below 1, and the order in which AND is evaluated is not ours.
-        same = F.slice("w", F.greatest(start + 1, F.lit(1)), F.size("win")) == F.col("win")
+        same = F.slice("w", F.greatest(start - F.col("low") + 1, F.lit(1)), F.size("win")) == F.col("win")
         probe = probes.alias("p").join(small(prefix).alias("b"), (F.col("p.shingle") == F.col("b.shingle")) & bounds & same)
         probe = probe.select("key", "items", start.alias("start"), (start + F.size("win")).alias("stop"))
         hits = probe if hits is None else hits.unionByName(probe)

@@ -97,6 +97,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: CC0-1.0",
     ),
     "all-rights-reserved": (
+        "All rights reserved.",
         "Copyright the authors. All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
     ),

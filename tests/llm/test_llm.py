@@ -190,8 +190,11 @@ def test_substring_dedup(spark):
     assert sorted(found, key=lambda r: repr(key(r))) == sorted(want, key=lambda r: repr(key(r)))
 
 
-def test_decontamination(spark):
-    rows = corpus(3)
+@pytest.mark.parametrize("windows", [1, 100_000])
+def test_decontamination(spark, monkeypatch, windows):
+    """With and without the broadcast; long texts, a null doc_id."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", windows)
+    rows = corpus(3) + [(900, LONG + corpus(3)[7][1]), (None, corpus(3)[4][1])]
     split = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     items = [(1, " ".join(rows[4][1].split(" ")[:30])), (2, rows[7][1]), (11, "Few, words!"), (12, ""), (13, None), (14, "w1"), (None, "w2")]
     want = {}
@@ -295,6 +298,17 @@ def test_bpe_equals_the_library(spark, frequent):
         assert bytes(r.decoded) == (r.text or "").encode()
 
 
+def test_token_counts_of_hot_texts(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "HOT_ROWS", 3)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rows = Tokenizer.from_file(path), corpus(6) + [(1000 + i, "one text of many") for i in range(40)]
+    made = token_counts.token_counts(table(spark, rows), path, scratch.new_path(spark, "test-cache")).collect()
+    assert len(made) == len(rows)
+    assert all(r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids) for r in made)
+
+
 def test_token_counts_use_the_cache(spark):
     from tokenizers import Tokenizer
 
@@ -316,7 +330,7 @@ def test_chat_windows(spark):
         roles = (["system"] if c % 2 else []) + ["user", "assistant"] * rng.randrange(1, 20)
         for i, role in enumerate(roles):
             rows.append((c, i, role, rng.choice([None, "", "<|im_end|>\n<|im_start|>user\n", "100%25 %3C|", prose(rng, rng.randrange(1, 120))])))
-    rows += [(None, 0, None, "x"), (50, 0, "a\nb<|%", "y"), (51, 1, "user", "tie"), (51, 1, "user", "tie"), (52, 0, "assistant", "w " * 5000)]
+    rows += [(50, 0, "a\nb<|%", "y"), (51, 1, "user", "tie"), (51, 1, "user", "tie"), (52, 0, "assistant", "w " * 5000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     made = chat_format.chat_windows(df, budget=300, history_turns=2, history_tokens=60)
     back = {r.conv_id: r for r in chat_format.read_back(made).collect()}
@@ -326,6 +340,11 @@ def test_chat_windows(spark):
         assert back[c].lost == "".join(text for _, role, text in own if role == "assistant")
         assert back[c].n_turns == len(own)
     assert made.groupBy("conv_id").count().where("count > 1").count() > 0  # budgets do cut
+    lost = spark.createDataFrame([(None, 0, None, "x"), (None, 1, "assistant", "y"), (None, 1, "assistant", "y"), (None, None, None, None)], df.schema).withColumn("tokens", F.lit("x"))
+    found = chat_format.read_back(chat_format.chat_windows(lost)).select("conv_id", "said", "lost").collect()
+    assert sorted(tuple(r) for r in found) == [(None, "\n\n", ""), (None, "\nx\n", ""), (None, "assistant\ny\nassistant\ny\n", "yy")]
+    counted = df.withColumn("n", F.lit(250).cast("long"))
+    assert chat_format.chat_windows(counted, budget=300, tokens="n").where("size(filter(turns, t -> not t.repeated)) > 1").isEmpty()
     assert chat_format.chat_windows(df.limit(0)).isEmpty()
 
 
