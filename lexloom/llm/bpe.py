@@ -44,13 +44,14 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import written
 
-NUMBERED, FOLD_BYTES, FREQUENT = 1 << 16, 64, 3 << 18
-#: Maps that the literal rank map is dealt over by hash, so that a look-up reads about three entries.
-RANK_MAPS = 1 << 15
+NUMBERED, FOLD_BYTES, FREQUENT = 1 << 16, 64, 1 << 19
+#: Strings that the literal rank map is dealt over by hash, so that a look-up reads about six entries.
+RANK_CLASSES = 1 << 14
 #: Stands for no rank, after all ranks in order.
 NONE = chr(0x10FFFF)
 
@@ -65,15 +66,15 @@ def _char(rank: int) -> str:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """Literal array of maps from pairs of tokens to the rank of what they join to."""
-    maps: list[dict[str, str]] = [{} for _ in range(RANK_MAPS)]
+    """Literal rank map from pairs of tokens to what they join to: an array of strings, each of entries NONE, pair, rank, and NONE at its end."""
+    classes = [""] * RANK_CLASSES
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             both = ranks.get(piece[:i]), ranks.get(piece[i:])
             if None not in both:
                 pair = _char(both[0]) + _char(both[1])
-                maps[zlib.crc32(pair.encode()) % RANK_MAPS][pair] = _char(rank)
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"), ensure_ascii=False)), "array<map<string,string>>")
+                classes[zlib.crc32(pair.encode()) % RANK_CLASSES] += NONE + pair + _char(rank)
+    return F.from_json(F.lit(json.dumps([x + NONE for x in classes], separators=(",", ":"), ensure_ascii=False)), "array<string>")
 
 
 def let(x: Column, use) -> Column:
@@ -86,7 +87,9 @@ def fold_merges(piece: Column, bytes_as: str, maps: Column) -> Column:
     none, one = F.lit(NONE), F.lit(1)
 
     def rank(pair: Column) -> Column:
-        return F.coalesce(F.get(maps, F.pmod(F.crc32(pair), F.lit(RANK_MAPS)).cast("int"))[pair], none)
+        # What follows the entry's pair; without an entry that is all of the string, which begins with NONE.
+        own = F.get(maps, F.pmod(F.crc32(pair), F.lit(RANK_CLASSES)).cast("int"))
+        return F.substring(F.call_function("substring_index", own, F.concat(none, pair), F.lit(-1)), one, one)
 
     def step(state: Column, _: Column) -> Column:
         parts, pairs = state["parts"], state["pairs"]  # pairs: rank of each part joined with the next
@@ -148,7 +151,7 @@ def _lists(flat: np.ndarray, ends: list[int] | np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat, pa.int32()))
 
 
-def frequent_pieces(texts: DataFrame, ranks: dict[bytes, int], literal: Column, most: int = FREQUENT) -> tuple[list[str], np.ndarray, np.ndarray]:
+def frequent_pieces(texts: DataFrame, ranks: dict[bytes, int], literal: Column, most: int = FREQUENT) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """At most ``most`` words between spaces (column text_) that come more than once, their ids one after another, and how many each has."""
     each = texts.select(F.explode(F.split("text_", " ")).alias("word")).where(F.octet_length("word").between(1, FOLD_BYTES - 1))
     words = each.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").where(F.col("word").rlike(r"^\p{L}+$"))
@@ -162,13 +165,15 @@ def frequent_pieces(texts: DataFrame, ranks: dict[bytes, int], literal: Column,
             break
         least, rows = r.level, rows + r["count"]
     if least is None:
-        return [], np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
     dealt = counted.where(level >= least).select("piece").repartition(max(1, rows // 8192), "piece")
     made = dealt.select("piece", let(literal, lambda r: fold_merges(F.col("piece"), byte_tokens(ranks), r)).alias("ids")).toArrow().combine_chunks()
-    whole = [x.encode() not in ranks for x in made.column("piece").to_pylist()]
-    made = made.filter(pa.array(whole, pa.bool_()))
-    ids, many = _flat(pa.concat_arrays(made.column("ids").chunks)) if made.num_rows else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    return made.column("piece").to_pylist(), ids.astype(np.int32), many
+    ranked = pa.array([y for x in ranks if x.decode(errors="ignore").encode() == x and (y := x.decode())], pa.string())
+    made = made.filter(pc.invert(pc.is_in(made.column("piece"), ranked))).combine_chunks()
+    if not made.num_rows:
+        return pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    ids, many = _flat(made.column("ids").chunk(0))
+    return made.column("piece").chunk(0), ids.astype(np.int32), many
 
 
 def _numbered(pattern: str, sent, names: list[str], numbered: int):
@@ -178,7 +183,7 @@ def _numbered(pattern: str, sent, names: list[str], numbered: int):
         import regex
 
         find, (ranks, words, _, _) = regex.compile(pattern).findall, sent.value
-        known = {x: i for i, x in enumerate(words.split("\n"))} if words else {}
+        known = {x: i for i, x in enumerate(words.to_pylist())}
         base, own, place = len(known), [], 0
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
@@ -276,7 +281,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     schema = "".join(f"{c} {kind}, " for c, kind in plain.dtypes[: len(names)])
     literal = rank_map(ranks)
     words, ids, many = frequent_pieces(plain.select("text_"), ranks, literal, frequent)
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, "\n".join(words), ids, many))
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, words, ids, many))
     met = plain.mapInArrow(_numbered(pattern, sent, names, numbered), schema + "place long, fresh boolean, pieces array<string>, done array<array<int>>, numbers array<int>")
     encoded = let(literal, lambda r: F.zip_with("pieces", "done", lambda piece, done: F.coalesce(done, fold_merges(piece, byte_tokens(ranks), r))))
     ready = met.select(*names, "place", "fresh", encoded.alias("encoded"), "numbers")
