@@ -12,25 +12,34 @@ def fingerprint(text: Column) -> Column:
 
 
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(script, fn, status) of tables (script, fn, fp): same, changed, moved to another script, missing or added."""
+    """(script, fn, status) of tables (script, fn, fp): same, changed, moved, missing or added.
+
+    A function that its script lacks is looked up by name in the others: there it is
+    moved with the same fingerprint, else changed.
+    """
     a, b = (df.select("script", "fn", F.col("fp").alias(n)) for df, n in ((old, "old_fp"), (new, "new_fp")))
     both = a.join(b, ["script", "fn"], "full_outer")
-    place = new.groupBy("fn").agg(F.min("script").alias("other"))
-    known = old.select("fn").distinct().withColumn("known", F.lit(True))
-    both = both.join(place, "fn", "left").join(known, "fn", "left")
+    elsewhere = new.groupBy("fn").agg(F.min_by("fp", "script").alias("other_fp"))
+    both = both.join(elsewhere, "fn", "left")
+    there = F.col("old_fp") == F.col("other_fp")
     status = (
-        F.when(F.col("new_fp").isNull(), F.when(F.col("other").isNotNull(), "moved").otherwise("missing"))
-        .when(F.col("old_fp").isNull(), F.when(F.col("known"), "moved").otherwise("added"))
+        F.when(F.col("old_fp").isNull(), "added")
+        .when(F.col("new_fp").isNull(), F.when(F.col("other_fp").isNull(), "missing").when(there, "moved").otherwise("changed"))
         .when(F.col("old_fp") == F.col("new_fp"), "same")
         .otherwise("changed")
     )
     return both.select("script", "fn", status.alias("status"))
 
 
+def compare_totals(compared: DataFrame) -> DataFrame:
+    """(status, n, scripts) of a comparison."""
+    return compared.groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("script").alias("scripts"))
+
+
 def overlap(versions: DataFrame, state: DataFrame) -> DataFrame:
-    """(version, overlap): share of equal fingerprints among the functions that both have."""
-    both = versions.join(state.select("script", "fn", F.col("fp").alias("now")), ["script", "fn"])
-    return both.groupBy("version").agg(F.avg((F.col("fp") == F.col("now")).cast("double")).alias("overlap"))
+    """(version, overlap): share of all functions of a version that the state has with the same fingerprint."""
+    both = versions.join(state.select("script", "fn", F.col("fp").alias("now")), ["script", "fn"], "left")
+    return both.groupBy("version").agg(F.avg(F.coalesce(F.col("fp") == F.col("now"), F.lit(False)).cast("double")).alias("overlap"))
 
 
 def closest(overlaps: DataFrame, least: float = 0.5) -> DataFrame:

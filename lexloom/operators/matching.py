@@ -4,26 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import codes
+
 # Fixed value: the characters of words, for the boundaries of terms.
 WORD = r"[\wÀ-ɏ]"
 
 
+def _tokens(x: Column) -> Column:
+    """Words and what stands between them, one after another."""
+    return F.regexp_extract_all(x, F.lit(f"({WORD}+|[^{WORD[1:-1]}]+)"), F.lit(1))
+
+
 def term_hits(rows: DataFrame, terms: DataFrame, keys: list[str], text: str = "text", longest: int | None = None) -> DataFrame:
-    """(keys, src, pos): terms that stand in a text at word boundaries; pos is the first word's place.
+    """(keys, src, pos): terms that stand in a text, letter by letter, at word boundaries; pos is the first word's place.
 
-    A text's runs of as many words as the terms have are joined to the terms' own
-    words, so the join is by hash and not by a scan of all terms for each text. Case
-    matters. Terms of more than ``longest`` words are left out where it is given.
+    A text's runs of as many words as the terms have, with what stands between them,
+    are joined to the terms, so the join is by hash and not by a scan of all terms for
+    each text. Case matters. Terms begin and end with a word's character. Terms of more
+    than ``longest`` words are left out where it is given.
     """
-    split = lambda x: F.regexp_extract_all(x, F.lit(f"({WORD}+)"), F.lit(1))
-    wanted = terms.where(~F.col("src").rlike(r"[\\\[\]]")).select("src", split(F.col("src")).alias("tw")).where("size(tw) > 0")
+    wanted = terms.where(~F.col("src").rlike(r"[\\\[\]]") & F.col("src").rlike(f"^{WORD}(.*{WORD})?$")).select("src", F.size(_tokens(F.col("src"))).alias("n"))
     if longest is not None:
-        wanted = wanted.where(F.size("tw") <= longest)
-    sizes = wanted.agg(F.collect_set(F.size("tw")).alias("sizes"))
-    own = rows.select(*keys, split(F.col(text)).alias("w")).crossJoin(F.broadcast(sizes))
-    grams = F.flatten(F.transform("w", lambda _, i: F.transform(F.filter("sizes", lambda n: i + n <= F.size("w")), lambda n: F.struct(i.alias("pos"), F.array_join(F.slice("w", i + 1, n), " ").alias("gram")))))
+        wanted = wanted.where(F.col("n") < 2 * longest)
+    sizes = wanted.agg(F.collect_set("n").alias("sizes"))
+    own = rows.select(*keys, _tokens(F.col(text)).alias("w")).crossJoin(F.broadcast(sizes))
+    begins = lambda i: F.get("w", i).rlike(f"^{WORD}")
+    grams = F.flatten(F.transform("w", lambda _, i: F.transform(F.filter("sizes", lambda n: begins(i) & (i + n <= F.size("w"))), lambda n: F.struct(F.floor(i / 2).cast("int").alias("pos"), F.array_join(F.slice("w", i + 1, n), "").alias("gram")))))
     flat = own.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.*")
-    return flat.join(wanted.select("src", F.array_join("tw", " ").alias("gram")).distinct(), "gram").select(*keys, "src", "pos")
+    return flat.join(wanted.select("src").distinct(), F.col("gram") == F.col("src")).select(*keys, "src", "pos")
 
 
 def first_term(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,8 +71,13 @@ def with_fallback(rows: DataFrame, layers: list[tuple[DataFrame, list[str]]], va
     return out.withColumn(value, F.coalesce(*found, default)).drop(*found)
 
 
-def prefix_mismatch(src: Column, dst: Column, code: str = r"\\[A-Za-z]+") -> Column:
-    """Control codes of the source that the translation has not, in another order of occurrence, as pairs a>b."""
-    a, b = (F.regexp_extract_all(x, F.lit(f"({code})"), F.lit(1)) for x in (src, dst))
-    paired = F.zip_with(a, b, lambda p, q: F.when(~p.eqNullSafe(q), F.concat(F.coalesce(p, F.lit("")), F.lit(">"), F.coalesce(q, F.lit("")))))
-    return F.filter(paired, lambda p: p.isNotNull())
+def known_prefix(rows: DataFrame, prefixes: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, prefix, dst, rest): the longest known prefix that ends with one of the control codes at the start of a text.
+
+    Each text offers its own prefixes, one for each leading code, so the lookup is a join by hash.
+    """
+    x = F.col(text)
+    own = rows.select(*keys, x.alias("text_"), F.explode(F.transform(codes.boundaries(x), lambda n: F.substring(x, F.lit(1), n))).alias("prefix"))
+    found = own.join(prefixes.select("prefix", "dst"), "prefix")
+    best = found.groupBy(*keys).agg(F.max_by(F.struct("prefix", "dst", F.expr("substring(text_, length(prefix) + 1)").alias("rest")), F.length("prefix")).alias("x"))
+    return best.select(*keys, "x.*")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+
+from ..sources import text as source
 
 
 @F.pandas_udf(T.DoubleType())
@@ -20,29 +22,39 @@ def line_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-def pair_lines(rows: DataFrame, key: str, link: Column | None = None) -> DataFrame:
-    """Every line and its ``role``: source, target or special; greedy from the top of each file.
+def pair_lines(rows: DataFrame, key: str, near: float | None = None) -> DataFrame:
+    """Every line, its ``bare`` text without white space at the ends, ``role`` and, of a special line, ``reason``.
 
-    A line that links with the next one (equal texts, unless ``link`` says
-    otherwise) takes it as its target. In each run of links the lines at even places
-    take the next, so the greedy walk is a count within the run.
+    Blank, block, number and separator lines and the comments of the header are
+    skipped. From the top of each file, a line takes the next one as its target where
+    both are equal or, with ``near``, alike to that degree; a line without target is
+    special. In each run of links the lines at even places take the next, so the greedy
+    walk is a count within the run.
     """
     order = Window.partitionBy(key).orderBy("line_no")
-    following = F.lead("line").over(order)
-    rows = rows.withColumn("next_line", following)
-    same = (F.trim("line") != "") & (F.col("line") == F.col("next_line")) if link is None else link
-    rows = rows.withColumn("links", F.coalesce(same, F.lit(False)))
+    rows = source.with_header(rows, key).withColumn("bare", source.strip(F.col("line")))
+    kind = F.when(F.col("bare") == "", "blank").when(source.is_block(F.col("bare")), "block").when(source.is_separator(F.col("bare")), "separator").when(source.is_number(F.col("bare")), "number").otherwise("text")
+    rows = rows.withColumn("kind", kind)
+    rows = rows.withColumn("takes", (F.col("kind") == "text") & ~(F.col("in_header") & F.col("bare").startswith("#")))
+    rows = rows.withColumns({"next_line": F.lead("bare").over(order), "next_kind": F.lead("kind").over(order)})
+    same = F.col("bare") == F.col("next_line")
+    if near is not None:
+        like = F.when(F.col("takes") & ~same & (F.col("next_kind") == "text"), line_similarity(F.col("bare"), F.col("next_line")))
+        same = same | (F.coalesce(like, F.lit(0.0)) >= near)
+    rows = rows.withColumn("links", F.coalesce(F.col("takes") & same, F.lit(False)))
     ends = F.sum((~F.col("links")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("run", F.coalesce(ends, F.lit(0)))
     place = F.row_number().over(Window.partitionBy(key, "run").orderBy("line_no")) - 1
-    role = F.when(place % 2 == 1, "target").when(F.col("links"), "source").otherwise("special")
-    return rows.withColumn("role", role).drop("links", "run")
+    role = F.when(place % 2 == 1, "target").when(F.col("links"), "source").when(F.col("takes"), "special").otherwise("skipped")
+    why = F.when(F.col("next_kind").isNull(), "end").when(F.col("next_kind") == "text", "differs").otherwise(F.col("next_kind"))
+    rows = rows.withColumn("role", role).withColumn("reason", F.when(F.col("role") == "special", why))
+    return rows.drop("links", "run", "in_header", "kind", "takes", "next_kind")
 
 
 def write_back(rows: DataFrame, key: str, cache: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """Lines with the targets replaced: by line number (manual), else by source text (cache), else kept; indents stay."""
     paired = pair_lines(rows, key)
-    out = paired.join(cache.select(F.col("src").alias("line"), F.col("dst").alias("from_cache")), "line", "left")
+    out = paired.join(cache.select(F.col("src").alias("bare"), F.col("dst").alias("from_cache")), "bare", "left")
     if manual is not None:
         out = out.join(manual.select(key, "line_no", F.col("dst").alias("by_hand")), [key, "line_no"], "left")
     else:

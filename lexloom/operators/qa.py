@@ -6,50 +6,60 @@ from collections import Counter
 from heapq import heappop, heappush
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Words of the checks' alphabet, placeholders and pairs of punctuation.
-LATIN_WORD = "[A-Za-zÁÉÍÓÚÑÜáéíóúñü]{3,}"
-PLACEHOLDER = r"@\s*\d+\s*@"
-PAIRS = (("(", ")"), ("[", "]"), ("{", "}"), ("“", "”"), ("「", "」"))
-SINGLE = ('"',)
-SYMBOLS = {"control": r"\\[A-Za-z]+", "tag": r"<[^<>]*>", "brace": r"\{[^{}]*\}"}
+from ..sources.text import strip
+from . import codes
 
-
-def occurrences(x: Column, part: str) -> Column:
-    return F.floor((F.length(x) - F.length(F.replace(x, F.lit(part), F.lit("")))) / len(part)).cast("int")
+# Words of the checks' alphabet.
+LATIN = "A-Za-zÁÉÍÓÚÑÜáéíóúñü"
+PLACEHOLDER, PAIRS = codes.PLACEHOLDER, codes.PAIRS
+SYMBOLS = {"control": codes.CONTROL, "tag": codes.TAG, "brace": codes.BRACE}
 
 
 def residual_latin(dst: Column, white: list[str], most: int = 8) -> Column:
-    """Latin words left in a translation that are not on the white list, the first few."""
-    found = F.regexp_extract_all(dst, F.lit(f"({LATIN_WORD})"), F.lit(1))
+    """Latin words left in a translation, codes taken off, that are not on the white list, the first few."""
+    found = codes.found(codes.strip_controls(dst), f"[{LATIN}]{{3,}}")
     return F.slice(F.filter(found, lambda w: ~F.lower(w).isin(white or [""])), 1, most)
 
 
-def unbalanced(dst: Column) -> Column:
-    """Pairs of punctuation whose counts differ, and undirected marks of odd count."""
-    pairs = [F.when(occurrences(dst, a) != occurrences(dst, b), F.lit(a + b)) for a, b in PAIRS]
-    odd = [F.when(occurrences(dst, a) % 2 == 1, F.lit(a)) for a in SINGLE]
-    return F.filter(F.array(*pairs, *odd), lambda x: x.isNotNull())
+def unbalanced(src: Column, dst: Column) -> Column:
+    """Pairs that the source has in balance: directed ones of which the translation has both, in other numbers, and undirected ones of odd number."""
+    src, dst = codes.strip_controls(src), codes.strip_controls(dst)
+    out = []
+    for a, b in PAIRS:
+        (given, taken), (here, there) = ((codes.occurrences(x, m) for m in (a, b)) for x in (src, dst))
+        if a == b:
+            wrong = (given >= 2) & (given % 2 == 0) & (here % 2 == 1)
+        else:
+            wrong = (given == taken) & (here > 0) & (there > 0) & (here != there)
+        out.append(F.when(wrong, F.lit(a if a == b else a + b)))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
 def symbol_differences(src: Column, dst: Column) -> Column:
     """Classes of symbols that the two sides have in different numbers."""
-    made = [F.when(F.regexp_count(src, F.lit(p)) != F.regexp_count(dst, F.lit(p)), F.lit(name)) for name, p in SYMBOLS.items()]
+    one, other = codes.symbols(src), codes.symbols(dst)
+    made = [F.when(F.size(one[k]) != F.size(other[k]), F.lit(k)) for k in one]
     return F.filter(F.array(*made), lambda x: x.isNotNull())
 
 
 def unknown_controls(dst: Column, known: list[str]) -> Column:
-    return F.array_except(F.regexp_extract_all(dst, F.lit(r"(\\[A-Za-z]+)"), F.lit(1)), F.array(*map(F.lit, known)).cast("array<string>"))
+    """Backslashes that begin no control code known, with the character after them."""
+    found = codes.found(dst, r"\\[A-Za-z]+|\\[^A-Za-z\s]")
+    letters = F.filter(found, lambda c: ~c.rlike(f"^(?:{codes.CONTROL})$") & (c != "\\n"))
+    named = F.filter(found, lambda c: c.rlike(r"^\\[A-Za-z]+$") & (c != "\\n"))
+    return F.array_except(F.array_union(letters, named), F.array(*map(F.lit, known)).cast("array<string>"))
 
 
 def _letters(x: str | None) -> str:
-    return "".join(c for c in (x or "").lower() if c.isalnum())
+    """Lower case without white space; control codes are taken off before."""
+    return "".join((x or "").lower().split())
 
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching characters of two texts of 8 or more letters and digits; 0 for shorter ones."""
+    """Ratio of matching characters of two texts of 8 or more; 0 for shorter ones. Take control codes off first."""
     from difflib import SequenceMatcher
 
     def one(x: str | None, y: str | None) -> float:
@@ -151,7 +161,7 @@ def nearly_same(src: Column, dst: Column, least: float) -> Column:
         both = ((_letters(x), _letters(y)) for x, y in zip(a, b))
         return pd.Series([ratio_at_least(p, q, least) if min(len(p), len(q)) >= 8 else 0.0 >= least for p, q in both], dtype=bool)
 
-    return run(src, dst)
+    return run(codes.strip_controls(src), codes.strip_controls(dst))
 
 
 def checks(white: list[str] | None = None, known_controls: list[str] | None = None) -> dict[str, Column]:
@@ -165,12 +175,29 @@ def checks(white: list[str] | None = None, known_controls: list[str] | None = No
         "controls": listed(unknown_controls(dst, known_controls or [])),
         "placeholder": listed(F.regexp_extract_all(dst, F.lit(f"({PLACEHOLDER})"), F.lit(1))),
         "at_signs": listed(F.regexp_extract_all(held, F.lit("(@{2,})"), F.lit(1))),
-        "punctuation": listed(unbalanced(dst)),
-        "echo": F.when(F.trim(src) == F.trim(dst), F.lit("same")),
-        "empty": F.when(F.trim(dst) == "", F.lit("empty")),
+        "punctuation": listed(unbalanced(src, dst)),
+        "echo": F.when(strip(src) == strip(dst), F.lit("same")),
+        "empty": F.when(strip(dst) == "", F.lit("empty")),
     }
 
 
+def untouched_specials(specials: DataFrame, output: DataFrame, key: str) -> DataFrame:
+    """(key, line_no, bare): special lines that the output still has as they were, by line number."""
+    now = output.select(key, "line_no", strip(F.col("line")).alias("now"))
+    return specials.select(key, "line_no", "bare").join(now, [key, "line_no"]).where("bare = now").select(key, "line_no", "bare")
+
+
+#: Order of the kinds in a report.
+KINDS = ("latin", "near_echo", "symbols", "controls", "placeholder", "at_signs", "punctuation", "echo", "empty")
+
+
+def with_extra(hits: DataFrame, extra: DataFrame) -> DataFrame:
+    """Findings and those of other checks, each with the place of its kind in the report (other kinds last)."""
+    both = hits.unionByName(extra, allowMissingColumns=True)
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    return both.withColumn("place", F.when(place > 0, place).otherwise(len(KINDS) + 1).cast("int"))
+
+
 def findings(rows: DataFrame, keys: list[str], details: dict[str, Column]) -> DataFrame:
     """(keys, kind, detail): a row for each check that reports; checks are independent of one another."""
     wide = rows.select(*keys, *[c.alias(f"d_{k}") for k, c in details.items()])
@@ -190,14 +217,25 @@ def overlay_edits(hits: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def term_report(rows: DataFrame, section: str, key: str, order: str) -> DataFrame:
-    """Kinds of term problems: empty, echo, symbols only, residual Latin, and another translation than the first of its key."""
+    """Kinds of term problems: empty, echo, Latin (or a control code) left, symbols only, and another translation than the first of its key.
+
+    The first three exclude one another and all else; sources of a single letter are
+    passed over. The first translation of a key (without case and white space at the
+    ends) is that of the first row with none of the three.
+    """
+    src, dst = strip(F.col(key)), strip(F.coalesce("dst", F.lit("")))
+    code = r"\\[A-Za-z]\[[^\]]*\]|\\[A-Za-z]"
     kind = (
-        F.when(F.trim(F.coalesce("dst", F.lit(""))) == "", "empty")
-        .when(F.lower(F.trim("dst")) == F.lower(F.trim("src")), "echo")
-        .when(~F.col("dst").rlike(r"[A-Za-z0-9]"), "symbols")
+        F.when(dst == "", "empty")
+        .when(dst == src, "echo")
+        .when(F.regexp_replace(dst, code, "").rlike(f"[{LATIN}]{{2,}}") | dst.rlike(code), "latin")
     )
-    own = rows.withColumn("kind", kind)
+    # Fixed value: characters that say nothing by themselves.
+    marks = "[\\[\\]{}<>@#~%$^&*_=|/\\\\'\"“”‘’()（）…·・.,;:!?！？，。、；：\\s]"
+    own = rows.where(~src.rlike(r"^\p{L}$")).withColumns({"kind": kind, "key_": F.lower(src), "bare_": dst})
     sound = own.where("kind is null")
-    first = F.first("dst").over(Window.partitionBy(section, key).orderBy(order))
-    other = sound.withColumn("kind", F.when(F.col("dst") != first, "inconsistent")).where("kind is not null")
-    return own.where("kind is not null").unionByName(other)
+    bare = sound.withColumn("kind", F.when(F.regexp_replace("bare_", marks, "") == "", "symbols")).where("kind is not null")
+    first = sound.groupBy(section, "key_").agg(F.min_by("bare_", order).alias("first_"))
+    other = sound.join(first, [section, "key_"]).where("bare_ <> first_").withColumn("kind", F.lit("inconsistent"))
+    out = own.where("kind is not null").unionByName(bare).unionByName(other.select(own.columns))
+    return out.drop("key_", "bare_")

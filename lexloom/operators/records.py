@@ -15,10 +15,10 @@ def decode(value: Column, code: str, choices: list[str] | None = None) -> Column
     """Struct of the decoded ``value`` and an ``error``; a blank value is an error only for lower-case codes."""
     kind, v = code.lower(), F.trim(value)
     blank = v.isNull() | (v == "")
-    number = v.try_cast("int")
+    number = v.try_cast("long")
     made, fine = {
-        "i": (number, v.rlike(r"^-?\d+$")),
-        "u": (number, v.rlike(r"^\d+$")),
+        "i": (number, v.rlike(r"^-?\d+$") & number.isNotNull()),
+        "u": (number, v.rlike(r"^\d+$") & number.isNotNull()),
         "v": (number, v.rlike(r"^\d+$") & (number > 0)),
         "x": (F.conv(v, 16, 10).try_cast("long"), v.rlike("^[0-9A-Fa-f]+$")),
         "f": (v.try_cast("double"), v.rlike(r"^-?\d+(\.\d+)?$")),

@@ -23,15 +23,21 @@ def _lines(t):
     return source.lines(t("documents"), "doc_id")
 
 
+_STRIP = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')"
 _PAIRED = f"""
-WITH l AS ({_LINES}), k AS (
-  SELECT *, coalesce(trim(line) <> '' AND line = lead(line) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS links FROM l
+WITH l AS (SELECT *, {_STRIP} AS bare FROM ({_LINES})), h AS (
+  SELECT *, bare <> '' AND NOT (starts_with(bare, '#') AND count(*) FILTER (WHERE starts_with(bare, '#')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) <= 4) AS stop,
+    CASE WHEN bare = '' THEN 'blank' WHEN regexp_matches(bare, '^\\[[^\\]]*\\]$') THEN 'block' WHEN regexp_matches(bare, '^#[-=]{{3,}}$') THEN 'separator' WHEN regexp_matches(bare, '^\\d+$') THEN 'number' ELSE 'text' END AS kind FROM l
+), t AS (
+  SELECT *, kind = 'text' AND NOT (starts_with(bare, '#') AND NOT bool_or(stop) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)) AS takes,
+    lead(bare) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line, lead(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_kind FROM h
+), k AS (SELECT *, coalesce(takes AND bare = next_line, false) AS links FROM t
 ), r AS (
   SELECT *, coalesce(sum(CASE WHEN links THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM k
 ), p AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY line_no) - 1 AS place FROM r
 ), paired AS (
-  SELECT *, CASE WHEN place % 2 = 1 THEN 'target' WHEN links THEN 'source' ELSE 'special' END AS role FROM p
+  SELECT *, CASE WHEN place % 2 = 1 THEN 'target' WHEN links THEN 'source' WHEN takes THEN 'special' ELSE 'skipped' END AS role FROM p
 )"""
 
 
@@ -43,21 +49,36 @@ def pair_extraction(t):
     return paired.groupBy("lang", "source").agg(F.count_if(role == "source").alias("pairs"), F.count_if(role == "special").alias("special"), F.count("*").alias("lines"))
 
 
-@query(f"{_PAIRED} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line, role FROM paired WHERE role <> 'special'")
+@query(f"{_PAIRED} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, bare, role FROM paired WHERE role IN ('source', 'target')")
 def pair_entries(t):
     """Sources and targets themselves."""
-    return pairs.pair_lines(_lines(t), "doc_id").where("role <> 'special'").select("doc_id", "line_no", "line", "role")
+    return pairs.pair_lines(_lines(t), "doc_id").where("role in ('source', 'target')").select("doc_id", "line_no", "bare", "role")
+
+
+@query(f"{_PAIRED} SELECT CASE WHEN next_kind IS NULL THEN 'end' WHEN next_kind = 'text' THEN 'differs' ELSE next_kind END AS reason, count(*) AS n, count(DISTINCT doc_id) AS docs FROM paired WHERE role = 'special' GROUP BY 1")
+def special_lines(t):
+    """Why lines have no target."""
+    return pairs.pair_lines(_lines(t), "doc_id").where("role = 'special'").groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 @query(None)
 def similar_pairs(t):
-    """Pairs of adjacent lines by similarity of 0.7 or more and not by equality alone."""
-    from pyspark.sql import Window
+    """Pairs of adjacent lines that are equal or alike to 0.8 or more; tested against the walk itself."""
+    return pairs.pair_lines(_lines(t), "doc_id", near=0.8).groupBy("role", "reason").count()
 
-    rows = _lines(t)
-    following = F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    rows = rows.withColumn("like_next", pairs.line_similarity(F.col("line"), following) >= 0.7)
-    return pairs.pair_lines(rows, "doc_id", link=F.col("like_next")).groupBy("role").count()
+
+@query(f"WITH l AS ({_FILES_SQL}), m AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^\\s*\\[map\\d+\\]\\s*$') THEN 'newline' WHEN regexp_matches(line, '^\\s*\\[[^\\]]*\\]\\s*$') THEN 'space' END AS own FROM l) SELECT mode, count(*) AS n FROM (SELECT coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'newline') AS mode FROM m) GROUP BY mode")
+def block_modes(t):
+    return source.block_modes(_files(t), "doc_id").groupBy("mode").agg(F.count("*").alias("n"))
+
+
+@query(f"{_PAIRED}, c AS (SELECT bare, 'T' || min(doc_id) AS dst FROM paired WHERE role = 'source' GROUP BY bare), s AS (SELECT doc_id, bare, role, CASE WHEN doc_id % 3 = 0 THEN bare ELSE 'x' || bare END AS now FROM paired WHERE role = 'special') SELECT doc_id, count(*) AS n FROM s WHERE bare = now GROUP BY doc_id")
+def untouched_specials(t):
+    """Special lines that a written file still has as they were."""
+    lines = pairs.pair_lines(_lines(t), "doc_id")
+    specials = lines.where("role = 'special'")
+    output = lines.withColumn("line", F.when(F.col("doc_id") % 3 == 0, F.col("line")).otherwise(F.concat(F.lit("x"), "line")))
+    return qa.untouched_specials(specials, output, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query(f"""
@@ -78,9 +99,13 @@ def section_fill(t):
     return rows.groupBy("section").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("SELECT doc_id, 2 AS header_end FROM documents")
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 7 > 4 THEN 5 ELSE doc_id % 7 + 1 END AS INTEGER) AS header_end FROM documents")
 def header_boundary(t):
-    return source.header_end(_files(t), "doc_id").select("doc_id", F.col("header_end").cast("int").alias("header_end"))
+    """Leading comments, four at most, and blanks between them, before a block."""
+    head = F.concat(F.lit("# a\n\n"), F.repeat(F.lit("#-----\n"), (F.col("doc_id") % 7 - 1).cast("int")))
+    text = F.concat(F.when(F.col("doc_id") % 7 == 0, F.lit(" \n")).otherwise(head), F.lit("[map1]\n# b\n"), "text")
+    files = source.lines(t("documents").select("doc_id", text.alias("text")), "doc_id")
+    return source.header_end(files, "doc_id").select("doc_id", F.col("header_end").cast("int").alias("header_end"))
 
 
 @query("SELECT doc_id, CASE WHEN c > 0 THEN CASE WHEN c >= n - c THEN 'CRLF' ELSE 'LF' END WHEN r - c >= n - c THEN 'CRLF' ELSE 'LF' END AS style FROM (SELECT doc_id, len(text) - len(replace(text, chr(10), '')) AS n, len(text) - len(replace(text, chr(13), '')) AS r, (len(text) - len(replace(text, chr(13) || chr(10), ''))) // 2 AS c FROM documents)")
@@ -131,15 +156,38 @@ def _count(x: str, p: str) -> str:
     return f"(length({x}) - length(replace({x}, '{p}', '')))"
 
 
+def _bare_sql(x: str) -> str:
+    """The SQL of codes.strip_controls; the engine's expressions have no look-ahead, so line breaks go first, by a mark."""
+    x = f"replace(regexp_replace(regexp_replace({x}, '<[^<>]*>', '', 'g'), '&#?[A-Za-z0-9]+;', '', 'g'), '\\n', chr(1))"
+    x = f"regexp_replace({x}, '\\\\[A-Za-z]+(\\[[^\\]]*\\])?|\\\\[$.|!><^{{}}]', '', 'g')"
+    return f"regexp_replace(replace({x}, chr(1), ''), '\\{{[^{{}}]*\\}}', '', 'g')"
+
+
+def _symbols_sql(x: str, kind: str) -> str:
+    bare = f"regexp_replace(replace({x}, '\\n', chr(1)), '\\\\[A-Za-z]+(\\[[^\\]]*\\])?|\\\\[$.|!><^{{}}]', '', 'g')"
+    return {
+        "control": f"len(regexp_extract_all(replace({x}, '\\n', chr(1)), '\\\\[A-Za-z]+(\\[[^\\]]*\\])?|\\\\[$.|!><^{{}}]')) + len(regexp_extract_all({x}, '<[^<>]*>')) + len(regexp_extract_all({x}, '&#?[A-Za-z0-9]+;'))",
+        "bracket": f"len(regexp_extract_all({bare}, '\\[[^\\[\\]]*\\]'))",
+        "brace": f"len(regexp_extract_all({bare}, '\\{{[^{{}}]*\\}}'))",
+    }[kind]
+
+
+def _balance_sql(a: str, b: str) -> str:
+    (p, q), (x, y) = ((_count(c, a.replace("'", "''")), _count(c, b.replace("'", "''"))) for c in ("bare_src", "bare_dst"))
+    name = (a if a == b else a + b).replace("'", "''")
+    wrong = f"{p} >= 2 AND {p} % 2 = 0 AND {x} % 2 = 1" if a == b else f"{p} = {q} AND {x} > 0 AND {y} > 0 AND {x} <> {y}"
+    return f"CASE WHEN {wrong} THEN '{name}' END"
+
+
 _CHECKS = {
-    "latin": rf"list_slice(list_filter(regexp_extract_all(dst, '[A-Za-zÁÉÍÓÚÑÜáéíóúñü]{{3,}}'), lambda w: NOT list_contains({_WHITE}, lower(w))), 1, 8)",
-    "symbols": "list_filter([" + ", ".join(rf"CASE WHEN len(regexp_extract_all(src, '{p}')) <> len(regexp_extract_all(dst, '{p}')) THEN '{k}' END" for k, p in qa.SYMBOLS.items()) + "], lambda x: x IS NOT NULL)",
-    "controls": r"list_distinct(regexp_extract_all(dst, '\\[A-Za-z]+'))",
-    "placeholder": r"regexp_extract_all(dst, '@\s*\d+\s*@')",
-    "at_signs": r"regexp_extract_all(regexp_replace(dst, '@\s*\d+\s*@', '', 'g'), '@{2,}')",
-    "punctuation": "list_filter([" + ", ".join(f"CASE WHEN {_count('dst', a)} <> {_count('dst', b)} THEN '{a}{b}' END" for a, b in qa.PAIRS) + f", CASE WHEN {_count('dst', chr(34))} % 2 = 1 THEN '{chr(34)}' END], lambda x: x IS NOT NULL)",
+    "latin": rf"list_slice(list_filter(regexp_extract_all(bare_dst, '[A-Za-zÁÉÍÓÚÑÜáéíóúñü]{{3,}}'), lambda w: NOT list_contains({_WHITE}, lower(w))), 1, 8)",
+    "symbols": "list_filter([" + ", ".join(f"CASE WHEN {_symbols_sql('src', k)} <> {_symbols_sql('dst', k)} THEN '{k}' END" for k in ("control", "bracket", "brace")) + "], lambda x: x IS NOT NULL)",
+    "controls": r"list_distinct(list_filter(regexp_extract_all(dst, '\\[A-Za-z]+'), lambda x: x <> '\n'))",
+    "placeholder": r"regexp_extract_all(dst, '@\s*\d+\s*@|⟦\s*\d+\s*⟧')",
+    "at_signs": r"regexp_extract_all(regexp_replace(dst, '@\s*\d+\s*@|⟦\s*\d+\s*⟧', '', 'g'), '@{2,}')",
+    "punctuation": "list_filter([" + ", ".join(_balance_sql(a, b) for a, b in qa.PAIRS) + "], lambda x: x IS NOT NULL)",
 }
-_FINDINGS = f"WITH t AS ({_TURNS}) " + " UNION ALL ".join(f"SELECT conv_id, turn, '{k}' AS kind, array_to_string(x, ',') AS detail FROM (SELECT *, {sql} AS x FROM t) WHERE len(x) > 0" for k, sql in _CHECKS.items()) + " UNION ALL SELECT conv_id, turn, 'echo', 'same' FROM t WHERE trim(src) = trim(dst) UNION ALL SELECT conv_id, turn, 'empty', 'empty' FROM t WHERE trim(dst) = ''"
+_FINDINGS = f"WITH t AS (SELECT *, {_bare_sql('src')} AS bare_src, {_bare_sql('dst')} AS bare_dst FROM ({_TURNS})) " + " UNION ALL ".join(f"SELECT conv_id, turn, '{k}' AS kind, array_to_string(x, ',') AS detail FROM (SELECT *, {sql} AS x FROM t) WHERE len(x) > 0" for k, sql in _CHECKS.items()) + " UNION ALL SELECT conv_id, turn, 'echo', 'same' FROM t WHERE trim(src) = trim(dst) UNION ALL SELECT conv_id, turn, 'empty', 'empty' FROM t WHERE trim(dst) = ''"
 
 
 @query(_FINDINGS)
@@ -168,16 +216,16 @@ def edit_overlay(t):
     return qa.overlay_edits(hits, edits)
 
 
-_TERM_ROWS = "SELECT p_size AS section, p_name AS src, p_partkey AS ord, CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN upper(p_name) WHEN p_partkey % 17 = 0 THEN '…!' ELSE p_brand END AS dst FROM part"
+_TERM_ROWS = "SELECT p_size AS section, p_name AS src, p_partkey AS ord, CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN upper(p_name) WHEN p_partkey % 17 = 0 THEN '…!' WHEN p_partkey % 3 = 0 THEN '译文' || p_partkey % 7 ELSE p_brand END AS dst FROM part"
 
 
 def _term_rows(t):
     k = F.col("p_partkey")
-    dst = F.when(k % 11 == 0, "").when(k % 13 == 0, F.upper("p_name")).when(k % 17 == 0, "…!").otherwise(F.col("p_brand"))
+    dst = F.when(k % 11 == 0, "").when(k % 13 == 0, F.upper("p_name")).when(k % 17 == 0, "…!").when(k % 3 == 0, F.concat(F.lit("译文"), k % 7)).otherwise(F.col("p_brand"))
     return t("part").select(F.col("p_size").alias("section"), F.col("p_name").alias("src"), k.alias("ord"), dst.alias("dst"))
 
 
-@query(f"WITH r AS ({_TERM_ROWS}), k AS (SELECT *, CASE WHEN trim(dst) = '' THEN 'empty' WHEN lower(trim(dst)) = lower(trim(src)) THEN 'echo' WHEN NOT regexp_matches(dst, '[A-Za-z0-9]') THEN 'symbols' END AS kind FROM r), o AS (SELECT *, first_value(dst) OVER (PARTITION BY section, src ORDER BY ord) AS f FROM k WHERE kind IS NULL) SELECT section, src, ord, dst, kind FROM k WHERE kind IS NOT NULL UNION ALL SELECT section, src, ord, dst, 'inconsistent' FROM o WHERE dst <> f")
+@query(f"WITH r AS ({_TERM_ROWS}), k AS (SELECT *, CASE WHEN trim(dst) = '' THEN 'empty' WHEN trim(dst) = trim(src) THEN 'echo' WHEN regexp_matches(regexp_replace(dst, '\\\\[A-Za-z]', '', 'g'), '[A-Za-z]{{2,}}') THEN 'latin' END AS kind FROM r), o AS (SELECT *, first_value(dst) OVER (PARTITION BY section, lower(trim(src)) ORDER BY ord) AS f FROM k WHERE kind IS NULL) SELECT section, src, ord, dst, kind FROM k WHERE kind IS NOT NULL UNION ALL SELECT section, src, ord, dst, 'inconsistent' FROM o WHERE dst <> f UNION ALL SELECT section, src, ord, dst, 'symbols' FROM o WHERE NOT regexp_matches(dst, '[0-9一-鿿]')")
 def term_problems(t):
     return qa.term_report(_term_rows(t), "section", "src", "ord")
 
@@ -197,14 +245,14 @@ def routing_waterfall(t):
     return routing.route(own, cached, reference).groupBy("route").agg(F.count("*").alias("n"))
 
 
-@query(f"{_PAIRED}, c AS (SELECT line, 'T' || min(doc_id) AS dst FROM paired WHERE role = 'source' GROUP BY line) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN role = 'target' AND doc_id % 4 = 0 THEN regexp_extract(line, '^(\\s*)', 1) || 'by hand' WHEN role = 'target' THEN regexp_extract(line, '^(\\s*)', 1) || dst ELSE line END AS line, role FROM paired LEFT JOIN c USING (line) WHERE role <> 'special'")
+@query(f"{_PAIRED}, c AS (SELECT bare, 'T' || min(doc_id) AS dst FROM paired WHERE role = 'source' GROUP BY bare) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN role = 'target' AND doc_id % 4 = 0 THEN regexp_extract(line, '^(\\s*)', 1) || 'by hand' WHEN role = 'target' THEN regexp_extract(line, '^(\\s*)', 1) || dst ELSE line END AS line, role FROM paired LEFT JOIN c USING (bare) WHERE role IN ('source', 'target')")
 def written_back(t):
     """Targets replaced from a cache, and by hand where a line number has an edit."""
     rows = _lines(t)
     paired = pairs.pair_lines(rows, "doc_id")
-    cache = paired.where("role = 'source'").groupBy(F.col("line").alias("src")).agg(F.concat(F.lit("T"), F.min("doc_id")).alias("dst"))
+    cache = paired.where("role = 'source'").groupBy(F.col("bare").alias("src")).agg(F.concat(F.lit("T"), F.min("doc_id")).alias("dst"))
     manual = paired.where("role = 'target' and doc_id % 4 = 0").select("doc_id", "line_no", F.lit("by hand").alias("dst"))
-    return pairs.write_back(rows, "doc_id", cache, manual).where("role <> 'special'")
+    return pairs.write_back(rows, "doc_id", cache, manual).where("role in ('source', 'target')")
 
 
 @query("SELECT page_id, md5(regexp_replace(replace(replace(replace(html, '&amp;', '&'), '<br>', chr(10)), '  ', ' '), '<(/?)div', '[\\1x', 'g')) AS digest FROM pages")

@@ -38,10 +38,10 @@ def level_summary(t):
     return made.select("c_mktsegment", *[F.round(c, 4).alias(c) for c in ("mean", "deviation", "weighted")])
 
 
-@query("SELECT o_orderkey, round(product(1 - l_discount), 8) AS factor FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0 GROUP BY o_orderkey")
+@query("SELECT o_orderkey, round(product(1 - l_discount), 8) AS factor FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def effect_product(t):
     """Product of the multipliers of each group."""
-    rows = t("lineitem").where("l_orderkey % 10 = 0").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    rows = t("lineitem").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
     listed = rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(1 - F.col("l_discount")).alias("f"))
     return listed.select("o_orderkey", F.round(ranking.product(F.col("f")), 8).alias("factor"))
 

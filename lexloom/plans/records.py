@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import records, rules, trees
+from ..operators import baseline, records, rules, trees
 from ..sources import text as source
 from .registry import query
 
@@ -68,11 +68,11 @@ def level_lookup(t):
     return records.range_lookup(orders.select("o_orderkey", "o_totalprice"), "o_totalprice", steps, "least", "level").select("o_orderkey", "level")
 
 
-@query("WITH s AS (SELECT o_totalprice AS low FROM orders WHERE o_orderkey % 50 = 0) SELECT l_orderkey, l_linenumber, low AS below FROM lineitem ASOF JOIN s ON l_extendedprice * 5 >= low WHERE l_orderkey % 20 = 0")
+@query("WITH s AS (SELECT DISTINCT o_totalprice AS low FROM orders) SELECT l_orderkey, l_linenumber, low AS below FROM lineitem ASOF JOIN s ON l_extendedprice * 5 >= low")
 def as_of_lookup(t):
     """The same over many thresholds, by one sort of both sides."""
-    rows = t("lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 5).alias("v"))
-    steps = t("orders").where("o_orderkey % 50 = 0").select(F.col("o_totalprice").alias("low"), F.col("o_totalprice").alias("below"))
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 5).alias("v"))
+    steps = t("orders").select(F.col("o_totalprice").alias("low"), F.col("o_totalprice").alias("below"))
     return records.as_of(rows, "v", steps, "low", "below", buckets=32).where("below is not null").select("l_orderkey", "l_linenumber", "below")
 
 
@@ -106,26 +106,37 @@ def inherited_values(t):
     return trees.inherited(_tree(t), "v")
 
 
-@query("SELECT coalesce(a.id, b.id) AS fn, CASE WHEN b.id IS NULL THEN 'missing' WHEN a.id IS NULL THEN CASE WHEN b.id % 4 = 1 THEN 'moved' ELSE 'added' END WHEN a.fp = b.fp THEN 'same' ELSE 'changed' END AS status FROM (SELECT doc_id AS id, sha1(text) AS fp FROM documents WHERE doc_id % 4 <> 0) a FULL JOIN (SELECT CASE WHEN doc_id % 4 = 1 THEN doc_id END AS old, CASE WHEN doc_id % 4 = 2 THEN doc_id + 0 ELSE doc_id END AS id, sha1(CASE WHEN doc_id % 4 = 3 AND doc_id % 8 = 3 THEN text || '!' ELSE text END) AS fp FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 4 <> 1) b ON a.id = b.id WHERE a.id IS NULL OR a.id % 4 <> 1 OR b.id IS NOT NULL OR a.id % 10 = 0 OR true")
+_OLD = "SELECT 's' || doc_id % 3 AS script, doc_id AS fn, sha1(text) AS fp FROM documents WHERE doc_id % 4 <> 0"
+_NEW = "SELECT 's' || CASE WHEN doc_id % 5 = 0 THEN (doc_id + 1) % 3 ELSE doc_id % 3 END AS script, doc_id AS fn, sha1(CASE WHEN doc_id % 8 = 3 OR doc_id % 20 = 5 THEN text || '!' ELSE text END) AS fp FROM documents WHERE doc_id % 10 <> 1"
+_COMPARED = f"SELECT coalesce(a.script, b.script) AS script, coalesce(a.fn, b.fn) AS fn, CASE WHEN a.fp IS NULL THEN 'added' WHEN b.fp IS NULL THEN CASE WHEN c.fp IS NULL THEN 'missing' WHEN c.fp = a.fp THEN 'moved' ELSE 'changed' END WHEN a.fp = b.fp THEN 'same' ELSE 'changed' END AS status FROM ({_OLD}) a FULL JOIN ({_NEW}) b ON a.script = b.script AND a.fn = b.fn LEFT JOIN ({_NEW}) c ON c.fn = a.fn"
+
+
+def _compared(t):
+    d, k = t("documents"), F.col("doc_id")
+    script = lambda x: F.concat(F.lit("s"), x % 3)
+    old = d.where("doc_id % 4 <> 0").select(script(k).alias("script"), k.alias("fn"), baseline.fingerprint(F.col("text")).alias("fp"))
+    text = F.when((k % 8 == 3) | (k % 20 == 5), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    new = d.where("doc_id % 10 <> 1").select(script(F.when(k % 5 == 0, k + 1).otherwise(k)).alias("script"), k.alias("fn"), baseline.fingerprint(text).alias("fp"))
+    return baseline.compare(old, new)
+
+
+@query(_COMPARED)
 def baseline_compare(t):
-    """Fingerprints of a baseline against those of a later state: same, changed, missing or added."""
-    from ..operators import baseline
+    """Fingerprints of a baseline against those of a later state: same, changed, moved, missing or added."""
+    return _compared(t)
 
-    d = t("documents")
-    old = d.where("doc_id % 4 <> 0").select(F.lit("s").alias("script"), F.col("doc_id").alias("fn"), baseline.fingerprint(F.col("text")).alias("fp"))
-    text = F.when((F.col("doc_id") % 4 == 3) & (F.col("doc_id") % 8 == 3), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    new = d.where("doc_id % 10 <> 0 and doc_id % 4 <> 1").select(F.lit("s").alias("script"), F.col("doc_id").alias("fn"), baseline.fingerprint(text).alias("fp"))
-    return baseline.compare(old, new).select("fn", "status")
 
+@query(f"SELECT status, count(*) AS n, count(DISTINCT script) AS scripts FROM ({_COMPARED}) GROUP BY status")
+def baseline_totals(t):
+    return baseline.compare_totals(_compared(t))
 
-@query("SELECT source AS version, avg(CASE WHEN a.fp = b.fp THEN 1.0 ELSE 0.0 END) AS overlap FROM (SELECT source, lang, doc_id % 5 AS k, min(sha1(left(text, 3))) AS fp FROM documents GROUP BY ALL) a JOIN (SELECT lang, doc_id % 5 AS k, min(sha1(left(text, 3))) AS fp FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL) b USING (lang, k) GROUP BY source")
-def baseline_overlap(t):
-    """Share of equal fingerprints of each version with a given state."""
-    from ..operators import baseline
 
-    d = t("documents").withColumn("fp", baseline.fingerprint(F.substring("text", 1, 3)))
-    versions = d.groupBy(F.col("source").alias("version"), F.col("lang").alias("script"), (F.col("doc_id") % 5).alias("fn")).agg(F.min("fp").alias("fp"))
-    state = d.where("doc_id % 2 = 0").groupBy(F.col("lang").alias("script"), (F.col("doc_id") % 5).alias("fn")).agg(F.min("fp").alias("fp"))
+@query("SELECT source AS version, avg(CASE WHEN a.fp = b.fp THEN 1.0 ELSE 0.0 END) AS overlap FROM (SELECT source, lang, doc_id % 50 AS k, min(sha1(text)) AS fp FROM documents GROUP BY ALL) a LEFT JOIN (SELECT lang, doc_id % 50 AS k, min(sha1(text)) AS fp FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL) b USING (lang, k) GROUP BY source")
+def baseline_overlap(t):
+    """Share of each version's functions that a state has with equal fingerprints."""
+    d = t("documents").withColumn("fp", F.sha1("text"))
+    versions = d.groupBy(F.col("source").alias("version"), F.col("lang").alias("script"), (F.col("doc_id") % 50).alias("fn")).agg(F.min("fp").alias("fp"))
+    state = d.where("doc_id % 2 = 0").groupBy(F.col("lang").alias("script"), (F.col("doc_id") % 50).alias("fn")).agg(F.min("fp").alias("fp"))
     return baseline.overlap(versions, state)
 
 

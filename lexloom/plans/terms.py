@@ -26,14 +26,14 @@ def glossary_last_wins(t):
     return glossary.last_wins(rows, ["src"], ["ord"]).select("src", "dst")
 
 
-_ODD = "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '[' || p_name WHEN p_partkey % 7 = 0 THEN left(p_name, 2) WHEN p_partkey % 11 = 0 THEN '@ 1 @' ELSE p_name END AS src, CASE WHEN p_partkey % 13 = 0 THEN ' ' WHEN p_partkey % 17 = 0 THEN upper(p_name) ELSE p_brand END AS dst FROM part"
+_ODD = "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '[' || p_name WHEN p_partkey % 7 = 0 THEN left(p_name, 2) WHEN p_partkey % 11 = 0 THEN '@1@' ELSE p_name END AS src, CASE WHEN p_partkey % 13 = 0 THEN ' ' WHEN p_partkey % 17 = 0 THEN p_name ELSE p_brand END AS dst FROM part"
 
 
-@query(rf"SELECT CASE WHEN trim(src) = '' OR trim(dst) = '' THEN 'empty' WHEN regexp_matches(src, '[\\\[\]]') THEN 'control' WHEN regexp_matches(src, '@\s*\d+\s*@') THEN 'placeholder' WHEN length(trim(src)) < 3 THEN 'short' WHEN lower(trim(src)) = lower(trim(dst)) THEN 'same' ELSE 'good' END AS problem, count(*) AS n FROM ({_ODD}) GROUP BY 1")
+@query(rf"SELECT CASE WHEN trim(src) = '' THEN 'empty' WHEN regexp_matches(src, '[\\\[\]]') THEN 'control' WHEN regexp_matches(src, '^[@⟦]\d+[@⟧]$') THEN 'placeholder' WHEN regexp_matches(trim(src), '^[A-Za-z]{{1,2}}$') THEN 'short' WHEN trim(src) = trim(dst) THEN 'same' ELSE 'good' END AS problem, count(*) AS n FROM ({_ODD}) GROUP BY 1")
 def term_validity(t):
     k, name = F.col("p_partkey"), F.col("p_name")
-    src = F.when(k % 5 == 0, F.concat(F.lit("["), name)).when(k % 7 == 0, F.substring(name, 1, 2)).when(k % 11 == 0, "@ 1 @").otherwise(name)
-    dst = F.when(k % 13 == 0, " ").when(k % 17 == 0, F.upper(name)).otherwise(F.col("p_brand"))
+    src = F.when(k % 5 == 0, F.concat(F.lit("["), name)).when(k % 7 == 0, F.substring(name, 1, 2)).when(k % 11 == 0, "@1@").otherwise(name)
+    dst = F.when(k % 13 == 0, " ").when(k % 17 == 0, name).otherwise(F.col("p_brand"))
     return t("part").groupBy(F.coalesce(glossary.term_problem(src, dst), F.lit("good")).alias("problem")).agg(F.count("*").alias("n"))
 
 
@@ -75,7 +75,7 @@ def staged_edits(t):
     return glossary.staged_edit(s.select("src", "dst"), s.where("k % 5 = 0").select("src"), renames, s.where("k % 3 = 0").select("src", F.lit("changed").alias("dst")), adds)
 
 
-@query("SELECT section, src, ord, dst, f AS first_dst FROM (SELECT p_size AS section, p_name AS src, p_partkey AS ord, p_brand AS dst, first_value(p_brand) OVER (PARTITION BY p_size, p_name ORDER BY p_partkey) AS f FROM part) WHERE dst <> f")
+@query("SELECT section, src, ord, dst, f AS first_dst FROM (SELECT p_size AS section, p_name AS src, p_partkey AS ord, p_brand AS dst, first_value(p_brand) OVER (PARTITION BY p_size, lower(trim(p_name)) ORDER BY p_partkey) AS f FROM part) WHERE dst <> f")
 def inconsistent_terms(t):
     rows = t("part").select(F.col("p_size").alias("section"), F.col("p_name").alias("src"), F.col("p_partkey").alias("ord"), F.col("p_brand").alias("dst"))
     return glossary.inconsistent_terms(rows, "section", "ord")
@@ -91,8 +91,8 @@ def term_plan(t):
 _WORDS = "SELECT item_id, regexp_extract_all(text, '[0-9A-Za-z_À-ɏ]+') AS w FROM benchmark"
 _BENCH_TERMS = f"SELECT src, min(item_id) AS item_id FROM (SELECT item_id, array_to_string(list_slice(w, 1, 1 + item_id % 3), ' ') AS src FROM ({_WORDS}) WHERE len(w) > 3) GROUP BY src"
 _HITS = f"""
-WITH terms AS ({_BENCH_TERMS}), d AS (SELECT doc_id, regexp_extract_all(text, '[0-9A-Za-z_À-ɏ]+') AS w FROM documents),
-g AS (SELECT doc_id, pos, n, array_to_string(list_slice(w, pos + 1, pos + n), ' ') AS src FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS pos FROM d, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)),
+WITH terms AS ({_BENCH_TERMS}), d AS (SELECT doc_id, regexp_extract_all(text, '[0-9A-Za-z_À-ɏ]+|[^0-9A-Za-z_À-ɏ]+') AS w FROM documents),
+g AS (SELECT doc_id, i // 2 AS pos, n, array_to_string(list_slice(w, i + 1, i + n), '') AS src FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT unnest([1, 3, 5]) AS n) WHERE len(w) >= n)),
 hits AS (SELECT doc_id, src, pos, item_id FROM g JOIN terms USING (src))"""
 
 
@@ -124,7 +124,7 @@ def hit_terms(t):
 
 
 @query("""
-WITH p AS (SELECT prefix, min(doc_id) AS dst FROM (SELECT doc_id, regexp_extract(text, '^([^ .,:;!?\\]\\)]+)', 1) AS prefix FROM documents UNION ALL SELECT doc_id, regexp_extract(text, '^([^ .,:;!?\\]\\)]+ [^ .,:;!?\\]\\)]+)', 1) FROM documents WHERE doc_id % 3 = 0) WHERE prefix <> '' AND length(prefix) <= 64 GROUP BY prefix),
+WITH p AS (SELECT prefix, min(doc_id) AS dst FROM (SELECT doc_id, regexp_extract(text, '^([^ .,:;!?\\]\\)]+)', 1) AS prefix FROM documents UNION ALL SELECT doc_id, regexp_extract(text, '^([^ .,:;!?\\]\\)]+ [^ .,:;!?\\]\\)]+)', 1) FROM documents WHERE doc_id % 3 = 0) WHERE prefix <> '' GROUP BY prefix),
 m AS (SELECT d.doc_id, p.prefix, p.dst, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(p.prefix) DESC) AS r FROM documents d JOIN p ON starts_with(d.text, p.prefix) AND (length(p.prefix) = length(d.text) OR regexp_matches(substr(d.text, length(p.prefix) + 1, 1), '[ .,:;!?\\]\\)]')))
 SELECT doc_id, prefix, dst FROM m WHERE r = 1""")
 def longest_prefix(t):

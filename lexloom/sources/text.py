@@ -28,12 +28,18 @@ def newline_style(text: Column) -> Column:
     return F.when(first >= lf, "CRLF").otherwise("LF")
 
 
+def strip(x: Column) -> Column:
+    """Without white space at both ends, tabs and Unicode spaces included."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
+# The patterns of blocks, numbers and separators.
 def is_block(line: Column) -> Column:
     return line.rlike(r"^\s*\[[^\]]*\]\s*$")
 
 
 def is_number(line: Column) -> Column:
-    return line.rlike(r"^\s*\d+\s*$")
+    return line.rlike(r"(?U)^\s*\d+\s*$")
 
 
 def is_separator(line: Column) -> Column:
@@ -41,7 +47,7 @@ def is_separator(line: Column) -> Column:
 
 
 def is_map_block(line: Column) -> Column:
-    return line.rlike(r"(?i)^\s*\[map\s*\d+\]\s*$")
+    return line.rlike(r"(?i)^\s*\[map\d+\]\s*$")
 
 
 def line_class(line: Column) -> Column:
@@ -63,13 +69,25 @@ def fill_sections(rows: DataFrame, key: str, order: str = "line_no", line: str =
     return rows.withColumn("section", F.coalesce(F.last(name, ignorenulls=True).over(so_far), F.lit(default)))
 
 
-def header_end(rows: DataFrame, key: str, limit: int = 4) -> DataFrame:
-    """(key, header_end): first line that is not of the leading comments and blanks, of which ``limit`` comments count."""
-    kind = line_class(F.col("line"))
+def block_modes(rows: DataFrame, key: str) -> DataFrame:
+    """Adds ``mode``: how texts break from here on, ``newline`` after a map block and at the top, ``space`` after any other block."""
+    mode = F.when(is_map_block(F.col("line")), "newline").when(is_block(F.col("line")), "space")
     so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    comments = F.sum(kind.isin("comment", "separator").cast("int")).over(so_far)
-    stops = rows.select(key, "line_no", (~kind.isin("comment", "separator", "blank") | (comments > limit)).alias("stop"))
-    return stops.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("stop"), F.col("line_no"))), F.max("line_no") + 1).alias("header_end"))
+    return rows.withColumn("mode", F.coalesce(F.last(mode, ignorenulls=True).over(so_far), F.lit("newline")))
+
+
+def with_header(rows: DataFrame, key: str, limit: int = 4) -> DataFrame:
+    """Adds ``in_header``: whether a line is among the leading comments (``limit`` at most) and blanks of its file."""
+    bare = strip(F.col("line"))
+    so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    comments = F.sum(bare.startswith("#").cast("int")).over(so_far)
+    stop = (bare != "") & ~(bare.startswith("#") & (comments <= limit))
+    return rows.withColumn("stop_", stop.cast("int")).withColumn("in_header", F.max("stop_").over(so_far) == 0).drop("stop_")
+
+
+def header_end(rows: DataFrame, key: str, limit: int = 4) -> DataFrame:
+    """(key, header_end): the first line past the leading comments, of which ``limit`` count, and blanks."""
+    return with_header(rows, key, limit).groupBy(key).agg(F.count_if("in_header").alias("header_end"))
 
 
 def key_values(rows: DataFrame, key: str) -> DataFrame:
