@@ -28,7 +28,7 @@ def unbalanced(src: Column, dst: Column) -> Column:
     src, dst = codes.strip_controls(src), codes.strip_controls(dst)
     out = []
     for a, b in PAIRS:
-        (given, taken), (here, there) = ((codes.occurrences(x, m) for m in (a, b)) for x in (src, dst))
+        (given, taken), (here, there) = ([codes.occurrences(x, m) for m in (a, b)] for x in (src, dst))
         if a == b:
             wrong = (given >= 2) & (given % 2 == 0) & (here % 2 == 1)
         else:

@@ -144,16 +144,24 @@ def steady_punctuation(text: Column, like: Column) -> Column:
     to_dots = src.contains(dots) & ~src.contains(one) & ~bare.contains(dots) & bare.contains(one)
     to_one = src.contains(one) & ~src.contains(dots) & ~bare.contains(one) & bare.contains(dots)
     out = F.when(to_dots, F.replace(text, F.lit(one), F.lit(dots))).when(to_one, F.replace(text, F.lit(dots), F.lit(one))).otherwise(text)
-    for a, b in codes.PAIRS:
-        here, there = (codes.occurrences(codes.strip_controls(out), x) for x in (a, b))
+
+    def completed(a: str, b: str):
         given, taken = (codes.occurrences(src, x) for x in (a, b))
-        if a == b:
-            out = F.when((given >= 2) & (given % 2 == 0) & (here % 2 == 1), F.concat(out, F.lit(a))).otherwise(out)
-            continue
-        level = (given == taken) & (given > 0)
-        out = (
-            F.when(level & (here > there) & (there > 0), F.concat(out, F.repeat(F.lit(b), here - there)))
-            .when(level & (there > here) & (here > 0), F.concat(F.repeat(F.lit(a), there - here), out))
-            .otherwise(out)
-        )
+
+        def put(x: Column) -> Column:
+            here, there = (codes.occurrences(codes.strip_controls(x), m) for m in (a, b))
+            if a == b:
+                return F.when((given >= 2) & (given % 2 == 0) & (here % 2 == 1), F.concat(x, F.lit(a))).otherwise(x)
+            level = (given == taken) & (given > 0)
+            return (
+                F.when(level & (here > there) & (there > 0), F.concat(x, F.repeat(F.lit(b), here - there)))
+                .when(level & (there > here) & (here > 0), F.concat(F.repeat(F.lit(a), there - here), x))
+                .otherwise(x)
+            )
+
+        return put
+
+    for pair in codes.PAIRS:
+        # A one-entry transform names the text so far, which is then written once for each pair.
+        out = F.get(F.transform(F.array(out), completed(*pair)), F.lit(0))
     return out

@@ -137,7 +137,7 @@ def three_line_records(t):
     return source.three_line_records(source.lines(files, "file"), "file")
 
 
-_TURNS = "SELECT a.conv_id, a.turn, a.text AS src, b.text || CASE WHEN a.conv_id % 5 = 0 THEN ' @ 3 @ @@@' ELSE '' END || CASE WHEN a.conv_id % 7 = 0 THEN ' (\"x' ELSE '' END || CASE WHEN a.turn % 3 = 0 THEN ' \\n {y}' ELSE '' END AS dst FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+_TURNS = "SELECT a.conv_id, a.turn, a.text || CASE WHEN a.turn % 2 = 0 THEN ' (r) \"q\"' ELSE '' END AS src, b.text || CASE WHEN a.conv_id % 5 = 0 THEN ' @ 3 @ @@@' ELSE '' END || CASE WHEN a.conv_id % 7 = 0 THEN ' (r) (\"x' ELSE '' END || CASE WHEN a.turn % 3 = 0 THEN ' \\n {y}' ELSE '' END AS dst FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
 
 
 def _turns(t):
@@ -145,8 +145,8 @@ def _turns(t):
     c = t("conversations").select("conv_id", "turn", "text")
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after"))
     put = lambda when, what: F.when(when, what).otherwise("")
-    bad = F.concat("after", put(F.col("conv_id") % 5 == 0, " @ 3 @ @@@"), put(F.col("conv_id") % 7 == 0, ' ("x'), put(F.col("turn") % 3 == 0, " \\n {y}"))
-    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("src"), bad.alias("dst"))
+    bad = F.concat("after", put(F.col("conv_id") % 5 == 0, " @ 3 @ @@@"), put(F.col("conv_id") % 7 == 0, ' (r) ("x'), put(F.col("turn") % 3 == 0, " \\n {y}"))
+    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.concat("text", put(F.col("turn") % 2 == 0, ' (r) "q"')).alias("src"), bad.alias("dst"))
 
 
 _WHITE = ["the", "and", "with", "from", "der", "die", "und"]

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """(file, text): whole text files under a folder, hidden and backup folders left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    named = files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+    named = files.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
     return named.where(~F.col("file").rlike(r"/(\.|[^/]*backup)[^/]*/"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import baseline, glossary, matching, pairs, qa, ranking, records, routing, rules, trees
+from lexloom.operators import baseline, codes, fields, game, glossary, matching, pairs, qa, ranking, records, routing, rules, trees
 from lexloom.sources import text as source
 from lexloom.streaming import state
 
@@ -23,15 +23,31 @@ def test_newline_style(spark):
     assert styles == ["CRLF", "LF", "CRLF", "CRLF", "LF"]
 
 
-def walk(lines):
-    """The greedy walk itself."""
-    out, i = {}, 0
-    while i < len(lines):
-        if i + 1 < len(lines) and lines[i].strip() and lines[i] == lines[i + 1]:
-            out[i], out[i + 1] = "source", "target"
+def walk(lines, near=None):
+    """The walk over a file: header comments, pairs, special lines and their reasons."""
+    import re
+    from difflib import SequenceMatcher
+
+    kind = lambda s: "blank" if not s else "block" if re.fullmatch(r"\[[^\]]*\]", s) else "separator" if re.fullmatch(r"#[-=]{3,}", s) else "number" if s.isdigit() else "text"
+    bare, out, i, comments = [x.strip() for x in lines], {}, 0, 0
+    head = 0
+    while head < len(bare) and (not bare[head] or (bare[head].startswith("#") and comments < 4)):
+        comments += bare[head].startswith("#")
+        head += 1
+    while i < len(bare):
+        s, after = bare[i], bare[i + 1] if i + 1 < len(bare) else None
+        if kind(s) != "text" or (i < head and s.startswith("#")):
+            out[i] = ("skipped", None)
+            i += 1
+            continue
+        like = after == s
+        if not like and near is not None and after is not None and kind(after) == "text" and min(len(s), len(after)) >= 0.5 * max(len(s), len(after)):
+            like = sum(m.size for m in SequenceMatcher(None, s, after, autojunk=False).get_matching_blocks()) / max(len(s), len(after)) >= near
+        if like:
+            out[i], out[i + 1] = ("source", None), ("target", None)
             i += 2
         else:
-            out[i] = "special"
+            out[i] = ("special", "end" if after is None else "differs" if kind(after) == "text" else kind(after))
             i += 1
     return out
 
@@ -40,15 +56,19 @@ def test_pairs_equal_the_greedy_walk(spark):
     import random
 
     rng = random.Random(3)
-    files = [["X"] * n for n in range(6)] + [[rng.choice("ab ") for _ in range(rng.randrange(30))] for _ in range(30)]
+    lines = ["a", "b ", "\ta", "", "#x", "#---", "[map1]", "[S]", "5", "Text one", "Text two", "Text onE"]
+    fixture = ["# header comment", "[map1]", "Text A", "Text A", "Lone line", "Text B", "Text B", "Last"]
+    files = [["X"] * n for n in range(6)] + [[rng.choice(lines) for _ in range(rng.randrange(30))] for _ in range(60)] + [["#1", "", "#2", "#3", "#4", "#5", "#5"], fixture]
     df = spark.createDataFrame([(f, i, x) for f, v in enumerate(files) for i, x in enumerate(v)], "file int, line_no int, line string")
-    found = {(r.file, r.line_no): r.role for r in pairs.pair_lines(df, "file").collect()}
-    assert found == {(f, i): role for f, v in enumerate(files) for i, role in walk(v).items()}
+    for near in (None, 0.8):
+        found = {(r.file, r.line_no): (r.role, r.reason) for r in pairs.pair_lines(df, "file", near=near).collect()}
+        assert found == {(f, i): role for f, v in enumerate(files) for i, role in walk(v, near).items()}
+    assert walk(fixture)[3] == ("target", None) and walk(fixture)[4] == ("special", "differs") and walk(fixture)[7] == ("special", "end")
 
 
 def test_write_back_prefers_line_numbers_and_keeps_indents(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(["  A", "  A", "B", "B", "C"])], "file int, line_no int, line string")
-    cache = spark.createDataFrame([("  A", "eins"), ("B", "zwei")], "src string, dst string")
+    cache = spark.createDataFrame([("A", "eins"), ("B", "zwei")], "src string, dst string")
     manual = spark.createDataFrame([(1, 3, "hand")], "file int, line_no int, dst string")
     out = pairs.write_back(df, "file", cache, manual)
     assert pairs.assemble(out, "file").first().text == "  A\n  eins\nB\nhand\nC"
@@ -70,9 +90,65 @@ def test_key_values_last_wins(spark):
 
 
 def test_qa_checks(spark):
-    df = spark.createDataFrame([(1, "Hola <b>", 'the @ 3 @ (x @@@ "'), (2, "a", " "), (3, "same", "same")], "id int, src string, dst string")
+    df = spark.createDataFrame([(1, 'Hola <b> (a) "b"', 'the @ 3 @ (x)) @@@ " \\foo'), (2, "a", " "), (3, "same", "same"), (4, "((", "(x"), (5, "{x}\\n[a]", "⟦1⟧ n")], "id int, src string, dst string")
     found = {(r.id, r.kind): r.detail for r in qa.findings(df, ["id"], qa.checks(white=["same"])).collect()}
-    assert found == {(1, "latin"): "the", (1, "symbols"): "tag", (1, "placeholder"): "@ 3 @", (1, "at_signs"): "@@@", (1, "punctuation"): '(),"', (2, "empty"): "empty", (3, "echo"): "same"}
+    assert found == {(1, "latin"): "the", (1, "controls"): "\\foo", (1, "placeholder"): "@ 3 @", (1, "at_signs"): "@@@", (1, "punctuation"): '",()', (2, "empty"): "empty", (3, "echo"): "same", (5, "symbols"): "bracket,brace", (5, "placeholder"): "⟦1⟧"}
+
+
+def test_term_report(spark):
+    rows = [("s", "A", 1, ""), ("s", "Bola", 2, " "), ("s", "Bola", 3, "宝可梦"), ("s", " bola", 4, "球"), ("s", "Cola", 5, "Cola"), ("s", "Dola", 6, "Dol 可"), ("s", "Eola", 7, "…!"), ("s", "Fola", 8, "可\\n"), ("s", "Bola", 9, "宝可梦")]
+    df = spark.createDataFrame(rows, "section string, src string, ord int, dst string")
+    assert sorted((r.ord, r.kind) for r in qa.term_report(df, "section", "src", "ord").collect()) == [(2, "empty"), (4, "inconsistent"), (5, "echo"), (6, "latin"), (7, "symbols"), (8, "latin")]
+
+
+def test_control_codes(spark):
+    one = lambda c: value(spark, c)
+    assert one(codes.strip_controls(F.lit("a\\c[1]b<i>\\n\\.{x}&amp;c"))) == "abc"
+    assert one(codes.boundaries(F.lit("\\xn[Kao]\\b\\.x\\r"))) == [8, 10, 12]
+    assert one(codes.mismatches(F.lit("\\xn[Hate]\\b"), F.lit("\\xn[Other]\\r"))) == ["\\b > \\r"]
+    assert one(codes.name_tags(F.lit("\\w[Owen]\\tg[Owen]x"), F.create_map(F.lit("Owen"), F.lit("O")))) == "\\w[Owen]\\tg[O]x"
+    assert one(codes.strip_echo(F.lit("ab"), F.lit("x"), F.lit("a"))) == "b"
+
+
+def test_restoration(spark):
+    one = lambda c: value(spark, c)
+    # Text, source and what the runs of backslashes become.
+    cases = [("x \\\\n y", "a \\n b", "x \\n y"), ("x \\\\c y", "a \\\\n b", "x \\c y"), ("\\\\a \\\\a", "\\a \\\\\\a", "\\a \\a"), ("\\\\q", "\\\\\\q", "\\\\\\q"), ("x", "", "x")]
+    for text, like, want in cases:
+        assert one(rules.restore_backslashes(F.lit(text), F.lit(like))) == want
+    assert one(rules.positional(F.lit("{1}: {2}{9} {1:d}"), F.lit("{2}"), F.lit("b"))) == "{2}: b{9} {1:d}"
+    assert one(rules.restore_circled(F.lit("@1@ 1 13"), F.lit("①"))) == "@1@ ① 13"
+
+
+def test_fields(spark):
+    assert fields.split_fields('a , "b,\\"c" ,, d') == ["a", 'b,"c', "", "d"]
+    assert fields.split_fields('"a" b') is None and fields.split_fields("") == [""] and fields.split_fields("a,") == ["a", ""]
+    df = spark.createDataFrame([(["a", 'b,"c', "d e"],)], "f array<string>")
+    line = df.select(F.array_join(F.transform("f", fields.quoted_field), ",").alias("x"))
+    assert line.select(fields.lexed("x").alias("f")).first().f == ["a", 'b,"c', "d e"]
+
+
+def test_growth_curves(spark):
+    want = {"medium": 1000000, "erratic": 600000, "fluctuating": 1640000, "parabolic": 1059860, "fast": 800000, "slow": 1250000}
+    for curve, points in want.items():
+        if curve in ("medium", "fluctuating", "parabolic", "fast", "slow", "erratic"):
+            assert value(spark, game.threshold(F.lit(curve), F.lit(100))) == points, curve
+
+
+def test_files_are_read_and_written_back(spark, tmp_path):
+    """Extract, change, write and read again."""
+    rows = [("a.txt", i, x) for i, x in enumerate(["[map1]", "Hola", "Hola", "5", "Lone"])] + [("b.txt", 0, "Sol"), ("b.txt", 1, "Sol")]
+    lines = spark.createDataFrame(rows, "file string, line_no int, line string")
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text("\r\n".join(x for f, _, x in rows if f == name), newline="")
+    (tmp_path / "old backup").mkdir()
+    (tmp_path / "old backup" / "c.txt").write_text("x")
+    files = source.read_texts(spark, str(tmp_path)).withColumn("file", F.regexp_extract("file", "([^/]*)$", 1))
+    assert sorted(tuple(r) for r in source.lines(files, "file").collect()) == sorted(rows)
+    cache = spark.createDataFrame([("Hola", "你好"), ("Sol", "太阳")], "src string, dst string")
+    made = pairs.assemble(pairs.write_back(source.lines(files, "file"), "file", cache), "file", "\r\n")
+    assert {r.file: r.text for r in made.collect()} == {"a.txt": "[map1]\r\nHola\r\n你好\r\n5\r\nLone", "b.txt": "Sol\r\n太阳"}
+    assert lines.count() == len(rows)
 
 
 def test_rules_skip_what_does_not_compile(spark):
@@ -82,7 +158,6 @@ def test_rules_skip_what_does_not_compile(spark):
     assert value(spark, rules.unescape_value(rules.escape_value(F.lit("a\r\n\tb")))) == "a\r\n\tb"
     assert value(spark, rules.fix_han_spacing(F.lit("中 文 a 中"))) == "中文 a 中"
     assert value(spark, rules.quote_field(F.lit('a"b'))) == '"a""b"'
-    assert value(spark, rules.restore_backslashes(F.lit(r"x \n y"), F.lit(r"a \\n b"))) == r"x \\n y"
 
 
 def test_routing_takes_the_first_route(spark):
@@ -102,12 +177,12 @@ def test_glossary_merge_and_diff(spark):
 
 
 def test_term_hits_respect_word_boundaries(spark):
-    df = spark.createDataFrame([(1, "The Old Rod, old rods"), (2, "éOld Rod")], "id int, text string")
+    df = spark.createDataFrame([(1, "The Old Rod, old rods"), (2, "éOld Rod"), (3, "Old, Rods")], "id int, text string")
     terms = spark.createDataFrame([("Old Rod", "a"), ("Old", "b"), ("Rod[", "c")], "src string, dst string")
     hits = matching.term_hits(df, terms, ["id"])
-    assert sorted((r.id, r.src, r.pos) for r in hits.collect()) == [(1, "Old", 1), (1, "Old Rod", 1)]
-    assert matching.first_term(hits, ["id"]).first().src == "Old Rod"
-    assert matching.hit_terms(hits, terms, ["id"]).first().terms == {"Old": "b", "Old Rod": "a"}
+    assert sorted((r.id, r.src, r.pos) for r in hits.collect()) == [(1, "Old", 1), (1, "Old Rod", 1), (3, "Old", 0)]
+    assert {r.id: r.src for r in matching.first_term(hits, ["id"]).collect()} == {1: "Old Rod", 3: "Old"}
+    assert matching.hit_terms(hits.where("id = 1"), terms, ["id"]).first().terms == {"Old": "b", "Old Rod": "a"}
 
 
 def test_longest_prefix_ends_at_a_boundary(spark):
@@ -117,7 +192,7 @@ def test_longest_prefix_ends_at_a_boundary(spark):
 
 
 def test_decode_codes(spark):
-    cases = [("12", "i", 12, None), ("-1", "u", None, "invalid"), ("0", "v", None, "invalid"), ("ff", "x", 255, None), ("1.5", "f", 1.5, None), ("", "i", None, "blank"), ("", "I", None, None), ("maybey", "b", True, None), ("a b", "n", None, "invalid")]
+    cases = [("12", "i", 12, None), ("3000000000", "u", 3000000000, None), ("99999999999999999999", "u", None, "invalid"), ("-1", "u", None, "invalid"), ("0", "v", None, "invalid"), ("ff", "x", 255, None), ("1.5", "f", 1.5, None), ("", "i", None, "blank"), ("", "I", None, None), ("maybey", "b", True, None), ("a b", "n", None, "invalid")]
     for text, code, wanted, error in cases:
         got = value(spark, records.decode(F.lit(text), code))
         assert (got.value, got.error) == (wanted, error), (text, code)
@@ -146,7 +221,7 @@ def test_trees(spark):
 def test_baseline_compare_and_functions(spark):
     old = spark.createDataFrame([("s", "a", "1"), ("s", "b", "2"), ("s", "c", "3"), ("s", "d", "4")], "script string, fn string, fp string")
     new = spark.createDataFrame([("s", "a", "1"), ("s", "b", "9"), ("t", "c", "3"), ("t", "e", "5")], "script string, fn string, fp string")
-    assert {(r.script, r.fn): r.status for r in baseline.compare(old, new).collect()} == {("s", "a"): "same", ("s", "b"): "changed", ("s", "c"): "moved", ("s", "d"): "missing", ("t", "c"): "moved", ("t", "e"): "added"}
+    assert {(r.script, r.fn): r.status for r in baseline.compare(old, new).collect()} == {("s", "a"): "same", ("s", "b"): "changed", ("s", "c"): "moved", ("s", "d"): "missing", ("t", "c"): "added", ("t", "e"): "added"}
     files = spark.createDataFrame([("s", "def a\n  x\nend\nclass B\n  def b\n    # note\n    y  \n  end\nend")], "script string, text string")
     same = spark.createDataFrame([("s", "  def b\n    y\n  end\ndef a\n  x\nend")], "script string, text string")
     assert {r.fn: r.fp for r in baseline.scan_functions(files).collect()} == {r.fn: r.fp for r in baseline.scan_functions(same).collect()}

@@ -10,7 +10,7 @@ import pytest
 from lexloom.plans.catalog import ORACLE_SQL, QUERIES
 
 #: Queries that may return nothing on the smallest tables.
-MAY_BE_EMPTY = {"foreign_key_check", "cache_remove", "undominated", "team_pairs"}  # team_pairs: ten suppliers, each of another nation
+MAY_BE_EMPTY = {"foreign_key_check", "cache_remove", "undominated", "team_pairs", "compatible_pairs"}  # team_pairs: ten suppliers, each of another nation
 
 
 @pytest.fixture(scope="module")
