@@ -48,6 +48,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import written
+from .words import released
 
 NUMBERED, FOLD_BYTES, FREQUENT = 1 << 16, 64, 1 << 19
 #: Strings that the literal rank map is dealt over by hash, so that a look-up reads about six entries.
@@ -216,9 +217,8 @@ def _numbered(pattern: str, sent, names: list[str], numbered: int):
                 columns = [places, pa.array(fresh, pa.bool_()), pa.ListArray.from_arrays(of_rows, pa.array(pieces, pa.string())), pa.ListArray.from_arrays(of_rows, pa.array(done, pa.list_(pa.int32()))), _lists(np.array(numbers, np.int32), ends)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *columns], names=[*names, "place", "fresh", "pieces", "done", "numbers"])
         known.clear()
-        pa.default_memory_pool().release_unused()  # the worker process lives on
 
-    return run
+    return released(run)
 
 
 def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -266,10 +266,8 @@ def _put_together(names: list[str], sent):
                 total = np.append(0, np.cumsum(lengths[numbers]))
                 ids = _lists(_gathered(values, starts[numbers], lengths[numbers]), total[np.cumsum(many)])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], ids], names=[*names, "ids"])
-        del values, starts, lengths
-        pa.default_memory_pool().release_unused()
 
-    return run
+    return released(run)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep_text: bool = True, numbered: int = NUMBERED, frequent: int = FREQUENT) -> DataFrame:

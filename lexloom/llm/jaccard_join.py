@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
 from .scratch import written
-from .words import HASH, Words, blocks, integers, mix
+from .words import HASH, Words, blocks, integers, mix, released
 
 BLOCK_BYTES = 1 << 20
 #: The sketch: counters, and the parts that are summed apart.
@@ -124,7 +124,7 @@ def _within_profiles(percent: int):
             kept = pa.array(np.flatnonzero(keep & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes))))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], names=["a", "b"])
 
-    return run
+    return released(run)
 
 
 def _digests(n: int):
@@ -146,7 +146,7 @@ def _digests(n: int):
         none = [pa.nulls(PARTS, pa.int64())] * 5
         yield pa.RecordBatch.from_arrays([*none, pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(made, pa.binary())], schema=schema)
 
-    return run
+    return released(run)
 
 
 def _renamed(digests: DataFrame, clashes: np.ndarray) -> DataFrame:
@@ -158,7 +158,7 @@ def _renamed(digests: DataFrame, clashes: np.ndarray) -> DataFrame:
             node = np.where(np.isin(node, clashes), mix((node ^ second).astype(np.uint64)).astype(np.int64), node)
             yield batch.set_column(batch.schema.get_field_index("node"), "node", pa.array(node))
 
-    return digests.mapInArrow(run, digests.schema)
+    return digests.mapInArrow(released(run), digests.schema)
 
 
 def _sum_part(table: pa.Table) -> pa.Table:
@@ -202,7 +202,7 @@ def _prefixes(n: int, percent: int, sent, buckets: int, hottest: int):
                 none = [pa.nulls(len(cut), pa.int64())] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(made, pa.binary()), *none], schema=schema)
 
-    return run
+    return released(run)
 
 
 def _needed(size_a, size_b, percent: int):
@@ -422,7 +422,7 @@ def _set_arrays(n: int, clashes: np.ndarray, sent=None):
                 made = [grams[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_nodes(grams, bounds, clashes)[0]), pa.array(made, pa.binary())], names=["row", "made", "grams"])
 
-    return run
+    return released(run)
 
 
 def _fetched(own: DataFrame, nodes: DataFrame, asked: DataFrame, n: int, clashes: np.ndarray) -> DataFrame:

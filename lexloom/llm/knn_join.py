@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scratch import written
+from .words import released
 
 CELL_ROWS, QUERY_ROWS = 8192, 2048
 MOST_PIVOTS, MOST_LENGTHS = 1024, 64
@@ -77,7 +78,7 @@ def _assign(sent):
                     (cell, distance), (side, apart) = nearest(x - centre, pivots), nearest(x, pivots + centre)
                     yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, (cell + first, distance, side + first, apart))], names=["id", "v", "cell", "distance", "side", "apart"])
 
-    return run
+    return released(run)
 
 
 def _bounds(asked: int, pivots: dict, queries: dict[int, float], data: dict[int, tuple[float, list[float]]]) -> np.ndarray:

@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .quality import crc_class
+from .words import released
 
 #: Texts sampled for each language, pieces taken of each and their bytes, languages at most.
 SAMPLE_TEXTS, SAMPLE_PIECES, PIECE_BYTES, MAX_LANGUAGES = 512, 4, 128, 512
@@ -95,7 +96,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
     plain = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)], F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")).alias("lowered"))
     schema = ", ".join(f"{c} {kind}" for c, kind in plain.dtypes[:-1]) + ", lang_pred string, score double, rejected boolean"
-    made = plain.mapInArrow(run, schema)
+    made = plain.mapInArrow(released(run), schema)
     return made.select(*[F.col(i).alias(c) for c, i in zip(names, inner, strict=True)], "lang_pred", "score", "rejected")
 
 

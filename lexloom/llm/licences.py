@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .ngram_model import Ftrl, sigmoid
-from .words import HASH, Words, blocks, byte_class, mix
+from .words import HASH, Words, blocks, byte_class, mix, released
 
 SLOTS = 1 << 16
 SCALE = 8.0
@@ -350,7 +350,7 @@ def scan_licences(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray)
 
     plain = docs.toDF(*inner)
     schema = ", ".join(f"{c} {kind}" for c, kind in plain.dtypes) + ", n_paragraphs long, licences array<struct<paragraph:long,family:string,score:double,confirmation:double>>"
-    return plain.mapInArrow(run, schema).toDF(*names, "n_paragraphs", "licences")
+    return plain.mapInArrow(released(run), schema).toDF(*names, "n_paragraphs", "licences")
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ngram_model import SLOTS, Ftrl, examples, scores, sigmoid
-from .words import Words, blocks, integers
+from .words import Words, blocks, integers, released
 
 TRAIN_ROWS, SHARDS, EPOCHS = 8192, 4, 4
 BLOCK_BYTES = 1 << 18
@@ -78,7 +78,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     plain = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)])
     schema = ", ".join(f"{c} {kind}" for c, kind in plain.dtypes) + ", score double"
-    made = plain.mapInArrow(run, schema)
+    made = plain.mapInArrow(released(run), schema)
     return made.select(*[F.col(i).alias(c) for c, i in zip(names, inner, strict=True)], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

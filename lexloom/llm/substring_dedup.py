@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .words import HASH, SECOND, Words, blocks, integers
+from .words import HASH, SECOND, Words, blocks, integers, release, released
 
 #: Bytes of text that one block packs together, and that one bucket should get.
 BLOCK_BYTES = 4 << 20
@@ -103,7 +103,7 @@ def _pack(k: int, m: int, buckets: int):
                 for x in range(0, len(names), 4096):
                     yield rows(names[x : x + 4096], blob=made[x : x + 4096])
 
-    return run
+    return released(run)
 
 
 def _unpack(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -156,6 +156,7 @@ def _sort_bucket(k: int):
                 head, at = _unpack(packed[i])[0], run[cut[mine]]
                 out.append((head["doc"][at], head["key"][at], ((head["start"][at] + place[cut[mine]]) << 32) | (size[mine] + k - 1)))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        release()
         return pa.table(columns, schema=schema)
 
     return spans
@@ -186,7 +187,7 @@ def _cut(columns: list[str]):
             made = {"kept_text": pa.array(kept, pa.string()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), *made.values()], names=[*columns, *made])
 
-    return run
+    return released(run)
 
 
 def remove_repeated_passages(docs: DataFrame, k: int = 13, minimiser_words: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .scratch import shared_dir, written
+from .words import released
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 #: Bytes of text that are encoded at a time.
@@ -79,7 +80,7 @@ def _count(name: str, content: bytes):
                 made += count(part)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["digest", "n_tokens"])
 
-    return run
+    return released(run)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataFrame:
