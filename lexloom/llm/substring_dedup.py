@@ -31,7 +31,7 @@ from .words import HASH, SECOND, Words, blocks, integers, release, released
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
 #: Windows that are sorted at a time; a larger bucket is sorted in several passes.
-PASS_WINDOWS = 4_000_000
+PASS_WINDOWS = 1_000_000
 
 #: Columns of a blob's head: doc as differences, as neighbours come from one document or the next.
 _HEAD = ("doc", "key", "start", "windows", "bytes")
