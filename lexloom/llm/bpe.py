@@ -48,7 +48,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import written
-from .words import released
+from .words import release, released
 
 NUMBERED, FOLD_BYTES, FREQUENT = 1 << 16, 64, 1 << 19
 #: Strings that the literal rank map is dealt over by hash, so that a look-up reads about six entries.
@@ -280,6 +280,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     literal = rank_map(ranks)
     words, ids, many = frequent_pieces(plain.select("text_"), ranks, literal, frequent)
     sent = docs.sparkSession.sparkContext.broadcast((ranks, words, ids, many))
+    del words, ids, many
+    release()  # the driver's memory, too, where many queries follow one another
     met = plain.mapInArrow(_numbered(pattern, sent, names, numbered), schema + "place long, fresh boolean, pieces array<string>, done array<array<int>>, numbers array<int>")
     encoded = let(literal, lambda r: F.zip_with("pieces", "done", lambda piece, done: F.coalesce(done, fold_merges(piece, byte_tokens(ranks), r))))
     ready = met.select(*names, "place", "fresh", encoded.alias("encoded"), "numbers")
