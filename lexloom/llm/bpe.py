@@ -47,7 +47,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import written
+from .scratch import short_plans, written
 from .words import release, released
 
 NUMBERED, FOLD_BYTES, FREQUENT = 1 << 16, 64, 1 << 19
@@ -168,7 +168,9 @@ def frequent_pieces(texts: DataFrame, ranks: dict[bytes, int], literal: Column,
     if least is None:
         return pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
     dealt = counted.where(level >= least).select("piece").repartition(max(1, rows // 8192), "piece")
-    made = dealt.select("piece", let(literal, lambda r: fold_merges(F.col("piece"), byte_tokens(ranks), r)).alias("ids")).toArrow().combine_chunks()
+    folded = dealt.select("piece", let(literal, lambda r: fold_merges(F.col("piece"), byte_tokens(ranks), r)).alias("ids"))
+    with short_plans(texts.sparkSession):
+        made = folded.toArrow().combine_chunks()
     ranked = pa.array([y for x in ranks if x.decode(errors="ignore").encode() == x and (y := x.decode())], pa.string())
     made = made.filter(pc.invert(pc.is_in(made.column("piece"), ranked))).combine_chunks()
     if not made.num_rows:
