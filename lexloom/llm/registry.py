@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, jaccard_join, knn_join, substring_dedup
+from . import chat_format, decontaminate, importance_resampling, jaccard_join, knn_join, substring_dedup
 from .bpe import op7_query
 from .chat_format import op8_query
 from .decontaminate import op4_query
+from .importance_resampling import op13_query
 from .jaccard_join import op2_query
 from .knn_join import op5_query
 from .language_id import op3_query
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_chat_formatting": op8_query,
     "op9_licence_scan": op9_query,
     "op10_token_counts": op10_query,
+    "op13_importance_resampling": op13_query,
 }
 #: None for the others: SQL can express no training, no tokenizer and no compressor.
 ORACLE_SQL: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": knn_join.ORACLE_SQL,
     "op6_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_chat_formatting": chat_format.ORACLE_SQL,
+    "op13_importance_resampling": importance_resampling.ORACLE_SQL,
 }
