@@ -13,6 +13,7 @@ from .language_id import op3_query
 from .licences import op9_query
 from .quality import op1_query
 from .substring_dedup import op6_query
+from .token_alignment import op11_query
 from .token_counts import op10_query
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat_formatting": op8_query,
     "op9_licence_scan": op9_query,
     "op10_token_counts": op10_query,
+    "op11_token_alignment": op11_query,
     "op13_importance_resampling": op13_query,
 }
 #: None for the others: SQL can express no training, no tokenizer and no compressor.
