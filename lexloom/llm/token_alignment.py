@@ -48,7 +48,7 @@ NO_CUT = "(?!)"
 #: Pairs whose counts are sent to all tasks; more are joined by shuffle.
 BROADCAST_PAIRS = 1 << 19
 NUMBERS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
-_TOKENS = "same boolean, tokens array<struct<side: byte, token: int, size: int>>"
+_TOKENS = "same boolean, n_a int, ids array<int>, sizes array<int>"
 
 
 class Pair:
@@ -102,11 +102,11 @@ def _tokens(content: tuple[bytes, bytes]):
             both = [x for pair in zip(a, b, strict=True) for x in pair]
             counts = np.fromiter(map(len, both), np.int64, len(both))
             ids = np.fromiter((i for x in both for i in x), np.int32, counts.sum())
-            side = np.repeat(np.arange(len(both)) % 2, counts).astype(np.int8)
-            size = np.where(side == 0, sizes[0][np.where(side == 0, ids, 0)], sizes[1][np.where(side == 1, ids, 0)])
-            rows = pa.StructArray.from_arrays([pa.array(side, pa.int8()), pa.array(ids, pa.int32()), pa.array(size, pa.int32())], names=["side", "token", "size"])
-            offsets = np.concatenate([[0], np.cumsum(counts.reshape(-1, 2).sum(axis=1))])
-            yield pa.StructArray.from_arrays([pa.array(same, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)], names=["same", "tokens"])
+            of_a = np.repeat(np.arange(len(both)) % 2 == 0, counts)
+            size = np.where(of_a, sizes[0][np.where(of_a, ids, 0)], sizes[1][np.where(of_a, 0, ids)])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts.reshape(-1, 2).sum(axis=1))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (ids, size)]
+            yield pa.StructArray.from_arrays([pa.array(same, pa.bool_()), pa.array(counts[::2], pa.int32()), *lists], names=["same", "n_a", "ids", "sizes"])
 
     return arrow_udf(run, _TOKENS)
 
@@ -117,8 +117,10 @@ def aligned(counted: DataFrame, content: tuple[bytes, bytes]) -> DataFrame:
     piece must be distinct. Where same is false, both tokenizers' bytes aren't the text's.
     """
     key = ["piece", "n", "same"]
-    encoded = counted.withColumn("t", _tokens(content)("piece")).select("piece", "n", "t.same", "t.tokens")
-    rows = encoded.select(*key, F.posexplode("tokens").alias("place", "t")).select(*key, "place", "t.*")
+    encoded = counted.withColumn("t", _tokens(content)("piece")).select("piece", "n", "t.same", "t.n_a", F.arrays_zip("t.ids", "t.sizes").alias("tokens"))
+    # Dealt by piece once; all windows and groups below keep that. An inner explode would put its filter, and so the tokenizers, before the counting.
+    rows = encoded.repartition("piece").select(*key, "n_a", F.posexplode_outer("tokens").alias("place", "t"))
+    rows = rows.select(*key, (F.col("place") >= F.col("n_a")).cast("int").alias("side"), "place", F.col("t.ids").alias("token"), F.col("t.sizes").alias("size"))
     ends = rows.withColumn("end", F.sum("size").over(Window.partitionBy("piece", "side").orderBy("place")))
     met = ends.groupBy(*key, "end").agg(F.max(F.when(F.col("side") == 0, F.col("token"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("token"))).alias("b"))
     cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
