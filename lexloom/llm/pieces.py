@@ -26,7 +26,7 @@ from .scratch import written
 from .words import released
 
 #: Entries of the dictionary that is sent to all tasks, at most.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 
 
 def pieces_of(text: Column, pattern: str) -> Column:
@@ -61,29 +61,25 @@ class Dictionary:
     """Records of the frequent pieces, as it is sent to the tasks; a worker builds the index once."""
 
     def __init__(self, records: DataFrame):
-        table = records.drop("n").toArrow()  # FREQUENT rows at most
-        sink = io.BytesIO()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(table)
-        self.content = sink.getvalue()
+        table = records.drop("n").toArrow().combine_chunks()  # FREQUENT rows at most
+        self.size, self.content = table.num_rows, {}
+        for name in table.column_names:  # each by itself: a task takes up those that it needs
+            sink = io.BytesIO()
+            part = table.select([name])
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(part)
+            self.content[name] = sink.getvalue()
 
     def __getstate__(self):
-        return {"content": self.content}
+        return {"size": self.size, "content": self.content}
 
-    @cached_property
-    def table(self) -> pa.Table:
-        return pa.ipc.open_stream(self.content).read_all().combine_chunks()
+    def column(self, name: str) -> pa.Array:
+        column = pa.ipc.open_stream(self.content[name]).read_all().combine_chunks()[name]
+        return column.chunk(0) if column.num_chunks else pa.array([], column.type)
 
     @cached_property
     def codes(self) -> dict[str, int]:
-        return {x: i for i, x in enumerate(self.table["piece"].to_pylist())}
-
-    def numbers(self, name: str) -> np.ndarray:
-        return self.table[name].to_numpy()
-
-    @cached_property
-    def texts(self) -> dict[str, list[str]]:
-        return {f.name: self.table[f.name].to_pylist() for f in self.table.schema if pa.types.is_string(f.type) and f.name != "piece"}
+        return {x.as_py(): i for i, x in enumerate(self.column("piece"))}
 
 
 def coded(docs: DataFrame, pattern: str, prefix: str, sent: Broadcast, keep: tuple[str, ...], name: str) -> DataFrame:
@@ -97,7 +93,7 @@ def coded(docs: DataFrame, pattern: str, prefix: str, sent: Broadcast, keep: tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, cut, at = sent.value.codes, re.compile(pattern).split, TaskContext.get().partitionId() << 40
-        size = len(codes)
+        size = sent.value.size
         for batch in batches:
             made, rare = [], []
             for text in batch.column(batch.num_columns - 1):

@@ -2,9 +2,9 @@
 
 Relational: tokens are exploded with their positions, cumulative lengths over a window
 give each token's end, rows of both tokenizers with the same text and end meet, a
-running count of those cuts numbers the groups, and grouping by that number joins the
-tokens of a group. The meeting is a grouping by (piece, end), an equi-join of two
-sides that are already dealt by piece: it needs no shuffle of its own.
+running count of those cuts numbers the groups, and the tokens of a number are a group.
+The meeting is the equi-join on text and end as a merge: rows of both sides, dealt by
+text, stand next to each other in a window ordered by end, so it needs no further shuffle.
 
 The texts that go through this are the corpus's distinct *pieces*. Neither tokenizer
 has a token that crosses from a printable character to a following space, so both cut
@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -43,8 +44,11 @@ from .scratch import written
 
 #: Before a space with something behind it, after a character that no white space class has. The space before the text is the prefix.
 CUT = "(?<=[!-~¡-ᙿ、-퟿])(?= [\\s\\S])"
+_BEFORE = re.compile("[!-~¡-ᙿ、-퟿]")
 #: Nowhere: a piece is a whole text.
 NO_CUT = "(?!)"
+#: Characters that are encoded in one go.
+RUN_CHARS = 4096
 #: Pairs whose counts are sent to all tasks; more are joined by shuffle.
 BROADCAST_PAIRS = 1 << 19
 NUMBERS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
@@ -72,11 +76,37 @@ class Pair:
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.b_bytes = [bytes([int(x[3:-1], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in y], np.int32) for y in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode(self, texts: list[str]) -> tuple[list, list]:
         """Ids of texts that begin with a space; B adds it itself."""
         return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([x[1:] for x in texts], num_threads=1)
 
+    def encode_pieces(self, texts: list[str]) -> tuple[list, list]:
+        """Ids of pieces: those that a space may follow are encoded some hundreds at a time, and cut apart by their lengths."""
+        a: list = [None] * len(texts)
+        b: list = [None] * len(texts)
+        runs, own, size = [], [], 0
+        for i in (i for i, x in enumerate(texts) if x[-1:] and _BEFORE.match(x[-1])):
+            own.append(i)
+            size += len(texts[i])
+            if size >= RUN_CHARS:
+                runs.append(own)
+                own, size = [], 0
+        runs += [own] * bool(own)
+        joined = ["".join([texts[i] for i in x]) for x in runs]
+        for own, text, x, y in zip(runs, joined, *self.encode(joined), strict=True):
+            ends = np.cumsum([len(texts[i].encode()) for i in own])
+            at = [np.searchsorted(np.cumsum(sizes[ids]), ends, side="right") for sizes, ids in ((self.a_sizes, x), (self.b_sizes, y))]
+            if b"".join([self.a_bytes[i] for i in x]) == b"".join([self.b_bytes[i] for i in y]) == text.encode():
+                for made, ids, to in ((a, x, at[0].tolist()), (b, y, at[1].tolist())):
+                    for i, low, high in zip(own, [0, *to], to):
+                        made[i] = ids[low:high]
+        rest = [i for i, x in enumerate(a) if x is None]
+        for i, x, y in zip(rest, *self.encode([texts[i] for i in rest]), strict=True):
+            a[i], b[i] = x, y
+        return a, b
+
 
 def separable(a: bytes, b: bytes) -> bool:
     """Whether both tokenizers cut wherever ``CUT`` does, as their files say."""
@@ -91,19 +121,19 @@ def separable(a: bytes, b: bytes) -> bool:
     return b"".join(own.b_bytes[i] for i in own.b.encode(sample)) == f" {sample}".encode()
 
 
-def _tokens(content: tuple[bytes, bytes]):
+def _tokens(content: tuple[bytes, bytes], cut: str):
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Pair(*content)
-        sizes = [np.array([len(x) for x in y], np.int32) for y in (own.a_bytes, own.b_bytes)]
+        encode = own.encode if cut == NO_CUT else own.encode_pieces
         for column in columns:
             texts = column.to_pylist()
-            a, b = own.encode(texts)
+            a, b = encode(texts)
             same = [text.encode() == b"".join([own.a_bytes[i] for i in x]) == b"".join([own.b_bytes[i] for i in y]) for text, x, y in zip(texts, a, b, strict=True)]
             both = [x for pair in zip(a, b, strict=True) for x in pair]
             counts = np.fromiter(map(len, both), np.int64, len(both))
             ids = np.fromiter((i for x in both for i in x), np.int32, counts.sum())
             of_a = np.repeat(np.arange(len(both)) % 2 == 0, counts)
-            size = np.where(of_a, sizes[0][np.where(of_a, ids, 0)], sizes[1][np.where(of_a, 0, ids)])
+            size = np.where(of_a, own.a_sizes[np.where(of_a, ids, 0)], own.b_sizes[np.where(of_a, 0, ids)])
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts.reshape(-1, 2).sum(axis=1))]), pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (ids, size)]
             yield pa.StructArray.from_arrays([pa.array(same, pa.bool_()), pa.array(counts[::2], pa.int32()), *lists], names=["same", "n_a", "ids", "sizes"])
@@ -111,32 +141,37 @@ def _tokens(content: tuple[bytes, bytes]):
     return arrow_udf(run, _TOKENS)
 
 
-def aligned(counted: DataFrame, content: tuple[bytes, bytes]) -> DataFrame:
+def aligned(counted: DataFrame, content: tuple[bytes, bytes], cut: str = NO_CUT) -> DataFrame:
     """For each text (piece, n): same, n_a, n_b, n_groups, groups (``a1,a2|b1;...``) and links, the (a, b) that end together.
 
-    piece must be distinct. Where same is false, both tokenizers' bytes aren't the text's.
+    piece must be distinct; cut: the pattern by which they were cut. Where same is false, both tokenizers' bytes aren't the text's.
     """
     key = ["piece", "n", "same"]
-    encoded = counted.withColumn("t", _tokens(content)("piece")).select("piece", "n", "t.same", "t.n_a", F.arrays_zip("t.ids", "t.sizes").alias("tokens"))
+    encoded = counted.withColumn("t", _tokens(content, cut)("piece")).select("piece", "n", "t.same", "t.n_a", F.arrays_zip("t.ids", "t.sizes").alias("tokens"))
     # Dealt by piece once; all windows and groups below keep that. An inner explode would put its filter, and so the tokenizers, before the counting.
     rows = encoded.repartition("piece").select(*key, "n_a", F.posexplode_outer("tokens").alias("place", "t"))
     rows = rows.select(*key, (F.col("place") >= F.col("n_a")).cast("int").alias("side"), "place", F.col("t.ids").alias("token"), F.col("t.sizes").alias("size"))
     ends = rows.withColumn("end", F.sum("size").over(Window.partitionBy("piece", "side").orderBy("place")))
-    met = ends.groupBy(*key, "end").agg(F.max(F.when(F.col("side") == 0, F.col("token"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("token"))).alias("b"))
-    cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    before = Window.partitionBy("piece").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = met.withColumns({"cut": cut, "number": F.coalesce(F.sum(cut).over(before), F.lit(0))})
+    # A's row stands before B's with the same end: the two of a cut are neighbours.
+    met = Window.partitionBy("piece").orderBy("end", "side")
+    cuts = ends.withColumn("other", F.when((F.lag("end").over(met) == F.col("end")) & (F.col("side") == 1), F.lag("token").over(met)))
+    number = F.count("other").over(met.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("other").isNotNull().cast("long")
+    numbered = cuts.withColumn("number", number)
+    token = F.struct("number", "side", "end", "token")
+    whole = numbered.groupBy(*key).agg(
+        F.coalesce(F.sum(1 - F.col("side")), F.lit(0)).alias("n_a"),
+        F.coalesce(F.sum("side"), F.lit(0)).alias("n_b"),
+        F.count("other").alias("n_groups"),
+        F.sort_array(F.collect_list(token)).alias("tokens"),
+        F.collect_list(F.when(F.col("other").isNotNull(), F.struct(F.col("other").alias("a"), F.col("token").alias("b")))).alias("links"),
+    )
 
-    def ids(side: str):
-        own = F.sort_array(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side))))
-        return F.concat_ws(",", F.transform(own, lambda x: x[side].cast("string")))
+    def written_out(x, i):
+        before = F.col("tokens")[i - 1]
+        mark = F.when(i == 0, "").when(before["number"] != x["number"], ";").when(before["side"] != x["side"], "|").otherwise(",")
+        return F.concat(mark, x["token"].cast("string"))
 
-    groups = numbered.groupBy(*key, "number").agg(
-        F.concat(ids("a"), F.lit("|"), ids("b")).alias("ids"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max(F.when(F.col("cut") == 1, F.struct("a", "b"))).alias("link")
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("number", "ids", "link")))
-    whole = groups.groupBy(*key).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("number").alias("n_groups"), ordered.alias("groups"))
-    return whole.select(*key, "n_a", "n_b", "n_groups", F.concat_ws(";", "groups.ids").alias("groups"), F.filter("groups.link", lambda x: x.isNotNull()).alias("links"))
+    return whole.select(*key, "n_a", "n_b", "n_groups", F.concat_ws("", F.transform("tokens", written_out)).alias("groups"), "links")
 
 
 def pair_counts(records: DataFrame) -> DataFrame:
@@ -180,7 +215,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, frequent: int | None =
     cut = CUT if separable(*content) else NO_CUT
     docs = docs.drop(*NUMBERS, "n_links", "groups_sha256")
     texts = docs.select("text").where(F.octet_length("text") > 0)
-    records = written(aligned(pieces.counted(texts, pieces.pieces_of(F.concat(F.lit(" "), "text"), cut)), content), "aligned-pieces")
+    records = written(aligned(pieces.counted(texts, pieces.pieces_of(F.concat(F.lit(" "), "text"), cut)), content, cut), "aligned-pieces")
     records = _without_odd_texts(records, texts, cut)
     records = written(_scored(records, pair_counts(records)), "piece-records")
     most, others = pieces.parted(records, frequent)
@@ -190,9 +225,9 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, frequent: int | None =
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        size, groups = len(own.codes), own.texts["groups"]
-        numbers = np.stack([own.numbers(c) for c in NUMBERS])
-        odd = ~own.table["same"].to_numpy()
+        size, groups = own.size, own.column("groups").to_pylist()
+        numbers = np.stack([own.column(c).to_numpy() for c in NUMBERS])
+        odd = ~own.column("same").to_numpy(zero_copy_only=False)
         for batch in batches:
             totals, digests = np.zeros((batch.num_rows, len(NUMBERS)), np.int64), [""] * batch.num_rows
             for i, (codes, rare) in enumerate(zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True)):
