@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import io
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +94,7 @@ def coded(docs: DataFrame, pattern: str, prefix: str, sent: Broadcast, keep: tup
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, cut, at = sent.value.codes, re.compile(pattern).split, TaskContext.get().partitionId() << 40
+        codes, cut, first = sent.value.codes, re.compile(pattern).split, TaskContext.get().partitionId() << 40
         size = sent.value.size
         for batch in batches:
             made, rare = [], []
@@ -102,13 +104,16 @@ def coded(docs: DataFrame, pattern: str, prefix: str, sent: Broadcast, keep: tup
                     made.append(None)
                     rare.append([])
                     continue
-                found = [codes.get(x, x) for x in cut(prefix + text)]
-                own: dict[str, int] = {}
-                found = [x if type(x) is int else own.setdefault(x, size + len(own)) for x in found]
-                made.append(np.array(found, np.int32).tobytes())
+                parts, own = cut(prefix + text), {}
+                found = array("i", map(codes.get, parts, repeat(-1)))
+                at = -1
+                for _ in range(found.count(-1)):
+                    at = found.index(-1, at + 1)
+                    found[at] = own.setdefault(parts[at], size + len(own))
+                made.append(found.tobytes())
                 rare.append(list(own))
-            rows = pa.array(np.arange(at, at + batch.num_rows), pa.int64())
-            at += batch.num_rows
+            rows = pa.array(np.arange(first, first + batch.num_rows), pa.int64())
+            first += batch.num_rows
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], rows, pa.array(made, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "row", "codes", "rare"])
 
     schema = "".join(f"{c} {kind}, " for c, kind in plain.dtypes[:-1]) + "row long, codes binary, rare array<string>"
@@ -125,5 +130,5 @@ def fetched(rows: DataFrame, records: DataFrame) -> DataFrame:
 def assembled(rows: DataFrame, records: DataFrame, make: Callable, schema: str, columns: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
     """``make`` applied to each Arrow batch of the rows with ``rare_records``: an array of (place, *columns) of their rare pieces."""
     own = fetched(rows, records).groupBy(F.col("row").alias("own_row_")).agg(F.collect_list(F.struct("place", *columns)).alias("rare_records"))
-    joined = rows.drop("rare").join(own, F.col("row") == F.col("own_row_"), "left").select(*keep, "codes", "rare_records")
+    joined = rows.drop("rare").join(own, F.col("row") == F.col("own_row_"), "left").select(*keep, "codes", F.coalesce("rare_records", F.array()).alias("rare_records"))
     return joined.mapInArrow(released(make), schema)

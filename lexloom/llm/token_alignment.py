@@ -82,10 +82,11 @@ class Pair:
         """Ids of texts that begin with a space; B adds it itself."""
         return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([x[1:] for x in texts], num_threads=1)
 
-    def encode_pieces(self, texts: list[str]) -> tuple[list, list]:
-        """Ids of pieces: those that a space may follow are encoded some hundreds at a time, and cut apart by their lengths."""
+    def encode_pieces(self, texts: list[str]) -> tuple[list, list, list[bool]]:
+        """Ids of pieces, and whether they have the piece's bytes: those that a space may follow are encoded some hundreds at a time, and cut apart by their lengths."""
         a: list = [None] * len(texts)
         b: list = [None] * len(texts)
+        same = [True] * len(texts)
         runs, own, size = [], [], 0
         for i in (i for i, x in enumerate(texts) if x[-1:] and _BEFORE.match(x[-1])):
             own.append(i)
@@ -98,14 +99,17 @@ class Pair:
         for own, text, x, y in zip(runs, joined, *self.encode(joined), strict=True):
             ends = np.cumsum([len(texts[i].encode()) for i in own])
             at = [np.searchsorted(np.cumsum(sizes[ids]), ends, side="right") for sizes, ids in ((self.a_sizes, x), (self.b_sizes, y))]
-            if b"".join([self.a_bytes[i] for i in x]) == b"".join([self.b_bytes[i] for i in y]) == text.encode():
+            if self.same(text, x, y):
                 for made, ids, to in ((a, x, at[0].tolist()), (b, y, at[1].tolist())):
                     for i, low, high in zip(own, [0, *to], to):
                         made[i] = ids[low:high]
         rest = [i for i, x in enumerate(a) if x is None]
         for i, x, y in zip(rest, *self.encode([texts[i] for i in rest]), strict=True):
-            a[i], b[i] = x, y
-        return a, b
+            a[i], b[i], same[i] = x, y, self.same(texts[i], x, y)
+        return a, b, same
+
+    def same(self, text: str, a: list[int], b: list[int]) -> bool:
+        return b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b]) == text.encode()
 
 
 def separable(a: bytes, b: bytes) -> bool:
@@ -124,11 +128,13 @@ def separable(a: bytes, b: bytes) -> bool:
 def _tokens(content: tuple[bytes, bytes], cut: str):
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Pair(*content)
-        encode = own.encode if cut == NO_CUT else own.encode_pieces
         for column in columns:
             texts = column.to_pylist()
-            a, b = encode(texts)
-            same = [text.encode() == b"".join([own.a_bytes[i] for i in x]) == b"".join([own.b_bytes[i] for i in y]) for text, x, y in zip(texts, a, b, strict=True)]
+            if cut == NO_CUT:
+                a, b = own.encode(texts)
+                same = list(map(own.same, texts, a, b))
+            else:
+                a, b, same = own.encode_pieces(texts)
             both = [x for pair in zip(a, b, strict=True) for x in pair]
             counts = np.fromiter(map(len, both), np.int64, len(both))
             ids = np.fromiter((i for x in both for i in x), np.int32, counts.sum())
@@ -147,9 +153,9 @@ def aligned(counted: DataFrame, content: tuple[bytes, bytes], cut: str = NO_CUT)
     piece must be distinct; cut: the pattern by which they were cut. Where same is false, both tokenizers' bytes aren't the text's.
     """
     key = ["piece", "n", "same"]
-    encoded = counted.withColumn("t", _tokens(content, cut)("piece")).select("piece", "n", "t.same", "t.n_a", F.arrays_zip("t.ids", "t.sizes").alias("tokens"))
+    encoded = counted.withColumn("t", _tokens(content, cut)("piece")).select("piece", "n", "t.*")
     # Dealt by piece once; all windows and groups below keep that. An inner explode would put its filter, and so the tokenizers, before the counting.
-    rows = encoded.repartition("piece").select(*key, "n_a", F.posexplode_outer("tokens").alias("place", "t"))
+    rows = encoded.repartition("piece").select(*key, "n_a", F.posexplode_outer(F.arrays_zip("ids", "sizes")).alias("place", "t"))
     rows = rows.select(*key, (F.col("place") >= F.col("n_a")).cast("int").alias("side"), "place", F.col("t.ids").alias("token"), F.col("t.sizes").alias("size"))
     ends = rows.withColumn("end", F.sum("size").over(Window.partitionBy("piece", "side").orderBy("place")))
     # A's row stands before B's with the same end: the two of a cut are neighbours.
@@ -230,20 +236,23 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, frequent: int | None =
         odd = ~own.column("same").to_numpy(zero_copy_only=False)
         for batch in batches:
             totals, digests = np.zeros((batch.num_rows, len(NUMBERS)), np.int64), [""] * batch.num_rows
-            for i, (codes, rare) in enumerate(zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True)):
+            rare = batch.column(batch.num_columns - 1)
+            bounds, values = rare.offsets.to_numpy(), rare.values
+            place, other = values.field("place").to_numpy(), values.field("groups").to_pylist()  # null: not the text's bytes
+            others = np.stack([values.field(c).to_numpy() for c in NUMBERS])
+            for i, codes in enumerate(batch.column(batch.num_columns - 2)):
                 if not codes.is_valid:
                     continue
                 at = np.frombuffer(codes.as_py(), np.int32)
-                rare = sorted(rare.as_py() or (), key=lambda x: x["place"])
-                known = at[at < size]
-                if odd[known].any() or not all(x["same"] for x in rare):
+                known, low, high = at[at < size], int(bounds[i]), int(bounds[i + 1])
+                if odd[known].any() or None in other[low:high]:
                     continue
                 totals[i] = numbers[:, known].sum(axis=1)
-                if rare:
-                    times = np.bincount(at[at >= size] - size, minlength=len(rare))
-                    totals[i] += [(times * [x[c] for x in rare]).sum() for c in NUMBERS]
-                    other = [x["groups"] for x in rare]
-                    joined = ";".join([groups[c] if c < size else other[c - size] for c in at.tolist()])
+                if len(known) < len(at):
+                    times = np.bincount(at[at >= size] - size, minlength=high - low)
+                    totals[i] += (others[:, low:high] * times[place[low:high]]).sum(axis=1)
+                    own_texts = dict(zip((place[low:high] + size).tolist(), other[low:high], strict=True))
+                    joined = ";".join([groups[c] if c < size else own_texts[c] for c in at.tolist()])
                 else:
                     joined = ";".join([groups[c] for c in at.tolist()])
                 digests[i] = hashlib.sha256(joined.encode()).hexdigest()
@@ -253,7 +262,8 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, frequent: int | None =
     inner = [f"k{i}" for i in range(len(keep))]
     rows = rows.toDF(*inner, "row", "codes", "rare")
     schema = "".join(f"{c} {kind}, " for c, kind in rows.dtypes[: len(keep)]) + "".join(f"{c} long, " for c in NUMBERS) + "groups_sha256 string"
-    made = pieces.assembled(rows, others, make, schema, ("same", "groups", *NUMBERS), tuple(inner))
+    others = others.select("piece", "n", F.when(F.col("same"), F.col("groups")).alias("groups"), *NUMBERS)
+    made = pieces.assembled(rows, others, make, schema, ("groups", *NUMBERS), tuple(inner))
     names = ("n_a", "n_b", "n_groups", "n_best", "count_sum", "groups_sha256")
     # Tokens have one byte at least, so one of each side ends at a cut: a link is a group's last pair.
     return made.select(*[F.col(i).alias(c) for i, c in zip(inner, keep, strict=True)], *names, F.col("n_groups").alias("n_links"))
