@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import chat_format, decontaminate, importance_resampling, jaccard_join, knn_join, substring_dedup
 from .bpe import op7_query
 from .chat_format import op8_query
+from .context_mixing import op12_query
 from .decontaminate import op4_query
 from .importance_resampling import op13_query
 from .jaccard_join import op2_query
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_licence_scan": op9_query,
     "op10_token_counts": op10_query,
     "op11_token_alignment": op11_query,
+    "op12_lm_scoring": op12_query,
     "op13_importance_resampling": op13_query,
 }
 #: None for the others: SQL can express no training, no tokenizer and no compressor.
