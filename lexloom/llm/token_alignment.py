@@ -43,7 +43,7 @@ from . import pieces
 from .scratch import written
 
 #: Before a space with something behind it, after a character that no white space class has. The space before the text is the prefix.
-CUT = "(?<=[!-~¡-ᙿ、-퟿])(?= [\\s\\S])"
+CUT = "(?= [\\s\\S])(?<=[!-~¡-ᙿ、-퟿])"
 _BEFORE = re.compile("[!-~¡-ᙿ、-퟿]")
 #: Nowhere: a piece is a whole text.
 NO_CUT = "(?!)"
