@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import corpus, files, game, ranking, records, state, terms  # noqa: F401  (each registers its queries)
+from . import corpus, events, files, game, ranking, records, state, terms  # noqa: F401  (each registers its queries)
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
