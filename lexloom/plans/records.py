@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import baseline, records, rules, trees
+from ..operators import baseline, records, rules, schemas, trees
 from ..sources import text as source
 from .registry import query
 
@@ -143,3 +143,88 @@ def baseline_overlap(t):
 @query("SELECT page_id, regexp_replace(trim(url), '\\s{2,}', ' ', 'g') || ' (' || page_id || ')' AS line FROM pages")
 def positional_format(t):
     return t("pages").select("page_id", rules.positional(F.lit("{1} ({2})"), rules.squeeze_key(F.col("url")), F.col("page_id")).alias("line"))
+
+
+_ORDER_SCHEMA = {
+    "Customer": "u",
+    "Status": ("e", "Status"),
+    "Price": "f",
+    "Lines": ("*uvE", "Flag"),
+    "Suppliers": ("*e", "Supplier"),
+    "Note": "sq",
+    "Date": "^x",
+}
+#: A part of the statuses is left out, so that some are undefined.
+_ORDER_ENUMS = {"Status": ["O", "F"], "Flag": {"A": 10, "N": 20}}
+
+
+def _order_records(t):
+    """Rows (o_orderkey, place, name, value) of a record for each order."""
+    line = F.col("l_linenumber")
+    lines = t("lineitem").groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct(line, F.concat_ws(",", "l_partkey", F.col("l_quantity").cast("int"), "l_returnflag").alias("x"), F.concat(F.lit("S"), "l_suppkey").alias("s")))).alias("l")
+    )
+    o = t("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    values = {
+        "Customer": F.col("o_custkey").cast("string"),
+        "Status": F.col("o_orderstatus"),
+        "Price": F.col("o_totalprice").cast("string"),
+        "Lines": F.array_join("l.x", ","),
+        "Suppliers": F.array_join("l.s", " , "),
+        "Note": F.concat(F.lit(' "'), "o_orderpriority", F.lit(', \\"x\\"" , rest, of "'), "o_orderstatus"),
+        "Date": F.lower(F.hex("o_custkey")),
+        "Unknown": F.lit("1"),
+    }
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("name"), v.alias("value")) for i, (n, v) in enumerate(values.items())]
+    again = F.struct(F.lit(99).alias("place"), F.lit("Date").alias("name"), F.lit("xyz").alias("value"))
+    return o.select("o_orderkey", F.explode(F.array(*rows, again)).alias("r")).select("o_orderkey", "r.*")
+
+
+def _order_enums(t):
+    return _ORDER_ENUMS | {"Supplier": t("supplier").where("s_acctbal > 0").select(F.concat(F.lit("S"), "s_suppkey").alias("id"))}
+
+
+_ORDERS_SQL = """
+WITH l AS (
+  SELECT l_orderkey, array_agg({'p': l_partkey, 'q': CAST(l_quantity AS BIGINT), 'f': l_returnflag, 's': l_suppkey, 'known': s_acctbal > 0} ORDER BY l_linenumber, l_partkey || ',' || CAST(l_quantity AS BIGINT) || ',' || l_returnflag, 'S' || l_suppkey) AS l
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey
+)
+SELECT o_orderkey, o_custkey AS customer, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 END AS status, o_totalprice AS price,
+  array_to_string(list_transform(l, lambda x: x.p || '/' || x.q || '/' || coalesce(CASE x.f WHEN 'A' THEN '10' WHEN 'N' THEN '20' END, '')), ' ') AS lines,
+  array_to_string(list_transform(l, lambda x: CASE WHEN x.known THEN 'S' || x.s ELSE '-' END), ' ') AS suppliers,
+  o_orderpriority || ', "x"' AS note, ' rest, of "' || o_orderstatus AS rest, o_custkey AS date,
+  len(list_filter(l, lambda x: NOT x.known)) + CASE WHEN o_orderstatus IN ('O', 'F') THEN 0 ELSE 1 END + 1 AS errors
+FROM orders JOIN l ON l_orderkey = o_orderkey
+"""
+
+
+@query(_ORDERS_SQL)
+def compound_records(t):
+    """Records of compound, repeated and enumerated fields, read by a schema and checked against a table."""
+    made = schemas.read_records(_order_records(t), ["o_orderkey"], _ORDER_SCHEMA, _order_enums(t))
+    lines = F.transform(F.col("Lines"), lambda x: F.concat(x["f0"], F.lit("/"), x["f1"], F.lit("/"), F.coalesce(x["f2"].cast("string"), F.lit(""))))
+    return made.select(
+        "o_orderkey",
+        F.col("Customer").alias("customer"),
+        F.col("Status").alias("status"),
+        F.col("Price").alias("price"),
+        F.array_join(lines, " ").alias("lines"),
+        F.array_join(F.transform("Suppliers", lambda x: F.coalesce(x, F.lit("-"))), " ").alias("suppliers"),
+        F.col("Note.f0").alias("note"),
+        F.col("Note.f1").alias("rest"),
+        F.col("Date")[0].alias("date"),
+        F.size("errors").cast("long").alias("errors"),
+    )
+
+
+@query("""
+SELECT o_orderkey, 'Customer = ' || (o_custkey + 1) || CASE WHEN o_orderstatus IN ('O', 'F') THEN chr(10) || 'Status = ' || o_orderstatus ELSE '' END
+  || chr(10) || 'Lines = ' || string_agg(l_partkey || ',' || CAST(l_quantity AS BIGINT) || ',' || CASE WHEN l_returnflag IN ('A', 'N') THEN l_returnflag ELSE '' END, ',' ORDER BY l_linenumber, l_partkey || ',' || CAST(l_quantity AS BIGINT) || ',' || l_returnflag, 'S' || l_suppkey)
+  || chr(10) || 'Note = "' || o_orderpriority || ', \\"x\\"", rest, of "' || o_orderstatus || chr(10) || 'Date = ' || upper(to_hex(o_custkey)) || chr(10) || 'Date = ' AS text
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderstatus, o_orderpriority""")
+def compound_records_written(t):
+    """The same records read, changed and written back."""
+    schema = {k: v for k, v in _ORDER_SCHEMA.items() if k not in ("Price", "Suppliers")}
+    made = schemas.read_records(_order_records(t), ["o_orderkey"], schema, _ORDER_ENUMS)
+    changed = made.withColumn("Customer", F.col("Customer") + 1)
+    return changed.select("o_orderkey", schemas.write_records(changed, schema, _ORDER_ENUMS).alias("text"))
