@@ -4,3 +4,6 @@ from __future__ import annotations
 
 from . import corpus, events, files, game, ranking, records, state, terms  # noqa: F401  (each registers its queries)
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+
+# The stream gives what the log at rest gives.
+ORACLE_SQL["stream_chance_accumulator"] = ORACLE_SQL["chance_accumulator"]

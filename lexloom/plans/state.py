@@ -88,3 +88,64 @@ def assembled_runs(t):
     rows = rows.withColumn("island", F.sum((F.col("event_type") == F.col("start_type")).cast("long")).over(so_far)).where("island > 0")
     ids = F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x.cast("string")), " ")
     return rows.groupBy("user_id", "island").agg(F.count("*").alias("n"), ids.alias("ids"))
+
+
+_CONTROLLED = """
+WITH k AS (SELECT max(event_type) AS done, min(event_type) AS failed FROM events),
+e AS (SELECT user_id, min(event_id) FILTER (WHERE event_type = done OR event_id % 97 = 0) AS stop FROM events, k GROUP BY user_id),
+c AS (SELECT user_id, event_id, stop, event_type = failed AND event_id % 97 != 0 AS bad, event_id = stop AND event_id % 97 = 0 AS cancel FROM events JOIN e USING (user_id), k WHERE stop IS NULL OR event_id <= stop)
+SELECT user_id, CASE WHEN bool_or(cancel) THEN 'cancelled' WHEN any_value(stop) IS NOT NULL AND bool_or(bad) THEN 'failed then done' WHEN any_value(stop) IS NOT NULL THEN 'done' WHEN bool_or(bad) THEN 'failed' ELSE 'running' END AS status, count(*) AS n
+FROM c GROUP BY user_id
+"""
+
+
+def _two_sources(spark, sf_dir: str, condition: str, kind):
+    """The event log and control rows made of it, two streams in union."""
+    path = f"{sf_dir}/events.parquet"
+    log = state.event_stream(spark, path).where(f"not ({condition})")
+    control = state.event_stream(spark, path).where(condition).withColumn("event_type", kind)
+    return log.unionByName(control)
+
+
+@query(_CONTROLLED)
+def cancelled_tasks(t):
+    """Status of each task where control rows cancel some, from the log at rest."""
+    kind = F.when(F.col("event_id") % 97 == 0, "cancel").otherwise(F.col("event_type"))
+    return state.task_progress(t("events").withColumn("event_type", kind), "user_id", "event_type", "event_id", *_kinds(t("events")), cancel="cancel")
+
+
+def stream_cancelled_tasks(spark, sf_dir: str):
+    """The same from two streams in one keyed state."""
+    both = _two_sources(spark, sf_dir, "event_id % 97 = 0", F.lit("cancel"))
+    made = state.task_progress(both, "user_id", "event_type", "event_id", *_kinds(spark.read.parquet(f"{sf_dir}/events.parquet")), cancel="cancel")
+    return state.latest(state.run_to_end(made, "cancelled", "update"), "user_id", "n")
+
+
+QUERIES["stream_cancelled_tasks"], ORACLE_SQL["stream_cancelled_tasks"] = stream_cancelled_tasks, _CONTROLLED
+
+
+def stream_log_generations(spark, sf_dir: str):
+    """Messages counted once for each generation of their user, which reset rows begin."""
+    both = _two_sources(spark, sf_dir, "event_id % 31 = 0", F.lit("reset"))
+    own = both.withColumn("user_id", F.when(F.col("event_id") % (31 * 50) != 0, F.col("user_id")))
+    return state.log_counts(own, "user_id", "event_type", "event_id", "reset", "generations")
+
+
+QUERIES["stream_log_generations"] = stream_log_generations
+ORACLE_SQL["stream_log_generations"] = """
+SELECT user_id, generation, event_type, min(event_id) AS first, count(*) AS n
+FROM (
+  SELECT *, count(*) FILTER (WHERE event_id % 31 = 0 AND event_id % 1550 != 0) OVER (PARTITION BY user_id ORDER BY event_id)
+    + count(*) FILTER (WHERE event_id % 1550 = 0) OVER (ORDER BY event_id) AS generation
+  FROM events
+) WHERE event_id % 31 != 0 GROUP BY user_id, generation, event_type
+"""
+
+
+def stream_chance_accumulator(spark, sf_dir: str):
+    """The chance that grows with each failure, kept as the stream's state."""
+    events = state.event_stream(spark, f"{sf_dir}/events.parquet").withColumn("draw", (F.col("event_id") * 37 + F.col("user_id")) % 100)
+    return state.latest(state.run_to_end(state.chance_steps(events, "user_id", "event_id", "draw"), "chance", "update"), "user_id", "steps")
+
+
+QUERIES["stream_chance_accumulator"] = stream_chance_accumulator
