@@ -6,15 +6,32 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def threshold(curve: Column, level: Column) -> Column:
-    """Points at which a level begins on one of six curves, in whole numbers; 0 for the first."""
+    """Points at which a level begins on one of six curves, in whole numbers; 0 for the first.
+
+    Erratic and fluctuating curves have pieces of their own up to level 100, and another
+    formula beyond.
+    """
     n = level.cast("long")
     cube = n * n * n
     div = lambda a, b: F.floor(a / b).cast("long")
+    erratic = (
+        F.when(n <= 50, div(cube * (100 - n), F.lit(50)))
+        .when(n <= 68, div(cube * (150 - n), F.lit(100)))
+        .when(n <= 98, div(cube * div(1911 - 10 * n, F.lit(3)), F.lit(500)))
+        .when(n <= 100, div(cube * (160 - n), F.lit(100)))
+        .otherwise(div(cube * n * 3, F.lit(500)))
+    )
     rate = F.greatest(F.lit(82) - (n - 100) / 2.0, F.lit(40.0))
+    fluctuating = (
+        F.when(n <= 15, div(cube * (24 + div(n + 1, F.lit(3))), F.lit(50)))
+        .when(n <= 35, div(cube * (14 + n), F.lit(50)))
+        .when(n <= 100, div(cube * (32 + div(n, F.lit(2))), F.lit(50)))
+        .otherwise(F.floor(cube * n * rate / 5000).cast("long"))
+    )
     made = (
         F.when(curve == "medium", cube)
-        .when(curve == "erratic", div(cube * n * 3, F.lit(500)))
-        .when(curve == "fluctuating", F.floor(cube * n * rate / 5000).cast("long"))
+        .when(curve == "erratic", erratic)
+        .when(curve == "fluctuating", fluctuating)
         .when(curve == "parabolic", div(cube * 6, F.lit(5)) - 15 * n * n + 100 * n - 140)
         .when(curve == "fast", div(cube * 4, F.lit(5)))
         .when(curve == "slow", div(cube * 5, F.lit(4)))

@@ -8,7 +8,7 @@ from ..operators import game
 from .registry import query
 
 _CURVES = ("medium", "erratic", "fluctuating", "parabolic", "fast", "slow")
-_CURVE_SQL = "CASE WHEN n <= 1 THEN 0 WHEN c = 0 THEN n * n * n WHEN c = 1 THEN n * n * n * n * 3 // 500 WHEN c = 2 THEN CAST(floor(n * n * n * n * greatest(82 - (n - 100) / 2.0, 40.0) / 5000) AS BIGINT) WHEN c = 3 THEN n * n * n * 6 // 5 - 15 * n * n + 100 * n - 140 WHEN c = 4 THEN n * n * n * 4 // 5 ELSE n * n * n * 5 // 4 END"
+_CURVE_SQL = "CASE WHEN n <= 1 THEN 0 WHEN c = 0 THEN n * n * n WHEN c = 1 AND n <= 50 THEN n * n * n * (100 - n) // 50 WHEN c = 1 AND n <= 68 THEN n * n * n * (150 - n) // 100 WHEN c = 1 AND n <= 98 THEN n * n * n * ((1911 - 10 * n) // 3) // 500 WHEN c = 1 AND n <= 100 THEN n * n * n * (160 - n) // 100 WHEN c = 1 THEN n * n * n * n * 3 // 500 WHEN c = 2 AND n <= 15 THEN n * n * n * (24 + (n + 1) // 3) // 50 WHEN c = 2 AND n <= 35 THEN n * n * n * (14 + n) // 50 WHEN c = 2 AND n <= 100 THEN n * n * n * (32 + n // 2) // 50 WHEN c = 2 THEN CAST(floor(n * n * n * n * greatest(82 - (n - 100) / 2.0, 40.0) / 5000) AS BIGINT) WHEN c = 3 THEN n * n * n * 6 // 5 - 15 * n * n + 100 * n - 140 WHEN c = 4 THEN n * n * n * 4 // 5 ELSE n * n * n * 5 // 4 END"
 
 
 @query(f"SELECT p_partkey, CAST({_CURVE_SQL} AS BIGINT) AS points FROM (SELECT p_partkey, p_partkey % 6 AS c, CAST(1 + p_partkey % 180 AS BIGINT) AS n FROM part)")

@@ -133,6 +133,11 @@ def test_growth_curves(spark):
     for curve, points in want.items():
         if curve in ("medium", "fluctuating", "parabolic", "fast", "slow", "erratic"):
             assert value(spark, game.threshold(F.lit(curve), F.lit(100))) == points, curve
+    # Points of some levels up to 100.
+    known = {"erratic": {2: 15, 10: 1800, 50: 125000, 51: 131324, 68: 257834, 69: 267406, 75: 326531, 98: 583539, 99: 591882}, "fluctuating": {2: 4, 10: 540, 15: 1957, 16: 2457, 35: 42017, 36: 46656, 37: 50653, 54: 185807, 99: 1571884}}
+    for curve, levels in known.items():
+        for level, points in levels.items():
+            assert value(spark, game.threshold(F.lit(curve), F.lit(level))) == points, (curve, level)
 
 
 def test_files_are_read_and_written_back(spark, tmp_path):
