@@ -85,7 +85,7 @@ class Dictionary:
 
 
 def coded(docs: DataFrame, pattern: str, prefix: str, sent: Broadcast, keep: tuple[str, ...], name: str) -> DataFrame:
-    """Written rows of the columns ``keep`` and row (a number of its own), codes and rare.
+    """Written rows of the columns ``keep``, as c0, c1, ..., and row (a number of its own), codes and rare.
 
     A code is the entry's number in the dictionary or, from the dictionary's size on,
     a place in ``rare``, the distinct other pieces of the row. Null texts have no codes.
@@ -118,7 +118,7 @@ def coded(docs: DataFrame, pattern: str, prefix: str, sent: Broadcast, keep: tup
 
     schema = "".join(f"{c} {kind}, " for c, kind in plain.dtypes[:-1]) + "row long, codes binary, rare array<string>"
     rows = plain.mapInArrow(released(run), schema)
-    return written(rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "row", "codes", "rare"), name)
+    return written(rows, name)
 
 
 def totalled(docs: DataFrame, pattern: str, records: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...], frequent: int | None = None) -> DataFrame:

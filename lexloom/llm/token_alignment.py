@@ -259,8 +259,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, frequent: int | None =
             columns = [pa.array(totals[:, k], pa.int64()) for k in range(len(NUMBERS))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns, pa.array(digests, pa.string())], names=[*batch.schema.names[:-2], *NUMBERS, "groups_sha256"])
 
-    inner = [f"k{i}" for i in range(len(keep))]
-    rows = rows.toDF(*inner, "row", "codes", "rare")
+    inner = [f"c{i}" for i in range(len(keep))]
     schema = "".join(f"{c} {kind}, " for c, kind in rows.dtypes[: len(keep)]) + "".join(f"{c} long, " for c in NUMBERS) + "groups_sha256 string"
     others = others.select("piece", "n", F.when(F.col("same"), F.col("groups")).alias("groups"), *NUMBERS)
     made = pieces.assembled(rows, others, make, schema, ("groups", *NUMBERS), tuple(inner))
