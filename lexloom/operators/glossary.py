@@ -103,14 +103,18 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def merge_terms(current: DataFrame, new: DataFrame) -> DataFrame:
-    """(src, dst, status): new terms are added, old ones kept; a differing new value is a conflict and the old one stays."""
-    old = current.select(F.col("src").alias("old_src"), F.col("dst").alias("old_dst"), term_key(F.col("src")).alias("k"))
-    add = new.select("src", "dst", term_key(F.col("src")).alias("k"))
-    both = old.join(add, "k", "full_outer")
+    """(src, dst, status): new terms are added, old ones kept; a differing new value is a conflict and the old one stays.
+
+    Of new terms with one key the least counts, and each that differs from the old one makes a conflict.
+    """
+    old = current.select(F.col("src").alias("old_src"), F.col("dst").alias("old_dst"), term_key(F.col("src")).alias("k"), bare_value(F.col("dst")).alias("old_value"))
+    add = new.select("src", "dst", term_key(F.col("src")).alias("k"), bare_value(F.col("dst")).alias("value"))
+    add = add.groupBy("k").agg(F.min(F.struct("src", "dst")).alias("x"), F.collect_set("value").alias("values"))
+    both = old.join(add.select("k", "x.*", "values"), "k", "full_outer")
     status = (
         F.when(F.col("old_src").isNull(), "added")
         .when(F.col("src").isNull(), "kept")
-        .when(bare_value(F.col("dst")) != bare_value(F.col("old_dst")), "conflict")
+        .when(F.exists("values", lambda v: v != F.col("old_value")), "conflict")
         .otherwise("same")
     )
     return both.select(F.coalesce("old_src", "src").alias("src"), F.coalesce("old_dst", "dst").alias("dst"), status.alias("status"))

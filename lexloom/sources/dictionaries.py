@@ -6,7 +6,11 @@ error of the whole load.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.functions import arrow_udf
 
 from ..operators.glossary import first_wins
 from .text import lines, strip
@@ -14,14 +18,52 @@ from .text import lines, strip
 _MAP = "map<string,string>"
 
 
+_ENTRY = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType()), T.StructField("string", T.BooleanType())])
+_READ = T.StructType(
+    [
+        T.StructField("kind", T.StringType()),
+        T.StructField("entries", T.ArrayType(_ENTRY)),
+        T.StructField("error", T.StringType()),
+        T.StructField("at", T.LongType()),
+        T.StructField("line", T.IntegerType()),
+        T.StructField("column", T.IntegerType()),
+    ]
+)
+
+
+def _read(text: str | None) -> dict:
+    if text is None:
+        return {"error": "no text", "at": 0, "line": 1, "column": 1}
+    try:
+        found = json.loads(text)
+    except json.JSONDecodeError as e:
+        return {"error": e.msg, "at": e.pos, "line": e.lineno, "column": e.colno}
+    except RecursionError:
+        return {"error": "nested too deeply", "at": 0, "line": 1, "column": 1}
+    if not isinstance(found, dict):
+        return {"kind": type(found).__name__}
+    # Lone halves of surrogate pairs have no UTF-8.
+    plain = lambda x: x.encode("utf-8", "replace").decode()
+    entry = lambda k, v: {"key": plain(k), "value": None if v is None else plain(v) if isinstance(v, str) else json.dumps(v), "string": isinstance(v, str)}
+    return {"kind": "dict", "entries": [entry(k, v) for k, v in found.items()]}
+
+
+@arrow_udf(_READ)
+def read_json(text: pa.Array) -> pa.Array:
+    """Each text as a JSON value, whole: kind (dict for an object), an object's entries, the last of each key, and where a broken text breaks."""
+    entry = pa.struct([("key", pa.string()), ("value", pa.string()), ("string", pa.bool_())])
+    kind = pa.struct([("kind", pa.string()), ("entries", pa.list_(entry)), ("error", pa.string()), ("at", pa.int64()), ("line", pa.int32()), ("column", pa.int32())])
+    return pa.array([_read(x) for x in text.to_pylist()], kind)
+
+
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    return read_json(text)["error"].isNull()
 
 
 def as_map(text: Column) -> Column:
-    """A JSON object as a map; empty for anything else."""
-    empty = F.create_map().cast(_MAP)
-    return F.when(is_json(text) & text.rlike(r"^\s*\{"), F.coalesce(F.from_json(text, _MAP), empty)).otherwise(empty)
+    """A JSON object as a map; empty for anything else. Values that are no strings are as they are written."""
+    pairs = F.transform(F.coalesce(read_json(text)["entries"], F.array()), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    return F.coalesce(F.map_from_entries(pairs), F.create_map().cast(_MAP))
 
 
 def without_bom(text: Column) -> Column:
@@ -42,8 +84,9 @@ def entries(files: DataFrame) -> DataFrame:
 
 
 def reference_entries(files: DataFrame) -> DataFrame:
-    """(src, dst): all dictionaries as one; pairs with a blank side are left out and the first file, by name, wins."""
-    good = entries(files).where((strip(F.col("src")) != "") & (strip(F.coalesce("dst", F.lit(""))) != ""))
+    """(src, dst): all dictionaries as one; pairs with a blank side or a value that is no string are left out and the first file, by name, wins."""
+    found = files.select("file", F.explode(read_json(F.col("text"))["entries"]).alias("e")).where("e.string")
+    good = found.select("file", F.col("e.key").alias("src"), F.col("e.value").alias("dst")).where((strip(F.col("src")) != "") & (strip(F.coalesce("dst", F.lit(""))) != ""))
     return first_wins(good, ["src"], ["file"]).select("src", "dst")
 
 
@@ -95,19 +138,30 @@ def truthy(x: Column) -> Column:
 
 
 def exchange_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files that can be read, and those that can't, with the length at which each breaks off."""
-    good = is_json(F.col("text"))
-    return files.where(good), files.where(~good).select("file", F.length("text").alias("chars"))
+    """Files that can be read, and those that can't, with the place at which each breaks: chars before it, line and column from 1, and why."""
+    read = files.withColumn("read_", read_json(F.col("text")))
+    broken = read.where("read_.error is not null").select("file", F.col("read_.at").alias("chars"), "read_.line", "read_.column", "read_.error")
+    return read.where("read_.error is null").drop("read_"), broken
+
+
+#: The names of a source in a list of items, the first that isn't empty counting, and those of a translation, the first that is there.
+SOURCE_NAMES, TRANSLATION_NAMES = ("src", "原文"), ("dst", "译文")
 
 
 def exchange_items(files: DataFrame) -> DataFrame:
-    """(file, src, dst) of exchange files: items as an object, or as a list of {src, dst}, of which the last of a source wins."""
-    items = F.get_json_object("text", "$.items")
-    listed = F.transform(F.from_json(items, "array<struct<src:string,dst:string>>"), lambda x, i: F.struct(x["src"].alias("key"), x["dst"].alias("value"), i.alias("ord")))
-    mapped = F.transform(F.map_entries(as_map(items)), lambda x, i: F.struct(x["key"].alias("key"), x["value"].alias("value"), i.alias("ord")))
-    rows = files.select("file", F.explode(F.when(items.rlike(r"^\s*\["), listed).otherwise(mapped)).alias("x"))
-    rows = rows.select("file", F.col("x.key").alias("src"), F.coalesce("x.value", F.lit("")).alias("dst"), F.col("x.ord").alias("ord"))
-    rows = rows.where(strip(F.coalesce("src", F.lit(""))) != "")
+    """(file, src, dst) of exchange files: items as an object, or as a list of objects, of which the last of a source wins."""
+    whole = files.select("file", F.explode(read_json(F.col("text"))["entries"]).alias("e")).where("e.key = 'items' and not e.string")
+    items = F.col("e.value")
+    listed = whole.where(items.rlike(r"^\s*\[")).select("file", F.posexplode(F.from_json(items, "array<string>")).alias("ord", "item"))
+    listed = listed.select("file", "ord", as_map(F.col("item")).alias("m"))
+    source = F.coalesce(*[F.nullif(F.col("m")[n], F.lit("")) for n in SOURCE_NAMES])
+    # A translation that is there but null is empty: the second name counts only where the first is missing.
+    first, second = TRANSLATION_NAMES
+    own = F.when(F.map_contains_key("m", first), F.col("m")[first]).otherwise(F.col("m")[second])
+    rows = listed.select("file", source.alias("src"), own.alias("dst"), "ord")
+    mapped = whole.where(items.rlike(r"^\s*\{")).select("file", F.posexplode(read_json(items)["entries"]).alias("ord", "x"))
+    rows = rows.unionByName(mapped.select("file", F.col("x.key").alias("src"), F.col("x.value").alias("dst"), "ord"))
+    rows = rows.where(strip(F.coalesce("src", F.lit(""))) != "").withColumn("dst", F.coalesce("dst", F.lit("")))
     return rows.groupBy("file", "src").agg(F.max_by("dst", "ord").alias("dst"))
 
 
@@ -116,11 +170,15 @@ PAIR_LINE = r'^\s*("(?:[^"\\]|\\.)*")\s*:\s*("(?:[^"\\]|\\.)*"),?\s*(?:#.*)?$'
 
 
 def pair_lines(files: DataFrame, start: str | None = None, stop: str | None = None) -> DataFrame:
-    """(file, ord, src, dst) of lines ``"a": "b",``; with marks, only those between the lines that hold them."""
-    rows = lines(files, "file")
+    """(file, ord, src, dst) of lines ``"a": "b",``; with marks, only those between the first start and the first stop of the text.
+
+    A stop before the start, or a mark that isn't there, leaves nothing.
+    """
     if start is not None:
-        marks = rows.groupBy("file").agg(F.min(F.when(F.contains("line", F.lit(start)), F.col("line_no"))).alias("from_"), F.min(F.when(F.contains("line", F.lit(stop)), F.col("line_no"))).alias("to_"))
-        rows = rows.join(marks, "file").where("line_no > from_ and line_no < to_")
+        begin, end = F.instr("text", start), F.instr("text", stop)
+        block = F.substring("text", begin + F.char_length(F.lit(start)), end - begin - F.char_length(F.lit(start)))
+        files = files.where((begin > 0) & (end >= begin)).select("file", block.alias("text"))
+    rows = lines(files, "file")
     found = rows.where(F.col("line").rlike(PAIR_LINE))
     text = lambda k: F.get_json_object(F.concat(F.lit('{"v":'), F.regexp_extract("line", PAIR_LINE, k), F.lit("}")), "$.v")
     return found.select("file", F.col("line_no").alias("ord"), text(1).alias("src"), text(2).alias("dst"))
