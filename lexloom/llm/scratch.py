@@ -49,3 +49,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     with short_plans(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``written`` gave, once nothing reads it any more."""
+    spark = table.sparkSession
+    for path in {x.rpartition("/")[0] for x in table.inputFiles()}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

@@ -36,11 +36,12 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import pieces
-from .scratch import written
+from .scratch import discard, written
 
 #: Before a space with something behind it, after a character that no white space class has. The space before the text is the prefix.
 CUT = "(?= [\\s\\S])(?<=[!-~¡-ᙿ、-퟿])"
@@ -221,9 +222,10 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, frequent: int | None =
     cut = CUT if separable(*content) else NO_CUT
     docs = docs.drop(*NUMBERS, "n_links", "groups_sha256")
     texts = docs.select("text").where(F.octet_length("text") > 0)
-    records = written(aligned(pieces.counted(texts, pieces.pieces_of(F.concat(F.lit(" "), "text"), cut)), content, cut), "aligned-pieces")
-    records = _without_odd_texts(records, texts, cut)
+    made = written(aligned(pieces.counted(texts, pieces.pieces_of(F.concat(F.lit(" "), "text"), cut)), content, cut), "aligned-pieces")
+    records = _without_odd_texts(made, texts, cut)
     records = written(_scored(records, pair_counts(records)), "piece-records")
+    discard(made)
     most, others = pieces.parted(records, frequent)
     sent = spark.sparkContext.broadcast(pieces.Dictionary(most))
     keep = tuple(c for c in docs.columns if c != "text")
@@ -239,7 +241,11 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, frequent: int | None =
             rare = batch.column(batch.num_columns - 1)
             bounds, values = rare.offsets.to_numpy(), rare.values
             place, other = values.field("place").to_numpy(), values.field("groups").to_pylist()  # null: not the text's bytes
-            others = np.stack([values.field(c).to_numpy() for c in NUMBERS])
+            # What a text of groups says itself doesn't travel: their number, and the tokens of B as the rest.
+            text, own_a = values.field("groups"), values.field("n_a").to_numpy()
+            n_groups, commas = (pc.count_substring(text.fill_null(""), x).to_numpy(zero_copy_only=False) for x in (";", ","))
+            n_groups = n_groups.astype(np.int64) + 1
+            others = np.stack([own_a, commas + 2 * n_groups - own_a, n_groups, *(values.field(c).to_numpy() for c in NUMBERS[3:])])
             for i, codes in enumerate(batch.column(batch.num_columns - 2)):
                 if not codes.is_valid:
                     continue
@@ -261,8 +267,8 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, frequent: int | None =
 
     inner = [f"c{i}" for i in range(len(keep))]
     schema = "".join(f"{c} {kind}, " for c, kind in rows.dtypes[: len(keep)]) + "".join(f"{c} long, " for c in NUMBERS) + "groups_sha256 string"
-    others = others.select("piece", "n", F.when(F.col("same"), F.col("groups")).alias("groups"), *NUMBERS)
-    made = pieces.assembled(rows, others, make, schema, ("groups", *NUMBERS), tuple(inner))
+    others = others.select("piece", "n", F.when(F.col("same"), F.col("groups")).alias("groups"), "n_a", *NUMBERS[3:])
+    made = pieces.assembled(rows, others, make, schema, ("groups", "n_a", *NUMBERS[3:]), tuple(inner))
     names = ("n_a", "n_b", "n_groups", "n_best", "count_sum", "groups_sha256")
     # Tokens have one byte at least, so one of each side ends at a cut: a link is a group's last pair.
     return made.select(*[F.col(i).alias(c) for i, c in zip(inner, keep, strict=True)], *names, F.col("n_groups").alias("n_links"))
