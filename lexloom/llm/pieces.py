@@ -25,7 +25,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import written
-from .words import released
+from .words import release, released
 
 #: Entries of the dictionary that is sent to all tasks, at most.
 FREQUENT = 1 << 19
@@ -81,6 +81,7 @@ class Dictionary:
 
     @cached_property
     def codes(self) -> dict[str, int]:
+        release()  # what an earlier task of this worker has left
         return {x.as_py(): i for i, x in enumerate(self.column("piece"))}
 
 

@@ -42,6 +42,7 @@ from pyspark.sql.functions import arrow_udf
 
 from . import pieces
 from .scratch import discard, written
+from .words import release
 
 #: Before a space with something behind it, after a character that no white space class has. The space before the text is the prefix.
 CUT = "(?= [\\s\\S])(?<=[!-~¡-ᙿ、-퟿])"
@@ -144,6 +145,8 @@ def _tokens(content: tuple[bytes, bytes], cut: str):
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts.reshape(-1, 2).sum(axis=1))]), pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (ids, size)]
             yield pa.StructArray.from_arrays([pa.array(same, pa.bool_()), pa.array(counts[::2], pa.int32()), *lists], names=["same", "n_a", "ids", "sizes"])
+        del own
+        release()  # the worker lives on, without the tokenizers
 
     return arrow_udf(run, _TOKENS)
 
