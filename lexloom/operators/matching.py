@@ -7,36 +7,52 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import codes
 
 # Fixed value: the characters of words, for the boundaries of terms.
-WORD = r"[\wÀ-ɏ]"
+WORD = r"[\p{L}\p{N}_À-ɏ]"
 
 
 def _tokens(x: Column) -> Column:
-    """Words and what stands between them, one after another."""
-    return F.regexp_extract_all(x, F.lit(f"({WORD}+|[^{WORD[1:-1]}]+)"), F.lit(1))
+    """Words, and each other character by itself, each with the number of its word or of the word before the gap it is in."""
+    parts = F.regexp_extract_all(x, F.lit(f"({WORD}+|[^{WORD[1:-1]}]+)"), F.lit(1))
+    token = lambda t, k, word: F.struct(t.alias("t"), F.floor(k / 2).cast("int").alias("pos"), F.lit(word).alias("word"))
+    gap = lambda p, k: F.transform(F.regexp_extract_all(p, F.lit("(?s)(.)"), F.lit(1)), lambda t: token(t, k, False))
+    return F.flatten(F.transform(parts, lambda p, k: F.when(p.rlike(f"^{WORD}"), F.array(token(p, k, True))).otherwise(gap(p, k))))
 
 
-def term_hits(rows: DataFrame, terms: DataFrame, keys: list[str], text: str = "text", longest: int | None = None) -> DataFrame:
-    """(keys, src, pos): terms that stand in a text, letter by letter, at word boundaries; pos is the first word's place.
+def _digest(x: Column) -> Column:
+    """128 bits of a text, as two numbers; the text is put together once for both."""
+    return F.get(F.transform(F.array(x), lambda y: F.struct(F.xxhash64(y).alias("h"), F.xxhash64(F.lit("2"), y).alias("g"))), F.lit(0))
+
 
-    A text's runs of as many words as the terms have, with what stands between them,
-    are joined to the terms, so the join is by hash and not by a scan of all terms for
-    each text. Case matters. Terms begin and end with a word's character. Terms of more
-    than ``longest`` words are left out where it is given.
+def term_hits(rows: DataFrame, terms: DataFrame, keys: list[str], text: str = "text", longest: int | None = None) -> DataFrame:
+    """(keys, src, pos, at): terms that stand in a text, letter by letter, where no word's character is just before or after.
+
+    ``pos`` is the place among words, ``at`` that among tokens (words, and single other
+    characters). A term begins and ends with any character; those with a backslash or a
+    bracket are no terms. A text's runs of as many tokens as the terms have are joined
+    to the terms by 128-bit digests, so the join is by hash and not by a scan of all
+    terms for each text. Case matters. Terms of more than ``longest`` words are left out
+    where it is given. Null and empty texts and terms have no hits; a term that is there
+    twice counts once.
     """
-    wanted = terms.where(~F.col("src").rlike(r"[\\\[\]]") & F.col("src").rlike(f"^{WORD}(.*{WORD})?$")).select("src", F.size(_tokens(F.col("src"))).alias("n"))
+    wanted = terms.where(~F.col("src").rlike(r"[\\\[\]]") & (F.col("src") != "")).select("src").distinct().withColumn("t_", _tokens(F.col("src")))
     if longest is not None:
-        wanted = wanted.where(F.col("n") < 2 * longest)
-    sizes = wanted.agg(F.collect_set("n").alias("sizes"))
-    own = rows.select(*keys, _tokens(F.col(text)).alias("w")).crossJoin(F.broadcast(sizes))
-    begins = lambda i: F.get("w", i).rlike(f"^{WORD}")
-    grams = F.flatten(F.transform("w", lambda _, i: F.transform(F.filter("sizes", lambda n: begins(i) & (i + n <= F.size("w"))), lambda n: F.struct(F.floor(i / 2).cast("int").alias("pos"), F.array_join(F.slice("w", i + 1, n), "").alias("gram")))))
-    flat = own.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.*")
-    return flat.join(wanted.select("src").distinct(), F.col("gram") == F.col("src")).select(*keys, "src", "pos")
+        wanted = wanted.where(F.size(F.filter("t_", lambda x: x["word"])) <= longest)
+    wanted = wanted.select("src", F.size("t_").alias("n_"), _digest(F.col("src")).alias("run_"))
+    sizes = wanted.agg(F.collect_set("n_").alias("sizes_"))
+    own = rows.select(*keys, _tokens(F.col(text)).alias("w_")).where("size(w_) > 0").crossJoin(F.broadcast(sizes))
+    free = lambda i: ~F.coalesce(F.get("w_", i)["word"], F.lit(False))
+    begins = F.filter(F.sequence(F.lit(0), F.size("w_") - 1), lambda i: (i == 0) | free(i - 1))
+    fits = lambda i: F.filter("sizes_", lambda n: (i + n <= F.size("w_")) & free(i + n))
+    written = lambda i, n: F.array_join(F.transform(F.slice("w_", i + 1, n), lambda x: x["t"]), "")
+    run = lambda i, n: F.struct(F.get("w_", i)["pos"].alias("pos"), i.alias("at"), _digest(written(i, n)).alias("run_"))
+    runs = F.flatten(F.transform(begins, lambda i: F.transform(fits(i), lambda n: run(i, n))))
+    flat = own.select(*keys, F.explode(runs).alias("r_")).select(*keys, "r_.*")
+    return flat.join(wanted, "run_").select(*keys, "src", "pos", "at")
 
 
 def first_term(hits: DataFrame, keys: list[str]) -> DataFrame:
     """The leftmost hit of each text, the longest of those at one place."""
-    best = F.min_by("src", F.struct("pos", (-F.length("src")).alias("longer"), "src"))
+    best = F.min_by("src", F.struct("at", (-F.length("src")).alias("longer"), "src"))
     return hits.groupBy(*keys).agg(best.alias("src"))
 
 

@@ -123,6 +123,19 @@ def hit_terms(t):
     return found.select("doc_id", F.array_join(pair, ";").alias("terms"))
 
 
+@query(r"""
+WITH terms AS (SELECT DISTINCT regexp_extract(text, '[0-9A-Za-z_À-ɏ]+', 0) || unnest(['.', ',']) AS src FROM benchmark WHERE regexp_matches(text, '[0-9A-Za-z_À-ɏ]')),
+d AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_À-ɏ]+|[^\p{L}\p{N}_À-ɏ]') AS w FROM documents),
+g AS (SELECT doc_id, a || b AS src, after FROM (SELECT doc_id, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS after FROM d))
+SELECT src, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM g JOIN terms USING (src) WHERE after IS NULL OR NOT regexp_matches(after, '^[\p{L}\p{N}_À-ɏ]') GROUP BY src""")
+def punctuated_terms(t):
+    """Terms that end with a mark: a word's character behind it keeps it from being one."""
+    first = F.regexp_extract("text", "[0-9A-Za-z_À-ɏ]+", 0)
+    terms = t("benchmark").where(first != "").select(first.alias("w"), F.explode(F.array(F.lit("."), F.lit(","))).alias("mark")).select(F.concat("w", "mark").alias("src")).distinct()
+    hits = matching.term_hits(t("documents"), terms, ["doc_id"])
+    return hits.groupBy("src").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
+
+
 @query("""
 WITH p AS (SELECT prefix, min(doc_id) AS dst FROM (SELECT doc_id, regexp_extract(text, '^([^ .,:;!?\\]\\)]+)', 1) AS prefix FROM documents UNION ALL SELECT doc_id, regexp_extract(text, '^([^ .,:;!?\\]\\)]+ [^ .,:;!?\\]\\)]+)', 1) FROM documents WHERE doc_id % 3 = 0) WHERE prefix <> '' GROUP BY prefix),
 m AS (SELECT d.doc_id, p.prefix, p.dst, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(p.prefix) DESC) AS r FROM documents d JOIN p ON starts_with(d.text, p.prefix) AND (length(p.prefix) = length(d.text) OR regexp_matches(substr(d.text, length(p.prefix) + 1, 1), '[ .,:;!?\\]\\)]')))
