@@ -86,7 +86,7 @@ def _tree(t):
 
 @query(f"WITH RECURSIVE n AS (SELECT * FROM ({_TREE}) WHERE id > 0), d(root, id, depth) AS (SELECT id, id, 0 FROM n WHERE parent_id IS NULL UNION ALL SELECT d.root, n.id, d.depth + 1 FROM d JOIN n ON n.parent_id = d.id) SELECT root, CAST(depth AS INT) AS depth, count(*) AS n FROM d GROUP BY ALL")
 def descendants(t):
-    return trees.walk_down(_tree(t)).groupBy("root", "depth").agg(F.count("*").alias("n"))
+    return trees.placed(_tree(t)).groupBy("root", "depth").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH RECURSIVE n AS (SELECT * FROM ({_TREE}) WHERE id > 0), d(id, path) AS (SELECT id, lpad(CAST(ord AS VARCHAR), 10, '0') FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, d.path || '/' || lpad(CAST(n.ord AS VARCHAR), 10, '0') FROM d JOIN n ON n.parent_id = d.id) SELECT id, path FROM d")
@@ -97,8 +97,37 @@ def preorder(t):
 
 @query(f"WITH RECURSIVE n AS (SELECT * FROM ({_TREE}) WHERE id > 0), u(id, a, depth) AS (SELECT id, id, 0 FROM n UNION ALL SELECT u.id, n.parent_id, u.depth + 1 FROM u JOIN n ON n.id = u.a WHERE n.parent_id IS NOT NULL) SELECT id, max(depth) AS depth, arg_max(a, depth) AS root FROM u GROUP BY id")
 def root_ancestor(t):
-    up = trees.ancestors(_tree(t))
-    return up.groupBy("id").agg(F.max("depth").alias("depth"), F.max_by("ancestor", "depth").alias("root"))
+    return trees.placed(_tree(t))
+
+
+@query(f"WITH RECURSIVE n AS (SELECT * FROM ({_TREE}) WHERE id > 0), u(id, a, depth) AS (SELECT id, id, 0 FROM n UNION ALL SELECT u.id, n.parent_id, u.depth + 1 FROM u JOIN n ON n.id = u.a WHERE n.parent_id IS NOT NULL) SELECT id, a AS ancestor, CAST(depth AS INT) AS depth FROM u")
+def all_ancestors(t):
+    """Each customer and all above it."""
+    return trees.ancestors(_tree(t))
+
+
+# Orders of a customer as a chain by date, a third of them cut off and begun anew.
+_CHAINS = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) END AS parent_id, o_orderkey % 7 AS ord, o_orderpriority AS v FROM orders"
+
+
+def _chains(t):
+    from pyspark.sql import Window
+
+    k = F.col("o_orderkey")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return t("orders").select(k.alias("id"), F.when(k % 3 > 0, before).alias("parent_id"), (k % 7).alias("ord"), F.col("o_orderpriority").alias("v"))
+
+
+@query(f"WITH RECURSIVE n AS ({_CHAINS}), d(id, depth, path) AS (SELECT id, 0, [ord, id] FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, d.depth + 1, list_concat(d.path, [n.ord, n.id]) FROM d JOIN n ON n.parent_id = d.id) SELECT id, CAST(depth AS INT) AS depth, row_number() OVER (ORDER BY path) - 1 AS place FROM d")
+def preorder_places(t):
+    """The walk of a forest of all orders, numbered by sizes of subtrees."""
+    return trees.preorder(_chains(t))
+
+
+@query(f"WITH RECURSIVE n AS ({_CHAINS}), u(id, a, depth) AS (SELECT id, id, 0 FROM n UNION ALL SELECT u.id, n.parent_id, u.depth + 1 FROM u JOIN n ON n.id = u.a JOIN n p ON p.id = n.parent_id WHERE p.v <> '1-URGENT') SELECT id, arg_max(a, depth) AS root FROM u GROUP BY id")
+def conditional_roots(t):
+    """How far up an order's chain one gets without a step to an urgent one."""
+    return trees.roots_where(_chains(t), F.col("v") != "1-URGENT")
 
 
 @query(f"WITH RECURSIVE n AS (SELECT * FROM ({_TREE}) WHERE id > 0), u(id, a, depth) AS (SELECT id, id, 0 FROM n UNION ALL SELECT u.id, n.parent_id, u.depth + 1 FROM u JOIN n ON n.id = u.a WHERE n.parent_id IS NOT NULL) SELECT u.id, arg_min(n.v, depth) FILTER (WHERE n.v IS NOT NULL) AS v FROM u JOIN n ON n.id = u.a GROUP BY u.id")
