@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, edits, events, files, game, ranking, records, state, terms  # noqa: F401  (each registers its queries)
+from . import corpus, edits, events, files, game, ranking, records, state, storage, terms  # noqa: F401  (each registers its queries)
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 # The stream gives what the log at rest gives.
