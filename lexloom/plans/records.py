@@ -257,3 +257,33 @@ def compound_records_written(t):
     made = schemas.read_records(_order_records(t), ["o_orderkey"], schema, _ORDER_ENUMS)
     changed = made.withColumn("Customer", F.col("Customer") + 1)
     return changed.select("o_orderkey", schemas.write_records(changed, schema, _ORDER_ENUMS).alias("text"))
+
+
+def _scripts(t):
+    """A script of each document: two functions of one name in two classes and one of the module, with comments that count and that don't."""
+    k, n = F.col("doc_id"), F.col("n_chars").cast("string")
+    # fmt: off
+    text = F.concat(
+        F.lit("module Top\n  class A"), (k % 3).cast("string"), F.lit("\n    def run\n      if size > "), n, F.lit(" # goes\n\n        x.each do |y|\n          # goes too\n        end\n      end\n    end\n  end\n"),
+        F.lit("  class B\n    def run\n      name = '#"), "lang", F.lit("' # stays\n    end\n  end\n  def size\n    "), n, F.lit("\n  end\n  def one; 1; end\nend\n"),
+    )
+    # fmt: on
+    return t("documents").select(k.alias("script"), text.alias("text"), n.alias("n"))
+
+
+@query("""
+SELECT script, fn, left(sha1(body), 12) AS fp FROM (
+  SELECT doc_id AS script, 'Top.A' || doc_id % 3 || '.run' AS fn, 'if size > ' || n_chars || chr(10) || 'x.each do |y|' || chr(10) || 'end' || chr(10) || 'end' AS body, lang FROM documents
+  UNION ALL SELECT doc_id, 'Top.B.run', 'name = ''#' || lang || ''' # stays', lang FROM documents
+  UNION ALL SELECT doc_id, 'Top.size', CAST(n_chars AS VARCHAR), lang FROM documents) WHERE lang IS NOT NULL AND body IS NOT NULL""")
+def scanned_functions(t):
+    """Functions of scripts by qualified names, with fingerprints of their bodies."""
+    return baseline.scan_functions(_scripts(t).select("script", "text"))
+
+
+@query("SELECT doc_id AS script, strlen(CAST(n_chars AS VARCHAR)) AS longer FROM documents WHERE lang IS NOT NULL")
+def replaced_functions(t):
+    """By how many bytes scripts grow when a function is replaced by one that has its number twice."""
+    new = F.concat(F.lit("  def size\n    "), "n", "n", F.lit("\n  end"))
+    made = baseline.replaced_function(F.col("text"), F.lit("Top.size"), new)
+    return _scripts(t).where("text is not null").select("script", (F.octet_length(made) - F.octet_length("text")).cast("long").alias("longer"))

@@ -228,7 +228,7 @@ def test_baseline_compare_and_functions(spark):
     new = spark.createDataFrame([("s", "a", "1"), ("s", "b", "9"), ("t", "c", "3"), ("t", "e", "5")], "script string, fn string, fp string")
     assert {(r.script, r.fn): r.status for r in baseline.compare(old, new).collect()} == {("s", "a"): "same", ("s", "b"): "changed", ("s", "c"): "moved", ("s", "d"): "missing", ("t", "c"): "added", ("t", "e"): "added"}
     files = spark.createDataFrame([("s", "def a\n  x\nend\nclass B\n  def b\n    # note\n    y  \n  end\nend")], "script string, text string")
-    same = spark.createDataFrame([("s", "  def b\n    y\n  end\ndef a\n  x\nend")], "script string, text string")
+    same = spark.createDataFrame([("s", "class B\n  def b\n    y\n  end\nend\ndef a\n  x\nend")], "script string, text string")
     assert {r.fn: r.fp for r in baseline.scan_functions(files).collect()} == {r.fn: r.fp for r in baseline.scan_functions(same).collect()}
 
 
