@@ -25,16 +25,17 @@ def residual_latin(dst: Column, white: list[str], most: int = 8) -> Column:
 
 def unbalanced(src: Column, dst: Column) -> Column:
     """Pairs that the source has in balance: directed ones of which the translation has both, in other numbers, and undirected ones of odd number."""
-    src, dst = codes.strip_controls(src), codes.strip_controls(dst)
-    out = []
-    for a, b in PAIRS:
-        (given, taken), (here, there) = ([codes.occurrences(x, m) for m in (a, b)] for x in (src, dst))
+    # Codes are taken off once for all pairs: an expression named in each of them would be written out, and run, in each.
+    bare = F.array(F.struct(codes.strip_controls(src).alias("src"), codes.strip_controls(dst).alias("dst")))
+
+    def wrong(a: str, b: str, x: Column) -> Column:
+        (given, taken), (here, there) = ([codes.occurrences(x[side], m) for m in (a, b)] for side in ("src", "dst"))
         if a == b:
-            wrong = (given >= 2) & (given % 2 == 0) & (here % 2 == 1)
-        else:
-            wrong = (given == taken) & (here > 0) & (there > 0) & (here != there)
-        out.append(F.when(wrong, F.lit(a if a == b else a + b)))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+            return (given >= 2) & (given % 2 == 0) & (here % 2 == 1)
+        return (given == taken) & (here > 0) & (there > 0) & (here != there)
+
+    named = lambda x: F.array(*[F.when(wrong(a, b, x), F.lit(a if a == b else a + b)) for a, b in PAIRS])
+    return F.filter(F.get(F.transform(bare, named), F.lit(0)), lambda x: x.isNotNull())
 
 
 def symbol_differences(src: Column, dst: Column) -> Column:
