@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
@@ -109,18 +110,33 @@ def three_line_records(rows: DataFrame, key: str) -> DataFrame:
     """(key, id, src, dst) of records of three lines; blanks, comments and blocks between them are skipped.
 
     A record begins at a number line that no earlier record has consumed, so a
-    number as source or translation is no new record: the lines of a file are
-    folded in order, by a state of the lines still to be taken.
+    number as source or translation is no new record. Number lines three or more lines
+    apart don't touch each other; only runs of nearer ones are folded in order, each
+    by the place of the record begun last. So a file is one array nowhere.
     """
-    own = rows.where(~line_class(F.col("line")).isin("blank", "comment", "separator", "block"))
-    ordered = F.sort_array(F.collect_list(F.struct("line_no", F.trim("line").alias("line"))))
-    whole = own.groupBy(key).agg(F.transform(ordered, lambda x: x["line"]).alias("v"))
-    start = F.struct(F.lit(0).alias("left"), F.array().cast("array<int>").alias("at"))
-
-    def step(s: Column, x: Column) -> Column:
-        begins = (s["left"] == 0) & x["number"]
-        return F.struct(F.when(begins, 2).otherwise(F.greatest(s["left"] - 1, F.lit(0))).alias("left"), F.when(begins, F.concat(s["at"], F.array(x["i"]))).otherwise(s["at"]).alias("at"))
-
-    marked = F.transform("v", lambda x, i: F.struct(is_number(x).alias("number"), i.alias("i")))
-    found = whole.select(key, "v", F.explode(F.aggregate(marked, start, step, lambda s: s["at"])).alias("i"))
-    return found.where(F.col("i") + 2 < F.size("v")).select(key, F.get("v", F.col("i")).cast("long").alias("id"), F.get("v", F.col("i") + 1).alias("src"), F.get("v", F.col("i") + 2).alias("dst"))
+    in_order = Window.partitionBy(key).orderBy("line_no")
+    own = rows.where(~line_class(F.col("line")).isin("blank", "comment", "separator", "block")).withColumn("text_", F.trim("line"))
+    after = [F.lead("text_", k).over(in_order).alias(name) for k, name in ((1, "src"), (2, "dst"))]
+    numbers = own.select(key, F.row_number().over(in_order).alias("place_"), "text_", *after).where(is_number(F.col("text_")))
+    by_place = Window.partitionBy(key).orderBy("place_")
+    apart = F.coalesce(F.col("place_") - F.lag("place_").over(by_place) > 2, F.lit(True))
+    numbers = numbers.withColumn("apart_", apart).withColumn("run_", F.count_if("apart_").over(by_place))
+    runs = numbers.groupBy(key, "run_").agg(F.sort_array(F.collect_list(F.struct("place_", "text_", "src", "dst"))).alias("v"))
+    begun = _begun(F.transform("v", lambda x: x["place_"]))
+    found = runs.select(key, F.explode(F.filter(F.zip_with("v", begun, lambda x, b: F.struct(x.alias("x"), b.alias("b"))), lambda y: y["b"])).alias("y"))
+    return found.where("y.x.dst is not null").select(key, F.col("y.x.text_").cast("long").alias("id"), "y.x.src", "y.x.dst")
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _begun(places: pd.Series) -> pd.Series:
+    """Which of the number lines at ascending places begin a record: those that the record begun last has not taken."""
+
+    def one(own) -> list[bool]:
+        made, free = [], 0
+        for i in own.tolist():
+            made.append(i >= free)
+            if i >= free:
+                free = i + 3
+        return made
+
+    return places.map(one)
