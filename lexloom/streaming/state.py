@@ -169,10 +169,12 @@ def log_counts(stream: DataFrame, prefix: str, message: str, order: str, reset:
 
     Rows whose message is ``reset`` are control rows, which may come from another source
     in union with the log: at their place in the order they begin a new generation of
-    their prefix, or of every prefix where theirs is null. Resets are few beside the log
-    (those of a batch are held for each prefix); a prefix or message may have any share of
-    the rows. Restarts as ``merge_batches``. Null messages are left out.
+    their prefix, or of every prefix where theirs is null. Resets before a row are
+    running sums over ranges of the rows (``running``), so there may be any number of
+    them, and a prefix or message may have any share of the rows. Restarts as ``merge_batches``. Null messages are left out.
     """
+    from ..operators.running import with_running
+
     spark = stream.sparkSession
     kinds = dict(stream.dtypes)
     folder = folder or work_folder(spark, name)
@@ -180,24 +182,20 @@ def log_counts(stream: DataFrame, prefix: str, message: str, order: str, reset:
     resets = KeyedTable(spark, f"{folder}/resets", f"{prefix} {kinds[prefix]}, n long", [prefix])
 
     def put(batch: DataFrame, number: int) -> None:
-        control = batch.where(F.col(message) == reset).select(F.col(prefix).alias("of_"), F.col(order).alias("at_"))
+        control = F.col(message) == reset
+        rows = batch.where(F.col(message).isNotNull()).select(prefix, message, order, control.cast("int").alias("mark_"))
+        # A reset at the place of a row comes behind it.
+        rows = with_running(rows, [], [order, "mark_"], F.col("mark_") * F.col(prefix).isNull().cast("int"), "all_")
+        rows = with_running(rows, [prefix], [order, "mark_"], F.col("mark_") * F.col(prefix).isNotNull().cast("int"), "own_").where("mark_ = 0")
         before = resets.rows(resets.manifest(before=number)).select(F.col(prefix).alias("of_"), F.col("n").alias("before_"))
-        held = control.groupBy("of_").agg(F.collect_list("at_").alias("marks_"))
-        everywhere = held.where("of_ is null").select(F.col("marks_").alias("all_"))
-        ever = before.where("of_ is null").select(F.col("before_").alias("all_before_"))
-        rows = batch.where(F.col(message).isNotNull() & (F.col(message) != reset))
-        for side in (held, before):
-            own = side.where("of_ is not null")
-            rows = rows.join(own, F.col(prefix) == F.col("of_"), "left").drop("of_")
-        # One row each: the resets of every prefix.
-        rows = rows.join(F.broadcast(everywhere), F.lit(True), "left").join(F.broadcast(ever), F.lit(True), "left")
-        marks = F.concat(F.coalesce("marks_", F.array()), F.coalesce("all_", F.array()))
-        past = F.coalesce("before_", F.lit(0)) + F.coalesce("all_before_", F.lit(0))
-        rows = rows.withColumn("generation", past + F.size(F.filter(marks, lambda m: m < F.col(order))))
+        rows = rows.join(before.where("of_ is not null"), F.col(prefix) == F.col("of_"), "left").drop("of_")
+        # One row: the resets of every prefix.
+        rows = rows.join(F.broadcast(before.where("of_ is null").select(F.col("before_").alias("all_before_"))), F.lit(True), "left")
+        rows = rows.withColumn("generation", F.col("all_") + F.col("own_") + F.coalesce("before_", F.lit(0)) + F.coalesce("all_before_", F.lit(0)))
         own = rows.groupBy(prefix, "generation", message).agg(F.min(order).alias("first"), F.count("*").alias("n"))
         both = lambda old, new: old.unionByName(new).groupBy(prefix, "generation", message).agg(F.min("first").alias("first"), F.sum("n").alias("n"))
         counts.merge(own, number, both)
-        new = control.groupBy(F.col("of_").alias(prefix)).agg(F.count("*").alias("n"))
+        new = batch.where(control).groupBy(prefix).agg(F.count("*").alias("n"))
         resets.merge(new, number, lambda old, new: old.unionByName(new).groupBy(prefix).agg(F.sum("n").alias("n")))
 
     query = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(put)
