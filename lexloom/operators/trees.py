@@ -95,21 +95,27 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     return pairs
 
 
+def _sized(sound: DataFrame) -> DataFrame:
+    """(id, size) of each node's subtree. Nodes of circles, and below them, still point up after all steps and are left out; no rooted node counts them."""
+    state = written(sound.select("id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("size")), "sizes")
+    for _ in range(state.count().bit_length() + 1):
+        pointing = state.where("up is not null")
+        if pointing.isEmpty():
+            break
+        below = pointing.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more_"))
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("up_"))
+        moved = pointing.join(above, "up").select("id", F.col("up_").alias("up"), "size").unionByName(state.where("up is null"))
+        state = written(moved.join(below, "id", "left").select("id", "up", (F.col("size") + F.coalesce("more_", F.lit(0))).alias("size")), "sizes")
+    return state.where("up is null").select("id", "size")
+
+
 def subtree_sizes(nodes: DataFrame) -> DataFrame:
     """(id, size): nodes of each node's subtree, itself included; nodes of circles are left out.
 
     After k steps a node has counted its descendants up to 2^k levels below: it takes
     over the counts of all that point to it.
     """
-    sound = written(_sound(nodes), "nodes")
-    kept = sound.join(placed(sound).where("root is not null").select("id"), "id")
-    state = written(kept.select("id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("size")), "sizes")
-    while not state.where("up is not null").isEmpty():
-        below = state.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more_"))
-        above = state.select(F.col("id").alias("up"), F.col("up").alias("up_"))
-        moved = state.join(below, "id", "left").withColumn("size", F.col("size") + F.coalesce("more_", F.lit(0)))
-        state = written(moved.where("up is null").select("id", "up", "size").unionByName(moved.where("up is not null").join(above, "up").select("id", F.col("up_").alias("up"), "size")), "sizes")
-    return state.select("id", "size")
+    return _sized(written(_sound(nodes), "nodes"))
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
@@ -119,7 +125,7 @@ def preorder(nodes: DataFrame) -> DataFrame:
     before it; the places are the sums of these steps up to the root.
     """
     sound = written(_sound(nodes), "nodes")
-    sized = sound.join(subtree_sizes(sound), "id")
+    sized = sound.join(_sized(sound), "id")
     before = with_running(sized, ["parent_id"], ["ord", "id"], F.col("size"))
     step = F.col("before") + F.when(F.col("parent_id").isNull(), 0).otherwise(1)
     start = before.select("id", F.col("parent_id").alias("up"), step.alias("place"), F.lit(1).cast("long").alias("n"))
