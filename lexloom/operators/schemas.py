@@ -25,6 +25,7 @@ cut at its commas.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -34,6 +35,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 FIELD = r'\s*"(?:\\.|[^"\\])*(?:"\s*(?:,|$)|\\?$)|[^,]*(?:,|$)'
 QUOTED = r'^\s*"((?:\\.|[^"\\])*)(?:"\s*,?$|\\?$)'
 CLOSED = r'^\s*"((?:\\.|[^"\\])*)"\s*,?$'
+#: White space of patterns.
+SPACES = " \t\n\x0b\f\r"
 Enums = dict[str, "list[str] | dict[str, object] | DataFrame"]
 
 
@@ -83,26 +86,32 @@ def compiled(schema: dict[str, str | tuple]) -> list[Key]:
 def cut(value: Column) -> Column:
     """The fields of a value as they stand, commas included; none of an empty value."""
     pieces = F.regexp_extract_all(value, F.lit(FIELD), F.lit(0))
-    return F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))  # the last match is the empty one at the end
+    return let(pieces, lambda x: F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))))  # the last match is the empty one at the end
+
+
+def opens(piece: Column) -> Column:
+    """Whether a piece begins with a quote."""
+    return F.ltrim(piece, F.lit(SPACES)).startswith('"')
 
 
 def field(piece: Column) -> Column:
     """What a piece says: unquoted with its ends trimmed, or the inside of its quotes."""
     inside = F.regexp_replace(F.regexp_extract(piece, QUOTED, 1), r"\\(.)", "$1")
-    bare = F.regexp_replace(F.regexp_replace(piece, ",$", ""), r"^\s+|\s+$", "")
-    return F.when(piece.rlike(r'^\s*"'), inside).otherwise(bare)
+    bare = F.trim(F.rtrim(piece, F.lit(",")), F.lit(SPACES))  # only a quoted piece has a comma before its end
+    return F.when(opens(piece), inside).otherwise(bare)
 
 
 def _leading_int(v: Column) -> Column:
     return F.coalesce(F.regexp_extract(v, r"^\s*([+-]?\d+)", 1).try_cast("long"), F.lit(0))
 
 
-def _read(code: str, v: Column, enum) -> tuple[Column, Column]:
-    """Value of a field and the reason why it has none."""
+def _read(code: str, v: Column, enum) -> tuple[Column, Callable[[Column], Column]]:
+    """Value of a field, and the reason why it has none, from that value: it is worked out once for both."""
     kind, optional = code.lower(), code.isupper()
     blank = v == ""
+    never = lambda x: F.lit(None).cast("string")
     if kind in "smq":
-        return (F.when(~blank, v) if optional or kind == "m" else v), F.when(blank, "blank") if code == "m" else F.lit(None).cast("string")
+        return (F.when(~blank, v) if optional or kind == "m" else v), (lambda x: F.when(x.isNull(), "blank")) if code == "m" else never
     if kind in "ey":
         if isinstance(enum, list):
             found = F.array_position(F.array(*map(F.lit, enum)), v)
@@ -114,7 +123,7 @@ def _read(code: str, v: Column, enum) -> tuple[Column, Column]:
         if kind == "y":
             whole = v.rlike(r"^-?\d+$") if optional else v.rlike(r"\d")
             value = F.when(whole, _leading_int(v).cast("string")).otherwise(value.cast("string"))
-        return value, F.lit(None).cast("string") if optional else F.when(value.isNull(), "undefined")
+        return value, never if optional else lambda x: F.when(x.isNull(), "undefined")
     value, fine, reason = {
         "i": (v.try_cast("long"), v.rlike(r"^-?\d+$"), "integer"),
         "u": (v.try_cast("long"), v.rlike(r"^\d+$"), "0 or greater"),
@@ -125,32 +134,41 @@ def _read(code: str, v: Column, enum) -> tuple[Column, Column]:
         "n": (v, v.rlike(r"^(?![0-9])\w+$"), "name"),
     }[kind]
     fine = F.coalesce(fine & value.isNotNull(), F.lit(False))
-    return F.when(fine & ~blank, value) if optional else F.when(fine, value), F.when(~fine & ~blank, reason) if optional else F.when(~fine, reason)
+    return F.when(fine & ~blank, value) if optional else F.when(fine, value), lambda x: F.when(x.isNull() & ~blank if optional else x.isNull(), reason)
+
 
+def _checked(code: str, piece: Column, last: Column, enum) -> Column:
+    def read(v: Column) -> Column:
+        value, error = _read(code, v, enum)
+        return let(value, lambda x: F.struct(x.alias("v"), error(x).alias("e")))
 
-def _checked(code: str, piece: Column, v: Column, last: Column, enum) -> Column:
-    value, error = _read(code, v, enum)
     # Quotes may stay open to the end of the value, and nowhere else.
-    broken = piece.rlike(r'^\s*"') & ~piece.rlike(CLOSED) & ~(last & piece.rlike(QUOTED))
-    return F.struct(F.when(~broken, value).alias("v"), F.when(broken, "quoted").otherwise(error).alias("e"))
+    broken = opens(piece) & ~piece.rlike(CLOSED) & ~(last & piece.rlike(QUOTED))
+    none = F.when(F.lit(False), _read(code, piece, enum)[0])
+    return F.when(broken, F.struct(none.alias("v"), F.lit("quoted").alias("e"))).otherwise(let(field(piece), read))
 
 
 def read_value(key: Key, value: Column, enums: Enums) -> Column:
     """Struct of the value and the array of its errors."""
 
     def record(pieces: Column, start: Column) -> Column:
-        values, errors = [], []
+        fields = []
         for i, code in enumerate(key.plain):
             if code in "qQ":
                 rest = F.array_join(F.slice(pieces, start + i + 1, F.greatest(F.size(pieces) - start - i, F.lit(0))), "")
                 both = let(rest, lambda v: F.struct(_read(code, v, None)[0].alias("v"), F.lit(None).cast("string").alias("e")))
             else:
                 piece = F.coalesce(F.get(pieces, start + i), F.lit(""))
-                both = let(F.struct(piece.alias("p"), field(piece).alias("v")), lambda x: _checked(code, x["p"], x["v"], start + i >= F.size(pieces) - 1, enums.get(key.enum(i))))
-            values.append(both["v"].alias(f"f{i}"))
-            errors.append(F.concat(F.lit(f"{key.name}.{i}:"), both["e"]))
-        one = values[0].alias("value") if len(values) == 1 else F.struct(*values).alias("value")
-        return F.struct(one, F.filter(F.array(*errors), lambda e: e.isNotNull()).alias("errors"))
+                both = let(piece, lambda p: _checked(code, p, start + i >= F.size(pieces) - 1, enums.get(key.enum(i))))
+            fields.append(both.alias(f"f{i}"))
+
+        def parted(x: Column) -> Column:
+            values = [x[f"f{i}"]["v"].alias(f"f{i}") for i in range(len(fields))]
+            errors = [F.concat(F.lit(f"{key.name}.{i}:"), x[f"f{i}"]["e"]) for i in range(len(fields))]
+            one = values[0].alias("value") if len(values) == 1 else F.struct(*values).alias("value")
+            return F.struct(one, F.filter(F.array(*errors), lambda e: e.isNotNull()).alias("errors"))
+
+        return let(F.struct(*fields), parted)  # a field is named for its value and its error, and read once
 
     def read(x: Column) -> Column:
         if not key.repeats:
