@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..sources import text as source
+from . import qa
 
 
 @F.pandas_udf(T.DoubleType())
@@ -22,6 +23,22 @@ def line_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
 
 
+def alike(x: str | None, y: str | None, near: float) -> bool:
+    """Whether ``line_similarity`` is ``near`` or more; most lines are told apart by their characters or their longest common subsequence."""
+    if not x or not y or min(len(x), len(y)) < 0.5 * max(len(x), len(y)):
+        return 0.0 >= near
+    most = max(len(x), len(y))
+    return qa.matches_enough(x, y, lambda n: n / most >= near)
+
+
+def lines_alike(a: Column, b: Column, near: float) -> Column:
+    @F.pandas_udf(T.BooleanType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([alike(x, y, near) for x, y in zip(a, b)], dtype=bool)
+
+    return run(a, b)
+
+
 def pair_lines(rows: DataFrame, key: str, near: float | None = None) -> DataFrame:
     """Every line, its ``bare`` text without white space at the ends, ``role`` and, of a special line, ``reason``.
 
@@ -39,8 +56,8 @@ def pair_lines(rows: DataFrame, key: str, near: float | None = None) -> DataFram
     rows = rows.withColumns({"next_line": F.lead("bare").over(order), "next_kind": F.lead("kind").over(order)})
     same = F.col("bare") == F.col("next_line")
     if near is not None:
-        like = F.when(F.col("takes") & ~same & (F.col("next_kind") == "text"), line_similarity(F.col("bare"), F.col("next_line")))
-        same = same | (F.coalesce(like, F.lit(0.0)) >= near)
+        like = F.when(F.col("takes") & ~same & (F.col("next_kind") == "text"), lines_alike(F.col("bare"), F.col("next_line"), near))
+        same = same | F.coalesce(like, F.lit(0.0 >= near))
     rows = rows.withColumn("links", F.coalesce(F.col("takes") & same, F.lit(False)))
     ends = F.sum((~F.col("links")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("run", F.coalesce(ends, F.lit(0)))

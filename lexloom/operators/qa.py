@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from heapq import heappop, heappush
 
 import pandas as pd
@@ -132,7 +133,11 @@ def _longest_block(a: str, b: str) -> tuple[int, int, int]:
 def ratio_at_least(a: str, b: str, least: float) -> bool:
     """Whether SequenceMatcher's ratio of the whole texts is ``least`` or more; only bounds that can't change that cut work short."""
     total = len(a) + len(b)
-    fits = lambda n: 2.0 * n / total >= least if total else 1.0 >= least
+    return matches_enough(a, b, lambda n: 2.0 * n / total >= least if total else 1.0 >= least)
+
+
+def matches_enough(a: str, b: str, fits: Callable[[int], bool]) -> bool:
+    """Whether as many characters as SequenceMatcher's blocks of the whole texts have fit; ``fits`` is true from some number on."""
     if not fits(min(len(a), len(b))):
         return False
     if a == b:
