@@ -38,6 +38,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -50,9 +51,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .scratch import short_plans, written
 from .words import release, released
 
-NUMBERED, FOLD_BYTES, FREQUENT = 1 << 16, 64, 1 << 19
-#: Strings that the literal rank map is dealt over by hash, so that a look-up reads about six entries.
-RANK_CLASSES = 1 << 14
+NUMBERED, FOLD_BYTES, FREQUENT = 1 << 18, 64, 1 << 19
+#: Strings, at least, that the literal rank map is dealt over by hash, so that a look-up reads one or two entries.
+RANK_CLASSES = 1 << 16
 #: Stands for no rank, after all ranks in order.
 NONE = chr(0x10FFFF)
 
@@ -67,14 +68,25 @@ def _char(rank: int) -> str:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """Literal rank map from pairs of tokens to what they join to: an array of strings, each of entries NONE, pair, rank, and NONE at its end."""
-    classes = [""] * RANK_CLASSES
+    """Literal rank map from pairs of tokens to what they join to: an array of strings, each of entries NONE, pair, rank, and NONE at its end.
+
+    A look-up searches its string for the pair alone. All that it could find besides an
+    entry's pair is an entry's second token with its rank; so the number of strings is
+    chosen such that no such two characters are dealt to the string that they are in.
+    """
+    entries = []
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             both = ranks.get(piece[:i]), ranks.get(piece[i:])
             if None not in both:
-                pair = _char(both[0]) + _char(both[1])
-                classes[zlib.crc32(pair.encode()) % RANK_CLASSES] += NONE + pair + _char(rank)
+                entries.append(_char(both[0]) + _char(both[1]) + _char(rank))
+    of_pairs, of_tails = (np.array([zlib.crc32(x[a : a + 2].encode()) for x in entries], np.int64) for a in (0, 1))
+    size = RANK_CLASSES
+    while (of_pairs % size == of_tails % size).any():
+        size += 1
+    classes = [""] * size
+    for at, entry in zip((of_pairs % size).tolist(), entries, strict=True):
+        classes[at] += NONE + entry
     return F.from_json(F.lit(json.dumps([x + NONE for x in classes], separators=(",", ":"), ensure_ascii=False)), "array<string>")
 
 
@@ -89,16 +101,19 @@ def fold_merges(piece: Column, bytes_as: str, maps: Column) -> Column:
 
     def rank(pair: Column) -> Column:
         # What follows the entry's pair; without an entry that is all of the string, which begins with NONE.
-        own = F.get(maps, F.pmod(F.crc32(pair), F.lit(RANK_CLASSES)).cast("int"))
-        return F.substring(F.call_function("substring_index", own, F.concat(none, pair), F.lit(-1)), one, one)
+        own = F.get(maps, F.pmod(F.crc32(pair), F.size(maps)).cast("int"))
+        return F.substring(F.call_function("substring_index", own, pair, F.lit(-1)), one, one)
 
     def step(state: Column, _: Column) -> Column:
         parts, pairs = state["parts"], state["pairs"]  # pairs: rank of each part joined with the next
 
         def joined(token: Column):
             def at(i: Column) -> Column:
-                new = F.concat(rank(F.concat(F.substring(parts, i - 1, one), token)), rank(F.concat(token, F.substring(parts, i + 2, one))))
-                return F.struct(F.overlay(parts, token, i, F.lit(2)).alias("parts"), F.overlay(pairs, new, i - 1, F.lit(3)).alias("pairs"))
+                def ranked(made: Column) -> Column:
+                    new = F.concat(rank(F.substring(made, i - 1, F.lit(2))), rank(F.substring(made, i, F.lit(2))))
+                    return F.struct(made.alias("parts"), F.overlay(pairs, new, i - 1, F.lit(3)).alias("pairs"))
+
+                return let(F.overlay(parts, token, i, F.lit(2)), ranked)
 
             return at
 
@@ -108,8 +123,9 @@ def fold_merges(piece: Column, bytes_as: str, maps: Column) -> Column:
     latin = "".join(map(chr, range(256)))
     # A part at both ends that joins with nothing, so that each merge has neighbours.
     single = F.concat(none, F.translate(F.decode(piece.cast("binary"), "ISO-8859-1"), latin, bytes_as), none)
-    ranked = lambda x: F.array_join(F.transform(F.sequence(one, n + 1), lambda i: rank(F.substring(x, i, F.lit(2)))), "")
-    start = let(single, lambda x: F.struct(x.alias("parts"), ranked(x).alias("pairs")))
+    ranked = lambda x: F.concat(none, F.array_join(F.transform(F.sequence(F.lit(2), n), lambda i: rank(F.substring(x, i, F.lit(2)))), ""), none)
+    ranked_all = lambda x: F.when(n > 1, ranked(x)).otherwise(none)
+    start = let(single, lambda x: F.struct(x.alias("parts"), ranked_all(x).alias("pairs")))
     folded = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, step, lambda s: s["parts"])
     inner = let(folded, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
     code = lambda c: F.ascii(c) - F.when(F.ascii(c) < 0xD800, 1).otherwise(0x801)
@@ -185,9 +201,13 @@ def _numbered(pattern: str, sent, names: list[str], numbered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, (ranks, words, _, _) = regex.compile(pattern).findall, sent.value
-        known = {x: i for i, x in enumerate(words.to_pylist())}
-        base, own, place = len(known), [], 0
+        find, (ranks, words) = regex.compile(pattern).findall, sent.value
+        # Frequent pieces are a space and letters. Where the pattern has such a piece, nothing of it goes on over a space
+        # behind a letter or digit: texts are cut there first, and a part that is known needs no pattern.
+        known = {x[1:]: i for i, x in enumerate(words.to_pylist())} if find("a b c1 d") == ["a", " b", " c", "1", " d"] else {}
+        cut = re.compile(r"(?<=[^\W_]) ").split if known else (lambda text: [text])
+        # Numbers of frequent pieces stay; a task's own ones are in a small table of their own, which may be forgotten.
+        base, own, place = len(words), {}, 0
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
@@ -195,18 +215,26 @@ def _numbered(pattern: str, sent, names: list[str], numbered: int):
                 for text in part.column(len(names)).to_pylist():
                     fresh.append(len(own) > numbered)
                     if fresh[-1]:
-                        for x in own:
-                            del known[x]
-                        own = []
-                    found = find(text or "")
-                    new = len(own)
-                    for x in found:
-                        if x not in known:
-                            known[x] = base + len(own)
-                            own.append(x)
-                    numbers += map(known.__getitem__, found)
+                        own.clear()
+                    head, *parts = cut(text or "")
+                    each, new, last = [None, *map(known.get, parts)], [], 0
+                    for _ in range(each.count(None)):
+                        at = each.index(None, last)
+                        numbers += each[last:at]
+                        last = at + 1
+                        whole = " " + parts[at - 1] if at else head
+                        if at and (i := own.get(whole)) is not None:
+                            numbers.append(i)
+                            continue
+                        for x in find(whole):
+                            i = known.get(x[1:]) if x[0] == " " else None
+                            if i is None and (i := own.get(x)) is None:
+                                i = own[x] = base + len(own)
+                                new.append(x)
+                            numbers.append(i)
+                    numbers += each[last:]
                     ends.append(len(numbers))
-                    for x in own[new:]:
+                    for x in new:
                         raw = x.encode()
                         at = ranks.get(raw)  # a piece that has a rank is one token
                         ready = [at] if at is not None else _heap_merge(raw, ranks) if len(raw) > FOLD_BYTES else None
@@ -240,10 +268,10 @@ def _put_together(names: list[str], sent):
     """Columns ``names`` and ids: each document's numbers replaced by the ids of the pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, known, own = sent.value
+        known, own = sent.value
         base = used, count = len(known), len(own)  # of the table of ids, and of the pieces in it
-        values, lengths = np.append(known, np.zeros(1 << 16, np.int32)), np.append(own, np.zeros(1 << 16, np.int64))
-        starts, place = np.append(np.cumsum(own) - own, np.zeros(1 << 16, np.int64)), 0
+        values, lengths = (np.append(x, np.zeros(1 << 16, np.int32)) for x in (known, own))
+        starts, place = np.append((np.cumsum(own) - own).astype(np.int32), np.zeros(1 << 16, np.int32)), 0
         for batch in batches:
             at = {x: i for i, x in enumerate(batch.schema.names)}
             if not np.array_equal(batch.column(at["place"]).to_numpy(), np.arange(place, place + batch.num_rows)):
@@ -281,13 +309,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     schema = "".join(f"{c} {kind}, " for c, kind in plain.dtypes[: len(names)])
     literal = rank_map(ranks)
     words, ids, many = frequent_pieces(plain.select("text_"), ranks, literal, frequent)
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, words, ids, many))
+    # Each of a row's two workers takes up its own part only.
+    sent, sent_ids = (docs.sparkSession.sparkContext.broadcast(x) for x in ((ranks, words), (ids, many.astype(np.int32))))
     del words, ids, many
     release()  # the driver's memory, too, where many queries follow one another
     met = plain.mapInArrow(_numbered(pattern, sent, names, numbered), schema + "place long, fresh boolean, pieces array<string>, done array<array<int>>, numbers array<int>")
     encoded = let(literal, lambda r: F.zip_with("pieces", "done", lambda piece, done: F.coalesce(done, fold_merges(piece, byte_tokens(ranks), r))))
     ready = met.select(*names, "place", "fresh", encoded.alias("encoded"), "numbers")
-    made = ready.mapInArrow(_put_together(names, sent), schema + "ids array<int>")
+    made = ready.mapInArrow(_put_together(names, sent_ids), schema + "ids array<int>")
     return made.toDF(*kept, "ids")
 
 
