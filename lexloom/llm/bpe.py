@@ -38,8 +38,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import re
-import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -51,7 +49,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .scratch import short_plans, written
 from .words import release, released
 
-NUMBERED, FOLD_BYTES, FREQUENT = 1 << 18, 64, 1 << 19
+NUMBERED, FOLD_BYTES, FREQUENT = 1 << 18, 64, 5 << 17
 #: Strings, at least, that the literal rank map is dealt over by hash, so that a look-up reads one or two entries.
 RANK_CLASSES = 1 << 16
 #: Stands for no rank, after all ranks in order.
@@ -67,12 +65,29 @@ def _char(rank: int) -> str:
     return chr(rank + 1 if rank + 1 < 0xD800 else rank + 1 + 0x800)
 
 
+def spark_hash(x: bytes) -> int:
+    """What Spark's ``hash`` gives for a string of these UTF-8 bytes: 32-bit Murmur3 with seed 42, its last bytes one by one."""
+    whole, full = len(x) // 4 * 4, 0xFFFFFFFF
+    h = 42
+    for k in [int.from_bytes(x[i : i + 4], "little") for i in range(0, whole, 4)] + [b - 256 if b > 127 else b for b in x[whole:]]:
+        k = k * 0xCC9E2D51 & full
+        k = (k << 15 | k >> 17) * 0x1B873593 & full
+        h ^= k
+        h = ((h << 13 | h >> 19) * 5 + 0xE6546B64) & full
+    h ^= len(x)
+    h = (h ^ h >> 16) * 0x85EBCA6B & full
+    h = (h ^ h >> 13) * 0xC2B2AE35 & full
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
 def rank_map(ranks: dict[bytes, int]) -> Column:
     """Literal rank map from pairs of tokens to what they join to: an array of strings, each of entries NONE, pair, rank, and NONE at its end.
 
-    A look-up searches its string for the pair alone. All that it could find besides an
-    entry's pair is an entry's second token with its rank; so the number of strings is
-    chosen such that no such two characters are dealt to the string that they are in.
+    A look-up searches its string for the pair alone, which may begin or end with NONE.
+    All that it could find besides an entry's pair is two other neighbours: NONE and the
+    first token, the second token and the rank, the rank and NONE. So the number of
+    strings is chosen such that no such neighbours are dealt to the string they are in.
     """
     entries = []
     for piece, rank in ranks.items():
@@ -80,10 +95,14 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
             both = ranks.get(piece[:i]), ranks.get(piece[i:])
             if None not in both:
                 entries.append(_char(both[0]) + _char(both[1]) + _char(rank))
-    of_pairs, of_tails = (np.array([zlib.crc32(x[a : a + 2].encode()) for x in entries], np.int64) for a in (0, 1))
+    neighbours = [[(NONE + x + NONE)[a : a + 2] for x in entries] for a in (1, 0, 2, 3)]
+    hashes = {x: spark_hash(x.encode()) for x in set().union(*neighbours)}
+    of_pairs, *others = (np.array([hashes[x] for x in part], np.int64) for part in neighbours)
     size = RANK_CLASSES
-    while (of_pairs % size == of_tails % size).any():
+    while any((of_pairs % size == x % size).any() for x in others):
         size += 1
+        if size > RANK_CLASSES + (1 << 14):
+            raise ValueError("no number of strings keeps the neighbours in the rank map apart")
     classes = [""] * size
     for at, entry in zip((of_pairs % size).tolist(), entries, strict=True):
         classes[at] += NONE + entry
@@ -101,7 +120,7 @@ def fold_merges(piece: Column, bytes_as: str, maps: Column) -> Column:
 
     def rank(pair: Column) -> Column:
         # What follows the entry's pair; without an entry that is all of the string, which begins with NONE.
-        own = F.get(maps, F.pmod(F.crc32(pair), F.size(maps)).cast("int"))
+        own = F.get(maps, F.pmod(F.hash(pair), F.size(maps)))
         return F.substring(F.call_function("substring_index", own, pair, F.lit(-1)), one, one)
 
     def step(state: Column, _: Column) -> Column:
@@ -117,7 +136,10 @@ def fold_merges(piece: Column, bytes_as: str, maps: Column) -> Column:
 
             return at
 
-        return let(F.array_min(F.split(pairs, "")), lambda token: F.when(token == none, state).otherwise(let(F.instr(pairs, token), joined(token))))
+        # Where no pair has a rank, pairs becomes empty, and the steps that are left do nothing.
+        done = F.struct(parts.alias("parts"), F.lit("").alias("pairs"))
+        least = let(F.array_min(F.split(pairs, "")), lambda token: F.when(token == none, done).otherwise(let(F.instr(pairs, token), joined(token))))
+        return F.when(pairs == "", state).otherwise(least)
 
     n = F.octet_length(piece)
     latin = "".join(map(chr, range(256)))
@@ -202,12 +224,9 @@ def _numbered(pattern: str, sent, names: list[str], numbered: int):
         import regex
 
         find, (ranks, words) = regex.compile(pattern).findall, sent.value
-        # Frequent pieces are a space and letters. Where the pattern has such a piece, nothing of it goes on over a space
-        # behind a letter or digit: texts are cut there first, and a part that is known needs no pattern.
-        known = {x[1:]: i for i, x in enumerate(words.to_pylist())} if find("a b c1 d") == ["a", " b", " c", "1", " d"] else {}
-        cut = re.compile(r"(?<=[^\W_]) ").split if known else (lambda text: [text])
+        known = {x: i for i, x in enumerate(words.to_pylist())}
         # Numbers of frequent pieces stay; a task's own ones are in a small table of their own, which may be forgotten.
-        base, own, place = len(words), {}, 0
+        base, own, place = len(known), {}, 0
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
@@ -216,23 +235,16 @@ def _numbered(pattern: str, sent, names: list[str], numbered: int):
                     fresh.append(len(own) > numbered)
                     if fresh[-1]:
                         own.clear()
-                    head, *parts = cut(text or "")
-                    each, new, last = [None, *map(known.get, parts)], [], 0
+                    found, new, at = find(text or ""), [], -1
+                    each = list(map(known.get, found))
                     for _ in range(each.count(None)):
-                        at = each.index(None, last)
-                        numbers += each[last:at]
-                        last = at + 1
-                        whole = " " + parts[at - 1] if at else head
-                        if at and (i := own.get(whole)) is not None:
-                            numbers.append(i)
-                            continue
-                        for x in find(whole):
-                            i = known.get(x[1:]) if x[0] == " " else None
-                            if i is None and (i := own.get(x)) is None:
-                                i = own[x] = base + len(own)
-                                new.append(x)
-                            numbers.append(i)
-                    numbers += each[last:]
+                        at = each.index(None, at + 1)
+                        x = found[at]
+                        if (i := own.get(x)) is None:
+                            i = own[x] = base + len(own)
+                            new.append(x)
+                        each[at] = i
+                    numbers += each
                     ends.append(len(numbers))
                     for x in new:
                         raw = x.encode()
