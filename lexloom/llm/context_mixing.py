@@ -34,7 +34,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from . import pieces
+from . import pieces, unit_mixing
 from .quality import crc_class
 from .scratch import written
 from .words import HASH, blocks, integers, mix, release, released
@@ -56,6 +56,8 @@ PRIOR = 0.05
 LEVELS, LIMIT = 33, 12.0
 #: Bytes of units that are worked on at a time, bytes between two updates of the weights, and the updates' rate.
 BLOCK_BYTES, STEP_BYTES, RATE = 1 << 17, 1 << 13, 0.1
+#: What is added up over a text's units.
+SUMS = ("n_tokens", "n_known", "base_score", "score", "n_bytes")
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -263,9 +265,10 @@ def language_scores(docs: DataFrame, train: Column, frequent: int | None = None)
     mixer = learnt(units, counts)
     below = n + 0.1 * (v + 1)
     is_word = F.col("word") != ""
-    records = unit_scores(units.select("piece", "n_all", "word", "c"), counts, mixer).select(
+    records = unit_scores(units.select("piece", "n", "n_all", "word", "c"), counts, mixer).select(
         "piece",
         F.col("n_all").alias("n"),
+        F.coalesce(F.col("n"), F.lit(0)).alias("own"),
         is_word.cast("long").alias("n_tokens"),
         (is_word & (F.col("c") > 0)).cast("long").alias("n_known"),
         F.when(is_word, F.log10((F.col("c") + 0.1) / F.lit(below))).otherwise(0.0).alias("base_score"),
@@ -273,7 +276,32 @@ def language_scores(docs: DataFrame, train: Column, frequent: int | None = None)
         F.octet_length("piece").alias("n_bytes"),
     )
     records = written(records, "unit-records")
-    made = pieces.totalled(whole, CUT, records, ("n_tokens", "n_known", "base_score", "score", "n_bytes"), keep, frequent)
+    counts.unpersist()
+    # The units that have a code word are chosen by the training texts alone; others that come often only have their records sent.
+    frequent = pieces.FREQUENT if frequent is None else frequent
+    least = pieces.least_level(records.where("own > 0"), frequent * 3 // 4, "own")
+    whole_units = (F.col("own") > 0) & (pieces.level("own") >= least)
+    records = records.withColumn("own", F.when(whole_units, F.col("own")).otherwise(0))
+    spelled = records.where("own = 0")
+    least = pieces.least_level(spelled, frequent // 4)
+    sent = spark.sparkContext.broadcast(pieces.Dictionary(records.where((F.col("own") > 0) | (pieces.level() >= least)).select("piece", "own", *SUMS)))
+    others = spelled.where(pieces.level() < least).select("piece", "n", *SUMS)
+    own = sent.value.column("own").to_numpy()
+    escapes = (units.agg(F.sum("n")).first()[0] or 0) - int(own.sum())
+    code = unit_mixing.Code(np.append(own, max(1, escapes)))
+    values = [sent.value.column(c).to_numpy().astype(np.float64) for c in SUMS]
+    values[SUMS.index("score")][own > 0] = 0.0  # their code words count instead
+
+    kept = whole.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], train.alias("train"), "text")
+    rows = pieces.coded(kept, CUT, "", sent, tuple(kept.columns[:-1]), "unit-codes")
+    sent.unpersist()
+    sent_code = spark.sparkContext.broadcast(code)
+    model = unit_mixing.Model(code, *unit_mixing.learnt(rows.where(f"c{len(keep)}"), sent_code, len(own)))
+    sent_model, sent_values = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(values)
+    del model, values, own
+    release()
+    sums = written(unit_mixing.text_sums(rows, SUMS, sent_model, sent_values, len(keep)), "text-sums")
+    made = pieces.summed(sums, others, SUMS, keep)
     end = math.log10((trained + 0.1) / below)
     return made.select(
         *[F.col(f"`{c}`") for c in keep],

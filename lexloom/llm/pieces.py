@@ -42,21 +42,26 @@ def counted(texts: DataFrame, pieces: Column, weight: Column | None = None) -> D
     return rows.groupBy("piece").agg(F.sum("weight_").alias("n"))
 
 
-def _level() -> Column:
+def level(n: str = "n") -> Column:
     """Sixteen levels for each power of two: the counts' order, with few enough values to be listed."""
-    return F.floor(F.log2(F.col("n") + 1) * 16).cast("int")
+    return F.floor(F.log2(F.col(n) + 1) * 16).cast("int")
 
 
-def parted(records: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The records of the most frequent pieces, ``most`` or somewhat fewer, and all others."""
-    most = FREQUENT if most is None else most
+def least_level(records: DataFrame, most: int, n: str = "n") -> int:
+    """The level from which on there are ``most`` records or somewhat fewer."""
     least, total = 1 << 30, 0
-    for row in sorted(records.groupBy(_level().alias("level")).count().collect(), reverse=True):  # some hundred levels
+    for row in sorted(records.groupBy(level(n).alias("level")).count().collect(), reverse=True):  # some hundred levels
         total += row["count"]
         if total > most:
             break
         least = row["level"]
-    return records.where(_level() >= least), records.where(_level() < least)
+    return least
+
+
+def parted(records: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The records of the most frequent pieces, ``most`` or somewhat fewer, and all others."""
+    least = least_level(records, FREQUENT if most is None else most)
+    return records.where(level() >= least), records.where(level() < least)
 
 
 class Dictionary:
@@ -122,41 +127,14 @@ def coded(docs: DataFrame, pattern: str, prefix: str, sent: Broadcast, keep: tup
     return written(rows, name)
 
 
-def totalled(docs: DataFrame, pattern: str, records: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...], frequent: int | None = None) -> DataFrame:
-    """The columns ``keep`` of each row and the sums (double) of its pieces' columns; null where the text is.
+def summed(rows: DataFrame, records: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` of each row and its sums of ``columns``: s0, s1, ... of its row, and its rare pieces' own.
 
-    records: piece, n and the columns. The text's order plays no part: sums of frequent
-    pieces are made where the text is read, those of rare ones where they are joined.
+    rows: c0, c1, ... (the columns kept), row, s0, s1, ... (double) and rare, its rare pieces, repeats and all.
     """
-    most, others = parted(records.select("piece", "n", *columns), frequent)
-    sent = docs.sparkSession.sparkContext.broadcast(Dictionary(most))
-    names = [*keep, "text"]
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, cut, first = sent.value.codes, re.compile(pattern).split, TaskContext.get().partitionId() << 40
-        # The last place stands for the rare pieces.
-        numbers = [np.append(sent.value.column(c).to_numpy(zero_copy_only=False), 0) for c in columns]
-        for batch in batches:
-            sums, rare = np.zeros((batch.num_rows, len(columns))), []
-            for i, text in enumerate(batch.column(batch.num_columns - 1)):
-                text = text.as_py()
-                parts = cut(text) if text is not None else []
-                found = np.array(array("i", map(codes.get, parts, repeat(-1))))
-                sums[i] = [x[found].sum() for x in numbers]
-                rare.append([parts[k] for k in np.flatnonzero(found < 0)])
-            rows = pa.array(np.arange(first, first + batch.num_rows), pa.int64())
-            first += batch.num_rows
-            made = [pa.array(sums[:, k]) for k in range(len(columns))]
-            there = batch.column(batch.num_columns - 1).is_valid()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], rows, there, *made, pa.array(rare, pa.list_(pa.string()))], names=schema_names)
-
-    schema_names = [*plain.columns[:-1], "row", "there", *(f"s{k}" for k in range(len(columns))), "rare"]
-    schema = "".join(f"{c} {kind}, " for c, kind in plain.dtypes[:-1]) + "row long, there boolean, " + "".join(f"s{k} double, " for k in range(len(columns))) + "rare array<string>"
-    rows = written(plain.mapInArrow(released(run), schema), "text-sums")
-    own = fetched(rows, others).groupBy(F.col("row").alias("own_row_")).agg(*[F.sum(c).alias(f"own_{k}_") for k, c in enumerate(columns)])
+    own = fetched(rows, records).groupBy(F.col("row").alias("own_row_")).agg(*[F.sum(c).alias(f"own_{k}_") for k, c in enumerate(columns)])
     joined = rows.drop("rare").join(own, F.col("row") == F.col("own_row_"), "left")
-    sums = [F.when(F.col("there"), F.col(f"s{k}") + F.coalesce(F.col(f"own_{k}_"), F.lit(0))).alias(c) for k, c in enumerate(columns)]
+    sums = [(F.col(f"s{k}") + F.coalesce(F.col(f"own_{k}_"), F.lit(0))).alias(c) for k, c in enumerate(columns)]
     return joined.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *sums)
 
 
