@@ -1,20 +1,20 @@
 """Language-model scores by online logistic context mixing over bits.
 
 A text is a sequence of units: a word and the separator after it, or the text's end.
-The bits of a unit's bytes are predicted one after another from five hashed contexts
-within the unit (the last 1, 2, 3 and 5 bytes and all bytes so far): each context's
-slot holds how often a 0 and a 1 followed in the training texts. The contexts'
+Frequent units have code words, whose bits are mixed in contexts that reach across units,
+with weights that follow the scored text (``unit_mixing``). Any other unit is announced by
+an escape and spelled: the bits of its bytes are predicted one after another from five
+hashed contexts within the unit (the last 1, 2, 3 and 5 bytes and all bytes so far): each
+context's slot holds how often a 0 and a 1 followed in the training texts. The contexts'
 log-odds are added with weights from a gate (how many of the long contexts were seen,
 and the bit's place), which are learnt online by logistic updates, and an adaptive
-probability map refines the sum. A text's log-probability is the sum over its bits, so
-over its units: all passes run over the corpus's distinct units, weighted by their
-counts, and a text's score is put together from the records of its units (``pieces``).
+probability map refines the sum. What spelling a unit costs depends on the unit alone: these
+passes run over the corpus's distinct units, weighted by their counts (``pieces``).
 
 What is gathered from all training texts: counts of words and units (shuffles), the
 slots (one vector of ``SLOTS`` pairs a task, merged by ``treeReduce``), and the map's
 sums. While weights are learnt, each unit's own occurrence is taken out of its counts,
 so that the long contexts are not trusted for having seen that very occurrence.
-The mixing works within a unit: what a word says about the next isn't modelled.
 
 Defined results: null and empty texts are an end alone. Without any training text all
 bits are equally likely and each token of the base has the odds of an unknown one.
