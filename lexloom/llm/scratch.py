@@ -31,17 +31,25 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def short_plans(spark: SparkSession, most: int = 1 << 16) -> Iterator[None]:
-    """Within it, Spark keeps at most so many characters of the text of a plan: a literal table is printed at each of its places."""
-    key = "spark.sql.maxPlanStringLength"
+def _held(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, str(most))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def short_plans(spark: SparkSession, most: int = 1 << 16):
+    """Within it, Spark keeps at most so many characters of the text of a plan: a literal table is printed at each of its places."""
+    return _held(spark, "spark.sql.maxPlanStringLength", str(most))
+
+
+def groups_in_order(spark: SparkSession):
+    """Within it, rows that stand in the order of a grouping's keys are grouped as they stand: no hash table, and no sort where that is full."""
+    return _held(spark, "spark.sql.execution.replaceHashWithSortAgg", "true")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it again: cuts the lineage, survives the loss of executors."""
     spark = df.sparkSession

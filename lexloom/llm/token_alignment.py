@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import pieces
-from .scratch import discard, written
+from .scratch import discard, groups_in_order, written
 from .words import release
 
 #: Before a space with something behind it, after a character that no white space class has. The space before the text is the prefix.
@@ -53,6 +53,8 @@ NO_CUT = "(?!)"
 RUN_CHARS = 4096
 #: Pairs whose counts are sent to all tasks; more are joined by shuffle.
 BROADCAST_PAIRS = 1 << 19
+#: Token rows are dealt into so many times the session's shuffle partitions.
+SHARES = 2
 NUMBERS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
 _TOKENS = "same boolean, n_a int, ids array<int>, sizes array<int>"
 
@@ -159,7 +161,9 @@ def aligned(counted: DataFrame, content: tuple[bytes, bytes], cut: str = NO_CUT)
     key = ["piece", "n", "same"]
     encoded = counted.withColumn("t", _tokens(content, cut)("piece")).select("piece", "n", "t.*")
     # Dealt by piece once; all windows and groups below keep that. An inner explode would put its filter, and so the tokenizers, before the counting.
-    rows = encoded.repartition("piece").select(*key, "n_a", F.posexplode_outer(F.arrays_zip("ids", "sizes")).alias("place", "t"))
+    # A piece has many times its size in token rows, and a task sorts its share of them twice: so there are more shares than elsewhere.
+    shares = SHARES * int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = encoded.repartition(shares, "piece").select(*key, "n_a", F.posexplode_outer(F.arrays_zip("ids", "sizes")).alias("place", "t"))
     rows = rows.select(*key, (F.col("place") >= F.col("n_a")).cast("int").alias("side"), "place", F.col("t.ids").alias("token"), F.col("t.sizes").alias("size"))
     ends = rows.withColumn("end", F.sum("size").over(Window.partitionBy("piece", "side").orderBy("place")))
     # A's row stands before B's with the same end: the two of a cut are neighbours.
@@ -168,7 +172,10 @@ def aligned(counted: DataFrame, content: tuple[bytes, bytes], cut: str = NO_CUT)
     number = F.count("other").over(met.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("other").isNotNull().cast("long")
     numbered = cuts.withColumn("number", number)
     token = F.struct("number", "side", "end", "token")
-    whole = numbered.groupBy(*key).agg(
+    # By the piece alone: that is the order in which the windows leave the rows (see ``groups_in_order``).
+    whole = numbered.groupBy("piece").agg(
+        F.first("n").alias("n"),
+        F.first("same").alias("same"),
         F.coalesce(F.sum(1 - F.col("side")), F.lit(0)).alias("n_a"),
         F.coalesce(F.sum("side"), F.lit(0)).alias("n_b"),
         F.count("other").alias("n_groups"),
@@ -225,7 +232,8 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, frequent: int | None =
     cut = CUT if separable(*content) else NO_CUT
     docs = docs.drop(*NUMBERS, "n_links", "groups_sha256")
     texts = docs.select("text").where(F.octet_length("text") > 0)
-    made = written(aligned(pieces.counted(texts, pieces.pieces_of(F.concat(F.lit(" "), "text"), cut)), content, cut), "aligned-pieces")
+    with groups_in_order(spark):
+        made = written(aligned(pieces.counted(texts, pieces.pieces_of(F.concat(F.lit(" "), "text"), cut)), content, cut), "aligned-pieces")
     records = _without_odd_texts(made, texts, cut)
     records = written(_scored(records, pair_counts(records)), "piece-records")
     discard(made)

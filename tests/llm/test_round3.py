@@ -194,3 +194,20 @@ def test_parts_of_pieces(spark):
     most, others = pieces.parted(records, 100)
     assert 80 <= most.count() <= 100 and most.count() + others.count() == 1000
     assert min(r.n for r in most.collect()) > max(r.n for r in others.collect())
+
+
+def test_token_rows_are_grouped_in_the_order_of_their_windows(spark):
+    from lexloom.llm.scratch import groups_in_order
+
+    content = tuple(open(f, "rb").read() for f in files())
+    counted = spark.createDataFrame([(" the", 3), (" cat", 2)], "piece string, n long")
+    before = spark.conf.get("spark.sql.execution.replaceHashWithSortAgg")
+    with groups_in_order(spark):
+        made = ta.aligned(counted, content, ta.CUT)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.piece, r.n, r.same) for r in made.collect()) == [(" cat", 2, True), (" the", 3, True)]
+    assert plan.count("HashAggregate") == 0 and plan.count("SortAggregate") == 1
+    assert len(re.findall(r"[-+ ] Sort \[", plan)) == 2
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions")) * ta.SHARES
+    assert made.rdd.getNumPartitions() == shares and ta.SHARES > 1
+    assert spark.conf.get("spark.sql.execution.replaceHashWithSortAgg") == before
