@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
 from .scratch import written
-from .words import HASH, Words, blocks, integers, mix, released
+from .words import HASH, Words, blocks, integers, mix, released, released_group
 
 BLOCK_BYTES = 1 << 20
 #: The sketch: counters, and the parts that are summed apart.
@@ -467,7 +467,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = copies.join(sets, copies.a == sets.node).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("grams").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     rows = salted.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "x", "y")
-    return rows.mapInArrow(_overlaps, _OVERLAPS)
+    return rows.mapInArrow(released(_overlaps), _OVERLAPS)
 
 
 def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
@@ -487,7 +487,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     buckets = int(max(64, size // BUCKET_BYTES))
 
     made = written(own.mapInArrow(_digests(n), "doc_id long, row long, size long, node long, second long, profile binary, part int, counts binary"), "digests")
-    summed = made.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_sum_part, "part int, counts binary").collect()  # PARTS rows, 4 MB
+    summed = made.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(released_group(_sum_part), "part int, counts binary").collect()  # PARTS rows, 4 MB
     sketch = np.zeros((PARTS, COUNTERS // PARTS), np.int32)
     for r in summed:
         sketch[r.part] = np.frombuffer(r.counts, np.int32)
@@ -504,7 +504,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     index = own.select("text").mapInArrow(_prefixes(n, percent, sent, buckets, HOT), "bucket long, blob binary, gram long, node long, size long, pos long")
     hot = bool((sketch > HOT).any())
     index = written(index, "index") if hot else index  # it is read twice then
-    lists = index.where("bucket is not null").groupBy("bucket").applyInArrow(_lists(percent), "list long, a long, b long, size long, pos long")
+    lists = index.where("bucket is not null").groupBy("bucket").applyInArrow(released_group(_lists(percent)), "list long, a long, b long, size long, pos long")
     if hot:
         lists = lists.union(_hot_lists(index.where("bucket is null").select("gram", "node", "size", "pos"), percent))
     found = written(lists, "lists")
@@ -547,7 +547,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
 
     answers = first.select("a", F.col("b").alias("node"), F.col("common").alias("known"))
     still = labelled.join(answers, ["a", "node"], "left").withColumn("known", F.coalesce("known", F.lit(-1))).join(nodes.select("node", "profile"), "node")
-    opened = _parted(still, "list").groupBy("list", "p", "q").applyInArrow(_open_members(percent), "a long, node long").distinct()
+    opened = _parted(still, "list").groupBy("list", "p", "q").applyInArrow(released_group(_open_members(percent)), "a long, node long").distinct()
     opened = written(opened.join(labelled.select("node", "size", "label").distinct(), "node"), "open")
     if not opened.isEmpty():
         # Members whose overlap with the leader the bounds had ruled out as a link still need it to derive the others' from.
@@ -558,7 +558,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
         own_set = F.col("node") == F.col("a")
         rows = opened.join(known, ["a", "node"], "left")
         rows = rows.withColumns({"known": F.when(own_set, F.col("size")).otherwise(F.col("known")), "size_a": F.when(own_set, F.col("size")).otherwise(F.col("size_a")), "differ": F.coalesce("differ", F.lit(b""))})
-        last = _parted(rows, "a").groupBy("a", "p", "q").applyInArrow(_links_within(percent), "a long, b long")
+        last = _parted(rows, "a").groupBy("a", "p", "q").applyInArrow(released_group(_links_within(percent)), "a long, b long")
         classes = components(written(linked.union(last), "links"))
 
     named = digests.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))

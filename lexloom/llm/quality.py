@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ngram_model import SLOTS, Ftrl, examples, scores, sigmoid
-from .words import Words, blocks, integers, released
+from .words import Words, blocks, integers, released, released_group
 
 TRAIN_ROWS, SHARDS, EPOCHS = 8192, 4, 4
 BLOCK_BYTES = 1 << 18
@@ -56,7 +56,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn_from: Column | None
     # At most train_rows rows are broadcast.
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     texts = texts.select("text", "label", order.alias("order")).withColumn("shard", F.pmod("order", F.lit(shards)))
-    parts = texts.groupBy("shard").applyInArrow(_train(epochs), "slot long, weight double")
+    parts = texts.groupBy("shard").applyInArrow(released_group(_train(epochs)), "slot long, weight double")
     mean = parts.groupBy("slot").agg((F.sum("weight") / shards).alias("weight")).toPandas()  # SLOTS + 1 rows at most
     weights = np.zeros(SLOTS + 1)
     weights[mean["slot"].to_numpy(np.int64)] = mean["weight"]

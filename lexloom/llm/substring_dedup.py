@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .words import HASH, SECOND, Words, blocks, integers, release, released
+from .words import HASH, SECOND, Words, blocks, integers, released, released_group
 
 #: Bytes of text that one block packs together, and that one bucket should get.
 BLOCK_BYTES = 4 << 20
@@ -156,7 +156,6 @@ def _sort_bucket(k: int):
                 head, at = _unpack(packed[i])[0], run[cut[mine]]
                 out.append((head["doc"][at], head["key"][at], ((head["start"][at] + place[cut[mine]]) << 32) | (size[mine] + k - 1)))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        release()
         return pa.table(columns, schema=schema)
 
     return spans
@@ -200,7 +199,7 @@ def remove_repeated_passages(docs: DataFrame, k: int = 13, minimiser_words: int
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, size // BUCKET_BYTES)
     sent = own.where("doc is not null").mapInArrow(_pack(k, minimiser_words, buckets), "bucket long, blob binary, known binary")
-    spans = sent.groupBy("bucket").applyInArrow(_sort_bucket(k), "doc long, key long, span long")
+    spans = sent.groupBy("bucket").applyInArrow(released_group(_sort_bucket(k)), "doc long, key long, span long")
     spans = spans.groupBy("doc", "key").agg(F.collect_list("span").alias("spans"))
     extra = [c for c in docs.columns if c not in (doc_id, text)]
     rows = docs.select(F.col(doc_id).alias("doc"), key.alias("key"), F.col(text).alias("text"), F.col(doc_id).alias("id_as_given"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])

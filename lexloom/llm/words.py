@@ -34,6 +34,17 @@ def released(run: Callable) -> Callable:
     return whole
 
 
+def released_group(run: Callable) -> Callable:
+    """The function of a group's table, with its memory released at its end: the worker may wait between tasks, or meet a smaller group."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        made = run(table)
+        release()
+        return made
+
+    return whole
+
+
 def byte_class(separators: bytes) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(separators)] = True
